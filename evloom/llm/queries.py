@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lang_id, mixing, quality, secrets_scan, url_filter
+from . import bpe, embed_dedup, lang_id, mixing, ngram_join, quality, secrets_scan, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -27,6 +31,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(spark, table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(spark, table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("copies")
 
@@ -43,5 +51,5 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(spark, table(spark, sf_dir, "documents"), tokenizer_path(), digests=True)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_url_filter, op3_language_id, op5_mix_sources, op6_secret_scan, op7_quality_rules, op8_bpe)}
-ORACLE_SQL: dict[str, str] = {"op5_mix_sources": f"select doc_id, size, source_size, target, taken from ({mixing.oracle()})", "op7_quality_rules": quality.oracle()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_near_dedup, op2_url_filter, op3_language_id, op4_ngram_jaccard_join, op5_mix_sources, op6_secret_scan, op7_quality_rules, op8_bpe)}
+ORACLE_SQL: dict[str, str] = {"op1_embedding_near_dedup": embed_dedup.oracle(), "op4_ngram_jaccard_join": ngram_join.oracle(), "op5_mix_sources": f"select doc_id, size, source_size, target, taken from ({mixing.oracle()})", "op7_quality_rules": quality.oracle()}
