@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, lang_id, line_dedup, mixing, ngram_join, quality, secrets_scan, url_filter
+from . import bpe, embed_dedup, lang_id, line_dedup, lm_score, mixing, ngram_join, quality, secrets_scan, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,10 +52,14 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(spark, table(spark, sf_dir, "documents"), tokenizer_path(), digests=True)
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_texts(spark, table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_lines(spark, table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_exact", "n_near", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_near_dedup, op2_url_filter, op3_language_id, op4_ngram_jaccard_join, op5_mix_sources, op6_secret_scan, op7_quality_rules, op8_bpe, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_near_dedup, op2_url_filter, op3_language_id, op4_ngram_jaccard_join, op5_mix_sources, op6_secret_scan, op7_quality_rules, op8_bpe, op9_lm_score, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {"op1_embedding_near_dedup": embed_dedup.oracle(), "op4_ngram_jaccard_join": ngram_join.oracle(), "op10_line_dedup": line_dedup.oracle(), "op5_mix_sources": f"select doc_id, size, source_size, target, taken from ({mixing.oracle()})", "op7_quality_rules": quality.oracle()}
