@@ -1,4 +1,61 @@
-STAGES = []
+"""Corpus pipeline: documents through five operators, each stage a table that the next one reads."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evloom.llm import bpe, lang_id, line_dedup, mixing, ngram_join
+from evloom.llm.common import materialize
+from evloom.llm.queries import table, tokenizer_path
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents whose language can't be told: null texts, texts without a letter, and those whose best language is
+    less likely than the others together."""
+    model = lang_id.fit(docs, "doc_id", "text", "lang")
+    found = lang_id.predict(spark, docs, model, "doc_id", "text", keep=docs.columns)
+    learned = bool(model[0])
+    ok = (F.col("lang_pred") != lang_id.UNDETERMINED) & (F.col("score") >= 0.5) if learned else F.col("text").rlike(r"\p{L}")
+    return found.filter(ok).select(*docs.columns) if learned else docs.filter(ok)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes lines out that came before; a document of which no line with a word is left goes, unless it never had one."""
+    kept = line_dedup.drop_lines(spark, docs, keep=docs.columns)
+    kept = kept.filter((F.col("__n_lines") == 0) | (F.col("__n_lines") > F.col("__n_exact") + F.col("__n_near")))
+    columns = [F.col("__text").alias("text") if c == "text" else F.length("__text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
+    return kept.select(*columns)
+
+
+def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays, and of rows that repeat an id one; rows without an id stay."""
+    groups = ngram_join.jaccard_components(spark, docs)
+    stay = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    named = docs.filter("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    copies = mixing.mix_sources(docs).select(F.col("doc_id").alias("__id"), "copies").groupBy("__id").agg(F.max("copies").cast("int").alias("copies")).filter("copies > 0")
+    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")))
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The training rows: ids of each text, with digests of the ids and of the text decoded from them."""
+    return bpe.encode(spark, docs, tokenizer_path(), keep=["doc_id", "lang", "source"])
+
+
+STAGES = [("language_id", identify_language), ("line_dedup", dedup_lines), ("ngram_join", join_near_copies), ("mix_sources", mix), ("bpe", encode)]
+
+#: Naive Bayes, BPE and the seating of words have no SQL form; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -16,6 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words whose ids a Python worker remembers; when full, all are forgotten.
 CACHE_WORDS = 400_000
@@ -270,29 +271,29 @@ class _Shared:
         return self.broadcast.value
 
 
-def encode(spark: SparkSession, df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
-    """df's id with ids (array of int), or with digests: n_tokens, ids_sha256 and decoded_sha256.
+def encode(spark: SparkSession, df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """df's id (or the columns keep) with ids (array of int, if wanted), n_tokens, ids_sha256 and decoded_sha256.
 
     Null texts are taken as empty and have no ids. Whole texts are encoded, row by row, without a shuffle; what a worker
     remembers is bounded by CACHE_WORDS and CACHE_PAIRS. The path is read on the driver only; the vocabulary, of the
     file's size, is broadcast.
     """
     shared = _Shared(spark.sparkContext.broadcast(Vocabulary(tokenizer_path)))
-    rows = df.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
-    schema = rows.select(id_col).schema
-    schema = schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string") if digests else schema.add("ids", "array<int>")
+    keep = [id_col] if keep is None else keep
+    rows = df.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("__text"))
+    schema = rows.select(*keep).schema
+    schema = schema.add("ids", T.ArrayType(T.IntegerType())) if ids else schema
+    schema = schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
 
     def work(batches):
         enc = _encoder(shared)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                ids = [enc.encode(t or "") for t in part.column(1).to_pylist()]
-                if digests:
-                    out = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(enc.decode(x).encode()).hexdigest() for x in ids], pa.string())]
-                else:
-                    out = [pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), *out], names=schema.names)
+                got = [enc.encode(t or "") for t in part.column(len(keep)).to_pylist()]
+                out = [pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in got], pa.list_(pa.int32()))] if ids else []
+                out += [pa.array([len(x) // 4 for x in got], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in got], pa.string()), pa.array([hashlib.sha256(enc.decode(x).encode()).hexdigest() for x in got], pa.string())]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *out], names=schema.names)
 
     return rows.mapInArrow(work, schema)
 

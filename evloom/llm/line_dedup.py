@@ -159,8 +159,9 @@ def _later_lines(rows: DataFrame) -> DataFrame:
     return replaced.unionByName(shorter).unionByName(longer).distinct()
 
 
-def drop_lines(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_lines(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(id, n_lines, n_exact, n_near, text) for every row of df: the text without the lines that came before.
+    With keep, these columns of df instead of the id, and the results as __n_lines, __n_exact, __n_near and __text.
 
     A text is cut at line feeds; a line counts if it has a word (runs other than white space, A-Z in lower case). Earlier means a smaller id,
     then a smaller place. Lines with equal words stay once; of lines with MIN_WORDS words or more, one also goes if any earlier line is
@@ -186,17 +187,23 @@ def drop_lines(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_
     verdict = distinct.select("h1", "h2", F.col("doc").alias("first")).join(near, "h1", "left")
     gone = lines.select("doc", "line", "h1", "h2").join(verdict, ["h1", "h2"]).filter("near or not (doc <=> first)")
     gone = gone.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("line", F.coalesce("near", F.lit(False)).alias("near"))).alias("gone"))
-    return _rewrite(docs.join(gone, F.col("id").eqNullSafe(F.col("__doc")), "left").select("id", "text", "gone"), id_col)
+    if keep is None:
+        return _rewrite(docs.join(gone, F.col("id").eqNullSafe(F.col("__doc")), "left").select(F.col("id").alias(id_col), "text", "gone"), 1, "")
+    full = df.select(*keep, F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__t"))
+    full = full.join(gone, F.col("__id").eqNullSafe(F.col("__doc")), "left")
+    return _rewrite(full.select(*[F.lit(None).cast("string").alias(c) if c == text_col else F.col(c) for c in keep], "__t", "gone"), len(keep), "__")
 
 
-def _rewrite(rows: DataFrame, id_col: str) -> DataFrame:
-    """Takes out the lines of `gone`, and within a document all repeats of an earlier line."""
-    schema = rows.select(F.col("id").alias(id_col)).schema.add("n_lines", "long").add("n_exact", "long").add("n_near", "long").add("text", "string")
+def _rewrite(rows: DataFrame, kept: int, prefix: str) -> DataFrame:
+    """Takes out the lines of `gone`, and within a document all repeats of an earlier line; the first columns are kept."""
+    schema = rows.select(*rows.columns[:kept]).schema
+    for name, kind in (("n_lines", "long"), ("n_exact", "long"), ("n_near", "long"), ("text", "string")):
+        schema = schema.add(prefix + name, kind)
 
     def work(batches):
         for b in batches:
-            data, off = utf8(b.column(1))
-            texts, gone = b.column(1).to_pylist(), b.column(2).to_pylist()
+            data, off = utf8(b.column(kept))
+            texts, gone = b.column(kept).to_pylist(), b.column(kept + 1).to_pylist()
             for i, j in chunks(off):
                 x = Lines(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 first = np.zeros(len(x.at), bool)
@@ -212,7 +219,7 @@ def _rewrite(rows: DataFrame, id_col: str) -> DataFrame:
                     drop = near | exact | again
                     text = "\n".join(l for n, l in enumerate(texts[i + r].split("\n")) if n not in drop) if drop else texts[i + r]
                     out.append((len(numbers), len(exact | again), len(near), text))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *[pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*[c.slice(i, j - i) for c in b.columns[:kept]], *[pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]], names=schema.names)
 
     return rows.mapInArrow(work, schema)
 

@@ -49,7 +49,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(spark, table(spark, sf_dir, "documents"), tokenizer_path(), digests=True)
+    return bpe.encode(spark, table(spark, sf_dir, "documents"), tokenizer_path(), ids=False)
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
