@@ -1,0 +1 @@
+"""Evidence retrieval and fact analytics as DataFrame transformations."""
