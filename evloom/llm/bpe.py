@@ -7,8 +7,10 @@ tokens that end at a position; a test of the pair picks the one; back-pointers t
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
+import struct
 import unicodedata
 
 import numpy as np
@@ -18,10 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words whose ids a Python worker remembers; when full, all are forgotten.
-CACHE_WORDS = 400_000
+#: Words, and pieces of words, whose ids a Python worker remembers, in two generations: when the younger is full, the older is forgotten.
+CACHE_WORDS, CACHE_PIECES = 200_000, 250_000
 #: Pairs of tokens whose test a worker remembers.
-CACHE_PAIRS = 500_000
+CACHE_PAIRS = 250_000
 
 
 def byte_letters() -> list[str]:
@@ -130,6 +132,9 @@ class SuffixAutomaton:
         return s
 
 
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(33)]
+
+
 class Encoder:
     def __init__(self, vocab: Vocabulary):
         self.v = vocab
@@ -139,7 +144,9 @@ class Encoder:
         self.special = regex.compile("(" + "|".join(map(regex.escape, vocab.special)) + ")") if vocab.special else None
         self.space = regex.compile(r"\s+")
         self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, tuple] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
@@ -167,81 +174,92 @@ class Encoder:
                     return False
         return True
 
-    def piece(self, s: str) -> tuple[int, ...]:
-        """Ids of one pre-token."""
+    def piece(self, s: str) -> bytes:
+        """Ids of one pre-token, as little-endian 32-bit numbers."""
         data = s.encode("utf-8", "replace")
-        symbols = [self.v.symbol[b] for b in data[:-1]] + [self.v.last_symbol[data[-1]]]
-        nxt, link, length, own, tokens, pairs = self.automaton.next, self.automaton.link, self.automaton.length, self.automaton.own, self.automaton.tokens, self.pairs
-        last = [(-1, 0)] * (len(symbols) + 1)
-        state = matched = 0
-        for i, c in enumerate(symbols, 1):
-            while state and c not in nxt[state]:
+        symbol = self.v.symbol
+        symbols = [symbol[b] for b in data]
+        symbols[-1] = self.v.last_symbol[data[-1]]
+        auto, pairs = self.automaton, self.pairs
+        nxt, link, length, own, tokens = auto.next, auto.link, auto.length, auto.own, auto.tokens
+        token, start = [0], [0]  # by prefix: its last token, and where that begins
+        state = matched = i = 0
+        for c in symbols:
+            i += 1
+            to = nxt[state].get(c)
+            while to is None:
                 state = link[state]
                 matched = length[state]
-            state = nxt[state][c]
+                to = nxt[state].get(c)
+            state = to
             matched += 1
             found = tokens[state]
             if matched < length[state] and state in own:
                 found = found[1:]
             for t, n in found:
                 if n == i:
-                    last[i] = (t, 0)
+                    token.append(t)
+                    start.append(0)
                     break
-                p = last[i - n][0]
-                if p < 0:
-                    continue
-                key = p << 32 | t
+                key = token[i - n] << 16 | t
                 ok = pairs.get(key)
                 if ok is None:
                     if len(pairs) >= CACHE_PAIRS:
                         pairs.clear()
-                    ok = pairs[key] = self.stays(p, t)
+                    ok = pairs[key] = self.stays(token[i - n], t)
                 if ok:
-                    last[i] = (t, i - n)
+                    token.append(t)
+                    start.append(i - n)
                     break
-        out, i = [], len(symbols)
+        out = []
         while i:
-            t, i = last[i]
-            out.append(t)
-        return tuple(out[::-1])
+            out.append(token[i])
+            i = start[i]
+        return _PACK[len(out)](*out[::-1]) if len(out) < len(_PACK) else np.array(out[::-1], "<u4").tobytes()
 
-    def _plain(self, s: str) -> list[int]:
+    def _plain(self, s: str) -> bytes:
         s = "".join(c.lower() for c in unicodedata.normalize("NFC", s)) if not s.isascii() else s.lower()
-        out: list[int] = []
-        for x in self.split.findall(s):
+        out: list[bytes] = []
+        for x in (s,) if s.isalpha() and s.isascii() else self.split.findall(s):
             ids = self.pieces.get(x)
             if ids is None:
-                if len(self.pieces) >= CACHE_WORDS:
-                    self.pieces.clear()
-                ids = self.piece(x)
+                if len(self.pieces) >= CACHE_PIECES:
+                    self.old_pieces, self.pieces = self.pieces, {}
+                ids = self.old_pieces.get(x)
+                if ids is None:
+                    ids = self.piece(x)
                 if len(x) <= 64:
                     self.pieces[x] = ids
-            out += ids
-        return out
+            out.append(ids)
+        return out[0] if len(out) == 1 else b"".join(out)
 
     def _word(self, w: str) -> bytes:
         """Ids of a stretch without white space, as little-endian 32-bit numbers; special tokens stand for themselves."""
         if self.special and "<|" in w:
-            ids = [i for k, x in enumerate(self.special.split(w)) if x for i in ([self.v.special[x]] if k % 2 else self._plain(x))]
-        else:
-            ids = self._plain(w)
-        return np.array(ids, "<u4").tobytes()
+            return b"".join(_PACK[1](self.v.special[x]) if k % 2 else self._plain(x) for k, x in enumerate(self.special.split(w)) if x)
+        return self._plain(w)
 
     def encode(self, text: str) -> bytes:
-        words, out = self.words, []
+        words, old, out = self.words, self.old_words, []
         # str.split() also cuts at four control characters, which are no white space to the pattern
         cut = text.split() if text.isprintable() or not regex.search(r"[\x1c-\x1f]", text) else [x for x in self.space.split(text) if x]
         for w in cut:
             ids = words.get(w)
             if ids is None:
                 if len(words) >= CACHE_WORDS:
-                    words.clear()
-                ids = self._word(w)
+                    self.old_words, self.words = old, words = words, {}
+                ids = old.get(w)
+                if ids is None:
+                    ids = self._word(w)
                 if len(w) <= 64:
                     words[w] = ids
             out.append(ids)
         return b"".join(out)
 
+    def forget_old(self) -> None:
+        """Between tasks a worker keeps one generation: other operators may use it next."""
+        self.old_words, self.old_pieces = {}, {}
+
     def decode(self, ids: bytes) -> str:
         """The library's decoding where the file names no decoder: the tokens, joined by spaces."""
         token = self.v.token
@@ -256,6 +274,7 @@ def _encoder(shared) -> Encoder:
     if shared.id not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[shared.id] = Encoder(shared.value)
+        gc.freeze()  # the automaton's many small objects never go: no need to look at them again
     return _ENCODERS[shared.id]
 
 
@@ -275,7 +294,7 @@ def encode(spark: SparkSession, df: DataFrame, tokenizer_path: str, id_col: str
     """df's id (or the columns keep) with ids (array of int, if wanted), n_tokens, ids_sha256 and decoded_sha256.
 
     Null texts are taken as empty and have no ids. Whole texts are encoded, row by row, without a shuffle; what a worker
-    remembers is bounded by CACHE_WORDS and CACHE_PAIRS. The path is read on the driver only; the vocabulary, of the
+    remembers is bounded by CACHE_WORDS, CACHE_PIECES and CACHE_PAIRS. The path is read on the driver only; the vocabulary, of the
     file's size, is broadcast.
     """
     shared = _Shared(spark.sparkContext.broadcast(Vocabulary(tokenizer_path)))
@@ -294,6 +313,7 @@ def encode(spark: SparkSession, df: DataFrame, tokenizer_path: str, id_col: str
                 out = [pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in got], pa.list_(pa.int32()))] if ids else []
                 out += [pa.array([len(x) // 4 for x in got], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in got], pa.string()), pa.array([hashlib.sha256(enc.decode(x).encode()).hexdigest() for x in got], pa.string())]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *out], names=schema.names)
+        enc.forget_old()
 
     return rows.mapInArrow(work, schema)
 
