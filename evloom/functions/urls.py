@@ -22,7 +22,7 @@ def _parts(url: Column) -> dict[str, Column]:
 
 
 def _host(authority: Column) -> Column:
-    return F.regexp_replace(F.lower(F.regexp_extract(authority, r"(?:^|.*@)([^@:]*)(?::\d*)?$", 1)), r"^www\.", "")
+    return F.regexp_replace(F.lower(F.regexp_extract(authority, r"(?:^|.*@)([^@:]*)(?::[^@]*)?$", 1)), r"^www\.", "")
 
 
 def domain(url: Column) -> Column:
