@@ -324,7 +324,28 @@ def joint_caps(spark, d):
     return filtering.joint_caps(x, 2, 3, "g", "doc_id").select("g", "doc_id", "kept_ord")
 
 
-@query()
+_REASONS = "concat_ws(',', case when is_official_domain then 'official_domain' end, case when source_tier = 'academic' then 'academic_source' end, case when published_date is not null then 'has_publication_date' end, case when file_type = 'pdf' then 'pdf_candidate' end, {0})"
+_BASE = "question_id, page_id, url, canonical_url, domain, title, snippet, file_type, source_tier, is_official_domain"
+
+
+@query(f"""with recursive {_R},
+un as (select {_BASE}, priority_score final_score, {_REASONS.format("'passed_heuristic_threshold'")} reasons, 0 part, page_id wi from k where route = 'keep'
+ union all select {_BASE}, priority_score, {_REASONS.format("'borderline_candidate', 'auto_keep_after_rerank'")}, 1, rank_ord from sp where branch = 'auto_keep'
+ union all select {_BASE}, case when page_id % 2 = 0 then 0.9 else priority_score end, case when page_id % 5 = 0 then 'model_says' else {_REASONS.format("'borderline_candidate'")} end, 2, rank_ord from sp where branch = 'model' and page_id % 4 > 1),
+od as (select *, row_number() over (partition by question_id order by final_score desc, part, wi) o, list_distinct({TOKENS.format("title || ' ' || snippet")}) tk from un),
+nd as (select question_id, 1::bigint o, [{{'o': o, 'u': canonical_url, 'd': domain, 'tk': tk}}] kept from od where o = 1
+ union all select n.question_id, od.o, case when len(list_filter(n.kept, lambda e: e.u = od.canonical_url or (e.d = od.domain and (len(list_distinct(list_concat(e.tk, od.tk))) = 0 or len(list_intersect(e.tk, od.tk)) / len(list_distinct(list_concat(e.tk, od.tk))) >= 0.92)))) > 0 then n.kept else list_append(n.kept, {{'o': od.o, 'u': od.canonical_url, 'd': od.domain, 'tk': od.tk}}) end
+ from nd n join od on od.question_id = n.question_id and od.o = n.o + 1),
+un1 as (select question_id, unnest(list_transform(arg_max(kept, o), lambda e: e.o)) o from nd group by question_id),
+ud as (select od.* exclude (o), row_number() over (partition by od.question_id order by od.o) o from od join un1 using (question_id, o)),
+cp as (select question_id, 1::bigint o, [{{'o': o, 'd': domain, 't': coalesce(file_type, 'unknown')}}] kept from ud where o = 1
+ union all select c.question_id, ud.o, case when len(list_filter(c.kept, lambda e: e.d = ud.domain)) >= 2 or len(list_filter(c.kept, lambda e: e.t = coalesce(ud.file_type, 'unknown'))) >= 5 then c.kept else list_append(c.kept, {{'o': ud.o, 'd': ud.domain, 't': coalesce(ud.file_type, 'unknown')}}) end
+ from cp c join ud on ud.question_id = c.question_id and ud.o = c.o + 1),
+cp1 as (select question_id, unnest(list_transform(arg_max(kept, o), lambda e: e.o)) o from cp group by question_id)
+select question_id, page_id::varchar result_id, domain, round(final_score, 9)::double final_score, row_number() over (partition by question_id order by o)::int extraction_priority,
+ case when file_type = 'pdf' or lower(url) like '%.pdf' then 'pdf' when lower(url) like 'http%' then 'html' else 'unknown' end extraction_mode,
+ case when is_official_domain and final_score >= 0.85 then 'high' when source_tier in ('official', 'academic') then 'medium' else 'low' end expected_value, reasons selection_reasons
+from ud join cp1 using (question_id, o)""")
 def filtered_docs(spark, d):
     q = _questions(spark, d).withColumn("id", F.col("id").cast("long"))
     out = filtering.filter_stage(_for_filter(spark, d).drop("q_text", "q_pathogen", "q_region", "q_event_type", "q_resolution_criteria"), q, _decisions(t(spark, d, "pages")), CFG)
