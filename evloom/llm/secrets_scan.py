@@ -79,8 +79,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     whose battery does not reject uniform symbols of the inferred encoding. How much that says depends on the length: a
     short word of few kinds of letters may pass. So strings are classed by encoding and length (powers of two), and in each class
     those without any digit, which encoded random bytes of 20 symbols rarely are, show how many ordinary strings pass; a class
-    is reported only while the expected ordinary ones among those passing, (passing share of digitless) * (all in the
-    class that are not random by their own score) stay within FALSE_SHARE of the reported. The classes' table, with a bounded
+    is reported only while the expected ordinary ones among those passing, (passing share of the digitless, 1 % before any is seen) * (all in
+    the class with a digit that do not pass) stay within FALSE_SHARE of the reported. The classes' table, with a bounded
     number of rows, is the only thing that is broadcast.
 
     A null text is empty and has no spans (the digest of an empty string). Whole texts are scanned; equal rows get equal results.
@@ -97,7 +97,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     each = rows.select(F.explode("__x").alias("x")).select(klass(F.col("x")).alias("class"), passes(F.col("x")).alias("p"), F.col("x.digit").alias("digit"))
     count = lambda c: F.sum(c.cast("long"))
     classes = each.groupBy("class").agg(count(F.col("p") & F.col("digit")).alias("found"), count(F.col("p") & ~F.col("digit")).alias("plain_pass"), count(~F.col("digit")).alias("plain"), count(~F.col("p") & F.col("digit")).alias("ordinary"))
-    expected = (F.col("plain_pass") + 0.5) / (F.col("plain") + 10.0) * F.col("ordinary")
+    expected = (F.col("plain_pass") + 0.5) / (F.col("plain") + 50.0) * F.col("ordinary")
     ok = [r["class"] for r in classes.filter((F.col("found") > 0) & (expected <= FALSE_SHARE * F.col("found"))).select("class").collect()]
     random = F.transform(F.filter("__x", lambda x: passes(x) & x["digit"] & klass(x).isin(ok)), lambda x: x["span"]) if ok else F.array().cast("array<struct<start:int,kind:int,end:int>>")
     base_spans = F.array_sort(F.concat("__assign", "__access", "__hex"))
