@@ -75,7 +75,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "up" not in _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, (1 << 19) + 1)
         for name, b in (("up", BASE), ("down", BASE_INV)):
             p = np.full(size, b, np.uint64)
             p[0] = 1
@@ -96,7 +96,7 @@ def utf8(arr: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def chunks(off: np.ndarray, most: int = 1 << 21):
+def chunks(off: np.ndarray, most: int = 1 << 19):
     """Ranges of rows of at most so many bytes, a longer row alone; bounds what numpy holds at once."""
     i, n = 0, len(off) - 1
     while i < n:
@@ -138,6 +138,27 @@ def long_array(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x)
 
 
+def only_shared(rows: DataFrame) -> DataFrame:
+    """Of distinct rows (key, sig) those whose key has two or more, with that number m; dealt by key once, since only pairs of
+    numbers travel."""
+
+    def work(batches):
+        keys, sigs = [], []
+        for b in batches:
+            keys.append(b.column(0).to_numpy())
+            sigs.append(b.column(1).to_numpy())
+        if keys:
+            key, sig = np.concatenate(keys), np.concatenate(sigs)
+            order = np.argsort(key)
+            first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+            size = np.diff(np.append(first, len(key)))
+            m = np.repeat(size, size)
+            keep = order[m > 1]
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(sig[keep]), pa.array(m[m > 1])], ["key", "sig", "m"])
+
+    return rows.repartition("key").mapInArrow(work, "key long, sig long, m long")
+
+
 # ---------------------------------------------------------------- connected components
 
 

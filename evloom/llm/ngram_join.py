@@ -1,8 +1,9 @@
 """N-gram Jaccard join: count vectors of hashed shingles, bounded by summed coordinate minima in an R-tree.
 
-A count-vector R-tree alone prunes little: in 32 dimensions every window of 20 % meets nearly every leaf, so a search
+A count-vector R-tree alone prunes little: in so many dimensions every window of 20 % meets nearly every leaf, so a search
 of all documents would compare all pairs. So the documents are first dealt into blocks in which every linked pair meets at least
-once - the rarest fifth of each set, by one order of all shingles, must share a shingle - and each block has its own R-tree.
+once - the rarest fifth of each set, by one order of all shingles, must share a shingle - and each block of two sets or more has its
+own R-tree. Most shingles are in one set only; the vectors travel to the others alone.
 """
 
 from __future__ import annotations
@@ -15,17 +16,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, components, discard, materialize, mix, utf8, word_hashes
+from .common import chunks, components, discard, materialize, mix, only_shared, utf8, word_hashes
 
 N = 5
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 80
-GROUPS = 32
+#: Groups of a set of up to FEW shingles; four times as many for each four times the size, so that chance overlap stays small.
+GROUPS, FEW = 128, 2048
 #: A shingle in more than this share of all documents comes last in the order; there are at most
 #: (mean shingles of a document) / HEAVY such shingles, whatever the input.
 HEAVY = 1 / 500
-#: Ids are broadcast up to this number, else joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Shingles that are counted together for it.
+HEAVY_CHUNK = 1 << 20
+#: Rows of ids that are broadcast at most, else joined by a shuffle; so many take some 60 MB.
+BROADCAST_IDS = 500_000
+#: Blocks in which a set is first held against leaders.
+FIRST_BLOCKS = 3
+#: Likeliest partners that a set is then held against in each block, round by round; at last all that are left.
+PARTNERS = (1, 4, None)
 NODE_SIZE = 32
 _C = mix(np.arange(11, 11 + N, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _LOW63 = np.uint64((1 << 63) - 1)
@@ -68,20 +76,34 @@ def _sums(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
-def count_vectors(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two 64-bit words of 32 counts in 4 bits, and the scale: count <= scale * stored, so that bounds stay bounds."""
-    n = np.diff(at)
-    grid = np.bincount(np.repeat(np.arange(len(n)), n) * GROUPS + (s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=len(n) * GROUPS).reshape(len(n), GROUPS)
-    scale = np.maximum(1, -(-grid.max(1) // 15)) if len(n) else np.zeros(0, np.int64)
-    q = (-(-grid // scale[:, None])).astype(np.uint64)
-    words = [(q[:, k * 16 : k * 16 + 16] << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(1, dtype=np.uint64) for k in (0, 1)]
-    return words[0], words[1], scale
+def level(n) -> np.ndarray:
+    """0 for sets of up to FEW shingles, 1 up to four times that, and so on; the groups of a level split those of the one below."""
+    return np.ceil(np.log2(np.maximum(n, FEW) / FEW) / 2).astype(np.int64)
 
 
-def unpack(v0: np.ndarray, v1: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    shift = np.arange(16, dtype=np.uint64) * np.uint64(4)
-    q = np.concatenate([(v[:, None] >> shift) & np.uint64(15) for v in (v0, v1)], axis=1)
-    return (q.astype(np.int64) * scale[:, None]).astype(np.int32)
+def count_vectors(s: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """For each set a scale and the counts over it, rounded up, as bytes. So count <= scale * stored, and bounds stay bounds."""
+    out = []
+    for i, k in enumerate(level(np.diff(at)).tolist()):
+        groups = GROUPS << 2 * k
+        grid = np.bincount((s[at[i] : at[i + 1]] & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+        scale = min(255, max(1, -(-int(grid.max()) // 255)))
+        out.append(bytes([scale]) + np.minimum(255, -(-grid // scale)).astype(np.uint8).tobytes())
+    return out
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    """The counts' upper bounds. A count beyond 255 times 255 is taken as unbounded."""
+    q = np.frombuffer(raw, np.uint8)
+    out = q[1:].astype(np.int32) * int(q[0])
+    if q[0] == 255:
+        out[q[1:] == 255] = np.iinfo(np.int32).max // len(out)
+    return out
+
+
+def coarsen(vec: np.ndarray, k: int) -> np.ndarray:
+    """The vector by the groups of level k."""
+    return vec.reshape(-1, GROUPS << 2 * k).sum(0)
 
 
 def may_link(overlap: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -93,13 +115,15 @@ def may_link(overlap: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) ->
 class RTree:
     """A packed two-level R-tree of count vectors that takes further points: nodes of NODE_SIZE points with their greatest coordinates."""
 
-    def __init__(self):
-        self.points = np.zeros((NODE_SIZE, GROUPS), np.int32)
+    def __init__(self, groups: int):
+        self.points = np.zeros((NODE_SIZE, groups), np.int32)
         self.size = np.zeros(NODE_SIZE, np.int64)
-        self.top = np.zeros((1, GROUPS), np.int32)
+        self.top = np.zeros((1, groups), np.int32)
+        self.label: list[int] = []
         self.n = 0
 
-    def add(self, vector: np.ndarray, size: int) -> None:
+    def add(self, vector: np.ndarray, size: int, label: int) -> None:
+        self.label.append(label)
         if self.n == len(self.points):
             self.points = np.concatenate([self.points, np.zeros_like(self.points)])
             self.size = np.concatenate([self.size, np.zeros_like(self.size)])
@@ -123,24 +147,33 @@ class RTree:
 
 
 def _heavy(docs: DataFrame, n_docs: int) -> np.ndarray:
-    """Shingles of more than HEAVY of the documents. Such a shingle has that share within at least one chunk."""
+    """Shingles of more than HEAVY of the documents. Such a shingle has that share of some chunk's documents."""
+
+    def often(held: list[np.ndarray], docs: int):
+        ids, n = np.unique(np.concatenate(held), return_counts=True)
+        keep = n >= max(3, HEAVY * docs)
+        return pa.RecordBatch.from_arrays([pa.array(ids[keep].view(np.int64)), pa.array(n[keep])], ["s", "n"])
 
     def work(batches):
+        held, docs = [], 0
         for b in batches:
             data, off = utf8(b.column(0))
-            for i, j in chunks(off, 1 << 23):
-                s, at = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                ids, n = np.unique(s, return_counts=True)
-                often = n >= max(3, HEAVY * (j - i))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[often].view(np.int64)), pa.array(n[often])], ["s", "n"])
+            for i, j in chunks(off):
+                held.append(shingles(data[off[i] : off[j]], off[i : j + 1] - off[i])[0])
+                docs += j - i
+                if sum(map(len, held)) > HEAVY_CHUNK:
+                    yield often(held, docs)
+                    held, docs = [], 0
+        if held:
+            yield often(held, docs)
 
     rows = docs.select("text").mapInArrow(work, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(16, int(HEAVY * n_docs))).select("s").toArrow()
     return np.sort(rows.column(0).to_numpy().view(np.uint64)) if rows.num_rows else np.zeros(0, np.uint64)
 
 
 def _features(docs: DataFrame, heavy, percent: int) -> DataFrame:
-    """(id, n, sig, sig2, v0, v1, scale, keys): keys is the prefix of the set in which a linked set must share a shingle."""
-    schema = docs.select("id").schema.add("n", "long").add("sig", "long").add("sig2", "long").add("v0", "long").add("v1", "long").add("scale", "long").add("keys", T.ArrayType(T.LongType()))
+    """(id, n, sig, sig2, vec, keys): keys is the prefix of the set in which a linked set must share a shingle."""
+    schema = docs.select("id").schema.add("n", "long").add("sig", "long").add("sig2", "long").add("vec", "binary").add("keys", T.ArrayType(T.LongType()))
 
     def work(batches):
         for b in batches:
@@ -148,83 +181,90 @@ def _features(docs: DataFrame, heavy, percent: int) -> DataFrame:
             for i, j in chunks(off):
                 s, at = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], heavy.value)
                 n = np.diff(at)
-                v0, v1, scale = count_vectors(s, at)
+                vec = count_vectors(s, at)
                 m = s & _LOW63
                 sig, sig2 = mix(_sums(mix(m), at) + n.astype(np.uint64)), mix(_sums(mix(m ^ _C[0]), at))
                 prefix = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
                 to = np.concatenate([[0], np.cumsum(prefix)])
                 take = np.repeat(at[:-1] - to[:-1], prefix) + np.arange(to[-1])
                 keys = pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(m[take].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n), *(pa.array(x.view(np.int64)) for x in (sig, sig2, v0, v1)), pa.array(scale.astype(np.int64)), keys], names=schema.names)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n), pa.array(sig.view(np.int64)), pa.array(sig2.view(np.int64)), pa.array(vec, pa.binary()), keys], names=schema.names)
 
     return docs.select("id", "text").mapInArrow(work, schema)
 
 
-def _block_pairs(rows: DataFrame, percent: int, across: bool) -> DataFrame:
-    """Candidate pairs (a, b) of sigs from rows (key, sig, n, v0, v1, scale[, component]), dealt by key.
+def _block_pairs(rows: DataFrame, percent: int, across: bool, most: int | None = None) -> DataFrame:
+    """Candidate pairs (a, b) of sigs from rows (key, sig, n, vec[, component]), dealt by key.
 
     First (across=False) a set is paired with the block's leaders that it can link with, and leads itself if there are none: as many
-    rows as sets, for a block of near copies. Then (across=True) sets of different components are paired with each other.
+    rows as sets, for a block of near copies. Then (across=True) sets of different components are paired with each other; the largest
+    component's sets are met by the others only. With most, a set goes with so many of its likeliest partners; every set that has any
+    partner is then marked by a pair with itself.
     """
 
-    def leaders(sig, n, vec):
-        tree, lead = RTree(), []
+    def leaders(sig, n, vec, k):
+        # sets come by size, so the leaders before a set are of its level or below
+        trees: dict[int, RTree] = {}
         for i in range(len(sig)):
-            near = tree.search(vec[i], n[i], percent)
-            if len(near):
-                for k in near:
-                    yield sig[lead[k]], sig[i]
-            else:
-                tree.add(vec[i], n[i])
-                lead.append(i)
-
-    def strangers(sig, n, vec, comp):
-        if (comp == comp[0]).all():
+            near = [t.label[j] for lv, t in trees.items() for j in t.search(coarsen(vec[i], lv), n[i], percent)]
+            for a in near:
+                yield a, sig[i]
+            if not near:
+                trees.setdefault(k[i], RTree(GROUPS << 2 * k[i])).add(vec[i], n[i], sig[i])
+
+    def strangers(sig, n, vec, k, comp):
+        ids, code = np.unique(comp, return_inverse=True)
+        few = np.flatnonzero(code != np.bincount(code).argmax())
+        rank = np.full(len(sig), len(sig))
+        rank[few] = np.arange(len(few))  # two of the few meet once
+        for lv in sorted(set(k)):
+            at = np.flatnonzero(np.array(k) == lv)
+            base = np.stack([vec[i] for i in at])
+            for i in few:
+                # sets of a higher level meet this one when it is their turn, or here in its coarser groups
+                ok = (comp[at] != comp[i]) & (rank[at] > rank[i]) & (100 * n[at] >= percent * n[i]) & (100 * n[i] >= percent * n[at])
+                if ok.any():
+                    to = min(lv, k[i])
+                    mine = coarsen(vec[i], to)
+                    those = base[ok] if to == lv else base[ok].reshape(ok.sum(), -1, GROUPS << 2 * to).sum(1)
+                    overlap, other = np.minimum(those, mine).sum(1), at[ok]
+                    may = may_link(overlap, n[other], np.full(len(other), n[i]), percent)
+                    overlap, other = overlap[may], other[may]
+                    if most is not None and len(other):
+                        yield from ((sig[j], sig[j]) for j in (i, *other))
+                        other = other[np.argsort(-overlap / (n[other] + n[i]), kind="stable")[:most]]
+                    for j in other:
+                        yield min(sig[i], sig[j]), max(sig[i], sig[j])
+
+    def block(rows: list[tuple]):
+        if len(rows) < 2 or across and len({r[4] for r in rows}) < 2:
             return
-        for i in range(1, len(sig)):
-            ok = np.flatnonzero((comp[:i] != comp[i]) & (100 * n[:i] >= percent * n[i]))
-            if len(ok):
-                ok = ok[may_link(np.minimum(vec[ok], vec[i]).sum(1), n[ok], np.full(len(ok), n[i]), percent)]
-                for k in ok:
-                    yield sig[k], sig[i]
+        sig, n = [r[1] for r in rows], np.array([r[2] for r in rows], np.int64)
+        vec, k = [unpack(r[3]) for r in rows], level(n).tolist()
+        yield from strangers(sig, n, vec, k, np.array([r[4] for r in rows], np.int64)) if across else leaders(sig, n, vec, k)
 
     def work(batches):
-        cols = [[] for _ in range(6 + across)]
-        for b in batches:
-            for c, x in zip(cols, b.columns, strict=True):
-                c.append(x.to_numpy(zero_copy_only=False))
-        if not cols[0]:
-            return
-        key, sig, n, v0, v1, scale, *comp = (np.concatenate(c) for c in cols)
-        order = np.lexsort((sig, n, key))
-        key = key[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(first, len(key)))
-        first, size = first[size > 1], size[size > 1]
-        found: list[np.ndarray] = []
-        two = first[size == 2]
-        for lo in range(0, len(two), 1 << 18):
-            i, j = order[two[lo : lo + (1 << 18)]], order[two[lo : lo + (1 << 18)] + 1]
-            if across:
-                differ = comp[0][i] != comp[0][j]
-                i, j = i[differ], j[differ]
-            x, y = (unpack(v0[k].view(np.uint64), v1[k].view(np.uint64), scale[k]) for k in (i, j))
-            ok = may_link(np.minimum(x, y).sum(1), n[i], n[j], percent)
-            found.append(np.unique(np.stack([sig[i[ok]], sig[j[ok]]], 1), axis=0))
         pairs: set = set()
-        for f, m in zip(first[size > 2], size[size > 2], strict=True):
-            at = order[f : f + m]
-            vec = unpack(v0[at].view(np.uint64), v1[at].view(np.uint64), scale[at])
-            pairs.update(strangers(sig[at], n[at], vec, comp[0][at]) if across else leaders(sig[at], n[at], vec))
+        held: list[tuple] = []
+
+        def out():
+            every = np.array(list(pairs), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(every[:, 0]), pa.array(every[:, 1])], ["a", "b"])
+
+        for b in batches:
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and r[0] != held[0][0]:
+                    pairs.update(block(held))
+                    held = []
+                held.append(r)
             if len(pairs) > 1 << 19:
-                found.append(np.array(list(pairs), np.int64))
+                yield out()
                 pairs = set()
-        found.append(np.array(list(pairs), np.int64).reshape(-1, 2))
-        every = np.unique(np.concatenate(found), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(every[:, 0]), pa.array(every[:, 1])], ["a", "b"])
+        pairs.update(block(held))
+        yield out()
 
-    names = ["key", "sig", "n", "v0", "v1", "scale", *(["component"] if across else [])]
-    return rows.select(*names).repartition("key").mapInArrow(work, "a long, b long").distinct()
+    names = ["key", "sig", "n", "vec", *(["component"] if across else [])]
+    return rows.select(*names).repartition("key").sortWithinPartitions("key", "n", "sig").mapInArrow(work, "a long, b long").distinct()
 
 
 def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -233,9 +273,7 @@ def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -
     jobs = pairs.join(many, "a").select(F.concat_ws("/", "a", F.pmod(F.xxhash64("b"), F.col("k"))).alias("job"), "a", "b")
     both = jobs.select("job", F.col("a").alias("sig"), F.lit(True).alias("leads")).unionByName(jobs.select("job", F.col("b").alias("sig"), F.lit(False).alias("leads"))).distinct()
     need = materialize(both.join(nodes.select("sig", F.col("rep").alias("id")), "sig"), "verify-jobs")
-    ids = need.select("id").distinct()
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.select("id", "text").join(few, "id", "left_semi")
+    texts = docs.select("id", "text").join(F.broadcast(need) if need.count() <= BROADCAST_IDS else need, "id")
 
     def work(key, job):
         sig, leads = job["sig"].to_pylist(), job["leads"].to_pylist()
@@ -251,7 +289,7 @@ def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -
                 out.append(g)
         return pa.table({"a": pa.array([lead] * len(out), pa.int64()), "b": pa.array(out, pa.int64())})
 
-    return need.join(texts, "id").select("job", "sig", "leads", "text").groupBy("job").applyInArrow(work, "a long, b long")
+    return texts.select("job", "sig", "leads", "text").groupBy("job").applyInArrow(work, "a long, b long")
 
 
 def jaccard_components(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -260,34 +298,45 @@ def jaccard_components(spark: SparkSession, df: DataFrame, id_col: str = "doc_id
     Null texts and texts without words have an empty set, link with nothing and are their own component; so are
     they where their id is null. Equal sets are one node from the start, partly grouped before the shuffle, so exact copies cost one
     row each. Every other linked pair shares a shingle of its two prefixes, whose blocks are searched in two steps: first each set
-    against the block's leaders, then, with the components known, sets of different components that both had leaders. After these, any two
-    sets of one block that could link are verified or already joined; so no link is lost, and a group of near copies never becomes all its
-    pairs. Sets are of 63-bit hashes: two shingles of a pair of texts agree by chance with a probability of about 1e-13.
+    against the leaders of its FIRST_BLOCKS largest blocks, which joins groups of near copies; then, with the components known, sets of
+    different components in all blocks, the likeliest partners first, so that what links is soon one component; only sets that had a partner go
+    into the next round. After these, any two sets of one block that could link are verified or already joined; so no link is lost, and a
+    group of near copies never becomes all its pairs. Sets are of 63-bit hashes: two shingles of a pair of texts agree by chance with a probability of about 1e-13.
     Repeated rows are copies of each other. An empty table gives an empty result.
     """
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     heavy = spark.sparkContext.broadcast(_heavy(docs, docs.count()))
     feats = _features(docs, heavy, percent)
     members = materialize(feats.select("id", "n", "sig", "sig2"), "shingle-members")
-    same = feats.filter("n > 0").groupBy("sig", "sig2").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "v0", "v1", "scale", "keys")])
+    same = feats.filter("n > 0").groupBy("sig", "sig2").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "vec", "keys")])
     nodes = materialize(same, "shingle-nodes")
-    exploded = nodes.select(F.explode("keys").alias("key"), "sig", "n", "v0", "v1", "scale")
-    pairs = materialize(_block_pairs(exploded, percent, False), "pairs")
+    shared = materialize(only_shared(nodes.select(F.explode("keys").alias("key"), "sig")), "shared-keys")
     gc.collect()
     spark._jvm.System.gc()  # lets Spark drop the shuffle's files, the largest of this operator
+    sets = nodes.select("sig", "n", "vec")
+    # a set's largest blocks: near copies meet in the same ones
+    largest = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("m")).alias("m"), "key"))), 1, FIRST_BLOCKS)
+    first = shared.groupBy("sig").agg(largest.alias("b")).select(F.explode("b.key").alias("key"), "sig")
+    pairs = materialize(_block_pairs(first.join(sets, "sig"), percent, False), "pairs")
     links = materialize(_verify(docs, nodes, pairs, percent), "links")
     component = materialize(components(links), "components")
-    led = pairs.select(F.col("b").alias("sig")).distinct()
-    again = nodes.join(led, "sig", "left_semi").join(component, F.col("sig") == F.col("node"), "left").select(F.explode("keys").alias("key"), "sig", "n", "v0", "v1", "scale", F.coalesce("component", "sig").alias("component"))
-    more = materialize(_block_pairs(again, percent, True).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        component = materialize(components(links.unionByName(_verify(docs, nodes, more, percent))), "components")
+    tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for most in PARTNERS:
+        known = sets.join(component, F.col("sig") == F.col("node"), "left").select("sig", "n", "vec", F.coalesce("component", "sig").alias("component"))
+        found = materialize(_block_pairs(shared.select("key", "sig").join(known, "sig"), percent, True, most), "pairs")
+        more = materialize(found.filter("a != b").join(tested, ["a", "b"], "left_anti"), "pairs")
+        if not more.isEmpty():
+            links = links.unionByName(materialize(_verify(docs, nodes, more, percent), "links"))
+            component = materialize(components(links), "components")
+            tested = tested.unionByName(more)
+        # sets without a partner in another component have none later either
+        sets = sets.join(materialize(found.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "active"), "sig", "left_semi")
     reps = nodes.select("sig", "sig2", "rep").join(component, F.col("sig") == F.col("node"), "left").withColumn("component", F.coalesce("component", "sig"))
     low = reps.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_node = reps.join(low, "component").select("sig", "sig2", "component_id")
     out = members.join(by_node, ["sig", "sig2"], "left")
     result = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id"))
-    discard(pairs)
+    discard(pairs, shared)
     return result
 
 
