@@ -14,7 +14,7 @@ ORDERS = (1, 2, 3)
 #: The model is fitted on about so many labelled rows, chosen by the hash of their id.
 FIT_ROWS = 8192
 #: Characters that numpy works on at once.
-WINDOW = 1 << 19
+WINDOW = 1 << 18
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 UNDETERMINED = "und"
 
@@ -120,25 +120,27 @@ def predict(spark: SparkSession, df: DataFrame, model, id_col: str = "doc_id", t
     langs, weights, prior = model
     shared = spark.sparkContext.broadcast((langs, weights.astype(np.float32), prior))
     keep = [id_col] if keep is None else keep
-    cols = df.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("__text"), F.col(text_col).rlike(r"\p{L}").alias("__letters"))
-    schema = cols.select(*keep).schema.add("lang_pred", "string").add("score", "double")
 
-    def score(batches):
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def score(column: pa.Array, letters: pa.Array) -> pa.Array:
         langs, w, prior = shared.value
-        for b in batches:
-            texts = [t or "" for t in b.column(len(keep)).to_pylist()]
+        pred, sure = [], []
+        for at in range(0, len(column), 512):  # few texts at once as Python strings
+            texts = [t or "" for t in column.slice(at, 512).to_pylist()]
             total = np.tile(prior, (len(texts), 1))
             for buckets, rows in _windows(texts) if langs else ():
                 for j in range(len(langs)):
                     total[:, j] += np.bincount(rows, weights=w[buckets, j], minlength=len(texts))
-            letters = np.array([bool(x) for x in b.column(len(keep) + 1).to_pylist()], bool) & bool(langs)
+            ok = np.array([bool(x) for x in letters.slice(at, 512).to_pylist()], bool) & bool(langs)
             best = total.argmax(1) if langs else np.zeros(len(texts), int)
-            top = total.max(1, keepdims=True) if langs else total
-            p = 1 / np.exp(total - top).sum(1) if langs else np.zeros(len(texts))
-            pred = [langs[k] if ok else UNDETERMINED for k, ok in zip(best, letters, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(np.where(letters, p, 0.0))], names=schema.names)
-
-    return cols.mapInArrow(score, schema)
+            p = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1) if langs else np.zeros(len(texts))
+            pred += [langs[k] if x else UNDETERMINED for k, x in zip(best, ok, strict=True)]
+            sure += np.where(ok, p, 0.0).tolist()
+        return pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(sure, pa.float64())], ["lang_pred", "score"])
+
+    # only the text goes to Python; the other columns wait in the JVM
+    text = F.col(text_col).cast("string")
+    return df.withColumn("__lang", score(text, text.rlike(r"\p{L}"))).select(*keep, "__lang.lang_pred", "__lang.score")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
