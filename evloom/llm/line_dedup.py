@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import itertools
 
 import numpy as np
@@ -9,17 +10,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS_CLASS, chunks, materialize, mix, utf8, word_hashes
+from .common import WS_CLASS, chunks, discard, materialize, mix, only_shared, utf8, word_hashes
 
 #: Lines of fewer words must be equal; longer ones may differ by one word put in, left out or replaced.
 MIN_WORDS = 8
 #: Lines of so many words and more pass the group filter before their neighbourhood is made.
-LONG = 16
+LONG = 12
 GROUPS = 4
 #: A filter key over fewer words than this says too little; the line is taken without it.
 LEAST_KEY = 3
 #: Ids of documents with lines to expand are broadcast up to this number, else joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Numbers of dropped lines that are broadcast at most, some 40 MB; beyond, texts and lists are joined by a shuffle.
+BROADCAST_LINES = 1_000_000
 R1, R2 = 0xD6E8FEB86659FD93 & ~7 | 5, 0xA0761D6478BD642F & ~7 | 5
 _INV1, _INV2 = (np.uint64(pow(r, -1, 1 << 64)) for r in (R1, R2))
 _SALT = np.uint64(0x8EBC6AF09C88C6E3)
@@ -63,13 +66,15 @@ class Lines:
     def filter_keys(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For LONG lines six keys, each of the words of two of the four groups that words are hashed into, and whether some key has too
         few words. One word put in or left out changes one group, one replaced changes two: some key stays as it was."""
-        line = np.repeat(np.arange(len(self.at)), self.words)
-        group = (self.h >> np.uint64(5) & np.uint64(GROUPS - 1)).astype(np.int64)
-        cell = line * GROUPS + group
-        n = np.bincount(cell, minlength=len(self.at) * GROUPS).reshape(-1, GROUPS)[which]
-        content = np.zeros(len(self.at) * GROUPS, np.uint64)
-        np.add.at(content, cell, mix(self.h))
-        content = content.reshape(-1, GROUPS)[which]
+        group = self.h >> np.uint64(5) & np.uint64(GROUPS - 1)
+        spread = mix(self.h)
+        n, content = np.zeros((len(which), GROUPS), np.int64), np.zeros((len(which), GROUPS), np.uint64)
+        for g in range(GROUPS):
+            inside = group == np.uint64(g)
+            for out, x in ((n, inside.astype(np.int64)), (content, np.where(inside, spread, np.uint64(0)))):
+                total = np.zeros(len(x) + 1, x.dtype)
+                np.cumsum(x, out=total[1:])
+                out[:, g] = total[self.end[which]] - total[self.at[which]]
         keys = np.stack([mix(content[:, a] + mix(content[:, b]) + np.uint64(k + 1)) for k, (a, b) in enumerate(PAIRS)], 1)
         return keys, np.stack([n[:, a] + n[:, b] for a, b in PAIRS], 1).min(1) < LEAST_KEY
 
@@ -90,12 +95,17 @@ def _array(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """The first of each document's equal lines: (doc, line, words, h1, h2, k0..k5, plain)."""
+#: Kinds of rows of _scan(), in the column i of those that are no neighbourhood: a line, and one that skips the filter.
+LINE, PLAIN = -2, -3
+
+
+def _scan(docs: DataFrame) -> DataFrame:
+    """One reading of (id, text). For the first of each document's equal lines a row (doc, line, h1, a = second hash, i = LINE or PLAIN,
+    k0..k5), and for the short of them their neighbourhoods, rows (doc, line, h1, a, b, i)."""
     schema = docs.select(F.col("id").alias("doc")).schema
-    for c in ("line", "words", "h1", "h2", *[f"k{k}" for k in range(len(PAIRS))]):
+    for c in ("line", "h1", "a", "b", "i", *[f"k{k}" for k in range(len(PAIRS))]):
         schema = schema.add(c, "long")
-    schema = schema.add("plain", "boolean")
+    none = lambda n: [pa.nulls(n, pa.int64())] * len(PAIRS)
 
     def work(batches):
         for b in batches:
@@ -105,57 +115,67 @@ def _lines(docs: DataFrame) -> DataFrame:
                 f = x.firsts()
                 keys, weak = x.filter_keys(f)
                 long_ = x.words[f] >= LONG
-                ids = b.column(0).slice(i, j - i).take(pa.array(x.row[f]))
-                yield pa.RecordBatch.from_arrays([ids, *map(_array, (x.number[f], x.words[f], x.key[0][f], x.key[1][f])), *[pa.array(keys[:, k].view(np.int64), mask=~long_ | weak) for k in range(len(PAIRS))], pa.array(long_ & weak)], names=schema.names)
+                ids = b.column(0).slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x.row[f])), *map(_array, (x.number[f], x.key[0][f], x.key[1][f], x.key[1][f], np.where(long_ & weak, PLAIN, LINE))), *[pa.array(keys[:, k].view(np.int64), mask=~long_ | weak) for k in range(len(PAIRS))]], names=schema.names)
+                # lines of LONG words too: they may pair with a shorter one, which has no filter keys
+                short = f[(x.words[f] >= MIN_WORDS) & (x.words[f] <= LONG)]
+                line, gone, keys = x.neighbourhood(short)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x.row[line])), *map(_array, (x.number[line], x.key[0][line], keys[0], keys[1], gone)), *none(len(line))], names=schema.names)
 
     return docs.select("id", "text").mapInArrow(work, schema)
 
 
-def _neighbourhoods(docs: DataFrame, suspects: bool) -> DataFrame:
-    """Rows (v1, v2, i, h1, doc, line) of the short lines of (id, text), or of the lines of (id, text, wanted)."""
-    schema = docs.select(F.col("id").alias("doc")).schema
-    for c in ("line", "h1", "v1", "v2", "i"):
+def _neighbourhoods(texts: DataFrame) -> DataFrame:
+    """Rows (doc, line, h1, a, b, i) of the lines `wanted` of (id, text, wanted)."""
+    schema = texts.select(F.col("id").alias("doc")).schema
+    for c in ("line", "h1", "a", "b", "i"):
         schema = schema.add(c, "long")
 
     def work(batches):
         for b in batches:
             data, off = utf8(b.column(1))
-            wanted = b.column(2) if suspects else None
-            for i, j in chunks(off, 1 << 20):
+            for i, j in chunks(off):
                 x = Lines(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 f = x.firsts()
-                if suspects:
-                    lists = wanted.slice(i, j - i).to_pylist()
-                    ask = {(r, n) for r, ns in enumerate(lists) for n in ns}
-                    f = f[np.array([(r, n) in ask for r, n in zip(x.row[f].tolist(), x.number[f].tolist(), strict=True)], bool)] if len(f) else f
-                else:
-                    f = f[(x.words[f] >= MIN_WORDS) & (x.words[f] <= LONG)]  # LONG itself too: it may pair with a shorter one
+                lists = b.column(2).slice(i, j - i).to_pylist()
+                ask = {(r, n) for r, ns in enumerate(lists) for n in ns}
+                f = f[[(r, n) in ask for r, n in zip(x.row[f].tolist(), x.number[f].tolist(), strict=True)]] if len(f) else f
                 for lo in range(0, len(f), 4096):
                     line, gone, keys = x.neighbourhood(f[lo : lo + 4096])
                     ids = b.column(0).slice(i, j - i).take(pa.array(x.row[line]))
                     yield pa.RecordBatch.from_arrays([ids, *map(_array, (x.number[line], x.key[0][line], keys[0], keys[1], gone))], names=schema.names)
 
-    return docs.mapInArrow(work, schema)
+    return texts.mapInArrow(work, schema)
+
+
+def _order(lines: DataFrame):
+    """A column that orders lines as (doc, line) does: one number where the ids allow it, so that minimums need no sorting, else the pair."""
+    if lines.schema["doc"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        lo, hi, most = lines.agg(F.min("doc"), F.max("doc"), F.max("line")).first()
+        if lo is not None and (hi - lo + 2) * (most + 1) < 1 << 62:
+            return F.coalesce((F.col("doc") - lo + 1) * (most + 1) + F.col("line"), F.col("line"))
+    return F.struct("doc", "line")
 
 
 def _later_lines(rows: DataFrame) -> DataFrame:
-    """h1 of the lines that an earlier line is within one word of.
+    """h1 of the lines that an earlier line is within one word of; rows (h1, a, b, i, place).
 
     Lines that agree without their i-th word differ by one replaced word, whichever pair of them is taken; a line that equals
     another without a word differs by that word. So the earliest line of such a group is enough for all the others, and minimums, partly
     taken before the shuffle, replace the pairs. Both hashes of the rest, 128 bits, must agree, which verifies the distance.
     """
-    first = F.min(F.struct("doc", "line", "h1")).alias("m")
-    group = rows.groupBy("v1", "v2", "i").agg(first, (F.min("h1") != F.max("h1")).alias("differ"))
+    keys = ["a", "b", "i"]
+    group = rows.groupBy(*keys).agg(F.min("place").alias("p"), F.min_by("h1", "place").alias("w"), (F.min("h1") != F.max("h1")).alias("differ"))
     group = materialize(group, "line-groups")
-    replaced = rows.filter("i >= 0").join(group.filter("i >= 0 and differ").select("v1", "v2", "i", "m"), ["v1", "v2", "i"]).filter("h1 != m.h1").select("h1")
-    whole = group.filter("i = -1").select("v1", "v2", F.col("m").alias("w"))
-    less = group.filter("i >= 0").groupBy("v1", "v2").agg(F.min("m").alias("m"))
-    shorter = whole.join(less, ["v1", "v2"]).filter("m < w").select(F.col("w.h1").alias("h1"))
-    longer = rows.filter("i >= 0").join(whole.join(less.select("v1", "v2"), ["v1", "v2"], "left_semi"), ["v1", "v2"]).filter("h1 != w.h1")
-    # copies of a line have its first place in w, their own in doc and line: compare first places
-    own = rows.filter("i = -1").groupBy("h1").agg(F.min(F.struct("doc", "line")).alias("own"))
-    longer = longer.select("h1", "w").distinct().join(own, "h1").filter("struct(w.doc, w.line) < own").select("h1")
+    replaced = rows.filter("i >= 0").join(group.filter("i >= 0 and differ").select(*keys, "w"), keys).filter("h1 != w").select("h1")
+    whole = group.filter("i = -1").select("a", "b", F.col("p").alias("wp"), F.col("w"))
+    less = group.filter("i >= 0").groupBy("a", "b").agg(F.min("p").alias("p"))
+    met = materialize(whole.join(less, ["a", "b"]), "line-meets")
+    shorter = met.filter("p < wp").select(F.col("w").alias("h1"))
+    longer = rows.filter("i >= 0").join(met.select("a", "b", "wp"), ["a", "b"]).groupBy("h1").agg(F.min("wp").alias("wp"))
+    # copies of a line have places of their own: compare with the first
+    own = rows.filter("i = -1").groupBy("h1").agg(F.min("place").alias("own"))
+    longer = longer.join(own, "h1").filter("wp < own").select("h1")
     return replaced.unionByName(shorter).unionByName(longer).distinct()
 
 
@@ -172,21 +192,31 @@ def drop_lines(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_
     expanded line is words + 1 rows of two hashes. Only a document's kept text is joined back, by id.
     """
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    lines = _lines(docs)
+    scan = materialize(_scan(docs), "lines")
+    lines = scan.filter(F.col("i") <= LINE).withColumnRenamed("a", "h2")
+    place = _order(lines)
     keys = [f"k{k}" for k in range(len(PAIRS))]
-    distinct = materialize(lines.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.min_by("line", "doc").alias("line"), *[F.first(k).alias(k) for k in (*keys, "plain")]), "lines")
-    each = distinct.filter("k0 is not null").select(F.explode(F.array(*keys)).alias("key"), "h1")
-    shared = each.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo != hi").select("key")
-    suspects = each.join(shared, "key", "left_semi").select("h1").distinct()
-    wanted = distinct.filter("plain").select("h1", "doc", "line").unionByName(distinct.filter("k0 is not null").join(suspects, "h1", "left_semi").select("h1", "doc", "line"))
+    lines = lines.withColumn("place", place)
+    distinct = lines.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.min_by("doc", "place").alias("doc"), F.min_by("line", "place").alias("line"), *[F.first(k).alias(k) for k in (*keys, "i")])
+    distinct = materialize(distinct, "distinct-lines")
+    filtered = distinct.filter("k0 is not null")
+    suspects = only_shared(filtered.select(F.explode(F.array(*keys)).alias("key"), F.col("h1").alias("sig"))).select(F.col("sig").alias("h1")).distinct()
+    wanted = distinct.filter(F.col("i") == PLAIN).select("doc", "line").unionByName(filtered.join(suspects, "h1", "left_semi").select("doc", "line"))
     wanted = materialize(wanted.groupBy(F.col("doc").alias("id")).agg(F.collect_set("line").alias("wanted")), "suspects")
     few = F.broadcast(wanted.select("id")) if wanted.count() <= BROADCAST_IDS else wanted.select("id")
     texts = docs.join(few, "id", "left_semi").join(wanted, "id").select("id", "text", "wanted")
-    rows = materialize(_neighbourhoods(docs, False).unionByName(_neighbourhoods(texts, True)), "neighbourhoods")
-    near = materialize(_later_lines(rows), "later-lines").withColumn("near", F.lit(True))
+    columns = ["doc", "line", "h1", "a", "b", "i"]
+    rows = materialize(_neighbourhoods(texts), "neighbourhoods").select(*columns).unionByName(scan.filter(F.col("i") > LINE).select(*columns))
+    near = materialize(_later_lines(rows.select("h1", "a", "b", "i", place.alias("place"))), "later-lines").withColumn("near", F.lit(True))
     verdict = distinct.select("h1", "h2", F.col("doc").alias("first")).join(near, "h1", "left")
     gone = lines.select("doc", "line", "h1", "h2").join(verdict, ["h1", "h2"]).filter("near or not (doc <=> first)")
     gone = gone.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("line", F.coalesce("near", F.lit(False)).alias("near"))).alias("gone"))
+    gone = materialize(gone, "dropped-lines")
+    if gone.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0] <= BROADCAST_LINES:
+        gone = F.broadcast(gone)
+    discard(scan, distinct)
+    gc.collect()
+    spark._jvm.System.gc()  # lets Spark drop the files of shuffles that are over, before the texts are dealt
     if keep is None:
         return _rewrite(docs.join(gone, F.col("id").eqNullSafe(F.col("__doc")), "left").select(F.col("id").alias(id_col), "text", "gone"), 1, "")
     full = df.select(*keep, F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__t"))
