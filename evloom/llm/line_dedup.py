@@ -64,8 +64,9 @@ class Lines:
         return np.sort(order[~same])
 
     def filter_keys(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For LONG lines six keys, each of the words of two of the four groups that words are hashed into, and whether some key has too
-        few words. One word put in or left out changes one group, one replaced changes two: some key stays as it was."""
+        """For LONG lines six keys, each of the words of two of the four groups that words are hashed into, and which of them have too
+        few words. One word put in or left out changes one group, one replaced changes two: some key stays as it was. A line with a key
+        of too few words is expanded anyway; a neighbour of it without such keys shares one of its other keys."""
         group = self.h >> np.uint64(5) & np.uint64(GROUPS - 1)
         spread = mix(self.h)
         n, content = np.zeros((len(which), GROUPS), np.int64), np.zeros((len(which), GROUPS), np.uint64)
@@ -76,7 +77,7 @@ class Lines:
                 np.cumsum(x, out=total[1:])
                 out[:, g] = total[self.end[which]] - total[self.at[which]]
         keys = np.stack([mix(content[:, a] + mix(content[:, b]) + np.uint64(k + 1)) for k, (a, b) in enumerate(PAIRS)], 1)
-        return keys, np.stack([n[:, a] + n[:, b] for a, b in PAIRS], 1).min(1) < LEAST_KEY
+        return keys, np.stack([n[:, a] + n[:, b] for a, b in PAIRS], 1) < LEAST_KEY
 
     def neighbourhood(self, which: np.ndarray):
         """(line, position left out or -1, two hashes) of every line of which: itself and without each of its words."""
@@ -113,10 +114,11 @@ def _scan(docs: DataFrame) -> DataFrame:
             for i, j in chunks(off):
                 x = Lines(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 f = x.firsts()
-                keys, weak = x.filter_keys(f)
+                keys, few = x.filter_keys(f)
+                weak = few.any(1)
                 long_ = x.words[f] >= LONG
                 ids = b.column(0).slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x.row[f])), *map(_array, (x.number[f], x.key[0][f], x.key[1][f], x.key[1][f], np.where(long_ & weak, PLAIN, LINE))), *[pa.array(keys[:, k].view(np.int64), mask=~long_ | weak) for k in range(len(PAIRS))]], names=schema.names)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x.row[f])), *map(_array, (x.number[f], x.key[0][f], x.key[1][f], x.key[1][f], np.where(long_ & weak, PLAIN, LINE))), *[pa.array(keys[:, k].view(np.int64), mask=~long_ | few[:, k]) for k in range(len(PAIRS))]], names=schema.names)
                 # lines of LONG words too: they may pair with a shorter one, which has no filter keys
                 short = f[(x.words[f] >= MIN_WORDS) & (x.words[f] <= LONG)]
                 line, gone, keys = x.neighbourhood(short)
@@ -199,8 +201,8 @@ def drop_lines(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_
     lines = lines.withColumn("place", place)
     distinct = lines.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.min_by("doc", "place").alias("doc"), F.min_by("line", "place").alias("line"), *[F.first(k).alias(k) for k in (*keys, "i")])
     distinct = materialize(distinct, "distinct-lines")
-    filtered = distinct.filter("k0 is not null")
-    suspects = only_shared(filtered.select(F.explode(F.array(*keys)).alias("key"), F.col("h1").alias("sig"))).select(F.col("sig").alias("h1")).distinct()
+    filtered = distinct.filter(F.col("i") == LINE)
+    suspects = only_shared(distinct.select(F.explode(F.array(*keys)).alias("key"), F.col("h1").alias("sig")).filter("key is not null")).select(F.col("sig").alias("h1")).distinct()
     wanted = distinct.filter(F.col("i") == PLAIN).select("doc", "line").unionByName(filtered.join(suspects, "h1", "left_semi").select("doc", "line"))
     wanted = materialize(wanted.groupBy(F.col("doc").alias("id")).agg(F.collect_set("line").alias("wanted")), "suspects")
     few = F.broadcast(wanted.select("id")) if wanted.count() <= BROADCAST_IDS else wanted.select("id")

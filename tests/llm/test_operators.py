@@ -7,13 +7,14 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from compare import duck, same
 from evloom.llm import bpe, embed_dedup, lang_id, line_dedup, lm_score, mixing, ngram_join, quality, queries, secrets_scan, url_filter
-from evloom.llm.common import components
+from evloom.llm.common import components, word_hashes
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -440,6 +441,35 @@ def test_lines_brute_force(spark):
     assert got == {f"{i:04d}": t for i, t in lines_by_hand(rows).items()}
 
 
+def test_crowded_lines_meet_their_neighbours(spark):
+    """Words that crowd into few groups: one line of a pair has a key of too few words, the other has none."""
+
+    def few(words):
+        x = line_dedup.Lines(*line_dedup.utf8(pa.array([" ".join(words)])))
+        return bool(np.any(x.filter_keys(x.firsts())[1]))
+
+    rng = random.Random(3)
+    groups = defaultdict(list)
+    for i in range(2000):
+        h, _, _ = word_hashes(*line_dedup.utf8(pa.array([f"v{i}"])), lower=True)
+        groups[int(h[0]) >> 5 & 3].append(f"v{i}")
+    rows = []
+    for n in range(12, 18):
+        for kind in ("replaced", "put in"):
+            for turn in (False, True):
+                sizes = [2, 1, (n - 3) // 2, n - 3 - (n - 3) // 2] if kind == "replaced" else [1, 1, (n - 2) // 2, n - 2 - (n - 2) // 2]
+                line = [w for g, size in enumerate(sizes) for w in rng.sample(groups[g], size)]
+                rng.shuffle(line)
+                # a word of a thin group goes to a full one, or is new there
+                k = next(k for k, w in enumerate(line) if w in (groups[0] if kind == "replaced" else groups[3]))
+                w = rng.choice(groups[2]) if kind == "replaced" else rng.choice(groups[1])
+                other = line[:k] + [w] + line[k + (kind == "replaced") :]
+                assert few(line) != few(other)
+                rows += [(len(rows) + j, " ".join(x)) for j, x in enumerate([line, other][:: -1 if turn else 1])]
+    got = {r.doc_id: r.text for r in line_dedup.drop_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == lines_by_hand(rows) and list(got.values()).count("") == len(rows) // 2
+
+
 # ---------------------------------------------------------------- pipeline
 
 
