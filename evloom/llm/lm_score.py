@@ -1,12 +1,11 @@
 """Language-model scores: a hierarchical Pitman-Yor model whose seating is sampled by Gibbs sweeps.
 
-Every word belongs to the root restaurant or to the restaurant of the word before it; the restaurants of contexts share the
-root as their parent, whose own parent is uniform. A context has a restaurant if its word is among the most
-frequent ones of training (`contexts`, a model parameter) or if it is the start of a text; after other words the root
-seats the customer itself.
+Every word belongs to the restaurant of the word before it or of the start of a text; the restaurants of contexts share the
+root as their parent, whose own parent is uniform. Every word of training has a restaurant for the words after it.
 
 Text meets model in blocks. A block of documents asks once for each of its distinct (word, context) pairs, as packed numbers
-cut by ranges of the word's hash; the ranges count, seat and answer; the answers go back to the block. So what is moved grows with the
+cut by ranges of the word's hash; the ranges count, seat and answer; the answers go back to the block. A context's tables lie in
+many ranges: after each sweep the ranges send theirs by context, and get the totals of their contexts back. So what is moved grows with the
 distinct pairs of each block, not with the words, and no model of the corpus is ever broadcast or collected.
 """
 
@@ -16,18 +15,22 @@ import gc
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import chunks, materialize, mix, shuffle_partitions, utf8, word_hashes
 
-CONTEXTS = 64
 SWEEPS, BURN_IN = 3, 1
 #: Discount and concentration of the contexts' restaurants and of the root.
 CHILD, ROOT = (0.75, 5.0), (0.7, 10.0)
 END = np.uint64(0x5851F42D4C957F2D)
-NONE = 255
+#: The context of a text's first word.
+START = np.uint64(0x14057B7EF767814F)
+#: Context number of customers that the root seats itself.
+NONE = -1
+#: Bytes of text for each range of words, where that makes more ranges than there are shuffle partitions.
+RANGE_BYTES = 1 << 24
 #: Pairs that an asking task holds before it folds them.
 FOLD = 1 << 22
 
@@ -57,24 +60,28 @@ def unpack_sorted(raw: bytes) -> np.ndarray:
     return np.cumsum(unpack(raw, np.uint64), dtype=np.uint64)
 
 
+def pack_pairs(w: np.ndarray, u: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Words in order, the different contexts in order, and each pair's context as its number among them."""
+    x, i = np.unique(u, return_inverse=True)
+    return pack_sorted(w), pack_sorted(x), pack(i.astype(np.int64))
+
+
+def unpack_pairs(w: bytes, x: bytes, i: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return unpack_sorted(w), unpack_sorted(x)[unpack(i, np.int64)]
+
+
 # ---------------------------------------------------------------- tokens
 
 
-def tokens(data: np.ndarray, off: np.ndarray, contexts: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, context number, row) of all tokens, one end for each row among them. contexts is sorted, order has the
-    contexts' numbers; the start of a text is context number len(contexts)."""
+def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, context, row) of all tokens, one end for each row among them; a context is the word before, or START."""
     h, count, _ = word_hashes(data, off, lower=True)
     n = len(off) - 1
     w = np.insert(h, np.cumsum(count), END)
     row = np.repeat(np.arange(n), count + 1)
-    before = np.empty(len(w), np.uint64)
-    before[1:] = w[:-1]
-    u = np.full(len(w), NONE, np.int64)
-    if len(contexts):
-        at = np.minimum(np.searchsorted(contexts, before), len(contexts) - 1)
-        u = np.where(contexts[at] == before, order[at], NONE)
-    first = np.concatenate([[0], np.cumsum(count + 1)[:-1]]) if n else np.zeros(0, np.int64)
-    u[first] = len(contexts)
+    u = np.empty(len(w), np.uint64)
+    u[1:] = w[:-1]
+    u[np.concatenate([[0], np.cumsum(count + 1)[:-1]]) if n else np.zeros(0, np.int64)] = START
     return w, u, row
 
 
@@ -165,20 +172,12 @@ class Range:
         return np.where(inside, own, root)
 
 
-def _totals(rows: DataFrame, size: int) -> np.ndarray:
-    got = rows.select(F.posexplode("g")).groupBy("pos").agg(F.sum("col").alias("s")).collect()
-    out = np.zeros(size)
-    for r in got:
-        out[r.pos] = r.s
-    return out
-
-
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows that nothing is learned from."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 10 == 0, F.lit(False))
 
 
-def score_texts(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None, contexts: int = CONTEXTS, sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> DataFrame:
+def score_texts(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None, sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) for every row of df.
 
     score is the log10 probability of the text's words and its end, each probability averaged over the sweeps after burn_in;
@@ -193,36 +192,8 @@ def score_texts(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text
     parts = shuffle_partitions(spark)
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(held, F.lit(False)).alias("held"), F.spark_partition_id().alias("block"))
 
-    def count_words(batches):
-        kept: list[tuple] = []
-        size = 0
-
-        def folded():
-            w, _, c = fold(*(np.concatenate(x) for x in zip(*kept, strict=True)))
-            return w, np.zeros(len(w), np.int64), c
-
-        for b in batches:
-            data, off = utf8(b.column(0))
-            for i, j in chunks(off):
-                h, _, _ = word_hashes(data[off[i] : off[j]], off[i : j + 1] - off[i], lower=True)
-                w, c = np.unique(h, return_counts=True)
-                kept.append((w, np.zeros(len(w), np.int64), c))
-                size += len(w)
-            if size > FOLD:
-                kept = [folded()]
-                size = len(kept[0][0])
-                if size > FOLD // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(kept[0][0].view(np.int64)), pa.array(kept[0][2])], ["w", "c"])
-                    kept, size = [], 0
-        if kept:
-            w, _, c = folded()
-            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(c)], ["w", "c"])
-
-    training = docs.filter("not held")
-    often = training.select("text").mapInArrow(count_words, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "w").limit(contexts).collect()
-    found = np.array([r.w for r in often], np.int64).view(np.uint64)
-    order = np.argsort(found)
-    ctx, k = found[order], len(found)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slots, parts = parts, max(parts, size // RANGE_BYTES)
 
     def asks(batches):
         kept: list[tuple] = []
@@ -234,7 +205,7 @@ def score_texts(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text
             train = ~np.asarray(b.column(1).to_numpy(zero_copy_only=False), bool)
             block = b.column(2)[0].as_py()
             for i, j in chunks(off):
-                w, u, row = tokens(data[off[i] : off[j]], off[i : j + 1] - off[i], ctx, order)
+                w, u, row = tokens(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 kept.append(fold(w, u, train[i:j][row].astype(np.int64)))
                 size += len(kept[-1][0])
             if size > FOLD:
@@ -245,63 +216,102 @@ def score_texts(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text
             cut = np.searchsorted(ranges(w, parts), np.arange(parts + 1))
             for p in np.flatnonzero(np.diff(cut)):
                 s = slice(cut[p], cut[p + 1])
-                yield pa.RecordBatch.from_arrays([pa.array([int(p)], pa.int32()), pa.array([block], pa.int32()), *[pa.array([x], pa.binary()) for x in (pack_sorted(w[s]), pack(u[s]), pack(c[s]))]], ["part", "block", "w", "u", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(p)], pa.int32()), pa.array([block], pa.int32()), *[pa.array([x], pa.binary()) for x in (*pack_pairs(w[s], u[s]), pack(c[s]))]], ["part", "block", "w", "x", "u", "c"])
 
-    asked = materialize(docs.select("text", "held", "block").mapInArrow(asks, "part int, block int, w binary, u binary, c binary"), "lm-asks")
+    asked = materialize(docs.select("text", "held", "block").mapInArrow(asks, "part int, block int, w binary, x binary, u binary, c binary"), "lm-asks")
 
     def merge(key, rows):
         # in pieces, so that a range of many blocks is folded as it is read
-        total = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        total = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
         wait: list[tuple] = []
-        for w, u, c in zip(*(rows[x].to_pylist() for x in "wuc"), strict=True):
-            wait.append((unpack_sorted(w), unpack(u, np.int64), unpack(c, np.int64)))
+        for w, x, u, c in zip(*(rows[n].to_pylist() for n in "wxuc"), strict=True):
+            wait.append((*unpack_pairs(w, x, u), unpack(c, np.int64)))
             if sum(len(x[0]) for x in wait) > FOLD:
                 total, wait = fold(*(np.concatenate(x) for x in zip(total, *wait, strict=True))), []
         w, u, c = fold(*(np.concatenate(x) for x in zip(total, *wait, strict=True)))
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "w": pa.array([pack_sorted(w)], pa.binary()), "u": pa.array([pack(u)], pa.binary()), "c": pa.array([pack(c)], pa.binary())})
-
-    merged = materialize(asked.groupBy("part").applyInArrow(merge, "part int, w binary, u binary, c binary"), "lm-counts")
-    history: list[np.ndarray] = []
-
-    def replay(w: bytes, u: bytes, c: bytes, part: int, history: list[np.ndarray]) -> Range:
-        return Range(unpack_sorted(w), unpack(u, np.int64), unpack(c, np.int64), k, part)
-
-    def totals_after(history: list[np.ndarray]):
-        def work(batches):
-            for b in batches:
-                for part, w, u, c in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                    r = replay(w, u, c, part, history)
-                    for n, g in enumerate(history):
-                        r.sweep(g, n)
-                    yield pa.RecordBatch.from_arrays([pa.array([r.totals()], pa.list_(pa.float64()))], ["g"])
-
-        return work
-
-    size = 2 * (k + 1) + 4
-    for _ in range(sweeps + 1):
-        history = [*history, _totals(merged.mapInArrow(totals_after(history), T.StructType([T.StructField("g", T.ArrayType(T.DoubleType()))])), size)]
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), **{n: pa.array([v], pa.binary()) for n, v in zip("wxuc", (*pack_pairs(w, u), pack(c)), strict=True)}})
+
+    merged = materialize(asked.groupBy("part").applyInArrow(merge, "part int, w binary, x binary, u binary, c binary"), "lm-counts")
+
+    def load(part: int, w: bytes, x: bytes, u: bytes, c: bytes) -> tuple[np.ndarray, Range]:
+        contexts = unpack_sorted(x)
+        return contexts, Range(unpack_sorted(w), unpack(u, np.int64), unpack(c, np.int64), len(contexts) - 1, part)
+
+    def tell(part: int, counts: tuple, history: list[np.ndarray]) -> pa.Table:
+        """The totals of a range after the sweeps of history: those of its contexts by slot, the others in slot -1."""
+        contexts, r = load(part, *counts)
+        for n, g in enumerate(history):
+            r.sweep(g, n)
+        g = r.totals().astype(np.int64)
+        cut = np.searchsorted(ranges(contexts, slots), np.arange(slots + 1))
+        out = [(part, -1, b"", pack(g[2 * r.k :]), b"")]
+        for p in np.flatnonzero(np.diff(cut)).tolist():
+            s = slice(cut[p], cut[p + 1])
+            out.append((part, p, pack_sorted(contexts[s]), pack(g[: r.k][s]), b"" if history else pack(g[r.k : 2 * r.k][s])))
+        return pa.table([pa.array(v, t) for v, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "slot", "x", "a", "b"])
+
+    def first_totals(batches):
+        for batch in batches:
+            for part, *counts in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                yield from tell(part, counts, []).to_batches()
+
+    def past(rows: pa.Table) -> list[np.ndarray]:
+        """A range's history: totals in its contexts' order, and those of all ranges."""
+        rounds: dict[int, list] = {}
+        for n, slot, a, b in sorted(zip(*(rows[x].to_pylist() for x in ("n", "slot", "a", "b")), strict=True)):
+            rounds.setdefault(n, []).append((slot, a, b))
+        customers = [unpack(b, np.int64) for slot, _, b in rounds[0] if slot >= 0]
+        return [np.concatenate([*[unpack(a, np.int64) for slot, a, _ in rounds[n] if slot >= 0], *customers, unpack(rounds[n][0][1], np.int64)]).astype(float) for n in sorted(rounds)]
+
+    def next_totals(key, counts, rows):
+        return tell(key[0].as_py(), [counts[x][0].as_py() for x in "wxuc"], past(rows))
+
+    def add(key, rows):
+        """Totals over all ranges, for each range that asked."""
+        slot, asking = key[0].as_py(), rows["part"].to_pylist()
+        a, b = ([unpack(v, np.int64) for v in rows[x].to_pylist()] for x in "ab")
+        if slot < 0:
+            both = [[sum(a)] * len(a), b]
+        else:
+            where = np.unique(np.concatenate([unpack_sorted(x) for x in rows["x"].to_pylist()]), return_inverse=True)[1]
+            ends = np.cumsum([len(x) for x in a])[:-1]
+            both = [np.split(np.bincount(where, weights=np.concatenate(v)).astype(np.int64)[where], ends) if len(v[0]) else v for v in (a, b)]
+        return pa.table({"part": pa.array(asking, pa.int32()), "slot": pa.array([slot] * len(asking), pa.int32()), **{x: pa.array([pack(v) for v in vs], pa.binary()) for x, vs in zip("ab", both, strict=True)}})
+
+    sent = "part int, slot int, x binary, a binary, b binary"
+    history = None
+    for n in range(sweeps + 1):
+        told = merged.mapInArrow(first_totals, sent) if history is None else merged.groupBy("part").cogroup(history.groupBy("part")).applyInArrow(next_totals, sent)
+        new = materialize(told.groupBy("slot").applyInArrow(add, "part int, slot int, a binary, b binary").withColumn("n", F.lit(n)), "lm-totals")
+        last, history = new, new if history is None else history.unionByName(new)
 
     def answer(key, counts, rows):
         part = key[0].as_py()
-        r = replay(*(counts[x][0].as_py() for x in "wuc"), part, history)
+        contexts, r = load(part, *(counts[x][0].as_py() for x in "wxuc"))
+        told = pa.compute.greater_equal(rows["n"], 0)
+        totals = past(rows.filter(told))
         mean = np.zeros(len(r.u))
         for n in range(sweeps):
-            r.sweep(history[n], n)
+            r.sweep(totals[n], n)
             if n >= burn_in:
-                mean += r.probability(history[n + 1])
+                mean += r.probability(totals[n + 1])
         logs = np.log10(mean / (sweeps - burn_in))
-        at = r.word * 256 + r.u
+        at = r.word * r.k + r.u
         out: list[list] = [[], [], []]
-        for block, w, u in zip(*(rows[x].to_pylist() for x in ("block", "w", "u")), strict=True):
-            i = np.searchsorted(at, np.searchsorted(r.words, unpack_sorted(w)) * 256 + unpack(u, np.int64))
+        questions = rows.filter(pa.compute.invert(told))
+        for block, w, x, u in zip(*(questions[n].to_pylist() for n in ("slot", "a", "b", "u")), strict=True):
+            i = np.searchsorted(at, np.searchsorted(r.words, unpack_sorted(w)) * r.k + np.searchsorted(contexts, unpack_sorted(x))[unpack(u, np.int64)])
             for g, v in zip(out, (block, pack(logs[i]), pack(r.count[r.word[i]])), strict=True):
                 g.append(v)
         return pa.table({"block": pa.array(out[0], pa.int32()), "part": pa.array([part] * len(out[0]), pa.int32()), "p": pa.array(out[1], pa.binary()), "n": pa.array(out[2], pa.binary())})
 
     gc.collect()
     spark._jvm.System.gc()  # lets Spark drop the files of shuffles that are over
-    answers = merged.groupBy("part").cogroup(asked.select("part", "block", "w", "u").groupBy("part")).applyInArrow(answer, "block int, part int, p binary, n binary")
-    n_train, known = int(history[-1][-2]), int(history[-1][-1])
+    # totals, and as n = -1 the questions: a range has both beside its counts
+    both = history.withColumn("u", F.lit(None).cast("binary")).unionByName(asked.select("part", F.col("block").alias("slot"), F.col("w").alias("a"), F.col("x").alias("b"), "u", F.lit(-1).alias("n")))
+    answers = merged.groupBy("part").cogroup(both.groupBy("part")).applyInArrow(answer, "block int, part int, p binary, n binary")
+    total = last.filter("slot = -1").select("a").first()
+    n_train, known = unpack(total.a, np.int64)[-2:].tolist() if total else (0, 0)
     schema = docs.select(F.col("id").alias(id_col), F.col("held").alias("held_out")).schema
     for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double"), ("perplexity", "double")):
         schema = schema.add(name, kind)
@@ -315,7 +325,7 @@ def score_texts(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text
         asked_w, asked_u = [], []
         pieces = list(chunks(off))
         for i, j in pieces:  # the block's questions, in the order in which they were asked
-            w, u, _ = tokens(data[off[i] : off[j]], off[i : j + 1] - off[i], ctx, order)
+            w, u, _ = tokens(data[off[i] : off[j]], off[i : j + 1] - off[i])
             w, u, _ = fold(w, u, np.zeros(len(w), np.int64))
             asked_w.append(w)
             asked_u.append(u)
@@ -326,12 +336,13 @@ def score_texts(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text
         if len(w) != len(p):
             raise RuntimeError("a block's rows changed between two readings of the input: write the input to a table first")
         words, word = np.unique(w, return_inverse=True)
-        at = word * 256 + u
+        contexts, context = np.unique(u, return_inverse=True)
+        at = word * len(contexts) + context
         base = np.log10((count + 0.1) / (n_train + 0.1 * (known + 1)))
         total = np.zeros((4, len(off) - 1))
         for i, j in pieces:
-            w, u, row = tokens(data[off[i] : off[j]], off[i : j + 1] - off[i], ctx, order)
-            e = np.searchsorted(at, np.searchsorted(words, w) * 256 + u)
+            w, u, row = tokens(data[off[i] : off[j]], off[i : j + 1] - off[i])
+            e = np.searchsorted(at, np.searchsorted(words, w) * len(contexts) + np.searchsorted(contexts, u))
             for n, x in enumerate((None, (count > 0).astype(float), base, p)):
                 total[n, i:j] = np.bincount(row, weights=None if x is None else x[e], minlength=j - i)
         whole = total[:2].astype(np.int64)

@@ -356,6 +356,16 @@ def test_lm_base_and_scores(spark, docs):
     assert again == {i: r.score for i, r in rows.items()}
 
 
+def test_every_context_has_a_restaurant(spark):
+    rows = [(i, " ".join(f"a{(i * 7 + j) % 200} b{(i * 7 + j) % 200}" for j in range(0, 200, 3))) for i in range(200)]
+    asked = [(1000 + i, f"a{i} b{i}") for i in range(200)]
+    d = spark.createDataFrame(rows + asked, "doc_id long, text string").repartition(3, "doc_id").localCheckpoint()
+    got = {r.doc_id: r for r in lm_score.score_texts(spark, d, held=F.col("doc_id") >= 1000).collect()}
+    # after a word only one follows; words and starts alone leave some 1/400 to each
+    for i, _ in asked:
+        assert got[i].score > got[i].base_score + 1.5
+
+
 def test_predictive_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     w = np.sort(rng.integers(0, 2**63, 50, dtype=np.uint64))
