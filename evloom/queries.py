@@ -324,6 +324,22 @@ def joint_caps(spark, d):
     return filtering.joint_caps(x, 2, 3, "g", "doc_id").select("g", "doc_id", "kept_ord")
 
 
+# The same two over whole texts and whole sources, with no cut by length or id. Their recursive SQL would walk a source document by
+# document, so they have none; tests/test_stages.py has them by brute force.
+
+
+@query()
+def near_dup_greedy_whole(spark, d):
+    x = t(spark, d, "documents").select("doc_id", F.col("source").alias("g"), F.col("lang").alias("domain"), F.col("n_chars").cast("double").alias("final_score"), F.col("text").alias("title"), F.lit(None).cast("string").alias("canonical_url"), F.lit("").alias("snippet"), F.col("doc_id").alias("ord"))
+    return filtering.drop_near_copies(x, 0.5, "g", "doc_id").select("g", "doc_id", "kept_ord")
+
+
+@query()
+def joint_caps_whole(spark, d):
+    x = t(spark, d, "documents").select("doc_id", F.col("source").alias("g"), F.col("lang").alias("domain"), F.when(F.col("doc_id") % 3 == 0, "pdf").alias("file_type"), F.col("doc_id").alias("ord"))
+    return filtering.joint_caps(x, 2, 3, "g", "doc_id").select("g", "doc_id", "kept_ord")
+
+
 _REASONS = "concat_ws(',', case when is_official_domain then 'official_domain' end, case when source_tier = 'academic' then 'academic_source' end, case when published_date is not null then 'has_publication_date' end, case when file_type = 'pdf' then 'pdf_candidate' end, {0})"
 _BASE = "question_id, page_id, url, canonical_url, domain, title, snippet, file_type, source_tier, is_official_domain"
 

@@ -152,3 +152,30 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.canonical_url for r in spark.table("unique_results").collect()) == ["https://x.com", "https://y.com"]
+
+
+def test_whole_texts_and_sources(spark, tmp_path):
+    import random
+
+    from evloom import queries
+
+    rng = random.Random(5)
+    words = lambda n: " ".join(rng.choice("abcdefgh") * 2 + str(rng.randrange(400)) for _ in range(n))
+    opening, body = words(80), words(400)
+    # one opening with different bodies; one body with different openings, ids in different thousands
+    texts = [f"{opening} {words(400)}" for _ in range(3)] + [f"{words(80)} {body}" for _ in range(3)] + [words(30) for _ in range(20)]
+    rows = [(i * 700, x, rng.choice(["en", "de"]) if i > 5 else "en", "s" if i < 16 else "r", len(x)) for i, x in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    near, caps = {}, {}
+    for i, x, lang, g, _ in sorted(rows, key=lambda r: (-r[4], r[0])):
+        kept, a = near.setdefault(g, []), set(x.split())
+        if not any(lang == l and len(a & b) / len(a | b) >= 0.5 for _, l, b in kept):
+            kept.append((i, lang, a))
+    for i, _, lang, g, _ in rows:
+        kept = caps.setdefault(g, [])
+        if sum(l == lang for _, l, _ in kept) < 2 and sum(p == (i % 3 == 0) for *_, p in kept) < 3:
+            kept.append((i, lang, i % 3 == 0))
+    assert {0, 700, 1400} <= {k[0] for k in near["s"]} and len({2100, 2800, 3500} & {k[0] for k in near["s"]}) == 1
+    for name, want in (("near_dup_greedy_whole", near), ("joint_caps_whole", caps)):
+        got = {(r.g, int(r.kept_ord), int(r.doc_id)) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
+        assert got == {(g, n, k[0]) for g, ks in want.items() for n, k in enumerate(ks)}, name
