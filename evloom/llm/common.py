@@ -11,7 +11,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the corpus contracts, as a character class of Java, RE2 and Python.
@@ -49,6 +49,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def null_row(id_: Column, text: Column) -> Column:
+    """What tells rows without an id apart, null where there is an id: beside the id a key of all rows but copies."""
+    return F.when(id_.isNull(), F.xxhash64(text.cast("string"))).alias("row")
+
+
 # ---------------------------------------------------------------- Arrow and numpy
 
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS_CLASS, chunks, discard, materialize, mix, only_shared, utf8, word_hashes
+from .common import WS_CLASS, chunks, discard, materialize, mix, null_row, only_shared, utf8, word_hashes
 
 #: Lines of fewer words must be equal; longer ones may differ by one word put in, left out or replaced.
 MIN_WORDS = 8
@@ -102,9 +102,9 @@ LINE, PLAIN = -2, -3
 
 def _scan(docs: DataFrame) -> DataFrame:
     """One reading of (id, text). For the first of each document's equal lines a row (doc, line, h1, a = second hash, i = LINE or PLAIN,
-    k0..k5), and for the short of them their neighbourhoods, rows (doc, line, h1, a, b, i)."""
+    k0..k5, row), and for the short of them their neighbourhoods, rows (doc, line, h1, a, b, i, row)."""
     schema = docs.select(F.col("id").alias("doc")).schema
-    for c in ("line", "h1", "a", "b", "i", *[f"k{k}" for k in range(len(PAIRS))]):
+    for c in ("line", "h1", "a", "b", "i", *[f"k{k}" for k in range(len(PAIRS))], "row"):
         schema = schema.add(c, "long")
     none = lambda n: [pa.nulls(n, pa.int64())] * len(PAIRS)
 
@@ -117,20 +117,20 @@ def _scan(docs: DataFrame) -> DataFrame:
                 keys, few = x.filter_keys(f)
                 weak = few.any(1)
                 long_ = x.words[f] >= LONG
-                ids = b.column(0).slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x.row[f])), *map(_array, (x.number[f], x.key[0][f], x.key[1][f], x.key[1][f], np.where(long_ & weak, PLAIN, LINE))), *[pa.array(keys[:, k].view(np.int64), mask=~long_ | few[:, k]) for k in range(len(PAIRS))]], names=schema.names)
+                ids, rows = b.column(0).slice(i, j - i), b.column(2).slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x.row[f])), *map(_array, (x.number[f], x.key[0][f], x.key[1][f], x.key[1][f], np.where(long_ & weak, PLAIN, LINE))), *[pa.array(keys[:, k].view(np.int64), mask=~long_ | few[:, k]) for k in range(len(PAIRS))], rows.take(pa.array(x.row[f]))], names=schema.names)
                 # lines of LONG words too: they may pair with a shorter one, which has no filter keys
                 short = f[(x.words[f] >= MIN_WORDS) & (x.words[f] <= LONG)]
                 line, gone, keys = x.neighbourhood(short)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x.row[line])), *map(_array, (x.number[line], x.key[0][line], keys[0], keys[1], gone)), *none(len(line))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x.row[line])), *map(_array, (x.number[line], x.key[0][line], keys[0], keys[1], gone)), *none(len(line)), rows.take(pa.array(x.row[line]))], names=schema.names)
 
-    return docs.select("id", "text").mapInArrow(work, schema)
+    return docs.select("id", "text", "row").mapInArrow(work, schema)
 
 
 def _neighbourhoods(texts: DataFrame) -> DataFrame:
-    """Rows (doc, line, h1, a, b, i) of the lines `wanted` of (id, text, wanted)."""
+    """Rows (doc, line, h1, a, b, i, row) of the lines `wanted` of (id, text, wanted, row)."""
     schema = texts.select(F.col("id").alias("doc")).schema
-    for c in ("line", "h1", "a", "b", "i"):
+    for c in ("line", "h1", "a", "b", "i", "row"):
         schema = schema.add(c, "long")
 
     def work(batches):
@@ -144,19 +144,21 @@ def _neighbourhoods(texts: DataFrame) -> DataFrame:
                 f = f[[(r, n) in ask for r, n in zip(x.row[f].tolist(), x.number[f].tolist(), strict=True)]] if len(f) else f
                 for lo in range(0, len(f), 4096):
                     line, gone, keys = x.neighbourhood(f[lo : lo + 4096])
-                    ids = b.column(0).slice(i, j - i).take(pa.array(x.row[line]))
-                    yield pa.RecordBatch.from_arrays([ids, *map(_array, (x.number[line], x.key[0][line], keys[0], keys[1], gone))], names=schema.names)
+                    ids, rows = (b.column(c).slice(i, j - i).take(pa.array(x.row[line])) for c in (0, 3))
+                    yield pa.RecordBatch.from_arrays([ids, *map(_array, (x.number[line], x.key[0][line], keys[0], keys[1], gone)), rows], names=schema.names)
 
     return texts.mapInArrow(work, schema)
 
 
 def _order(lines: DataFrame):
-    """A column that orders lines as (doc, line) does: one number where the ids allow it, so that minimums need no sorting, else the pair."""
+    """A column that orders lines as (doc, row, line) does, rows without a doc first: one number where the ids allow it, so that minimums
+    need no sorting, else the three."""
     if lines.schema["doc"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
         lo, hi, most = lines.agg(F.min("doc"), F.max("doc"), F.max("line")).first()
-        if lo is not None and (hi - lo + 2) * (most + 1) < 1 << 62:
-            return F.coalesce((F.col("doc") - lo + 1) * (most + 1) + F.col("line"), F.col("line"))
-    return F.struct("doc", "line")
+        if lo is not None and (hi - lo + 2) * (most + 1) < 1 << 62 and most < 1 << 22:
+            # below zero for rows without an id, by 40 bits of what tells them apart
+            return F.coalesce((F.col("doc") - lo + 1) * (most + 1), (F.col("row").bitwiseAND((1 << 40) - 1) - (1 << 40)) * (most + 1)) + F.col("line")
+    return F.struct("doc", "row", "line")
 
 
 def _later_lines(rows: DataFrame) -> DataFrame:
@@ -188,31 +190,33 @@ def drop_lines(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_
     A text is cut at line feeds; a line counts if it has a word (runs other than white space, A-Z in lower case). Earlier means a smaller id,
     then a smaller place. Lines with equal words stay once; of lines with MIN_WORDS words or more, one also goes if any earlier line is
     within one word of it, whether that one stays or not. Lines without words always stay. Null texts give an empty text without lines; a
-    row with a null id is earlier than all others; rows that repeat an id share its decisions, so repeated rows give equal results.
+    row with a null id is a document of its own (copies are one), earlier than all with an id; rows that repeat an id share its decisions, so repeated rows give equal results.
 
     All lines of LONG words or more pass a filter of six keys first, so that only lines with a likely neighbour are expanded. An
     expanded line is words + 1 rows of two hashes. Only a document's kept text is joined back, by id.
     """
-    docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), null_row(F.col(id_col), F.col(text_col)))
     scan = materialize(_scan(docs), "lines")
     lines = scan.filter(F.col("i") <= LINE).withColumnRenamed("a", "h2")
     place = _order(lines)
     keys = [f"k{k}" for k in range(len(PAIRS))]
     lines = lines.withColumn("place", place)
-    distinct = lines.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.min_by("doc", "place").alias("doc"), F.min_by("line", "place").alias("line"), *[F.first(k).alias(k) for k in (*keys, "i")])
+    distinct = lines.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.min_by("doc", "place").alias("doc"), F.min_by("row", "place").alias("row"), F.min_by("line", "place").alias("line"), *[F.first(k).alias(k) for k in (*keys, "i")])
     distinct = materialize(distinct, "distinct-lines")
     filtered = distinct.filter(F.col("i") == LINE)
     suspects = only_shared(distinct.select(F.explode(F.array(*keys)).alias("key"), F.col("h1").alias("sig")).filter("key is not null")).select(F.col("sig").alias("h1")).distinct()
-    wanted = distinct.filter(F.col("i") == PLAIN).select("doc", "line").unionByName(filtered.join(suspects, "h1", "left_semi").select("doc", "line"))
-    wanted = materialize(wanted.groupBy(F.col("doc").alias("id")).agg(F.collect_set("line").alias("wanted")), "suspects")
-    few = F.broadcast(wanted.select("id")) if wanted.count() <= BROADCAST_IDS else wanted.select("id")
-    texts = docs.join(few, "id", "left_semi").join(wanted, "id").select("id", "text", "wanted")
-    columns = ["doc", "line", "h1", "a", "b", "i"]
+    wanted = distinct.filter(F.col("i") == PLAIN).select("doc", "row", "line").unionByName(filtered.join(suspects, "h1", "left_semi").select("doc", "row", "line"))
+    wanted = materialize(wanted.groupBy(F.col("doc").alias("__doc"), F.col("row").alias("__row")).agg(F.collect_set("line").alias("wanted")), "suspects")
+    few = wanted.select("__doc", "__row")
+    few = F.broadcast(few) if wanted.count() <= BROADCAST_IDS else few
+    here = F.col("id").eqNullSafe(F.col("__doc")) & F.col("row").eqNullSafe(F.col("__row"))
+    texts = docs.join(few, here, "left_semi").join(wanted, here).select("id", "text", "wanted", "row")
+    columns = ["doc", "line", "h1", "a", "b", "i", "row"]
     rows = materialize(_neighbourhoods(texts), "neighbourhoods").select(*columns).unionByName(scan.filter(F.col("i") > LINE).select(*columns))
     near = materialize(_later_lines(rows.select("h1", "a", "b", "i", place.alias("place"))), "later-lines").withColumn("near", F.lit(True))
-    verdict = distinct.select("h1", "h2", F.col("doc").alias("first")).join(near, "h1", "left")
-    gone = lines.select("doc", "line", "h1", "h2").join(verdict, ["h1", "h2"]).filter("near or not (doc <=> first)")
-    gone = gone.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("line", F.coalesce("near", F.lit(False)).alias("near"))).alias("gone"))
+    verdict = distinct.select("h1", "h2", F.col("doc").alias("first"), F.col("row").alias("first_row")).join(near, "h1", "left")
+    gone = lines.select("doc", "row", "line", "h1", "h2").join(verdict, ["h1", "h2"]).filter("near or not (doc <=> first and row <=> first_row)")
+    gone = gone.groupBy(F.col("doc").alias("__doc"), F.col("row").alias("__row")).agg(F.collect_list(F.struct("line", F.coalesce("near", F.lit(False)).alias("near"))).alias("gone"))
     gone = materialize(gone, "dropped-lines")
     if gone.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0] <= BROADCAST_LINES:
         gone = F.broadcast(gone)
@@ -220,9 +224,9 @@ def drop_lines(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_
     gc.collect()
     spark._jvm.System.gc()  # lets Spark drop the files of shuffles that are over, before the texts are dealt
     if keep is None:
-        return _rewrite(docs.join(gone, F.col("id").eqNullSafe(F.col("__doc")), "left").select(F.col("id").alias(id_col), "text", "gone"), 1, "")
-    full = df.select(*keep, F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__t"))
-    full = full.join(gone, F.col("__id").eqNullSafe(F.col("__doc")), "left")
+        return _rewrite(docs.join(gone, here, "left").select(F.col("id").alias(id_col), "text", "gone"), 1, "")
+    full = df.select(*keep, F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__t"), null_row(F.col(id_col), F.col(text_col)).alias("__r"))
+    full = full.join(gone, F.col("__id").eqNullSafe(F.col("__doc")) & F.col("__r").eqNullSafe(F.col("__row")), "left")
     return _rewrite(full.select(*[F.lit(None).cast("string").alias(c) if c == text_col else F.col(c) for c in keep], "__t", "gone"), len(keep), "__")
 
 

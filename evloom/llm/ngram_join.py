@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, components, discard, materialize, mix, only_shared, utf8, word_hashes
+from .common import chunks, components, discard, materialize, mix, null_row, only_shared, utf8, word_hashes
 
 N = 5
 #: Links: 100 * intersection >= PERCENT * union.
@@ -172,8 +172,8 @@ def _heavy(docs: DataFrame, n_docs: int) -> np.ndarray:
 
 
 def _features(docs: DataFrame, heavy, percent: int) -> DataFrame:
-    """(id, n, sig, sig2, vec, keys): keys is the prefix of the set in which a linked set must share a shingle."""
-    schema = docs.select("id").schema.add("n", "long").add("sig", "long").add("sig2", "long").add("vec", "binary").add("keys", T.ArrayType(T.LongType()))
+    """(id, n, sig, sig2, vec, keys, row): keys is the prefix of the set in which a linked set must share a shingle."""
+    schema = docs.select("id").schema.add("n", "long").add("sig", "long").add("sig2", "long").add("vec", "binary").add("keys", T.ArrayType(T.LongType())).add("row", "long")
 
     def work(batches):
         for b in batches:
@@ -188,9 +188,9 @@ def _features(docs: DataFrame, heavy, percent: int) -> DataFrame:
                 to = np.concatenate([[0], np.cumsum(prefix)])
                 take = np.repeat(at[:-1] - to[:-1], prefix) + np.arange(to[-1])
                 keys = pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(m[take].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n), pa.array(sig.view(np.int64)), pa.array(sig2.view(np.int64)), pa.array(vec, pa.binary()), keys], names=schema.names)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n), pa.array(sig.view(np.int64)), pa.array(sig2.view(np.int64)), pa.array(vec, pa.binary()), keys, b.column(2).slice(i, j - i)], names=schema.names)
 
-    return docs.select("id", "text").mapInArrow(work, schema)
+    return docs.select("id", "text", "row").mapInArrow(work, schema)
 
 
 def _block_pairs(rows: DataFrame, percent: int, across: bool, most: int | None = None) -> DataFrame:
@@ -272,8 +272,8 @@ def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / 64).alias("k"))
     jobs = pairs.join(many, "a").select(F.concat_ws("/", "a", F.pmod(F.xxhash64("b"), F.col("k"))).alias("job"), "a", "b")
     both = jobs.select("job", F.col("a").alias("sig"), F.lit(True).alias("leads")).unionByName(jobs.select("job", F.col("b").alias("sig"), F.lit(False).alias("leads"))).distinct()
-    need = materialize(both.join(nodes.select("sig", F.col("rep").alias("id")), "sig"), "verify-jobs")
-    texts = docs.select("id", "text").join(F.broadcast(need) if need.count() <= BROADCAST_IDS else need, "id")
+    need = materialize(both.join(nodes.select("sig", F.col("rep").alias("__id"), F.col("row").alias("__row")), "sig"), "verify-jobs")
+    texts = docs.join(F.broadcast(need) if need.count() <= BROADCAST_IDS else need, F.col("id").eqNullSafe(F.col("__id")) & F.col("row").eqNullSafe(F.col("__row")))
 
     def work(key, job):
         sig, leads = job["sig"].to_pylist(), job["leads"].to_pylist()
@@ -304,11 +304,11 @@ def jaccard_components(spark: SparkSession, df: DataFrame, id_col: str = "doc_id
     group of near copies never becomes all its pairs. Sets are of 63-bit hashes: two shingles of a pair of texts agree by chance with a probability of about 1e-13.
     Repeated rows are copies of each other. An empty table gives an empty result.
     """
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), null_row(F.col(id_col), F.col(text_col)))
     heavy = spark.sparkContext.broadcast(_heavy(docs, docs.count()))
     feats = _features(docs, heavy, percent)
     members = materialize(feats.select("id", "n", "sig", "sig2"), "shingle-members")
-    same = feats.filter("n > 0").groupBy("sig", "sig2").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "vec", "keys")])
+    same = feats.filter("n > 0").groupBy("sig", "sig2").agg(F.min("id").alias("rep"), F.when(F.min("id").isNull(), F.min("row")).alias("row"), *[F.first(c).alias(c) for c in ("n", "vec", "keys")])
     nodes = materialize(same, "shingle-nodes")
     shared = materialize(only_shared(nodes.select(F.explode("keys").alias("key"), "sig")), "shared-keys")
     gc.collect()

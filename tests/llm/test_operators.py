@@ -480,6 +480,22 @@ def test_crowded_lines_meet_their_neighbours(spark):
     assert got == lines_by_hand(rows) and list(got.values()).count("") == len(rows) // 2
 
 
+def test_near_copies_without_an_id(spark):
+    a = [f"w{i}" for i in range(40)]
+    b = [*a[:20], "other", *a[21:]]
+    rows = [(None, " ".join(a)), (None, "quite another row\nof two lines"), (3, "first\n" + " ".join(b)), (4, "nothing near")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.text) for r in line_dedup.drop_lines(spark, d).collect()}
+    assert got == {*rows[:2], (3, "first"), rows[3]}
+    long_ = [f"v{i}" for i in range(2000)]
+    near = [*long_[:-1], "end"]
+    for order in (0, 1):
+        pair = [" ".join(long_), " ".join(near)]
+        rows = [(None, pair[order]), (7, pair[1 - order]), (None, "quite another row without an id")]
+        got = {(r.doc_id, r.n_shingles > 100): r.component_id for r in ngram_join.jaccard_components(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {(None, True): 7, (7, True): 7, (None, False): None}
+
+
 # ---------------------------------------------------------------- pipeline
 
 
