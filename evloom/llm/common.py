@@ -6,6 +6,8 @@ operators accept in place of a dictionary of all words.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -37,14 +39,41 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def materialize_dealt(df: DataFrame, tag: str, key: str, parts: int) -> DataFrame:
+    """Like materialize(), but dealt by key into so many buckets: what groups or joins it by the key later moves the other side only.
+    df should be dealt so already."""
+    name = f"evloom_{tag.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{scratch_dir(df.sparkSession)}/evloom/{name}"
+    df.write.option("compression", "zstd").option("path", path).bucketBy(parts, key).saveAsTable(name)
+    out = df.sparkSession.table(name)
+    out._evloom_path, out._evloom_table = path, name
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables that materialize() wrote, once nothing will read them again."""
+    """Deletes tables that materialize() or materialize_dealt() wrote, once nothing will read them again."""
     for t in tables:
         jvm = t.sparkSession._jvm
+        if hasattr(t, "_evloom_table"):
+            t.sparkSession.sql(f"drop table if exists {t._evloom_table}")
         p = jvm.org.apache.hadoop.fs.Path(t._evloom_path)
         p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bytes that a table may have in memory to be broadcast.
+BROADCAST_BYTES = 48 << 20
+
+
+def fits(table: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """The table, to be broadcast if all its rows take no more than so many bytes: 8 for a number, and 40 a row that a hash table adds."""
+    row = F.lit(40)
+    for f in table.schema:
+        text = f.dataType.simpleString() in ("string", "binary")
+        row += F.coalesce(F.octet_length(f.name), F.lit(0)) + 16 if text else F.coalesce(F.size(f.name), F.lit(0)) * 24 + 16 if f.dataType.simpleString().startswith("array") else F.lit(8)
+    size = table.agg(F.sum(row.cast("long"))).first()[0] or 0
+    return F.broadcast(table) if size <= most else table
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -54,6 +83,21 @@ def null_row(id_: Column, text: Column) -> Column:
     return F.when(id_.isNull(), F.xxhash64(text.cast("string"))).alias("row")
 
 
+def free(spark: SparkSession) -> None:
+    """Lets Spark drop the files of shuffles that are over."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def release() -> None:
+    """Gives memory that a task is done with back to the system; a Python worker lives on for the next task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 # ---------------------------------------------------------------- Arrow and numpy
 
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -359,34 +359,173 @@ def test_lm_base_and_scores(spark, docs):
 def test_every_context_has_a_restaurant(spark):
     rows = [(i, " ".join(f"a{(i * 7 + j) % 200} b{(i * 7 + j) % 200}" for j in range(0, 200, 3))) for i in range(200)]
     asked = [(1000 + i, f"a{i} b{i}") for i in range(200)]
-    d = spark.createDataFrame(rows + asked, "doc_id long, text string").repartition(3, "doc_id").localCheckpoint()
+    d = spark.createDataFrame(rows + asked, "doc_id long, text string")
     got = {r.doc_id: r for r in lm_score.score_texts(spark, d, held=F.col("doc_id") >= 1000).collect()}
     # after a word only one follows; words and starts alone leave some 1/400 to each
     for i, _ in asked:
         assert got[i].score > got[i].base_score + 1.5
 
 
+def _part(rng, words=12, rows=400, dealt=()):
+    """A part of random triples, and its root as if it were the only part."""
+    vocabulary = np.sort(rng.integers(0, 2**63, words, dtype=np.uint64))
+    t = np.unique(np.stack([rng.integers(0, words, rows) * rng.integers(0, 2, rows) for _ in range(3)], 1), axis=0).astype(np.uint32)
+    p = lm_score.Part(vocabulary, t[:, 0], t[:, 1], t[:, 2], rng.integers(1, 90, len(t)), np.array(dealt, np.uint64), 3)
+
+    def root():
+        _, c, _, _, _, _ = p.told()
+        tables, total = lm_score.seat_root(c, np.ones(len(c)))
+        return lm_score.Root(c, c.sum(), len(c), tables, total)
+
+    return p, root
+
+
 def test_predictive_probabilities_sum_to_one():
-    rng = np.random.default_rng(0)
-    w = np.sort(rng.integers(0, 2**63, 50, dtype=np.uint64))
-    pairs = [(x, u, int(rng.integers(1, 60))) for x in w for u in (0, 1, lm_score.NONE) if rng.random() < 0.7]
-    pw, pu, pc = (np.array(c) for c in zip(*pairs, strict=True))
-    r = lm_score.Range(pw.astype(np.uint64), pu.astype(np.int64), pc.astype(np.int64), 1, 3)
-    g = r.totals()
-    for n in range(4):
-        r.sweep(g, n)
-        g = r.totals()
-    root = r._root(g)
-    unseen = (10 * 1 + 0)  # nothing: all words of the range are known
-    assert unseen == 10
+    p, root = _part(np.random.default_rng(0))
+    for _ in range(4):
+        r = root()
+        p.sweep(r)
+    r = root()
+    every = r.probability(np.arange(len(p.words)))
     d, theta = lm_score.ROOT
-    assert root.sum() + (theta + d * g[-3]) / (theta + g[-4]) / (g[-1] + 1) * (g[-1] + 1 - len(root)) == pytest.approx(1.0)
-    for u in (0, 1):
-        seen = {x: p for x, v, p in zip(r.word, r.u, r.probability(g), strict=True) if v == u}
-        dc, tc = lm_score.CHILD
-        back = (tc + dc * g[u]) / (tc + g[r.k + u])
-        missing = sum(root[x] for x in range(len(root)) if x not in seen) + (1 - root.sum())
-        assert sum(seen.values()) + back * missing == pytest.approx(1.0)
+    assert every.sum() + (theta + d * r.all) / (theta + r.customers) * r.base == pytest.approx(1.0)  # and one unknown word
+    (tables, customers), (tables2, customers2) = p.own()
+    got = p.probability(r)
+    for x in range(len(tables)):
+        m = p.middle[p.pair[p.context == x][0]]
+        seen2 = {p.word[k]: (p.c2[k] - lm_score.WORD[0] * p.t2[k]) for k in np.flatnonzero(p.middle == m)}
+        d, theta = lm_score.WORD
+        one = {w: (seen2.get(w, 0) + (theta + d * tables2[m]) * every[w]) / (theta + customers2[m]) for w in range(len(every))}
+        seen = dict(zip(p.word[p.pair[p.context == x]], got[p.context == x], strict=True))
+        d, theta = lm_score.PAIR
+        back = (theta + d * tables[x]) / (theta + customers[x])
+        one_unknown = (theta2 := lm_score.WORD[1] + lm_score.WORD[0] * tables2[m]) / (lm_score.WORD[1] + customers2[m]) * (1 - every.sum())
+        assert theta2 and sum(seen.values()) + back * (sum(v for w, v in one.items() if w not in seen) + one_unknown) == pytest.approx(1.0)
+
+
+def test_exact_reseating_has_the_posterior():
+    """Against the weights of all ways to seat a few customers, counted one by one."""
+    d, a, parent, c = 0.75, 2.0, 0.2, 5
+    weight = Counter()
+
+    def sit(tables, k, w):
+        if k == c:
+            weight[len(tables)] += w
+            return
+        for i, n in enumerate(tables):
+            sit([*tables[:i], n + 1, *tables[i + 1 :]], k + 1, w * (n - d))
+        sit([*tables, 1], k + 1, w * (a + d * len(tables)) * parent)
+
+    sit([], 0, 1.0)
+    n = 40_000
+    got = Counter(lm_score.reseat(np.random.default_rng(1), np.full(n, c), np.full(n, a), np.full(n, parent), d).tolist())
+    for t, w in weight.items():
+        assert got[t] / n == pytest.approx(w / sum(weight.values()), abs=0.01)
+
+
+def gibbs_by_hand(texts, held, sweeps, burn_in, seed=0):
+    """The model with one customer removed and seated again at a time; log10 probabilities of all texts, averaged like the operator's."""
+    rng = random.Random(seed)
+    levels = [lm_score.ROOT, lm_score.WORD, lm_score.PAIR]
+    rest = defaultdict(lambda: defaultdict(list))  # context: dish: sizes of its tables
+    toks = [[*WORD.findall(t), None] for t in texts]
+    known = len({w for t, h in zip(toks, held, strict=True) if not h for w in t})
+
+    def count(ctx):
+        r = rest[ctx]
+        return sum(map(sum, r.values())), sum(map(len, r.values()))
+
+    def p(w, ctx):
+        if ctx is None:
+            return 1 / (known + 1)
+        d, theta = levels[len(ctx)]
+        n, t = count(ctx)
+        mine = rest[ctx][w] if w in rest[ctx] else []
+        return (sum(mine) - d * len(mine) + (theta + d * t) * p(w, up(ctx))) / (theta + n)
+
+    up = lambda ctx: ctx[1:] if ctx else None
+
+    def add(w, ctx):
+        if ctx is None:
+            return
+        d, theta = levels[len(ctx)]
+        mine = rest[ctx][w]
+        new = (theta + d * count(ctx)[1]) * p(w, up(ctx))
+        x = rng.random() * (new + sum(n - d for n in mine))
+        for i, n in enumerate(mine):
+            x -= n - d
+            if x < 0:
+                mine[i] += 1
+                return
+        mine.append(1)
+        add(w, up(ctx))
+
+    def take(w, ctx):
+        if ctx is None:
+            return
+        mine = rest[ctx][w]
+        x = rng.random() * sum(mine)
+        for i, n in enumerate(mine):
+            x -= n
+            if x < 0:
+                break
+        mine[i] -= 1
+        if not mine[i]:
+            del mine[i]
+            take(w, up(ctx))
+
+    every = []
+    for t, h in zip(toks, held, strict=True):
+        pad = [0, 0, *t]
+        every += [] if h else [(w, tuple(pad[i : i + 2])) for i, w in enumerate(t)]
+    for w, ctx in every:
+        add(w, ctx)
+    total = [np.zeros(len(t)) for t in toks]
+    for s in range(sweeps):
+        for w, ctx in every:
+            take(w, ctx)
+            add(w, ctx)
+        if s >= burn_in:
+            for i, t in enumerate(toks):
+                pad = [0, 0, *t]
+                total[i] += [p(w, tuple(pad[k : k + 2])) for k, w in enumerate(t)]
+    return [float(np.log10(x / (sweeps - burn_in)).sum()) for x in total]
+
+
+def test_lm_against_gibbs_one_customer_at_a_time(spark):
+    """Scores agree within three hundredths: the operator reseats dishes side by side, and its root twice."""
+    rng = random.Random(8)
+    follow = {w: rng.sample(range(25), 4) for w in range(25)}
+    texts = []
+    for _ in range(60):
+        w, t = rng.randrange(25), []
+        for _ in range(rng.randrange(1, 25)):
+            t.append(f"w{w}")
+            w = rng.choice(follow[w]) if rng.random() < 0.9 else rng.randrange(25)
+        texts.append(" ".join(t))
+    texts += [*texts[:3], "unseen words here", ""]
+    held = [i % 10 == 0 or i >= 63 for i in range(len(texts))]
+    d = spark.createDataFrame([(i, t, h) for i, (t, h) in enumerate(zip(texts, held, strict=True))], "doc_id long, text string, h boolean")
+    got = [r.score for r in sorted(lm_score.score_texts(spark, d, held=F.col("h"), sweeps=30, burn_in=10).collect(), key=lambda r: r.doc_id)]
+    want = gibbs_by_hand(texts, held, 60, 20)
+    for flag in (True, False):
+        a, b = (sum(x for x, h in zip(s, held, strict=True) if h is flag) for s in (got, want))
+        assert a == pytest.approx(b, rel=0.03)
+    assert max(abs(a - b) / max(3, abs(b)) for a, b in zip(got, want, strict=True)) < 0.1
+
+
+def test_dealt_words_and_small_blocks_change_little(spark, docs, monkeypatch):
+    """Words dealt over several parts, and many blocks: the counts stay as they are, the scores up to their sampling."""
+    d = docs.limit(60)
+    want = {r.doc_id: r for r in lm_score.score_texts(spark, d).collect()}
+    monkeypatch.setattr(lm_score, "PART_BYTES", 1 << 13)
+    monkeypatch.setattr(lm_score, "BLOCK_TOKENS", 500)
+    monkeypatch.setattr(lm_score, "PEEK", 1)
+    got = {r.doc_id: r for r in lm_score.score_texts(spark, d).collect()}
+    assert got.keys() == want.keys()
+    for i, r in want.items():
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (r.n_tokens, r.n_known, r.train_tokens)
+        assert got[i].base_score == pytest.approx(r.base_score) and got[i].score == pytest.approx(r.score, rel=0.1)
 
 
 def test_seating_agrees_with_one_by_one():
