@@ -1,38 +1,64 @@
-"""Command lines of the stages: `python -m evloom.cli search|filter|extract --input ... --output ...`."""
+"""Command lines of the stages: `python -m evloom.cli search|filter|extract --output ...`."""
 
 from __future__ import annotations
 
 import argparse
 import datetime as dt
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import schemas
 from .operators import extract, filtering, search
 from .plans.dims import dashboard_dim, tier_dim
+from .sources import cache
+from .sources.backends import TableBackend, fetch_http
 from .sources.files import filter_output, read_filtered, write_json
 
+REPLIES = "question_id string, sub_queries array<struct<text:string,axis:string>>"
+RECORDED = "text string, " + schemas.RAW_RESULT
+
+
+def search_with_cache(spark: SparkSession, questions: DataFrame, replies: DataFrame, backend, old: DataFrame, as_of: dt.datetime) -> tuple[DataFrame, DataFrame]:
+    """(search results, the cache afterwards): sub-queries are answered from the cache, and by the backend where it has no good entry."""
+    subs = search.decompose(questions, replies)
+    asked = subs.select("question_id", F.col("ord").alias("sub_query_ord"), "text", cache.cache_key(F.lit(backend.name), F.col("text"), as_of).alias("cache_key"))
+    found, new = cache.cache_aside(asked, old, backend.search, as_of)
+    raw = found.select("question_id", "sub_query_ord", "pos", "url", "title", "snippet", "published_date")
+    return search.search_stage(questions, replies, raw, tier_dim(spark), dashboard_dim(spark), as_of), cache.upsert(old, new)
+
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("stage", choices=["search", "filter", "extract"])
-    p.add_argument("--questions")
-    p.add_argument("--replies")
-    p.add_argument("--input", required=True)
-    p.add_argument("--fetched")
+    p.add_argument("--questions", help="JSON lines")
+    p.add_argument("--replies", help="search: the model's sub-queries; filter: its decisions, JSON lines")
+    p.add_argument("--recorded", help="search: results by query text, JSON lines, that stand in for a search service")
+    p.add_argument("--cache", help="search: folder of the cache before the run; it is written anew beside the output")
+    p.add_argument("--input", help="filter, extract: output of the stage before")
+    p.add_argument("--fetched", help="extract: bodies by url; without it they are fetched")
+    p.add_argument("--as-of", type=lambda s: dt.datetime.fromisoformat(s).replace(tzinfo=None), help="search: the run's time, now if not given")
     p.add_argument("--output", required=True)
     a = p.parse_args(argv)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     questions = spark.read.schema(schemas.QUESTION).json(a.questions) if a.questions else None
     if a.stage == "search":
-        replies = spark.read.schema("question_id string, sub_queries array<struct<text:string,axis:string>>").json(a.replies)
-        raw = spark.read.schema("question_id string, sub_query_ord int, pos int, url string, title string, snippet string, published_date string").json(a.input)
-        write_json(search.search_stage(questions, replies, raw, tier_dim(spark), dashboard_dim(spark), dt.datetime.now(dt.UTC).replace(tzinfo=None)), a.output)
+        as_of = a.as_of or dt.datetime.now(dt.UTC).replace(tzinfo=None)
+        old = spark.read.schema(schemas.CACHE).parquet(a.cache) if a.cache else spark.createDataFrame([], schemas.CACHE)
+        backend = TableBackend(spark.read.schema(RECORDED).json(a.recorded))
+        found, after = search_with_cache(spark, questions, spark.read.schema(REPLIES).json(a.replies), backend, old, as_of)
+        write_json(found, f"{a.output}/results")
+        after.write.mode("overwrite").parquet(f"{a.output}/cache")
     elif a.stage == "filter":
-        out = filtering.filter_stage(spark.read.json(a.input), questions)
+        replies = filtering.decisions(spark.read.schema("key string, raw_text string").json(a.replies)) if a.replies else None
+        results = spark.read.json(a.input)
+        results = results.withColumns({c: F.lit(None).cast(k) for c, k in (("file_type", "string"), ("published_date", "timestamp")) if c not in results.columns})
+        out = filtering.filter_stage(results.withColumn("published_date", F.col("published_date").cast("timestamp")).withColumn("ord", F.col("position")), questions, replies)
         write_json(filter_output(out.withColumnRenamed("id", "result_id")), a.output)
     else:
-        docs, chunks = extract.extract_stage(read_filtered(spark, a.input), spark.read.schema(schemas.FETCH_RESULT).json(a.fetched))
+        filtered = read_filtered(spark, a.input)
+        fetched = spark.read.schema(schemas.FETCH_RESULT).json(a.fetched) if a.fetched else fetch_http(filtered.select("url").distinct().repartition("url"))
+        docs, chunks = extract.extract_stage(filtered, fetched)
         write_json(docs, f"{a.output}/documents")
         write_json(chunks, f"{a.output}/chunks")
 

@@ -10,7 +10,7 @@ SPACE = r"(?U)[\s\x1c-\x1f]+"
 EDGE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
-def strip(x: Column) -> Column:
+def strip(x: Column | str) -> Column:
     return F.regexp_replace(x, EDGE, "")
 
 

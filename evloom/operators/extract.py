@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import dates, text
 from ..plans.config import ExtractConfig
 from ..plans.dims import DATE_PATTERNS
 from . import chunking, html
@@ -57,6 +57,29 @@ def pdf_sections(blocks: DataFrame) -> DataFrame:
     return out.select(F.col("doc_id").alias("document_id"), pos.alias("pos"), "section_path", F.col("page").alias("page_number"), "text", F.lit("prose").alias("chunk_type"), F.lit(None).cast("array<array<string>>").alias("table_rows"))
 
 
+def page_text(spans: DataFrame) -> DataFrame:
+    """(doc_id, page, text, tabular): a page's lines, and whether they look like a table."""
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span", "text"))), lambda x: x["text"]), " ")
+    lines = spans.groupBy("doc_id", "page", "block", "line").agg(line.alias("t"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "line", "t"))), lambda x: x["t"]), "\n")
+    return lines.groupBy("doc_id", "page").agg(whole.alias("text")).withColumn("tabular", looks_tabular(F.col("text")))
+
+
+def pdf_tables(spans: DataFrame, cfg: ExtractConfig = CFG) -> DataFrame:
+    """(doc_id, page, ord, table_rows): runs of two or more lines, one after another on a page that looks tabular, of equally many spans, two
+    at least. A span is a cell; an empty one stays as an empty string. Positions on the page are not known, so ruled tables whose cells are
+    single spans are found, and text that a library gives as one span is not."""
+    inside = spans.filter(F.col("page") <= cfg.most_pages).join(page_text(spans).filter("tabular").select("doc_id", "page"), ["doc_id", "page"], "left_semi")
+    cells = F.transform(F.array_sort(F.collect_list(F.struct("span", F.coalesce("text", F.lit("")).alias("text")))), lambda x: text.strip(x["text"]))
+    lines = inside.groupBy("doc_id", "page", "block", "line").agg(cells.alias("cells")).withColumn("n", F.size("cells"))
+    order = Window.partitionBy("doc_id", "page").orderBy("block", "line")
+    new = F.coalesce(F.lag("n").over(order) != F.col("n"), F.lit(True))
+    runs = lines.withColumn("new", new).withColumn("run", F.sum(F.col("new").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("n >= 2")
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("block", "line", "cells"))), lambda x: x["cells"])
+    found = runs.groupBy("doc_id", "page", "run").agg(rows.alias("table_rows")).filter(F.size("table_rows") >= 2)
+    return found.select("doc_id", "page", (F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("run")) - 1).alias("ord"), "table_rows")
+
+
 def looks_tabular(page: Column) -> Column:
     """Three lines or more, over half of them shorter than 60 characters."""
     lines = F.split(text.strip(F.coalesce(page, F.lit(""))), "\n")
@@ -73,9 +96,17 @@ def pdf_status(n_pages: Column, has_text: Column, cfg: ExtractConfig = CFG) -> C
 # ---------------------------------------------------------------- the stage
 
 
-def extract_stage(filtered: DataFrame, fetched: DataFrame, pdf_spans: DataFrame | None = None, cfg: ExtractConfig = CFG) -> tuple[DataFrame, DataFrame]:
+def with_tables(prose: DataFrame, tables: DataFrame) -> DataFrame:
+    """Sections of pdf_sections() and tables of pdf_tables(): a page's tables follow its prose, numbered together."""
+    heading = prose.groupBy("document_id", "page_number").agg(F.max_by("section_path", "pos").alias("section_path"))
+    t = tables.select(F.col("doc_id").alias("document_id"), F.col("page").alias("page_number"), "ord", "table_rows").join(heading, ["document_id", "page_number"], "left")
+    both = prose.withColumn("kind", F.lit(0)).withColumn("ord", F.col("pos")).unionByName(t.select("document_id", F.lit(0).alias("pos"), "section_path", "page_number", F.lit("").alias("text"), F.lit("table").alias("chunk_type"), "table_rows", F.lit(1).alias("kind"), "ord"))
+    return both.withColumn("pos", F.row_number().over(Window.partitionBy("document_id").orderBy("page_number", "kind", "ord")) - 1).drop("kind", "ord")
+
+
+def extract_stage(filtered: DataFrame, fetched: DataFrame, pdf_spans: DataFrame | None = None, cfg: ExtractConfig = CFG, pdf_info: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, chunks). filtered: FILTERED_DOCUMENT rows; fetched: FETCH_RESULT rows by url; pdf_spans: what a PDF library found, by doc_id
-    (without it PDF bodies fail). Bodies go through a parser once; no document stops another. An empty body is a success without chunks."""
+    (without it PDF bodies fail); pdf_info: (doc_id, title, creation_date) of the files, as they have them. Bodies go through a parser once; no document stops another. An empty body is a success without chunks."""
     j = filtered.join(fetched, "url", "left").withColumn("document_id", F.concat(F.lit("doc-"), "result_id"))
     body = F.decode("content_bytes", "UTF-8")
     head = F.decode(F.substring("content_bytes", 1, 128), "ISO-8859-1")
@@ -90,7 +121,8 @@ def extract_stage(filtered: DataFrame, fetched: DataFrame, pdf_spans: DataFrame
     else:
         stats = pdf_spans.groupBy(F.col("doc_id").alias("document_id")).agg(F.max("page").alias("n_pages"), F.max(text.strip(F.col("text")) != "").alias("has_text"))
         pdf = pdf.join(stats, "document_id", "left").withColumn("st", pdf_status(F.coalesce("n_pages", F.lit(0)), F.coalesce("has_text", F.lit(False)), cfg)).withColumn("pdf_error", F.col("st.error"))
-        pdf_sections_df = pdf_sections(pdf_headings(pdf_spans, cfg))
+        pdf_sections_df = with_tables(pdf_sections(pdf_headings(pdf_spans, cfg)), pdf_tables(pdf_spans, cfg))
+    pdf = pdf.join(pdf_info.select(F.col("doc_id").alias("document_id"), F.nullif(text.strip("title"), F.lit("")).alias("pdf_title"), dates.pdf_date(F.col("creation_date")).alias("pdf_day")), "document_id", "left") if pdf_info is not None else pdf.withColumns({"pdf_title": F.lit(None).cast("string"), "pdf_day": F.lit(None).cast("timestamp")})
     parsed = web.unionByName(plain)
     sections = parsed.filter("p.error is null").select("document_id", F.posexplode("p.sections").alias("pos", "s")).select("document_id", "pos", "s.section_path", "s.page_number", "s.text", "s.chunk_type", "s.table_rows")
     if pdf_sections_df is not None:
@@ -99,7 +131,7 @@ def extract_stage(filtered: DataFrame, fetched: DataFrame, pdf_spans: DataFrame
     stats = chunking.document_stats(chunks)
     base = ["document_id", "result_id", "question_id", F.col("url").alias("source_url"), "domain", "canonical_url", "fetched_at", "content_type", F.col("status_code").alias("http_status"), "extraction_priority"]
     ok = parsed.select(*base, F.coalesce(F.nullif(F.col("p.title"), F.lit("")), "title").alias("title"), F.coalesce(html.published_date(F.col("p.published_date")), F.col("published_date")).alias("published_date"), F.col("p.language").alias("language"), date_strings(F.col("p.raw_text")).alias("extracted_dates"), F.col("p.error").alias("error_message"), F.lit(False).alias("is_partial"))
-    rest = pdf.select(*base, "title", "published_date", F.lit(None).cast("string").alias("language"), F.array().cast("array<string>").alias("extracted_dates"), F.col("pdf_error").alias("error_message"), (F.col("st.is_partial") if pdf_spans is not None else F.lit(False)).alias("is_partial"))
+    rest = pdf.select(*base, F.coalesce("pdf_title", "title").alias("title"), F.coalesce("pdf_day", "published_date").alias("published_date"), F.lit(None).cast("string").alias("language"), F.array().cast("array<string>").alias("extracted_dates"), F.col("pdf_error").alias("error_message"), (F.col("st.is_partial") if pdf_spans is not None else F.lit(False)).alias("is_partial"))
     failed = j.filter("parser is null").select(*base, "title", "published_date", F.lit(None).cast("string").alias("language"), F.array().cast("array<string>").alias("extracted_dates"), F.col("fetch_error").alias("error_message"), F.lit(False).alias("is_partial"))
     docs = ok.unionByName(rest).unionByName(failed).join(stats, "document_id", "left")
     docs = docs.withColumn("status", F.when(F.col("error_message").isNotNull(), "failed").when(F.col("is_partial"), "partial").otherwise("success")).withColumn("document_type", document_type(F.col("content_type")))

@@ -56,22 +56,22 @@ def route(df: DataFrame, cfg: FilterConfig = CFG) -> DataFrame:
     return out.withColumn("keep", F.when(F.col("route") == "keep", True).when(F.col("route") == "reject", False)).withColumn("stage", F.lit("heuristic")).drop("__low")
 
 
-def rerank(df: DataFrame, cfg: FilterConfig = CFG) -> DataFrame:
-    """Borderline rows with priority and relevance renewed by a cheap score. rank_ord is the order: priority, then ord."""
+def rerank(df: DataFrame, cfg: FilterConfig = CFG, group: tuple[str, ...] = ("question_id",)) -> DataFrame:
+    """Borderline rows with priority and relevance renewed by a cheap score. rank_ord is the order in the group: priority, then ord."""
     content = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit("")), F.coalesce("domain", F.lit("")))
     score = text.keyword_overlap(content, query_terms(False)) + F.when(F.col("is_official_domain"), 0.10).otherwise(0.0) + F.when(F.col("source_tier") == "academic", 0.05).otherwise(0.0)
     out = df.withColumn("rerank_score", F.least(F.lit(1.0), score))
     a, b = cfg.rerank_weights
     out = out.withColumn("priority_score", F.col("priority_score") * a + F.col("rerank_score") * b).withColumn("relevance_score", F.greatest("relevance_score", "rerank_score")).withColumn("stage", F.lit("reranker"))
-    return out.withColumn("rank_ord", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("priority_score"), "ord")))
+    return out.withColumn("rank_ord", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("priority_score"), "ord")))
 
 
-def split_for_model(df: DataFrame, cfg: FilterConfig = CFG) -> DataFrame:
+def split_for_model(df: DataFrame, cfg: FilterConfig = CFG, group: tuple[str, ...] = ("question_id",)) -> DataFrame:
     """Adds branch: auto_keep, auto_reject, model for the first most_candidates of the others, overflow for the rest."""
     p = F.col("priority_score")
     kind = F.when(p >= cfg.auto_keep, "auto_keep").when(p <= cfg.auto_reject, "auto_reject").otherwise("model")
     out = df.withColumn("branch", kind)
-    place = F.row_number().over(Window.partitionBy("question_id", "branch").orderBy("rank_ord"))
+    place = F.row_number().over(Window.partitionBy(*group, "branch").orderBy("rank_ord"))
     out = out.withColumn("reason_codes", F.when(F.col("branch") == "model", F.col("reason_codes")).otherwise(F.array_append("reason_codes", F.concat("branch", F.lit("_after_rerank")))))
     return out.withColumn("__n", place).withColumn("branch", F.when((F.col("branch") == "model") & (F.col("__n") > cfg.most_candidates), "overflow").otherwise(F.col("branch"))).drop("__n")
 
@@ -84,6 +84,12 @@ def model_prompts(df: DataFrame) -> DataFrame:
     return grouped.select("question_id", F.to_json(F.struct(task.alias("task"), F.struct("text", "region", "pathogen", "event_type", "resolution_criteria").alias("question"), F.transform("c", lambda x: x["c"]).alias("candidates"))).alias("prompt"))
 
 
+def decisions(replies: DataFrame) -> DataFrame:
+    """Rows for merge_decisions() from a model's replies (key, raw_text): JSON with a list `decisions`. Replies that are no such JSON have none."""
+    kind = "decisions array<struct<result_id:string,keep:boolean,relevance_score:double,credibility_score:double,final_score:double,reason_codes:array<string>,notes:string>>"
+    return replies.select(F.posexplode(F.from_json("raw_text", kind)["decisions"]).alias("ord", "d")).select("d.result_id", F.col("ord").cast("long").alias("ord"), "d.keep", "d.relevance_score", "d.credibility_score", "d.final_score", "d.reason_codes", "d.notes")
+
+
 def merge_decisions(df: DataFrame, replies: DataFrame) -> DataFrame:
     """Model rows with the model's word: replies (result_id, ord, keep, relevance_score, credibility_score, final_score, reason_codes, notes).
 
@@ -142,16 +148,26 @@ def extraction_hints(df: DataFrame) -> DataFrame:
     return out.withColumn("extraction_mode", mode).withColumn("expected_value", value)
 
 
-def filter_stage(results: DataFrame, questions: DataFrame, replies: DataFrame | None = None, cfg: FilterConfig = CFG) -> DataFrame:
-    """From search results (with ord) to filtered documents. replies: a model's decisions; without them undecided rows are not kept."""
+def filter_stage(results: DataFrame, questions: DataFrame, replies: DataFrame | None = None, cfg: FilterConfig = CFG, model=None) -> DataFrame:
+    """From search results (with ord) to filtered documents. replies: a model's decisions; or model, a ModelClient that is asked for them.
+    Without either, undecided rows are not kept."""
     q = questions.select(F.col("id").alias("question_id"), *[F.col(c).alias(f"q_{c}") for c in ("text", "pathogen", "region", "event_type", "resolution_criteria")])
-    routed = route(results.join(q, "question_id"), cfg)
-    split = split_for_model(rerank(routed.filter("route = 'borderline'"), cfg), cfg)
-    asked = split.filter("branch = 'model'")
-    decided = merge_decisions(asked, replies) if replies is not None else fail_closed(asked)
-    cols = ["question_id", "id", "ord", "url", "canonical_url", "domain", "title", "snippet", "published_date", "file_type", "source_tier", "is_official_domain", "relevance_score", "credibility_score", "priority_score", "reason_codes"]
-    parts = [routed.filter("route = 'keep'").select(*cols, F.lit(0).alias("part"), F.col("ord").alias("within")), split.filter("branch = 'auto_keep'").select(*cols, F.lit(1).alias("part"), F.col("rank_ord").alias("within")), decided.filter("keep").select(*cols, F.lit(2).alias("part"), F.col("rank_ord").alias("within"))]
-    kept = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumnRenamed("priority_score", "final_score")
+    # one pass: all rows are reranked within their route, but only borderline rows take the new values
+    renewed = ["priority_score", "relevance_score", "reason_codes"]
+    routed = route(results.join(q, "question_id"), cfg).withColumn("__old", F.struct(*renewed)).withColumn("__cred", F.col("credibility_score"))
+    by_route = ("question_id", "route")
+    split = split_for_model(rerank(routed, cfg, by_route), cfg, by_route).withColumn("__new", F.struct(*renewed))
+    if model is not None:
+        replies = decisions(model.complete(model_prompts(split.filter("route = 'borderline'")).select(F.col("question_id").alias("key"), "prompt")))
+    decided = merge_decisions(split, replies) if replies is not None else fail_closed(split)
+    middle = F.col("route") == "borderline"
+    part = F.when(F.col("route") == "keep", 0).when(middle & (F.col("branch") == "auto_keep"), 1).when(middle & (F.col("branch") == "model") & F.col("keep"), 2)
+    kept = decided.withColumn("part", part).filter("part is not null")
+    for c in renewed:
+        kept = kept.withColumn(c, F.when(F.col("part") == 0, F.col(f"__old.{c}")).when(F.col("part") == 1, F.col(f"__new.{c}")).otherwise(F.col(c)))
+    cols = ["question_id", "id", "url", "canonical_url", "domain", "title", "snippet", "published_date", "file_type", "source_tier", "is_official_domain", "relevance_score", "credibility_score", "priority_score", "reason_codes", "part"]
+    credibility_now = F.when(F.col("part") == 2, F.col("credibility_score")).otherwise(F.col("__cred"))
+    kept = kept.select(*[credibility_now.alias(c) if c == "credibility_score" else F.col(c) for c in cols], F.when(F.col("part") == 0, F.col("ord")).otherwise(F.col("rank_ord")).alias("within")).withColumnRenamed("priority_score", "final_score")
     kept = kept.withColumn("ord", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("final_score"), "part", "within")))
     unique = drop_near_copies(kept, cfg.near_duplicate).withColumn("ord", F.col("kept_ord")).drop("kept_ord")
     capped = joint_caps(unique, cfg.per_domain, cfg.per_type).withColumn("ord", F.col("kept_ord")).drop("kept_ord")

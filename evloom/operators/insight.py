@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,13 +35,33 @@ def budget_gate(docs: DataFrame, limit: int = CFG.most_input_tokens, keys: tuple
     return over.withColumn("decision", F.when(stopped, "stopped").when(F.col("skipped"), "skipped").otherwise("processed")).drop("__over")
 
 
+#: What the model is told before each prompt.
+SYSTEM = (
+    "You read one passage of a document for a team that forecasts disease outbreaks. List the facts in the passage that bear on the given question. "
+    "A fact must stand in the passage itself; leave out conclusions of your own and what you know from elsewhere, and do not answer the question. "
+    "Copy for each fact the words that show it, unchanged and no longer than 200 characters, as its quote. Most passages hold no such fact: then the list is empty. "
+    "Give a low confidence where the passage is vague, and do not let the first or the most striking number stand for the whole. Answer in JSON by the schema."
+)
+
+
+def reply_schema() -> dict:
+    """JSON schema of a reply: the fields of schemas.FACTS, of which type, confidence and quote must be there."""
+    optional = lambda kind: {"type": [kind, "null"]}
+    fact = {name: optional("string") for name in ("location", "pathogen", "metric_name", "metric_unit", "event_date", "summary")} | {"metric_value": optional("number")}
+    fact |= {"event_type": {"type": "string", "enum": EVENT_TYPES}, "confidence": {"type": "number", "minimum": 0, "maximum": 1}, "quote": {"type": "string"}}
+    closed = lambda fields, needed: {"type": "object", "properties": fields, "required": needed, "additionalProperties": False}
+    return closed({"facts": {"type": "array", "items": closed(fact, ["event_type", "confidence", "quote"])}}, ["facts"])
+
+
 def prompts(chunks: DataFrame) -> DataFrame:
-    """Adds key and prompt to rows with the question's (q_text, q_pathogen, q_region), the document's (title, source_url, published_date) and the
-    chunk's columns. Tables' cells are not part of it."""
-    line = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{name}: "), c))
-    title = F.coalesce(F.nullif(F.col("title"), F.lit("")), "source_url")
-    parts = F.concat_ws("\n", line("FORECAST QUESTION", F.col("q_text")), line("PATHOGEN", F.col("q_pathogen")), line("REGION", F.col("q_region")), F.lit(""), line("DOCUMENT", title), line("SOURCE", F.col("source_url")), line("PUBLISHED", F.date_format("published_date", "yyyy-MM-dd")), F.lit(""), line("SECTION", F.col("heading")), F.concat(F.lit("CHUNK TEXT:\n"), F.coalesce("text", F.lit(""))))
-    return chunks.withColumn("prompt", parts).withColumn("key", F.concat_ws("|", "question_id", "document_id", "chunk_id"))
+    """Adds key, system, prompt and reply_schema to rows with the question's (q_text, q_pathogen, q_region), the document's (title, source_url,
+    published_date) and the chunk's columns. The prompt is JSON without empty fields; tables' cells are not part of it."""
+    said = lambda c: F.nullif(F.col(c), F.lit("")) if isinstance(c, str) else c
+    about = F.struct(said("q_text").alias("asks"), said("q_pathogen").alias("pathogen"), said("q_region").alias("region"))
+    origin = F.struct(F.coalesce(said("title"), F.col("source_url")).alias("name"), F.col("source_url").alias("url"), F.date_format("published_date", "yyyy-MM-dd").alias("day"))
+    passage = F.struct(said("heading").alias("under"), F.coalesce("text", F.lit("")).alias("words"))
+    out = chunks.withColumn("prompt", F.to_json(F.struct(about.alias("question"), origin.alias("source"), passage.alias("passage"))))
+    return out.withColumn("system", F.lit(SYSTEM)).withColumn("reply_schema", F.lit(json.dumps(reply_schema()))).withColumn("key", F.concat_ws("|", "question_id", "document_id", "chunk_id"))
 
 
 def country_code(location: Column, countries: dict[str, str] = COUNTRIES) -> Column:
@@ -88,20 +110,24 @@ def usage(calls: DataFrame, keys: tuple = ()) -> DataFrame:
     return rolled.agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.count("*").alias("n_calls"))
 
 
-def insight_stage(questions: DataFrame, documents: DataFrame, chunks: DataFrame, model, embed=text.hash_embedding, cfg: InsightConfig = CFG) -> tuple[DataFrame, DataFrame, DataFrame]:
+def insight_stage(questions: DataFrame, documents: DataFrame, chunks: DataFrame, model, embed=text.hash_embedding, cfg: InsightConfig = CFG, embedded: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(records, usage, run statistics). Two phases: chunks are ranked first, then the model (a ModelClient) is called for those within the
-    budget, whose costs are estimated from the prompts' lengths."""
+    budget, whose costs are estimated from the prompts' lengths. embedded: (chunk_id, embedding) of chunks that were embedded before;
+    only the others are."""
     run = processable(documents)
     q = questions.select(F.col("id").alias("question_id"), F.col("text").alias("q_text"), F.col("pathogen").alias("q_pathogen"), F.col("region").alias("q_region"))
     query = F.concat_ws(" ", "q_text", "q_pathogen", "q_region")
     pairs = run.filter("not skipped").join(q, "question_id").select("question_id", "document_id", query.alias("query"), embed(query).alias("embedding"), F.array_compact(F.array("q_pathogen", "q_region")).alias("keywords"))
-    vectors = chunks.withColumn("embedding", embed(retrieval.chunk_text(F.col("heading"), F.col("text"))))
+    if embedded is None:
+        vectors = chunks.withColumn("embedding", embed(retrieval.chunk_text(F.col("heading"), F.col("text"))))
+    else:
+        vectors = chunks.join(retrieval.embed_missing(chunks, embedded, embed), "chunk_id")
     best = retrieval.hybrid(vectors, pairs, cfg)
     asked = prompts(best.join(run.select("question_id", "document_id", "title", "source_url", "published_date", "extraction_priority"), ["question_id", "document_id"]).join(q, "question_id"))
     cost = asked.groupBy("question_id", "document_id").agg(F.sum(text.token_count(F.col("prompt"))).alias("cost"))
     gate = budget_gate(run.join(cost, ["question_id", "document_id"], "left").select("question_id", "document_id", F.coalesce("extraction_priority", F.lit(0)).alias("ord"), F.coalesce("cost", F.lit(0)).alias("cost"), "skipped"), cfg.most_input_tokens, ("question_id",))
     go = asked.join(gate.filter("decision = 'processed'").select("question_id", "document_id"), ["question_id", "document_id"])
-    replies = model.complete(go.select("key", "prompt"))
+    replies = model.complete(go.select("key", "system", "prompt", "reply_schema"))
     found = guarded(facts(replies).join(go.select("key", "question_id", "document_id", "chunk_id", "source_url", "text", "position", "extraction_priority"), "key"))
     found = found.withColumn("ord", F.row_number().over(Window.partitionBy("question_id").orderBy("extraction_priority", "document_id", "position", "fact_ord")))
     stats = gate.groupBy("question_id").agg(F.count_if(F.col("decision") == "processed").alias("documents_processed"), F.count_if(F.col("decision") == "skipped").alias("documents_skipped"))

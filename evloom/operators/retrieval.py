@@ -21,26 +21,36 @@ def chunk_text(heading: Column, body: Column) -> Column:
     return F.concat_ws(" ", F.nullif(heading, F.lit("")), body)
 
 
-def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(question_id, document_id, chunk_id, bm25_score) of every chunk of the documents of queries (question_id, document_id, query).
+def bm25(chunks: DataFrame, queries: DataFrame, keep: tuple[str, ...] = (), per_query: dict[str, Column] | None = None) -> DataFrame:
+    """(question_id, document_id, chunk_id, keep.., per_query.., bm25_score) of every chunk of the documents of queries (question_id, document_id, query).
 
     The corpus of a chunk is its document: document frequencies, mean length, and the floor of negative idf, a quarter of the mean idf
-    over the document's terms. A query word counts as often as it is in the query. Terms are counted once for each document, and the
-    questions join the counts; a chunk without a query word scores 0, and so do documents without any word.
+    over the document's terms. A query word counts as often as it is in the query; a chunk without a query word scores 0, and so do
+    documents without any word.
+
+    Chunks are dealt by document once, and questions too; document frequencies, sizes and scores are all computed there. keep names
+    columns of chunks that come along; per_query has expressions over them and over the columns of queries, as `q.name`.
     """
-    toks = chunks.select("document_id", "chunk_id", bm25_tokens(chunk_text(F.col("heading"), F.col("text"))).alias("t"))
-    sizes = toks.groupBy("document_id").agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean_len"))
-    tf = toks.select("document_id", "chunk_id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("document_id", "chunk_id", "len", "term").agg(F.count("*").alias("tf"))
-    terms = tf.groupBy("document_id", "term").agg(F.count("*").alias("df")).join(sizes, "document_id")
+    body = chunk_text(F.col("heading"), F.col("text"))
+    c = chunks.select("document_id", "chunk_id", *keep, *[x for x in ("heading", "text") if x not in keep]).repartition("document_id")
+    by_doc = queries.repartition("document_id").withColumn("__q", bm25_tokens(F.col("query")))
+    sizes = c.select("document_id", F.size(bm25_tokens(body)).alias("len")).groupBy("document_id").agg(F.count("*").alias("n"), F.avg("len").alias("mean_len"))
+    df = c.select("document_id", F.explode(F.array_distinct(bm25_tokens(body))).alias("term")).groupBy("document_id", "term").agg(F.count("*").alias("df"))
+    wanted = by_doc.groupBy("document_id").agg(F.array_distinct(F.flatten(F.collect_list("__q"))).alias("wanted"))
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    mean = F.avg("raw").over(Window.partitionBy("document_id"))
-    terms = terms.withColumn("raw", raw).withColumn("idf", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw")))
-    asked = queries.select("question_id", "document_id", F.explode(bm25_tokens(F.col("query"))).alias("term")).groupBy("question_id", "document_id", "term").agg(F.count("*").alias("times"))
-    hit = tf.join(asked, ["document_id", "term"]).join(terms.select("document_id", "term", "idf", "mean_len"), ["document_id", "term"])
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
-    scores = hit.groupBy("question_id", "document_id", "chunk_id").agg(F.sum(part).alias("s"))
-    every = queries.select("question_id", "document_id").join(chunks.select("document_id", "chunk_id"), "document_id")
-    return every.join(scores, ["question_id", "document_id", "chunk_id"], "left").select("question_id", "document_id", "chunk_id", F.coalesce("s", F.lit(0.0)).alias("bm25_score"))
+    idf = df.join(sizes, "document_id").join(wanted, "document_id").withColumn("raw", raw).groupBy("document_id").agg(F.first("mean_len").alias("mean_len"), F.avg("raw").alias("mean"), F.collect_list(F.when(F.array_contains("wanted", F.col("term")), F.struct("term", "raw"))).alias("idf"))
+    q = by_doc.select("document_id", "question_id", F.struct(*[x for x in queries.columns if x not in ("document_id", "question_id")]).alias("q"), "__q")
+    every = c.join(q, "document_id").join(idf, "document_id", "left").withColumn("__t", bm25_tokens(body))
+
+    def part(x: Column) -> Column:
+        times = F.size(F.filter("__q", lambda w: w == x["term"]))
+        tf = F.size(F.filter("__t", lambda w: w == x["term"]))
+        weight = F.when(x["raw"] < 0, EPSILON * F.col("mean")).otherwise(x["raw"])
+        return F.when((times > 0) & (tf > 0), times * weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.size("__t") / F.col("mean_len")))).otherwise(0.0)
+
+    score = F.coalesce(F.aggregate("idf", F.lit(0.0), lambda a, x: a + part(x)), F.lit(0.0))
+    extra = [e.alias(name) for name, e in (per_query or {}).items()]
+    return every.select("question_id", "document_id", "chunk_id", *keep, *extra, score.alias("bm25_score"))
 
 
 def embed_missing(chunks: DataFrame, cache: DataFrame, embed) -> DataFrame:
@@ -82,10 +92,10 @@ def hybrid(chunks: DataFrame, queries: DataFrame, cfg: InsightConfig = CFG) -> D
     A chunk with a keyword gets half of keyword_boost; a question without keywords gives none.
     """
     keys = ["question_id", "document_id"]
-    scores = bm25(chunks, queries).join(cosine_scores(chunks, queries), [*keys, "chunk_id"])
-    scores = scores.withColumn("bm25_norm", min_max("bm25_score", keys)).withColumn("emb_norm", min_max("emb_score", keys))
-    j = scores.join(chunks.select("document_id", "chunk_id", "chunk_index", "heading", "text"), ["document_id", "chunk_id"]).join(queries.select(*keys, "keywords"), keys)
-    some = F.filter(F.coalesce("keywords", F.array().cast("array<string>")), lambda k: k.isNotNull() & (k != ""))
+    some = F.filter(F.coalesce("q.keywords", F.array().cast("array<string>")), lambda k: k.isNotNull() & (k != ""))
     bias = F.when(F.size(some) == 0, 0.5).otherwise(keyword_bias(some, F.col("text"), F.col("heading")))
-    j = j.withColumn("score", cfg.bm25_weight * F.col("bm25_norm") + cfg.embedding_weight * F.col("emb_norm") + cfg.keyword_boost * (bias - 0.5))
+    known = [c for c in chunks.columns if c not in ("document_id", "chunk_id", "embedding")]
+    scores = bm25(chunks, queries, (*known, "embedding"), {"emb_score": text.cosine(F.col("embedding"), F.col("q.embedding")), "__bias": bias}).drop("embedding")
+    scores = scores.withColumn("bm25_norm", min_max("bm25_score", keys)).withColumn("emb_norm", min_max("emb_score", keys))
+    j = scores.withColumn("score", cfg.bm25_weight * F.col("bm25_norm") + cfg.embedding_weight * F.col("emb_norm") + cfg.keyword_boost * (F.col("__bias") - 0.5)).drop("__bias")
     return top_k(j, "score", min(cfg.top_k, cfg.chunks_per_document), keys)

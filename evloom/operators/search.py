@@ -36,6 +36,13 @@ def decomposition_prompt(q: DataFrame) -> DataFrame:
     return q.withColumn("prompt", F.to_json(payload))
 
 
+def decomposition_requests(q: DataFrame, typed: DataFrame) -> DataFrame:
+    """(key, question_type, prompt) for each question: what a model is asked to write sub-queries from. typed: (question_id, raw_text), a model's
+    replies that name the type; a question without one is `unknown`, for which every axis is allowed."""
+    j = q.join(typed.select(F.col("question_id").alias("id"), "raw_text"), "id", "left").withColumn("question_type", question_type(F.col("raw_text")))
+    return decomposition_prompt(j).select(F.col("id").alias("key"), "question_type", "prompt")
+
+
 def valid_query(x: Column) -> Column:
     """2 to 8 words, joined by single spaces; more are cut, fewer give null."""
     w = text.words(x)

@@ -228,12 +228,19 @@ def jaccard_pairs(spark, d):
     return x.join(y, "doc_id").select("doc_id", "other", F.round(text.jaccard(F.col("a"), F.col("b")), 9).alias("jaccard"))
 
 
+def _items(spark, d) -> tuple[DataFrame, F.Column]:
+    """The questions with their places k, and the place of each document's question: documents are dealt over all questions."""
+    from pyspark.sql import Window
+
+    b = t(spark, d, "benchmark")
+    return b.select("item_id", F.col("text").alias("q"), (F.row_number().over(Window.orderBy("item_id")) - 1).alias("k")), F.col("doc_id") % max(1, b.count())
+
+
 @query(f"""with q as (select item_id, list_distinct({TOKENS.format('text')}) q from benchmark), x as (select doc_id, {TOKENS.format('text')} x from documents)
-select doc_id, item_id, round(case when len(q) = 0 then 0 else len(list_intersect(q, x)) / len(q) end, 9)::double as overlap from x join q on item_id = doc_id % 40""")
+select doc_id, item_id, round(case when len(q) = 0 then 0 else len(list_intersect(q, x)) / len(q) end, 9)::double as overlap from x join (select *, row_number() over (order by item_id) - 1 k, count(*) over () n from q) q on k = doc_id % n""")
 def keyword_overlap(spark, d):
-    q = t(spark, d, "benchmark").select("item_id", F.col("text").alias("q"))
-    x = t(spark, d, "documents").withColumn("item_id", F.col("doc_id") % 40)
-    return x.join(q, "item_id").select("doc_id", "item_id", F.round(text.keyword_overlap(F.col("text"), F.col("q")), 9).alias("overlap"))
+    q, k = _items(spark, d)
+    return t(spark, d, "documents").withColumn("k", k).join(q, "k").select("doc_id", "item_id", F.round(text.keyword_overlap(F.col("text"), F.col("q")), 9).alias("overlap"))
 
 
 _F = f"""{PAGES_SQL},
@@ -298,8 +305,8 @@ def llm_fail_closed(spark, d):
     return filtering.fail_closed(m).select("page_id", "keep", "stage")
 
 
-#: One group of 40 documents for each source of every thousand: what the greedy walk meets after a cap.
-_GROUPS = "select doc_id, source || '/' || (doc_id // 1000) g, lang, n_chars, substr(text, 1, 300) title from documents"
+#: Groups of documents of one source and of nearly one length.
+_GROUPS = "select doc_id, source || '/' || (n_chars // 50) g, lang, n_chars, text title from documents"
 
 
 @query(f"""with recursive s as (select *, row_number() over (partition by g order by n_chars desc, doc_id) o, list_distinct({TOKENS.format('title')}) tk from ({_GROUPS})),
@@ -309,33 +316,17 @@ r as (select g, 1::bigint o, [{{'id': doc_id, 'l': lang, 'tk': tk}}] kept from s
 f as (select g, arg_max(kept, o) kept from r group by g)
 select g, unnest(kept).id as doc_id, generate_subscripts(kept, 1) - 1 as kept_ord from f""")
 def near_dup_greedy(spark, d):
-    x = t(spark, d, "documents").select("doc_id", F.concat("source", F.lit("/"), F.floor(F.col("doc_id") / 1000)).alias("g"), F.col("lang").alias("domain"), F.col("n_chars").cast("double").alias("final_score"), F.substring("text", 1, 300).alias("title"), F.lit(None).cast("string").alias("canonical_url"), F.lit("").alias("snippet"), F.col("doc_id").alias("ord"))
+    x = t(spark, d, "documents").select("doc_id", F.concat("source", F.lit("/"), F.floor(F.col("n_chars") / 50)).alias("g"), F.col("lang").alias("domain"), F.col("n_chars").cast("double").alias("final_score"), F.col("text").alias("title"), F.lit(None).cast("string").alias("canonical_url"), F.lit("").alias("snippet"), F.col("doc_id").alias("ord"))
     return filtering.drop_near_copies(x, 0.5, "g", "doc_id").select("g", "doc_id", "kept_ord")
 
 
-@query(f"""with recursive s as (select doc_id, g, lang, case when doc_id % 3 = 0 then 'pdf' else 'unknown' end ty, row_number() over (partition by g order by doc_id) o from ({_GROUPS})),
+@query(f"""with recursive s as (select doc_id, g, lang, case when doc_id % 3 = 0 then 'pdf' else 'unknown' end ty, row_number() over (partition by g order by doc_id) o from (select *, source g from documents)),
 r as (select g, 1::bigint o, [{{'id': doc_id, 'l': lang, 't': ty}}] kept from s where o = 1
  union all select r.g, s.o, case when len(list_filter(r.kept, lambda e: e.l = s.lang)) >= 2 or len(list_filter(r.kept, lambda e: e.t = s.ty)) >= 3 then r.kept else list_append(r.kept, {{'id': s.doc_id, 'l': s.lang, 't': s.ty}}) end
  from r join s on s.g = r.g and s.o = r.o + 1),
 f as (select g, arg_max(kept, o) kept from r group by g)
 select g, unnest(kept).id as doc_id, generate_subscripts(kept, 1) - 1 as kept_ord from f""")
 def joint_caps(spark, d):
-    x = t(spark, d, "documents").select("doc_id", F.concat("source", F.lit("/"), F.floor(F.col("doc_id") / 1000)).alias("g"), F.col("lang").alias("domain"), F.when(F.col("doc_id") % 3 == 0, "pdf").alias("file_type"), F.col("doc_id").alias("ord"))
-    return filtering.joint_caps(x, 2, 3, "g", "doc_id").select("g", "doc_id", "kept_ord")
-
-
-# The same two over whole texts and whole sources, with no cut by length or id. Their recursive SQL would walk a source document by
-# document, so they have none; tests/test_stages.py has them by brute force.
-
-
-@query()
-def near_dup_greedy_whole(spark, d):
-    x = t(spark, d, "documents").select("doc_id", F.col("source").alias("g"), F.col("lang").alias("domain"), F.col("n_chars").cast("double").alias("final_score"), F.col("text").alias("title"), F.lit(None).cast("string").alias("canonical_url"), F.lit("").alias("snippet"), F.col("doc_id").alias("ord"))
-    return filtering.drop_near_copies(x, 0.5, "g", "doc_id").select("g", "doc_id", "kept_ord")
-
-
-@query()
-def joint_caps_whole(spark, d):
     x = t(spark, d, "documents").select("doc_id", F.col("source").alias("g"), F.col("lang").alias("domain"), F.when(F.col("doc_id") % 3 == 0, "pdf").alias("file_type"), F.col("doc_id").alias("ord"))
     return filtering.joint_caps(x, 2, 3, "g", "doc_id").select("g", "doc_id", "kept_ord")
 
@@ -435,8 +426,8 @@ def _sentences(spark, d) -> DataFrame:
 
 def _asked(spark, d) -> DataFrame:
     """For each document the question of its number: its own first words and the question's."""
-    q = t(spark, d, "benchmark").select("item_id", F.col("text").alias("q"))
-    x = t(spark, d, "documents").withColumn("item_id", F.col("doc_id") % 40).join(q, "item_id")
+    q, k = _items(spark, d)
+    x = t(spark, d, "documents").withColumn("k", k).join(q, "k")
     return x.select(F.col("item_id").alias("question_id"), F.col("doc_id").cast("string").alias("document_id"), F.concat_ws(" ", F.array_join(F.slice(text.words(F.col("text")), 3, 6), " "), F.array_join(F.slice(text.words(F.col("q")), 1, 8), " ")).alias("query"))
 
 
@@ -447,7 +438,7 @@ tf as (select doc_id, i, l, w, count(*) tf from (select doc_id, i, len(w) l, unn
 df as (select doc_id, w, count(*) df from tf group by all),
 id as (select doc_id, w, al, ln(n - df + 0.5) - ln(df + 0.5) raw from df join sz using (doc_id)),
 ie as (select doc_id, w, al, case when raw < 0 then 0.25 * avg(raw) over (partition by doc_id) else raw end idf from id),
-qs as (select doc_id, item_id, array_to_string({_WORDS.format('d.text')}[3:8], ' ') || ' ' || array_to_string({_WORDS.format('b.text')}[1:8], ' ') q from documents d join benchmark b on b.item_id = d.doc_id % 40),
+qs as (select doc_id, item_id, array_to_string({_WORDS.format('d.text')}[3:8], ' ') || ' ' || array_to_string({_WORDS.format('b.text')}[1:8], ' ') q from documents d join (select *, row_number() over (order by item_id) - 1 k, count(*) over () n from benchmark) b on b.k = d.doc_id % b.n),
 qt as (select doc_id, item_id, w, count(*) k from (select doc_id, item_id, unnest({_W.format('q')}) w from qs) group by all),
 sc as (select doc_id, item_id, i, sum(k * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / al))) s from tf join qt using (doc_id, w) join ie using (doc_id, w) group by all),
 al as (select qs.doc_id, qs.item_id, ch.i, ch.x, coalesce(s, 0.0) s from qs join ch using (doc_id) left join sc on sc.doc_id = qs.doc_id and sc.i = ch.i)"""
@@ -455,14 +446,14 @@ al as (select qs.doc_id, qs.item_id, ch.i, ch.x, coalesce(s, 0.0) s from qs join
 
 @query(f"with {_BM25}, r as (select *, row_number() over (partition by doc_id order by round(s, 9) desc, i) p from al) select item_id question_id, doc_id::varchar document_id, doc_id || '-c' || i chunk_id, p as position, round(s, 6)::double bm25_score from r where p <= 12")
 def bm25_topk(spark, d):
-    c = _sentences(spark, d)
-    s = retrieval.bm25(c, _asked(spark, d)).join(c.select("chunk_id", "chunk_index"), "chunk_id").withColumn("r", F.round("bm25_score", 9))
+    s = retrieval.bm25(_sentences(spark, d), _asked(spark, d), ("chunk_index",)).withColumn("r", F.round("bm25_score", 9))
     return retrieval.top_k(s, "r", 12, ["question_id", "document_id"]).select("question_id", "document_id", "chunk_id", "position", F.round("bm25_score", 6).alias("bm25_score"))
 
 
 @query("""with q as (select vec_id q, label, embedding::double[] e from embeddings where vec_id % 50 = 0), x as (select q.q question_id, v.label::varchar document_id, v.vec_id, list_cosine_similarity(q.e, v.embedding::double[]) s from q join embeddings v on v.label = q.label),
 r as (select *, row_number() over (partition by question_id, document_id order by round(s, 9) desc, vec_id) p from x) select question_id, document_id, vec_id, p as position, round(s, 6)::double emb_score from r where p <= 12""")
 def cosine_topk(spark, d):
+    """A query meets the chunks of its own document, here its label: that scope is the operator's, not a filter."""
     v = t(spark, d, "embeddings").select(F.col("label").cast("string").alias("document_id"), F.col("vec_id").alias("chunk_id"), "embedding")
     q = v.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("question_id"), "document_id", "embedding")
     s = retrieval.cosine_scores(v, q).withColumn("r", F.round("emb_score", 9))
@@ -566,3 +557,6 @@ from o join g using (question_id, event_type, metric_name, dd, loc) group by que
 def record_merge(spark, d):
     r = insight.merge_records(_facts(spark, d))
     return r.select("question_id", "event_type", "metric_name", F.date_format("event_date", "yyyy-MM-dd").alias("event_date"), "location", "ord", "metric_value", "confidence", F.size("sources").cast("long").alias("n_sources"), F.array_join(F.transform("sources", lambda s: F.concat(s["document_id"], F.lit("/"), s["chunk_id"])), ",").alias("sources"))
+
+
+from . import queries_stages  # noqa: E402, F401  registers its queries here

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -71,6 +74,49 @@ class TableModel:
         return prompts.select("key").join(self.replies, "key")
 
 
+def fetch_http(requests: DataFrame, cfg: ExtractConfig = ExtractConfig(), agent: str = "evloom") -> DataFrame:
+    """FETCH_RESULT rows for requests (url), fetched by the executors; redirects are followed.
+
+    A body may have most_bytes bytes: a larger announced length is refused before the body is read, and a larger body where it goes
+    beyond. Any failure is a row with an error and without content; other status codes than 2xx are none. Deal the requests by domain
+    beforehand to be polite.
+    """
+    limit, timeout = cfg.most_bytes, cfg.timeout_s
+
+    def get(url: str) -> tuple:
+        now = dt.datetime.now(dt.UTC).replace(tzinfo=None)
+        try:
+            request = urllib.request.Request(url, headers={"User-Agent": agent})
+            try:
+                reply = urllib.request.urlopen(request, timeout=timeout)  # noqa: S310
+            except urllib.error.HTTPError as e:
+                reply = e
+            with reply:
+                known = (url, reply.geturl(), reply.status, reply.headers.get("Content-Type"))
+                announced = reply.headers.get("Content-Length")
+                if announced and announced.isdigit() and int(announced) > limit:
+                    return (*known, None, now, f"content too large: {announced} bytes announced")
+                body = bytearray()
+                while piece := reply.read(1 << 16):
+                    body += piece
+                    if len(body) > limit:
+                        return (*known, None, now, f"content too large: more than {limit} bytes")
+                return (*known, bytes(body), now, None)
+        except Exception as e:  # noqa: BLE001  whatever a remote host does is a row
+            return (url, url, None, None, None, now, str(e) or type(e).__name__)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["url", "final_url", "status_code", "header", "content_bytes", "fetched_at", "error"]
+        for f in frames:
+            for url in f["url"]:  # one at a time, so that a batch of large bodies is never held
+                yield pd.DataFrame([get(url)], columns=names).astype({"status_code": "Int32"})
+
+    got = requests.select("url").mapInPandas(run, "url string, final_url string, status_code int, header string, content_bytes binary, fetched_at timestamp, error string")
+    head = F.decode(F.substring("content_bytes", 1, 64), "ISO-8859-1")
+    kind = F.when(F.col("content_bytes").isNotNull(), sniff_type(F.col("header"), head)).otherwise(mime_type(F.col("header")))
+    return got.select("url", "final_url", "status_code", kind.alias("content_type"), "content_bytes", "fetched_at", "error")
+
+
 def fetch_table(requests: DataFrame, pages: DataFrame, cfg: ExtractConfig = ExtractConfig()) -> DataFrame:
     """FETCH_RESULT rows for requests (url) from a table pages (url, final_url, status_code, header, content_bytes, fetched_at).
 

@@ -25,10 +25,6 @@ def lookup(queries: DataFrame, cache: DataFrame, as_of: dt.datetime, hours: int
     return queries.join(good.select("cache_key", "results_json"), "cache_key", "left").withColumn("hit", F.col("results_json").isNotNull())
 
 
-def expired(cache: DataFrame, as_of: dt.datetime, hours: int = SearchConfig().cache_hours) -> DataFrame:
-    return cache.filter(F.col("created_at").cast("timestamp") < F.lit(as_of).cast("timestamp") - F.expr(f"interval {hours} hours"))
-
-
 def upsert(cache: DataFrame, new: DataFrame) -> DataFrame:
     """The cache with new entries in place of old ones: of each key the latest row, of equal times the new one."""
     both = cache.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
@@ -48,13 +44,14 @@ def results_of(hits: DataFrame) -> DataFrame:
 
 
 def cache_aside(queries: DataFrame, cache: DataFrame, backend, as_of: dt.datetime) -> tuple[DataFrame, DataFrame]:
-    """(results, new cache entries): hits from the cache, misses from backend(queries) -> rows with cache_key and RAW_RESULT columns.
+    """(results, new cache entries): hits from the cache, misses from backend(queries) -> rows with cache_key and RAW_RESULT columns,
+    asked once for each key.
 
     Queries without a result are cached too, as empty lists.
     """
     found = lookup(queries, cache, as_of)
     hits, misses = found.filter("hit"), found.filter("not hit").drop("results_json", "hit")
-    fetched = backend(misses)
+    fetched = backend(misses.groupBy("cache_key").agg(F.min("text").alias("text")))
     entries = misses.select("cache_key").distinct().join(payload(fetched), "cache_key", "left").select("cache_key", F.coalesce("results_json", F.lit("[]")).alias("results_json"), F.lit(as_of).cast("timestamp").alias("created_at"))
     every = found.drop("results_json", "hit").join(hits.select("cache_key", "results_json").unionByName(entries.select("cache_key", "results_json")).dropDuplicates(["cache_key"]), "cache_key")
     return results_of(every), entries

@@ -12,8 +12,3 @@ def unique_results(stream: DataFrame, time_col: str = "retrieved_at", delay: str
     """The first result of each question and canonical url within delay; state older than that is dropped."""
     rows = stream.withColumn("canonical_url", urls.canonical(F.col("url"))).withColumn("domain", urls.domain(F.col("url")))
     return rows.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(["question_id", "canonical_url"])
-
-
-def results_per_window(stream: DataFrame, time_col: str = "retrieved_at", window: str = "1 hour", delay: str = "24 hours") -> DataFrame:
-    rows = stream.withWatermark(time_col, delay)
-    return rows.groupBy(F.window(time_col, window), "question_id").agg(F.count("*").alias("n"))
