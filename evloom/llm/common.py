@@ -6,8 +6,10 @@ operators accept in place of a dictionary of all words.
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -21,13 +23,26 @@ WS_CLASS = r"\x20\x09-\x0D"
 WORD = rf"[^{WS_CLASS}]+"
 
 
+#: The temporary folder of this process, once there is one.
+_SCRATCH: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is named."""
+    """The shared folder that the cluster names in spark.checkpoint.dir.
+
+    Where none is named, a temporary one if driver and executors are one process, else one in the warehouse, which they share.
+    The session is left as it is.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="evloom-scratch-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    if named:
+        return named
+    master = spark.sparkContext.master or ""
+    if master != "local" and not master.startswith("local["):
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/evloom-scratch"
+    if "own" not in _SCRATCH:
+        _SCRATCH["own"] = tempfile.mkdtemp(prefix="evloom-scratch-")
+        atexit.register(shutil.rmtree, _SCRATCH["own"], ignore_errors=True)
+    return _SCRATCH["own"]
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -78,9 +93,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def text_key(text: Column) -> Column:
+    """The hash of a text, null taken as a text of its own."""
+    return F.xxhash64(text.cast("string"))
+
+
 def null_row(id_: Column, text: Column) -> Column:
     """What tells rows without an id apart, null where there is an id: beside the id a key of all rows but copies."""
-    return F.when(id_.isNull(), F.xxhash64(text.cast("string"))).alias("row")
+    return F.when(id_.isNull(), text_key(text)).alias("row")
 
 
 def free(spark: SparkSession) -> None:
@@ -145,6 +165,13 @@ def utf8(arr: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def small(batches, rows: int = 1024):
+    """The batches, cut into pieces of so many rows; what a task copies of them at once is bounded by these."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def chunks(off: np.ndarray, most: int = 1 << 19):
     """Ranges of rows of at most so many bytes, a longer row alone; bounds what numpy holds at once."""
     i, n = 0, len(off) - 1
@@ -189,7 +216,7 @@ def long_array(x: np.ndarray) -> pa.Array:
 
 def only_shared(rows: DataFrame) -> DataFrame:
     """Of distinct rows (key, sig) those whose key has two or more, with that number m; dealt by key once, since only pairs of
-    numbers travel."""
+    numbers travel. Neither may be null. A task holds its partition's numbers, 16 bytes a row."""
 
     def work(batches):
         keys, sigs = [], []
@@ -204,6 +231,7 @@ def only_shared(rows: DataFrame) -> DataFrame:
             m = np.repeat(size, size)
             keep = order[m > 1]
             yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(sig[keep]), pa.array(m[m > 1])], ["key", "sig", "m"])
+        release()
 
     return rows.repartition("key").mapInArrow(work, "key long, sig long, m long")
 
@@ -216,9 +244,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps: each joins and groups by node, with partial minimums
     before each shuffle, so that no component is ever gathered; the number of rounds grows with the
-    logarithm of the longest path. Every round is a table in the shared folder.
+    logarithm of the longest path. Every round is a table in the shared folder. Edges with a null end are no
+    links; repeated ones and loops change nothing; without edges the result is empty.
     """
-    e = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    e = materialize(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import itertools
 
 import numpy as np
@@ -10,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS_CLASS, chunks, discard, materialize, mix, null_row, only_shared, utf8, word_hashes
+from .common import WS_CLASS, chunks, discard, fits, free, materialize, mix, null_row, only_shared, release, small, utf8, word_hashes
 
 #: Lines of fewer words must be equal; longer ones may differ by one word put in, left out or replaced.
 MIN_WORDS = 8
@@ -19,10 +18,6 @@ LONG = 12
 GROUPS = 4
 #: A filter key over fewer words than this says too little; the line is taken without it.
 LEAST_KEY = 3
-#: Ids of documents with lines to expand are broadcast up to this number, else joined by a shuffle.
-BROADCAST_IDS = 2_000_000
-#: Numbers of dropped lines that are broadcast at most, some 40 MB; beyond, texts and lists are joined by a shuffle.
-BROADCAST_LINES = 1_000_000
 R1, R2 = 0xD6E8FEB86659FD93 & ~7 | 5, 0xA0761D6478BD642F & ~7 | 5
 _INV1, _INV2 = (np.uint64(pow(r, -1, 1 << 64)) for r in (R1, R2))
 _SALT = np.uint64(0x8EBC6AF09C88C6E3)
@@ -102,14 +97,19 @@ LINE, PLAIN = -2, -3
 
 def _scan(docs: DataFrame) -> DataFrame:
     """One reading of (id, text). For the first of each document's equal lines a row (doc, line, h1, a = second hash, i = LINE or PLAIN,
-    k0..k5, row), and for the short of them their neighbourhoods, rows (doc, line, h1, a, b, i, row)."""
+    k0..k5, row), and for the short of them their neighbourhoods, rows (doc, line, h1, a, b, i, row).
+
+    A task expands a short line again only where it comes in an earlier place than before, so that a line of very many documents
+    makes a few rows for each task.
+    """
     schema = docs.select(F.col("id").alias("doc")).schema
     for c in ("line", "h1", "a", "b", "i", *[f"k{k}" for k in range(len(PAIRS))], "row"):
         schema = schema.add(c, "long")
     none = lambda n: [pa.nulls(n, pa.int64())] * len(PAIRS)
 
     def work(batches):
-        for b in batches:
+        seen: dict[int, tuple] = {}
+        for b in small(batches):
             data, off = utf8(b.column(1))
             for i, j in chunks(off):
                 x = Lines(data[off[i] : off[j]], off[i : j + 1] - off[i])
@@ -121,8 +121,17 @@ def _scan(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(x.row[f])), *map(_array, (x.number[f], x.key[0][f], x.key[1][f], x.key[1][f], np.where(long_ & weak, PLAIN, LINE))), *[pa.array(keys[:, k].view(np.int64), mask=~long_ | few[:, k]) for k in range(len(PAIRS))], rows.take(pa.array(x.row[f]))], names=schema.names)
                 # lines of LONG words too: they may pair with a shorter one, which has no filter keys
                 short = f[(x.words[f] >= MIN_WORDS) & (x.words[f] <= LONG)]
+                names, kinds = ids.to_pylist(), rows.to_pylist()
+                earlier = np.zeros(len(short), bool)
+                for at, (h, r, line) in enumerate(zip(x.key[0][short].tolist(), x.row[short].tolist(), x.number[short].tolist(), strict=True)):
+                    place = (names[r] is not None, kinds[r] if names[r] is None else names[r], line)
+                    if h not in seen or place < seen[h]:
+                        seen[h], earlier[at] = place, True
+                short = short[earlier]
                 line, gone, keys = x.neighbourhood(short)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(x.row[line])), *map(_array, (x.number[line], x.key[0][line], keys[0], keys[1], gone)), *none(len(line)), rows.take(pa.array(x.row[line]))], names=schema.names)
+        seen.clear()
+        release()
 
     return docs.select("id", "text", "row").mapInArrow(work, schema)
 
@@ -134,7 +143,7 @@ def _neighbourhoods(texts: DataFrame) -> DataFrame:
         schema = schema.add(c, "long")
 
     def work(batches):
-        for b in batches:
+        for b in small(batches):
             data, off = utf8(b.column(1))
             for i, j in chunks(off):
                 x = Lines(data[off[i] : off[j]], off[i : j + 1] - off[i])
@@ -146,6 +155,7 @@ def _neighbourhoods(texts: DataFrame) -> DataFrame:
                     line, gone, keys = x.neighbourhood(f[lo : lo + 4096])
                     ids, rows = (b.column(c).slice(i, j - i).take(pa.array(x.row[line])) for c in (0, 3))
                     yield pa.RecordBatch.from_arrays([ids, *map(_array, (x.number[line], x.key[0][line], keys[0], keys[1], gone)), rows], names=schema.names)
+        release()
 
     return texts.mapInArrow(work, schema)
 
@@ -180,7 +190,9 @@ def _later_lines(rows: DataFrame) -> DataFrame:
     # copies of a line have places of their own: compare with the first
     own = rows.filter("i = -1").groupBy("h1").agg(F.min("place").alias("own"))
     longer = longer.join(own, "h1").filter("wp < own").select("h1")
-    return replaced.unionByName(shorter).unionByName(longer).distinct()
+    near = materialize(replaced.unionByName(shorter).unionByName(longer).distinct(), "later-lines")
+    discard(group, met)
+    return near
 
 
 def drop_lines(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -207,22 +219,20 @@ def drop_lines(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_
     suspects = only_shared(distinct.select(F.explode(F.array(*keys)).alias("key"), F.col("h1").alias("sig")).filter("key is not null")).select(F.col("sig").alias("h1")).distinct()
     wanted = distinct.filter(F.col("i") == PLAIN).select("doc", "row", "line").unionByName(filtered.join(suspects, "h1", "left_semi").select("doc", "row", "line"))
     wanted = materialize(wanted.groupBy(F.col("doc").alias("__doc"), F.col("row").alias("__row")).agg(F.collect_set("line").alias("wanted")), "suspects")
-    few = wanted.select("__doc", "__row")
-    few = F.broadcast(few) if wanted.count() <= BROADCAST_IDS else few
+    few = fits(wanted.select("__doc", "__row"))
     here = F.col("id").eqNullSafe(F.col("__doc")) & F.col("row").eqNullSafe(F.col("__row"))
     texts = docs.join(few, here, "left_semi").join(wanted, here).select("id", "text", "wanted", "row")
     columns = ["doc", "line", "h1", "a", "b", "i", "row"]
-    rows = materialize(_neighbourhoods(texts), "neighbourhoods").select(*columns).unionByName(scan.filter(F.col("i") > LINE).select(*columns))
-    near = materialize(_later_lines(rows.select("h1", "a", "b", "i", place.alias("place"))), "later-lines").withColumn("near", F.lit(True))
-    verdict = distinct.select("h1", "h2", F.col("doc").alias("first"), F.col("row").alias("first_row")).join(near, "h1", "left")
+    expanded = materialize(_neighbourhoods(texts), "neighbourhoods")
+    rows = expanded.select(*columns).unionByName(scan.filter(F.col("i") > LINE).select(*columns))
+    near = _later_lines(rows.select("h1", "a", "b", "i", place.alias("place")))
+    verdict = distinct.select("h1", "h2", F.col("doc").alias("first"), F.col("row").alias("first_row")).join(near.withColumn("near", F.lit(True)), "h1", "left")
     gone = lines.select("doc", "row", "line", "h1", "h2").join(verdict, ["h1", "h2"]).filter("near or not (doc <=> first and row <=> first_row)")
     gone = gone.groupBy(F.col("doc").alias("__doc"), F.col("row").alias("__row")).agg(F.collect_list(F.struct("line", F.coalesce("near", F.lit(False)).alias("near"))).alias("gone"))
     gone = materialize(gone, "dropped-lines")
-    if gone.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0] <= BROADCAST_LINES:
-        gone = F.broadcast(gone)
-    discard(scan, distinct)
-    gc.collect()
-    spark._jvm.System.gc()  # lets Spark drop the files of shuffles that are over, before the texts are dealt
+    gone = fits(gone)
+    discard(scan, distinct, wanted, expanded, near)
+    free(spark)  # before the texts are dealt
     if keep is None:
         return _rewrite(docs.join(gone, here, "left").select(F.col("id").alias(id_col), "text", "gone"), 1, "")
     full = df.select(*keep, F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__t"), null_row(F.col(id_col), F.col(text_col)).alias("__r"))
@@ -237,7 +247,7 @@ def _rewrite(rows: DataFrame, kept: int, prefix: str) -> DataFrame:
         schema = schema.add(prefix + name, kind)
 
     def work(batches):
-        for b in batches:
+        for b in small(batches):
             data, off = utf8(b.column(kept))
             texts, gone = b.column(kept).to_pylist(), b.column(kept + 1).to_pylist()
             for i, j in chunks(off):
@@ -256,6 +266,7 @@ def _rewrite(rows: DataFrame, kept: int, prefix: str) -> DataFrame:
                     text = "\n".join(l for n, l in enumerate(texts[i + r].split("\n")) if n not in drop) if drop else texts[i + r]
                     out.append((len(numbers), len(exact | again), len(near), text))
                 yield pa.RecordBatch.from_arrays([*[c.slice(i, j - i) for c in b.columns[:kept]], *[pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]], names=schema.names)
+        release()
 
     return rows.mapInArrow(work, schema)
 

@@ -36,7 +36,6 @@ def _repeat_words(words: Column, n: int) -> Column:
 
     def marked(s: Column) -> Column:
         at = F.sequence(F.lit(0), F.size(s) - 1)
-        twice = lambda i: (F.get(s, i)["h"] == F.get(s, i - 1)["h"]) | (F.get(s, i)["h"] == F.get(s, i + 1)["h"])
         return F.array_sort(F.transform(F.filter(at, lambda i: F.coalesce(F.get(s, i)["h"] == F.get(s, i - 1)["h"], F.lit(False)) | F.coalesce(F.get(s, i)["h"] == F.get(s, i + 1)["h"], F.lit(False))), lambda i: F.get(s, i)["i"]))
 
     covered = lambda p: F.aggregate(p, F.struct(F.lit(0).alias("n"), F.lit(-n).alias("last")), lambda a, i: F.struct((a["n"] + F.least(i - a["last"], F.lit(n))).alias("n"), i.alias("last")))["n"]
