@@ -134,6 +134,28 @@ def test_embeddings_brute_force(spark, tiny, monkeypatch):
     assert embed_dedup.near_duplicates(spark, df.limit(0)).count() == 0
 
 
+def test_forest_of_many_leaves(spark, monkeypatch):
+    """20,000 vectors of one label, and a sample of which most leaves must be split further: every link is found."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((12_000, 32))
+    x = np.concatenate([base, base[:6000] + rng.standard_normal((6000, 32)) * 0.13, np.repeat(base[:20], 100, 0) + rng.standard_normal((2000, 32)) * 0.02])
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = np.concatenate([(unit[i : i + 1000] @ unit.T >= embed_dedup.THRESHOLD).sum(1) - 1 for i in range(0, len(x), 1000)])
+    assert want.sum() > 100_000
+    for fit_rows in (embed_dedup.FIT_ROWS, 500):
+        got = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(spark, df, fit_rows=fit_rows).collect()}
+        found = np.array([got[i] for i in range(len(x))])
+        assert (found <= want).all() and found.sum() >= 0.9999 * want.sum()
+
+
+def test_vectors_with_repeated_and_null_ids(spark):
+    a, b, c = [1.0, 0.0], [1.0, 0.01], [0.0, 1.0]
+    rows = [(1, a, 1), (1, c, 1), (None, b, 1), (None, c, 2), (2, a, 1), (2, a, 1), (3, c, 1), (4, [0.0, -1.0], 1), (5, [-0.0, 1.0], 1), (None, None, 1)]
+    got = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in embed_dedup.near_duplicates(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()]
+    assert sorted(got, key=str) == sorted([(1, 3, 1, True), (1, 2, 1, True), (None, 3, 1, False), (None, 0, None, False), (2, 3, 1, False), (2, 3, 1, False), (3, 2, 1, False), (4, 0, 4, True), (5, 2, 1, False), (None, 0, None, False)], key=str)
+
+
 # ---------------------------------------------------------------- urls
 
 
@@ -201,6 +223,31 @@ def test_language_windows_change_nothing(spark, monkeypatch):
     assert got == Counter({(int(b), int(r)): n for (b, r), n in want.items()})
 
 
+def test_language_model_by_hand(spark):
+    """The classifier again with a dict of counts: same buckets, posteriors to the precision of its weights."""
+    d = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
+    rows = d.collect()
+    import zlib
+
+    buckets = lambda t: np.concatenate([b for b in lang_id._buckets(lang_id._codes(f" {t} "))])
+    count, docs_of = defaultdict(Counter), Counter()
+    for r in rows:
+        if r.text is not None and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            count[r.lang].update(buckets(r.text).tolist())
+            docs_of[r.lang] += 1
+    got = {r.doc_id: r for r in lang_id.identify(spark, d).collect()}
+    total = {k: sum(c.values()) + 0.1 * 2**lang_id.BITS for k, c in count.items()}
+    for r in rows:
+        if not re.search(r"[^\W\d_]", r.text or ""):
+            continue
+        grams = Counter(buckets(r.text).tolist())
+        logs = {k: math.log(docs_of[k] / sum(docs_of.values())) + sum(n * math.log((count[k][b] + 0.1) / total[k]) for b, n in grams.items()) for k in count}
+        best = max(logs, key=logs.get)
+        p = 1 / sum(math.exp(v - logs[best]) for v in logs.values())
+        assert got[r.doc_id].lang_pred == best and got[r.doc_id].score == pytest.approx(p, abs=1e-3)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
 def test_language_without_letters(spark):
     rows = [(i, "le la les des une", "fr", None, 0) for i in range(20)] + [(50 + i, "der die das ein", "de", None, 0) for i in range(20)] + [(99, "12 !?", "de", None, 0)]
     got = {r.doc_id: r for r in lang_id.identify(spark, spark.createDataFrame(rows, DOCS)).collect()}
@@ -254,6 +301,27 @@ def test_near_copy_chains(spark):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("block", [2, 64])
+def test_large_group_just_below_the_threshold(spark, block, monkeypatch):
+    """A hub, sets that link with it, and many that lie just below: large blocks, tiles and R-trees find what brute force finds."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "TILE", 20)
+    rng = random.Random(12)
+    vocab = [f"v{i}" for i in range(5000)]
+    base = [rng.choice(vocab) for _ in range(120)]
+    rows = []
+    for i in range(220):
+        w = list(base)
+        for _ in range(2 if i % 3 == 0 else rng.choice([4, 5, 6])):
+            w[rng.randrange(len(w))] = rng.choice(vocab)
+        rows.append((i, " ".join(w)))
+    passage = base[:50]
+    rows += [(300 + i, " ".join([*(rng.choice(vocab) for _ in range(70)), *passage])) for i in range(100)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_components(rows)
+    assert got == want and 20 < len({c for _, c in want.values()}) < 320
+
+
 def test_rtree_loses_nothing():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 400, dtype=np.uint64)
@@ -311,6 +379,48 @@ def test_secrets(spark):
     assert sum(rows[70 + i].n_random for i in range(60)) == 0
 
 
+def test_battery_by_hand(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for letters in secrets_scan.ENCODINGS.values() for n in (20, 33, 150) for _ in range(15)]
+    texts += ["abcdefghijklmnopqrstuvwxyz0123456789", "a" * 40, "hello-there-this-is-a-slug-2024", "0123456789" * 4]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", secrets_scan._battery(F.col("t")).alias("z")).select("t", "z.*").collect()
+    two = lambda z: math.erfc(abs(z) / math.sqrt(2))
+    for r in rows:
+        name = next(k for k, letters in secrets_scan.ENCODINGS.items() if set(r.t) <= set(letters))
+        letters, n = secrets_scan.ENCODINGS[name], len(r.t)
+        assert r.encoding == name
+        pairs, mean = sum(c * (c - 1) // 2 for c in Counter(r.t).values()), n * (n - 1) / 2 / (64 if name == "base64" else len(letters))
+        upto = lambda c: sum(math.exp(-mean + k * math.log(mean) - math.lgamma(k + 1)) for k in range(c + 1))  # noqa: B023, E731
+        assert r.chi == pytest.approx(min(1, 2 * min(upto(pairs), 1 - upto(pairs - 1))), abs=0.02)
+        half = [letters.index(c) >= len(letters) // 2 for c in r.t]
+        share = (len(letters) - len(letters) // 2) / len(letters)
+        p = 2 * share * (1 - share)
+        assert r.runs == pytest.approx(two((sum(a != b for a, b in zip(half, half[1:], strict=False)) - (n - 1) * p) / math.sqrt((n - 1) * p * (1 - p))), abs=1e-5)
+        at = [letters.index(c) - (len(letters) - 1) / 2 for c in r.t]
+        assert r.serial == pytest.approx(two(sum(a * b for a, b in zip(at, at[1:], strict=False)) / ((len(letters) ** 2 - 1) / 12 * math.sqrt(n - 1))), abs=1e-5)
+        x = -sum(math.log(max(v, 1e-300)) for v in (r.chi, r.runs, r.serial))
+        assert r.p == pytest.approx(math.exp(-x) * (1 + x + x * x / 2))
+
+
+def test_planted_secrets_among_ordinary_strings(spark):
+    """Keys that no pattern knows, some without digits, among slugs, paths, identifiers and numbers: of 40 characters and more 9 of 10 are
+    found; keys of 24 only where few ordinary strings of their length come as near; 1 of 20 found is ordinary at most."""
+    rng = random.Random(11)
+    words = "the of and page report data news index health update green final table north river model".split()
+    b64, b32 = secrets_scan.ENCODINGS["base64"][:62] + "+/", secrets_scan.ENCODINGS["base32"]
+    secret = ["".join(rng.choice(a) for _ in range(n)) for a in (b64, b64[:52], b32) for n in (24, 40, 64) for _ in range(40)]
+    plain = ["-".join(rng.choice(words) for _ in range(rng.randrange(5, 9))) + rng.choice(["", "-2024", "-17"]) for _ in range(500)] + ["/".join(rng.choice(words) for _ in range(7)) for _ in range(200)]
+    plain += [f"{rng.randrange(10**12):012d}0000000000" for _ in range(100)] + ["".join(rng.choice(words).title() for _ in range(6)) for _ in range(200)]
+    texts = [f"see {x} there" for x in secret + plain]
+    rows = {r.doc_id: r for r in secrets_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = sum(rows[i].n_random for i in range(len(secret)))
+    wrong = sum(rows[i].n_random for i in range(len(secret), len(texts)))
+    long_ = [i for i, x in enumerate(secret) if len(x) >= 40]
+    print({(k, n): sum(rows[i].n_random for i in range(len(secret)) if i // 120 == k and len(secret[i]) == n) for k in range(3) for n in (24, 40, 64)}, wrong)
+    assert sum(rows[i].n_random for i in long_) >= 0.9 * len(long_) and wrong <= 0.05 * (found + wrong)
+    assert all(rows[i].spans == f"random:4:{4 + len(x)}" for i, x in enumerate(secret) if rows[i].n_random)
+
+
 # ---------------------------------------------------------------- BPE
 
 
@@ -638,6 +748,14 @@ def test_near_copies_without_an_id(spark):
 # ---------------------------------------------------------------- pipeline
 
 
+def test_repeated_ids_with_other_texts_stay(spark):
+    near = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(near)), (2, " ".join([*near[:-1], "x"])), (2, "quite another text of the same id"), (2, "quite another text of the same id"), (3, "quite another text of the same id"), (None, "no id"), (4, "")]
+    d = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], DOCS)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.join_near_copies(spark, d, SF).collect()), key=str)
+    assert got == sorted([rows[0], rows[2], rows[5], rows[6]], key=str)
+
+
 def test_pipeline_stages(spark, docs):
     _, identify, = corpus_pipeline.STAGES[0]
     rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in docs.collect()] + [(10**6, "12345 !!", "en", "a", 8), (10**6 + 1, None, None, None, None)]
