@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evloom.llm import bpe, lang_id, line_dedup, mixing, ngram_join
-from evloom.llm.common import materialize
+from evloom.llm.common import materialize, text_key
 from evloom.llm.queries import table, tokenizer_path
 
 
@@ -29,10 +29,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays, and of rows that repeat an id one; rows without an id stay."""
-    groups = ngram_join.jaccard_components(spark, docs)
-    stay = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Of each group of near copies the document with the smallest id stays; rows without an id stay, and of rows that repeat id and text one."""
+    groups = ngram_join.jaccard_components(spark, docs, one_of_each=True)
+    stay = groups.filter("first").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    named = docs.filter("doc_id is not null").withColumn("__key", text_key(F.col("text")))
+    named = named.join(stay.withColumnRenamed("__id", "doc_id"), ["doc_id", "__key"], "left_semi").dropDuplicates(["doc_id", "__key"])
     return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
