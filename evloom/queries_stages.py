@@ -152,15 +152,19 @@ def parser_choice(spark, d):
     return t(spark, d, "pages").select("page_id", F.concat(F.lit("http://p/"), "page_id").alias("url"), extract.parser_of(mime, F.substring("html", 1, 64)).alias("parser"), extract.document_type(mime).alias("document_type"))
 
 
-#: Pages built from documents: the first 25 words of each, made up to that number.
-_W25 = "list_concat(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+')[:25], list_transform(generate_series(1, 25), lambda i: 'pad' || i))"
-_SQL_PAGE = f"""b as (select doc_id, {_W25} w from documents),
-pg as (select doc_id, w, w[1] || ' ' || w[2] h1, array_to_string(w[3:8], ' ') p1, array_to_string(w[9:12], ' ') p2, w[13] h2, array_to_string(w[14:16], ' ') p3, w[17] cap, w[18] c1, w[19] c2, w[20] h3, array_to_string(w[21:22], ' ') p4, w[23] h2b, array_to_string(w[24:25], ' ') p5 from b)"""
+#: Pages built from documents: all words of each, made up to 25 at least.
+_WORDS25 = "list_concat(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+'), list_transform(generate_series(1, 25), lambda i: 'pad' || i))"
+_SQL_PAGE = f"""b as (select doc_id, {_WORDS25} w from documents),
+pg as (select doc_id, w, w[1] || ' ' || w[2] h1, array_to_string(w[3:8], ' ') p1, array_to_string(w[9:12], ' ') p2, w[13] h2, array_to_string(w[14:16], ' ') p3, w[17] cap, w[18] c1, w[19] c2, w[20] h3, array_to_string(w[21:22], ' ') p4, w[23] h2b, array_to_string(w[24:], ' ') p5 from b)"""
+
+
+def _padded(spark, d) -> DataFrame:
+    w = F.concat(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z0-9]+"), F.lit(0)), F.array(*[F.lit(f"pad{i}") for i in range(1, 26)]))
+    return t(spark, d, "documents").select("doc_id", w.alias("w"))
 
 
 def _built(spark, d) -> DataFrame:
-    w = F.concat(F.slice(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z0-9]+"), F.lit(0)), 1, 25), F.array(*[F.lit(f"pad{i}") for i in range(1, 26)]))
-    x = t(spark, d, "documents").select("doc_id", w.alias("w"))
+    x = _padded(spark, d)
     words = lambda a, b=None: F.array_join(F.slice("w", a, (b or a) - a + 1), " ")
     k = F.col("doc_id")
     title = F.when(k % 3 < 2, F.concat(F.lit("<title> "), words(2, 4), F.lit("\n</title>"))).otherwise("")
@@ -168,7 +172,7 @@ def _built(spark, d) -> DataFrame:
     date = F.when(k % 4 == 0, '<meta property="article:published_time" content="2024-03-05T10:20:30Z"/>').when(k % 4 == 3, '<meta name="publication_date" content="March 5, 2024">').otherwise("")
     time = F.when(k % 4 == 1, '<time datetime="2024-03-06">x</time>').otherwise("")
     lang = F.when(k % 2 == 0, "en-US").otherwise("DE")
-    page = F.concat(F.lit("<!DOCTYPE html><html lang='"), lang, F.lit("'><head>"), title, og, date, F.lit("<style>p {}</style></head><body><nav><p>menu item</p></nav><h1>"), words(1, 2), F.lit("</h1>\n<p>"), words(3, 8), F.lit("<p>"), words(9, 12), F.lit("</p><h2> "), words(13), F.lit("</h2><p>"), words(14, 16), F.lit("</p><table><caption>"), words(17), F.lit("</caption><tr><th>a</th><th>b</th></tr><tr></tr><tr><td>"), words(18), F.lit("</td><td> "), words(19), F.lit(" </td></tr></table><h3>"), words(20), F.lit("</h3><p> </p><p>"), words(21, 22), F.lit("</p><h2>"), words(23), F.lit("</h2><p>"), words(24, 25), F.lit("</p>"), time, F.lit("<script>no()</script></body></html>"))
+    page = F.concat(F.lit("<!DOCTYPE html><html lang='"), lang, F.lit("'><head>"), title, og, date, F.lit("<style>p {}</style></head><body><nav><p>menu item</p></nav><h1>"), words(1, 2), F.lit("</h1>\n<p>"), words(3, 8), F.lit("<p>"), words(9, 12), F.lit("</p><h2> "), words(13), F.lit("</h2><p>"), words(14, 16), F.lit("</p><table><caption>"), words(17), F.lit("</caption><tr><th>a</th><th>b</th></tr><tr></tr><tr><td>"), words(18), F.lit("</td><td> "), words(19), F.lit(" </td></tr></table><h3>"), words(20), F.lit("</h3><p> </p><p>"), words(21, 22), F.lit("</p><h2>"), words(23), F.lit("</h2><p>"), F.array_join(F.slice("w", F.lit(24), F.size("w")), " "), F.lit("</p>"), time, F.lit("<script>no()</script></body></html>"))
     return x.select("doc_id", page.alias("html"))
 
 
@@ -217,15 +221,16 @@ def pdf_sections(spark, d):
     return s.select("document_id", "pos", "section_path", "page_number", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
-@query(f"""with b as (select doc_id, {_W25} w from documents), l as (select doc_id::varchar doc_id, i, case when i % 5 in (1, 2, 3) then w[i:i+2] else [w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3]] end cells from b cross join generate_series(1, 12) s(i)),
-p as (select doc_id from l group by doc_id having count(*) filter (length(array_to_string(cells, ' ')) < 60) > 6)
-select doc_id, 1 page, (i // 5)::int ord, 3::int n_rows, string_agg(array_to_string(cells, '|'), '/' order by i) cells from l join p using (doc_id) where len(cells) = 3 and i < 11 group by doc_id, i // 5""")
+@query(f"""with b as (select doc_id, {_WORDS25} w from documents), l as (select doc_id::varchar doc_id, (i // 10 + 1)::int page, i % 10 j, case when i % 5 in (1, 2, 3) then w[i+1:i+3] else [array_to_string(w[i+1:i+4], ' ')] end cells from (select doc_id, w, unnest(generate_series(0, len(w) - 4)) i from b)),
+p as (select doc_id, page from l group by all having count(*) >= 3 and count(*) filter (length(array_to_string(cells, ' ')) < 60) > count(*) * 0.5),
+r as (select doc_id, page, j // 5 part, count(*)::int n_rows, string_agg(array_to_string(cells, '|'), '/' order by j) cells from l join p using (doc_id, page) where len(cells) = 3 group by all having count(*) >= 2)
+select doc_id, page, (row_number() over (partition by doc_id, page order by part) - 1)::int ord, n_rows, cells from r""")
 def pdf_tables(spark, d):
-    w = F.concat(F.slice(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z0-9]+"), F.lit(0)), 1, 25), F.array(*[F.lit(f"pad{i}") for i in range(1, 26)]))
-    x = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), w.alias("w")).select("*", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("i"))
-    cells = F.when((F.col("i") % 5).isin(1, 2, 3), F.slice("w", F.col("i"), F.lit(3))).otherwise(F.array(F.array_join(F.slice("w", F.col("i"), F.lit(4)), " ")))
-    spans = x.select("doc_id", F.lit(1).alias("page"), F.lit(0).alias("block"), F.col("i").alias("line"), F.posexplode(cells).alias("span", "text"), F.lit(10.0).alias("size"), F.lit(0).alias("flags"))
-    found = extract.pdf_tables(spans).filter(F.size("table_rows") == 3)
+    """Lines of all overlapping runs of words, ten a page; three of five are rows of three cells."""
+    x = _padded(spark, d).select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 4)).alias("i"))
+    cells = F.when((F.col("i") % 5).isin(1, 2, 3), F.slice("w", F.col("i") + 1, F.lit(3))).otherwise(F.array(F.array_join(F.slice("w", F.col("i") + 1, F.lit(4)), " ")))
+    spans = x.select(F.col("doc_id").cast("string").alias("doc_id"), F.floor(F.col("i") / 10 + 1).cast("int").alias("page"), F.lit(0).alias("block"), (F.col("i") % 10).alias("line"), F.posexplode(cells).alias("span", "text"), F.lit(10.0).alias("size"), F.lit(0).alias("flags"))
+    found = extract.pdf_tables(spans, dataclasses.replace(ExtractConfig(), most_pages=1 << 30))
     return found.select("doc_id", "page", "ord", F.size("table_rows").alias("n_rows"), F.array_join(F.transform("table_rows", lambda r: F.array_join(r, "|")), "/").alias("cells"))
 
 
