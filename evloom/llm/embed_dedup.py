@@ -9,16 +9,19 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import components, materialize
+from .common import components, discard, fits, materialize, release
 
 THRESHOLD = 0.98
 TREES = 4
 #: The forest is fitted on at most so many vectors; every vector is then indexed.
 FIT_ROWS = 16384
 #: Vectors wished for in a leaf, the fewest of the sample that may fix a split, and rows of a compared tile.
-LEAF, SPLIT_SAMPLE, TILE = 1500, 16, 2000
+LEAF, SPLIT_SAMPLE, TILE = 500, 16, 2000
+#: Splits of a leaf after the sample's are used up.
+FURTHER = 40
+#: A split that sends more than this share of the sample both ways makes more rows than it saves pairs.
+MOST_SPILL = 0.3
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -26,53 +29,79 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def depth_for(n: int) -> int:
+    return max(0, math.ceil(math.log2(max(n, 1) / LEAF)))
+
+
 class Tree:
     """Random splits at the sample's median. A vector within `spill` of a split goes both ways, so that two linked
-    vectors part only if a random direction tells them apart by more than twice that."""
+    vectors part only if a random direction tells them apart by more than twice that.
+
+    Where the sample is used up, splits go on along one direction for each level, at the mean of what the leaf has of the
+    sample; so leaves stay small whatever the number of vectors, and the tree as large as its sample.
+    """
 
-    def __init__(self, sample: np.ndarray, depth: int, spill: float, rng: np.random.Generator):
+    def __init__(self, sample: np.ndarray, spill: float, rng: np.random.Generator):
         self.spill = spill
         self.nodes: list[tuple[np.ndarray, float, int, int] | None] = []
-        self._grow(sample, depth, rng)
+        self.directions = rng.standard_normal((FURTHER, sample.shape[1]))
+        self.directions /= np.linalg.norm(self.directions, axis=1, keepdims=True)
+        self.cuts: dict[int, np.ndarray] = {}
+        self._grow(sample, rng)
 
-    def _grow(self, x: np.ndarray, depth: int, rng: np.random.Generator) -> int:
+    def _grow(self, x: np.ndarray, rng: np.random.Generator) -> int:
         at = len(self.nodes)
         self.nodes.append(None)
-        if depth > 0 and len(x) >= 2 * SPLIT_SAMPLE:
+        if len(x) >= 2 * SPLIT_SAMPLE:
             direction = rng.standard_normal(x.shape[1])
             direction /= np.linalg.norm(direction)
             p = x @ direction
             cut = float(np.median(p))
             left, right = p <= cut + self.spill, p >= cut - self.spill
-            if max(left.mean(), right.mean()) < 0.9:  # else the sample lies too close for a split to help
-                self.nodes[at] = (direction, cut, self._grow(x[left], depth - 1, rng), self._grow(x[right], depth - 1, rng))
+            if (left & right).mean() < MOST_SPILL and max(left.sum(), right.sum()) < len(x):
+                self.nodes[at] = (direction, cut, self._grow(x[left], rng), self._grow(x[right], rng))
+                return at
+        p = x @ self.directions.T
+        cuts = p.mean(0) if len(x) else np.zeros(FURTHER)
+        # splits that would send nearly all both ways are left out
+        useful = (np.abs(p - cuts) <= self.spill).mean(0) < MOST_SPILL if len(x) else np.zeros(FURTHER, bool)
+        self.cuts[at] = np.where(useful, cuts, np.nan)
         return at
 
-    def leaves(self, x: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """(leaf, rows of x in it)."""
-        out, todo = [], [(0, np.arange(len(x)))]
+    def leaves(self, x: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
+        """(leaf, rows of x in it) after so many splits, or all that help."""
+        out, todo = [], [(0, np.arange(len(x)), 0)]
         while todo:
-            at, rows = todo.pop()
+            at, rows, d = todo.pop()
+            if not len(rows):
+                continue
             node = self.nodes[at]
-            if node is None:
-                if len(rows):
-                    out.append((at, rows))
+            if node is None or d == depth:
+                out += self._further(at, x, rows, depth - d)
                 continue
             p = x[rows] @ node[0]
-            todo += [(node[2], rows[p <= node[1] + self.spill]), (node[3], rows[p >= node[1] - self.spill])]
+            todo += [(node[2], rows[p <= node[1] + self.spill], d + 1), (node[3], rows[p >= node[1] - self.spill], d + 1)]
         return out
 
-
-def fit_forest(labels: np.ndarray, x: np.ndarray, counts: dict, trees: int, threshold: float, seed: int = 7) -> dict:
-    """label: [Tree] for every label of the sample; counts has how many vectors each label has in all."""
-    rng = np.random.default_rng(seed)
-    spill = math.sqrt(2 - 2 * threshold) / math.sqrt(x.shape[1]) if x.size else 0.0
-    depth = {k: max(0, math.ceil(math.log2(max(n, 1) / LEAF))) for k, n in counts.items()}
-    return {k: [Tree(x[labels == k], depth[k], spill, rng) for _ in range(trees)] for k in sorted(depth)}
+    def _further(self, at: int, x: np.ndarray, rows: np.ndarray, splits: int) -> list[tuple[int, np.ndarray]]:
+        done = [(at << FURTHER, rows)]
+        levels = np.flatnonzero(~np.isnan(self.cuts[at]))[:splits] if splits > 0 and at in self.cuts else []
+        for bit, level in enumerate(levels):
+            new = []
+            for leaf, inside in done:
+                p = x[inside] @ self.directions[level] - self.cuts[at][level]
+                new += [(leaf, inside[p <= self.spill]), (leaf | 1 << bit, inside[p >= -self.spill])]
+            done = [(leaf, inside) for leaf, inside in new if len(inside)]
+        return done
 
 
-def _matrix(col: pa.Array, like: str) -> np.ndarray:
-    return np.array([np.frombuffer(v, like) for v in col.to_pylist()], dtype=float)
+def fit_forest(labels: np.ndarray, x: np.ndarray, trees: int, threshold: float, seed: int = 7) -> dict:
+    """label: [Tree] for every label with enough of the sample for a split; None: [Tree] for all others, of the whole sample."""
+    rng = np.random.default_rng(seed)
+    spill = math.sqrt(2 - 2 * threshold) / math.sqrt(x.shape[1])
+    names, n = np.unique(labels, return_counts=True)
+    forest: dict = {str(k): [Tree(x[labels == k], spill, rng) for _ in range(trees)] for k in names[n >= 2 * SPLIT_SAMPLE]}
+    return forest | {None: [Tree(x, spill, rng) for _ in range(trees)]}
 
 
 def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, trees: int = TREES, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -80,87 +109,91 @@ def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "vec_id",
 
     Rows link if their labels are equal and not null and the cosine, in doubles, is at least threshold. A vector that is null,
     empty, zero, or has null or non-finite components links with nothing and is its own component; so does one whose label
-    is null, and vectors of different lengths never link. Equal vectors are one class from the start: its
+    is null, and vectors of different labels or lengths never link. Equal vectors are one class from the start: its
     rows link with each other, and only the class enters the forest. Every class goes to one or more leaves of each tree;
     all pairs within a leaf are compared, those of a large leaf tile by tile, and a pair that meets in several leaves counts in the
-    first of them. Leaves send back sums and one edge for each class, never pairs. Rows with a null id count as links but have a null
-    component_id of their own. An empty table gives an empty result.
+    first of them. Leaves send back sums and one edge for each class, never pairs. Rows with a null id count as links, have the
+    smallest id of their component, if any has one, and are not kept; rows that repeat an id are judged each by its own vector.
+    An empty table gives an empty result.
     """
-    like = "<f8"
+    narrow = df.schema[vec_col].dataType.simpleString() == "array<float>"  # these are doubles of four bytes
+    like, made = ("<f4" if narrow else "<f8"), []
+
+    def keep(t: DataFrame, tag: str) -> DataFrame:
+        made.append(materialize(t, tag))
+        return made[-1]
+
     vec = F.col(vec_col).cast("array<double>")
     good = F.coalesce(F.col(label_col).isNotNull() & (F.size(vec) > 0) & ~F.exists(vec, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(vec, lambda v: v != 0), F.lit(False))
-    base = df.select(F.col(id_col).alias("id"), F.when(good, F.concat_ws("/", F.col(label_col).cast("string"), F.size(vec).cast("string"))).alias("label"), F.when(good, vec).alias("vec"))
-    classes = materialize(base.filter("label is not null").groupBy("label", "vec").agg(F.min("id").alias("id"), F.count("*").alias("n")), "vector-classes")
-    counts = {r.label: r["count"] for r in classes.groupBy("label").count().orderBy(F.desc("count"), "label").limit(10_000).collect()}
-    share = min(1.0, fit_rows / max(1, sum(counts.values())))
-    sample = classes.filter(F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 40)) < int(share * 2**40)).select("label", "vec").limit(2 * fit_rows).collect() if counts else []
+    # minus zero is zero
+    base = df.select(F.col(id_col).alias("id"), F.when(good, F.concat_ws("/", F.size(vec).cast("string"), F.col(label_col).cast("string"))).alias("label"), F.when(good, F.transform(vec, lambda v: v + 0.0)).alias("vec"))
+    classes = base.filter("label is not null").groupBy("label", "vec").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    classes = keep(classes.withColumn("c", F.monotonically_increasing_id()), "vector-classes")
+    sizes = classes.groupBy("label").agg(F.count("*").alias("of"))
+    placed_in = classes.join(fits(sizes), "label").select("label", "of", "c", "n", "vec")
+    n_classes = classes.count()
+    share = min(1.0, fit_rows / max(1, n_classes))
+    sample = classes.filter(F.pmod(F.xxhash64("c", F.lit("fit")), F.lit(1 << 40)) < int(share * 2**40)).select("label", "vec").limit(2 * fit_rows).collect() if n_classes else []
     forest: dict = {}
-    for size in {r.label.rsplit("/", 1)[1] for r in sample}:
-        mine = [r for r in sample if r.label.rsplit("/", 1)[1] == size]
-        forest |= fit_forest(np.array([r.label for r in mine]), _unit(np.array([r.vec for r in mine], float)), {k: n for k, n in counts.items() if k.rsplit("/", 1)[1] == size}, trees, threshold)
+    for size in {r.label.split("/", 1)[0] for r in sample}:
+        mine = [r for r in sample if r.label.split("/", 1)[0] == size]
+        forest[size] = fit_forest(np.array([r.label for r in mine]), _unit(np.array([r.vec for r in mine], float)), trees, threshold)
     model = spark.sparkContext.broadcast(forest)
 
-    def placed(labels: list[str], x: list[np.ndarray]):
-        """(label, tree, leaf, rows): a label that the sample lacks is one leaf."""
-        by = pd.Series(np.arange(len(labels))).groupby(np.array(labels)).indices if labels else {}
-        for label, rows in by.items():
+    def placed(batch):
+        """(label, rank, rows); a rank is a tree and a leaf of it. Vectors of a length that the sample lacks are one leaf."""
+        labels, x = batch.column("label").to_pylist(), batch.column("vec").to_numpy(zero_copy_only=False)
+        of = batch.column("of").to_pylist()
+        for label, rows in (pd.Series(np.arange(len(labels))).groupby(np.array(labels)).indices if labels else {}).items():
             unit = _unit(np.array([x[i] for i in rows]))
-            for t, tree in enumerate(model.value.get(label) or [None]):
-                for leaf, inside in tree.leaves(unit) if tree else [(0, np.arange(len(rows)))]:
-                    yield label, t, leaf, rows[inside]
+            forest = model.value.get(label.split("/", 1)[0], {})
+            for t, tree in enumerate(forest.get(label) or forest.get(None) or [None]):
+                for leaf, inside in tree.leaves(unit, depth_for(of[rows[0]])) if tree else [(0, np.arange(len(rows)))]:
+                    yield label, t << 58 | leaf, rows[inside]
 
     def count_leaves(batches):
         total: dict = {}
         for b in batches:
-            for label, t, leaf, rows in placed(b.column("label").to_pylist(), b.column("vec").to_numpy(zero_copy_only=False)):
-                if label in model.value:
-                    total[label, t, leaf] = total.get((label, t, leaf), 0) + len(rows)
+            for label, rank, rows in placed(b):
+                total[label, rank] = total.get((label, rank), 0) + len(rows)
         if total:
-            yield pa.RecordBatch.from_pylist([{"label": k[0], "t": k[1], "leaf": k[2], "n": n} for k, n in total.items()], pa.schema([("label", pa.string()), ("t", pa.int32()), ("leaf", pa.int32()), ("n", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.int64()), pa.array(list(total.values()), pa.int64())], ["label", "rank", "leaf_n"])
+        release()
 
-    # the forest's leaves are at most trees * 2 * fit_rows / SPLIT_SAMPLE, whatever the input
-    large = {(r.label, r.t, r.leaf): math.ceil(r.n / TILE) for r in classes.select("label", "vec").mapInArrow(count_leaves, "label string, t int, leaf int, n long").groupBy("label", "t", "leaf").agg(F.sum("n").alias("n")).filter(F.col("n") > TILE).collect()} if forest else {}
-    tiles = spark.sparkContext.broadcast(large)
-    out = T.StructType([T.StructField("key", T.StringType()), T.StructField("rank", T.LongType()), T.StructField("parts", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("id", classes.schema["id"].dataType), T.StructField("n", T.LongType()), T.StructField("vec", T.BinaryType()), T.StructField("member", T.BinaryType())])
+    large = placed_in.mapInArrow(count_leaves, "label string, rank long, leaf_n long").groupBy("label", "rank").agg(F.sum("leaf_n").alias("leaf_n"))
+    large = keep(large.filter(F.col("leaf_n") > TILE).select("label", "rank", F.ceil(F.col("leaf_n") / TILE).cast("int").alias("parts")), "large-leaves")
 
     def route(batches):
         for b in batches:
-            labels, ids, n = b.column("label").to_pylist(), b.column("id").to_pylist(), b.column("n").to_pylist()
-            x = b.column("vec").to_numpy(zero_copy_only=False)
-            where = list(placed(labels, x))
-            member: list[list[int]] = [[] for _ in labels]
-            for _, t, leaf, rows in where:
+            c, n, x = b.column("c").to_numpy(), b.column("n").to_numpy(), b.column("vec").to_numpy(zero_copy_only=False)
+            where = list(placed(b))
+            member: list[list[int]] = [[] for _ in range(len(c))]
+            for _, rank, rows in where:
                 for i in rows:
-                    member[i].append(t << 32 | leaf)
+                    member[i].append(rank)
             member_b = [np.array(sorted(m), "<i8").tobytes() for m in member]
             raw = [np.asarray(v, like).tobytes() for v in x]
-            got: list[list] = [[] for _ in range(8)]
-            for label, t, leaf, rows in where:
-                parts = tiles.value.get((label, t, leaf), 1)
-                for i in rows:
-                    part = hash((ids[i], 3)) % parts if isinstance(ids[i], int) else sum(raw[i]) % parts
-                    for other in range(parts):
-                        a, c = sorted((part, other))
-                        for g, v in zip(got, (f"{label}/{t}/{leaf}/{a}/{c}", t << 32 | leaf, 1 + (a != c), part, ids[i], n[i], raw[i], member_b[i]), strict=True):
-                            g.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(g, f.type) for g, f in zip(got, arrow_out, strict=True)], schema=arrow_out)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
+            for label, rank, rows in where:
+                yield pa.RecordBatch.from_arrays([pa.array([label] * len(rows), pa.string()), pa.array([rank] * len(rows), pa.int64()), pa.array(c[rows]), pa.array(n[rows]), pa.array([raw[i] for i in rows], pa.binary()), pa.array([member_b[i] for i in rows], pa.binary())], ["label", "rank", "c", "n", "vec", "member"])
+        release()
 
-    arrow_out = to_arrow_schema(out)
-    id_type = arrow_out.field("id").type
+    routed = placed_in.mapInArrow(route, "label string, rank long, c long, n long, vec binary, member binary")
+    # a large leaf's vectors lie in one of `parts` tiles, and every two tiles meet
+    routed = routed.join(fits(large), ["label", "rank"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("c"), "parts").cast("int"))
+    tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("part", o).alias("i"), F.greatest("part", o).alias("j")))
+    routed = routed.withColumn("tile", F.explode(tiles)).select("label", "rank", "tile.i", "tile.j", "part", "c", "n", "vec", "member")
 
     def compare(key, leaf):
-        ids, n, rank = leaf["id"].to_pylist(), leaf["n"].to_numpy(), leaf["rank"][0].as_py()
-        x = _unit(_matrix(leaf["vec"], like))
-        part, cross = leaf["part"].to_numpy(), leaf["parts"][0].as_py() == 2
+        c, n, rank, cross = leaf["c"].to_numpy(), leaf["n"].to_numpy(), key[1].as_py(), key[2].as_py() != key[3].as_py()
+        x = _unit(np.array([np.frombuffer(v, like) for v in leaf["vec"].to_pylist()], dtype=float))
+        part = leaf["part"].to_numpy()
         m = [np.frombuffer(v, "<i8") for v in leaf["member"].to_pylist()]
         wide = max(map(len, m))
         member = np.full((len(m), wide), -1, np.int64)
         for i, v in enumerate(m):
             member[i, : len(v)] = np.where(v < rank, v, -1)  # only earlier leaves matter
-        links = np.zeros(len(ids), np.int64)
-        root = np.arange(len(ids))
+        links = np.zeros(len(c), np.int64)
+        root = np.arange(len(c))
 
         def find(i):
             while root[i] != i:
@@ -168,7 +201,7 @@ def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "vec_id",
                 i = root[i]
             return i
 
-        for at in range(0, len(ids), 512):
+        for at in range(0, len(c), 512):
             a, b = np.nonzero(x[at : at + 512] @ x.T >= threshold)
             a = a + at
             ok = (a < b) & ((part[a] != part[b]) if cross else True)
@@ -185,18 +218,21 @@ def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "vec_id",
                 i, j = i[~before], j[~before]
                 np.add.at(links, i, n[j])
                 np.add.at(links, j, n[i])
-        top = [ids[find(i)] for i in range(len(ids))]
-        return pa.table({"id": pa.array(ids, id_type), "links": links, "root": pa.array(top, id_type)})
-
-    result = T.StructType([out["id"], T.StructField("links", T.LongType()), T.StructField("root", out["id"].dataType)])
-    found = materialize(classes.select("label", "vec", "id", "n").mapInArrow(route, out).groupBy("key").applyInArrow(compare, result), "vector-links")
-    component = components(found.filter("id != root").select(F.col("id").alias("a"), F.col("root").alias("b")))
-    sums = found.groupBy("id").agg(F.sum("links").alias("links"))
-    per_class = classes.join(sums, "id", "left").join(component, F.col("id") == F.col("node"), "left")
-    per_class = per_class.select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+        some = np.flatnonzero((links > 0) | (root != np.arange(len(c))))
+        return pa.table({"c": c[some], "links": links[some], "root": c[[find(i) for i in some]] if len(some) else c[:0]})
+
+    found = keep(routed.groupBy("label", "rank", "i", "j").applyInArrow(compare, "c long, links long, root long"), "vector-links")
+    component = components(found.filter("c != root").select(F.col("c").alias("a"), F.col("root").alias("b")))
+    sums = found.groupBy("c").agg(F.sum("links").alias("links"))
+    per_class = keep(classes.select("label", "vec", "id", "n", "c").join(sums, "c", "left").join(component, F.col("c") == F.col("node"), "left").withColumn("component", F.coalesce("component", "c")), "class-links")
+    low = per_class.groupBy("component").agg(F.min("id").alias("component_id"))
+    per_class = per_class.join(low, "component").select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id", F.lit(True).alias("linked"))
     done = base.join(per_class, ["label", "vec"], "left")
-    component_id = F.coalesce("component_id", "id")
-    return done.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component_id.alias("component_id"), F.coalesce(F.col("id") == component_id, F.lit(False)).alias("kept"))
+    component_id = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("id"))
+    result = done.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component_id.alias("component_id"), F.coalesce(F.col("id") == component_id, F.lit(False)).alias("kept"))
+    result = materialize(result, "vector-components")
+    discard(*made)
+    return result
 
 
 def _firsts(a: np.ndarray, b: np.ndarray, root: np.ndarray) -> np.ndarray:
