@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, discard, free, materialize, materialize_dealt, mix, release, utf8, word_hashes
+from .common import chunks, discard, free, materialize, materialize_dealt, mix, release, small, utf8, word_hashes
 
 #: Sweeps of all seating, and how many of them come before the averaged ones. Parts share what they have after BURN_IN.
 SWEEPS, BURN_IN = 5, 2
@@ -328,7 +328,7 @@ def _look_ahead(docs: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray, np
             most = most[np.argsort(-c[most], kind="stable")[:BOOK_WORDS]]
             return pa.RecordBatch.from_arrays([pa.array([-1, *h[most].tolist()], pa.int64()), pa.array([n, *c[most].tolist()], pa.int64())], ["h", "n"])
 
-        for b in batches:
+        for b in small(batches):
             data, off = utf8(b.column(0))
             for i, j in chunks(off):
                 held.append(word_hashes(data[off[i] : off[j]], off[i : j + 1] - off[i], lower=True)[0] >> _CUT)
@@ -467,7 +467,7 @@ def score_texts(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text
             return pa.RecordBatch.from_arrays(columns, schema=schema)
 
         n = docs_held = 0
-        for b in batches:
+        for b in small(batches):
             data, off = utf8(b.column(1))
             flags = np.asarray(b.column(2).to_numpy(zero_copy_only=False), bool)
             for i, j in chunks(off):
@@ -531,11 +531,10 @@ def score_texts(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text
         p.counts = both[1]
         return Root(both[0], *sums)
 
-    def first_telling(batches):
-        for batch in batches:
-            for part, *packed in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                yield from tell(part, load(part, *packed)).to_batches()
+    def first_telling(key, rows):
+        out = tell(key[0].as_py(), load(key[0].as_py(), *(rows[x][0].as_py() for x in "xvuwc")))
         release()
+        return out
 
     def add(key, rows):
         """Totals of a slot's keys, for every part that told of them; of words also how many have so many customers at the root."""
@@ -560,7 +559,7 @@ def score_texts(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text
         return (int(c.sum()), int(n.sum()), *(seat_root(c / n, n) if len(n) else (np.zeros(len(GRID)), 0.0)))
 
     message = "part long, slot int, x binary, a binary, b binary"
-    first = materialize(counts.select("part", *"xvuwc").mapInArrow(first_telling, message).groupBy("slot").applyInArrow(add, heard), "lm-totals")
+    first = materialize(counts.select("part", *"xvuwc").groupBy("part").applyInArrow(first_telling, message).groupBy("slot").applyInArrow(add, heard), "lm-totals")
     sums = sums_of(first)
 
     def state(key, rows, history, sums) -> Part:
