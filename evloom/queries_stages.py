@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import dataclasses
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import dates, text
 from .operators import extract, filtering, html, insight, retrieval, search
 from .plans.config import ExtractConfig
-from .plans.dims import AGGREGATORS, QUESTION_TYPES, tier_dim
-from .queries import _HASHED, _HEADER, _PATHOGEN, _R, _WORDS, _CACHE, AS_OF, CFG, PAGES_SQL, TEST_TIERS, _for_filter, _questions, _sentences, query, t
+from .plans.dims import AGGREGATORS, QUESTION_TYPES, dashboard_dim, tier_dim
+from .queries import _HASHED, _HEADER, _PATHOGEN, _R, _WORDS, _CACHE, AS_OF, CANON, CFG, HOST, PAGES_SQL, TEST_TIERS, _for_filter, _questions, _sentences, query, t
 from .sources import backends, cache, files
 
 # ---------------------------------------------------------------- search
@@ -71,6 +71,33 @@ def converted_results(spark, d):
     return c.select("page_id", "rank", "canonical_url", "domain", "tier", "source_tier", "domain_score", F.date_format("published_date", "yyyy-MM-dd").alias("published"), "freshness_score", "is_official_domain", "contains_aggregator_forecast")
 
 
+_DIM = "(values " + ", ".join(f"('{x}', {n}, '{lab}')" for x, n, lab in TEST_TIERS) + ")"
+
+
+@query(f"""with p as (select page_id, url, page_id % 4 q, page_id // 4 % 8 o, row_number() over (partition by page_id % 4, page_id // 4 % 8 order by page_id) - 1 pos, {HOST} as domain, {CANON} canonical_url from pages),
+st as (select *, coalesce(sum(n) over (partition by q order by o rows between unbounded preceding and 1 preceding), 0) earlier, row_number() over (partition by q order by o) k from (select q, o, count(*) n from p group by all)),
+h as (select p.*, row_number() over (partition by q order by o, pos) ord from p join st using (q, o) where k = 1 or earlier < 60),
+m as (select *, row_number() over (partition by q, canonical_url order by pos, ord) r, min(ord) over (partition by q, canonical_url) out_ord from h),
+t as (select m.*, coalesce(a.tier, b.tier, case when domain like '%.int' then 2 when domain like '%.gov' or domain like '%.gov.uk' or domain like '%.edu' then 3 else 5 end) tier from m left join {_DIM} a(d, tier, label) on a.d = domain
+ left join {_DIM} b(d, tier, label) on b.d = case when contains(domain, '.') then array_to_string(string_split(domain, '.')[-2:], '.') end
+ where r = 1 and domain not in ('facebook.com', 'instagram.com', 'tiktok.com', 'pinterest.com') and not regexp_matches(lower(regexp_extract(url, '^([^?#]*)', 1)), '\\.(zip|exe|msi|dmg|tar|gz|png|jpg|jpeg|gif|svg|mp4|mp3)$')),
+s as (select *, least(1, greatest(0, 0.5::double * (1.2 - 0.2::double * tier) + 0.3::double * 0.5 + 0.2::double / (pos + 1))) score from t),
+f as (select *, row_number() over (partition by q order by round(score, 12) desc, out_ord) place from s)
+select q::varchar question_id, canonical_url, (pos + 1)::int as "rank", tier, round(score, 9)::double score, place::int as "position" from f where place <= 60""")
+def search_stage_results(spark, d):
+    """The whole stage: pages as the results of eight sub-queries for each of four questions."""
+    null = F.lit(None).cast("string")
+    q = spark.range(4).select(F.col("id").cast("string").alias("id"), F.lit("what comes next").alias("text"), null.alias("pathogen"), null.alias("region"))
+    subs = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.struct(F.concat(F.lit("query "), i).alias("text"), F.lit("trend").alias("axis")))
+    replies = q.select(F.col("id").alias("question_id"), subs.alias("sub_queries"))
+    k = F.col("page_id")
+    raw = t(spark, d, "pages").withColumn("question_id", (k % 4).cast("string")).withColumn("sub_query_ord", (F.floor(k / 4) % 8).cast("int"))
+    place = F.row_number().over(Window.partitionBy("question_id", "sub_query_ord").orderBy("page_id")) - 1
+    raw = raw.select("question_id", "sub_query_ord", place.alias("pos"), "url", F.lit("t").alias("title"), F.lit("").alias("snippet"), null.alias("published_date"))
+    found = search.search_stage(q, replies, raw, tier_dim(spark, TEST_TIERS), dashboard_dim(spark), AS_OF)
+    return found.select("question_id", "canonical_url", "rank", "tier", F.round("search_stage_score", 9).alias("score"), "position")
+
+
 # ---------------------------------------------------------------- cache, fetching, files
 
 
@@ -280,3 +307,29 @@ def recorded_model(spark, d):
     c = t(spark, d, "conversations").withColumn("key", F.concat("conv_id", F.lit("/"), "turn"))
     replies = c.filter("conv_id % 3 <> 0").select("key", F.col("text").alias("raw_text"), F.length("text").alias("input_tokens"), F.col("turn").cast("int").alias("output_tokens"), F.lit("table").alias("model"))
     return backends.TableModel(replies).complete(c.filter("turn % 2 = 0").select("key", F.col("text").alias("prompt")))
+
+
+def _run(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The insight stage over documents as they are, one question for each third of them; every fifth has failed."""
+    q = spark.range(3).select(F.col("id").cast("string").alias("id"), F.lit("how many cases").alias("text"), F.lit("mpox").alias("pathogen"), F.lit(None).cast("string").alias("region"))
+    chunks = _sentences(spark, d)
+    n = chunks.groupBy("document_id").agg(F.count("*").cast("int").alias("n_chunks"))
+    k = F.col("doc_id")
+    docs = t(spark, d, "documents").select((k % 3).cast("string").alias("question_id"), k.cast("string").alias("document_id"), F.when(k % 5 == 0, "failed").otherwise("success").alias("status"), F.lit("t").alias("title"), F.lit("u").alias("source_url"), F.lit(None).cast("timestamp").alias("published_date"), k.cast("int").alias("extraction_priority")).join(n, "document_id", "left")
+    quote = F.substring("text", 1, 12)
+    fact = F.to_json(F.struct(F.array(F.struct(F.lit("case_count").alias("event_type"), F.lit("cases").alias("metric_name"), quote.alias("quote"))).alias("facts")))
+    replies = chunks.select(F.concat_ws("|", (F.col("document_id").cast("long") % 3).cast("string"), "document_id", "chunk_id").alias("key"), fact.alias("raw_text"), F.lit(10).alias("input_tokens"), F.lit(3).alias("output_tokens"), F.when(F.col("document_id").cast("long") % 2 == 0, "even").otherwise("odd").alias("model"))
+    return insight.insight_stage(q, docs, chunks, backends.TableModel(replies), cfg=dataclasses.replace(insight.CFG, most_input_tokens=1 << 40))
+
+
+_ASKED = "a as (select doc_id, least(12, len(string_split(text, chr(10)))) n from documents where text is not null and doc_id % 5 <> 0)"
+
+
+@query("select (doc_id % 3)::varchar question_id, count(*) filter (doc_id % 5 <> 0 and text is not null) documents_processed, count(*) filter (doc_id % 5 = 0 or text is null) documents_skipped from documents group by 1")
+def insight_run(spark, d):
+    return _run(spark, d)[2]
+
+
+@query(f"with {_ASKED} select case when grouping(m) = 0 then m end model, sum(n * 10)::bigint input_tokens, sum(n * 3)::bigint output_tokens, sum(n)::bigint n_calls from (select *, case when doc_id % 2 = 0 then 'even' else 'odd' end m from a) group by rollup(m)")
+def insight_usage(spark, d):
+    return _run(spark, d)[1]
