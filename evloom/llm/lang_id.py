@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import release
+
 BITS = 16
 ORDERS = (1, 2, 3)
 #: The model is fitted on about so many labelled rows, chosen by the hash of their id.
@@ -23,11 +25,8 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
 
 
-def _buckets(codes: np.ndarray, first: int) -> list[np.ndarray]:
-    """Hash buckets of all n-grams that begin at or after position first and lie within codes, by order.
-
-    Digits and ASCII punctuation are one symbol each kind, so that numbers and addresses say little.
-    """
+def _buckets(codes: np.ndarray) -> list[np.ndarray]:
+    """Hash buckets of all n-grams that lie within codes, by order."""
     out = []
     m = codes * _MULT[0]
     for n in ORDERS:
@@ -56,7 +55,7 @@ def _windows(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for i in range(0, max(1, len(c) - longest + 1), WINDOW):
             piece = c[i : i + WINDOW + longest - 1]
             last = i + WINDOW + longest - 1 >= len(c)
-            for n, b in zip(ORDERS, _buckets(piece, 0), strict=False):
+            for n, b in zip(ORDERS, _buckets(piece), strict=False):
                 b = b if last else b[:WINDOW]
                 at.append(b)
                 rows.append(np.full(len(b), r, np.int32))
@@ -91,6 +90,7 @@ def fit(df: DataFrame, id_col: str, text_col: str, lang_col: str, usable: Column
             docs = np.bincount(code, minlength=len(index))
             for x, i in index.items():
                 total[x] = total.get(x, 0) + np.append(grid[i], docs[i])
+        release()
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([x.astype(np.int64).tobytes() for x in total.values()])], ["l", "c"])
 
@@ -136,6 +136,7 @@ def predict(spark: SparkSession, df: DataFrame, model, id_col: str = "doc_id", t
             p = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1) if langs else np.zeros(len(texts))
             pred += [langs[k] if x else UNDETERMINED for k, x in zip(best, ok, strict=True)]
             sure += np.where(ok, p, 0.0).tolist()
+        release()
         return pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(sure, pa.float64())], ["lang_pred", "score"])
 
     # only the text goes to Python; the other columns wait in the JVM
