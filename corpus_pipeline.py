@@ -9,10 +9,20 @@ from evloom.llm import bpe, lang_id, line_dedup, mixing, ngram_join
 from evloom.llm.common import materialize, text_key
 from evloom.llm.queries import table, tokenizer_path
 
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session have BATCH_ROWS rows at most, so that texts wait in small pieces between executor and Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose language can't be told: null texts, texts without a letter, and those whose best language is
     less likely than the others together."""
+    small_batches(spark)
     model = lang_id.fit(docs, "doc_id", "text", "lang")
     found = lang_id.predict(spark, docs, model, "doc_id", "text", keep=docs.columns)
     learned = bool(model[0])
@@ -22,6 +32,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes lines out that came before; a document of which no line with a word is left goes, unless it never had one."""
+    small_batches(spark)
     kept = line_dedup.drop_lines(spark, docs, keep=docs.columns)
     kept = kept.filter((F.col("__n_lines") == 0) | (F.col("__n_lines") > F.col("__n_exact") + F.col("__n_near")))
     columns = [F.col("__text").alias("text") if c == "text" else F.length("__text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
@@ -30,6 +41,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays; rows without an id stay, and of rows that repeat id and text one."""
+    small_batches(spark)
     groups = ngram_join.jaccard_components(spark, docs, one_of_each=True)
     stay = groups.filter("first").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
     named = docs.filter("doc_id is not null").withColumn("__key", text_key(F.col("text")))
@@ -46,6 +58,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The training rows: ids of each text, with digests of the ids and of the text decoded from them."""
+    small_batches(spark)
     return bpe.encode(spark, docs, tokenizer_path(), keep=["doc_id", "lang", "source"])
 
 
