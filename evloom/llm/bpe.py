@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words, and pieces of words, whose ids a Python worker remembers, in two generations: when the younger is full, the older is forgotten.
-CACHE_WORDS, CACHE_PIECES = 200_000, 250_000
+CACHE_WORDS, CACHE_PIECES = 150_000, 180_000
 #: Pairs of tokens whose test a worker remembers.
 CACHE_PAIRS = 250_000
 
