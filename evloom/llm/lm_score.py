@@ -216,9 +216,9 @@ class Root:
         self.c, self.customers, self.base, self.tables, self.all = c, customers, 1 / (known + 1), tables, all_tables
 
     def probability(self, word: np.ndarray, without: np.ndarray | int = 0) -> np.ndarray:
-        """Of words, with `without` of their customers gone."""
+        """Of words, with `without` of their customers gone, or all that the root knew of when it was told."""
         d, theta = ROOT
-        c = self.c[word] - without
+        c = np.maximum(self.c[word] - without, 0)
         t = np.interp(c, GRID, self.tables)
         gone = np.interp(self.c[word], GRID, self.tables) - t if np.any(without) else 0
         return (c - d * t + (theta + d * (self.all - gone)) * self.base) / (theta + self.customers - without)

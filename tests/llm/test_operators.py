@@ -513,6 +513,16 @@ def test_predictive_probabilities_sum_to_one():
         assert theta2 and sum(seen.values()) + back * (sum(v for w, v in one.items() if w not in seen) + one_unknown) == pytest.approx(1.0)
 
 
+def test_probabilities_stay_positive_between_rounds():
+    """The root may know fewer customers of a word than have come since."""
+    p, root = _part(np.random.default_rng(2), words=40, rows=900)
+    r = root()
+    with np.errstate(all="raise", under="ignore"):
+        for _ in range(6):
+            p.sweep(r)
+    assert (r.probability(p.word, p.t2) > 0).all() and (p.probability(r) > 0).all()
+
+
 def test_exact_reseating_has_the_posterior():
     """Against the weights of all ways to seat a few customers, counted one by one."""
     d, a, parent, c = 0.75, 2.0, 0.2, 5
