@@ -45,20 +45,55 @@ def scratch_dir(spark: SparkSession) -> str:
     return _SCRATCH["own"]
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+class Scratch:
+    """A run's folder in the shared one. Its tables go when the run is over, also if it fails; result() is what stays.
+
+        with Scratch(spark, "mix") as s:
+            sizes = s.table(df, "sizes")
+            return s.result(sizes.groupBy("source").count())
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.dealt = spark, name, []
+        self.path = f"{scratch_dir(spark)}/evloom/{name}-{uuid.uuid4().hex}"
+
+    def table(self, df: DataFrame, tag: str) -> DataFrame:
+        return materialize(df, tag, self.path)
+
+    def dealt_table(self, df: DataFrame, tag: str, key: str, parts: int) -> DataFrame:
+        self.dealt.append(materialize_dealt(df, tag, key, parts, self.path))
+        return self.dealt[-1]
+
+    def result(self, df: DataFrame) -> DataFrame:
+        return materialize(df, f"result-{self.name}")
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        discard(*self.dealt)
+        delete(self.spark, self.path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def materialize(df: DataFrame, tag: str, folder: str | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage and survives lost executors."""
-    path = f"{scratch_dir(df.sparkSession)}/evloom/{tag}-{uuid.uuid4().hex}"
+    path = f"{folder or scratch_dir(df.sparkSession) + '/evloom'}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._evloom_path = path
     return out
 
 
-def materialize_dealt(df: DataFrame, tag: str, key: str, parts: int) -> DataFrame:
+def materialize_dealt(df: DataFrame, tag: str, key: str, parts: int, folder: str | None = None) -> DataFrame:
     """Like materialize(), but dealt by key into so many buckets: what groups or joins it by the key later moves the other side only.
     df should be dealt so already."""
     name = f"evloom_{tag.replace('-', '_')}_{uuid.uuid4().hex}"
-    path = f"{scratch_dir(df.sparkSession)}/evloom/{name}"
+    path = f"{folder or scratch_dir(df.sparkSession) + '/evloom'}/{name}"
     df.write.option("compression", "zstd").option("path", path).bucketBy(parts, key).saveAsTable(name)
     out = df.sparkSession.table(name)
     out._evloom_path, out._evloom_table = path, name
@@ -68,11 +103,9 @@ def materialize_dealt(df: DataFrame, tag: str, key: str, parts: int) -> DataFram
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that materialize() or materialize_dealt() wrote, once nothing will read them again."""
     for t in tables:
-        jvm = t.sparkSession._jvm
         if hasattr(t, "_evloom_table"):
             t.sparkSession.sql(f"drop table if exists {t._evloom_table}")
-        p = jvm.org.apache.hadoop.fs.Path(t._evloom_path)
-        p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        delete(t.sparkSession, t._evloom_path)
 
 
 #: Bytes that a table may have in memory to be broadcast.
@@ -139,6 +172,8 @@ LOWER_BYTE = BYTE.copy()
 LOWER_BYTE[65:91] = BYTE[97:123]
 IS_WS = np.zeros(256, bool)
 IS_WS[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes that are no part of a term of letters and digits: of ASCII all others, of the rest none.
+NO_TERM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -181,8 +216,8 @@ def chunks(off: np.ndarray, most: int = 1 << 19):
         i = min(j, n)
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray, lower: bool, breaks: int | None = None):
-    """Hashes of all words in order, and for each row how many it has.
+def word_hashes(data: np.ndarray, off: np.ndarray, lower: bool, breaks: int | None = None, gaps: np.ndarray = IS_WS):
+    """Hashes of all words in order, and for each row how many it has. gaps: for each byte whether it lies between words.
 
     breaks: a byte at which rows are cut into lines; then a third array has each word's line in its row's order.
     """
@@ -190,7 +225,7 @@ def word_hashes(data: np.ndarray, off: np.ndarray, lower: bool, breaks: int | No
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(len(off) - 1, np.int64), np.zeros(0, np.int64)
     up, down = _powers(n + 1)
-    ws = IS_WS[data]
+    ws = gaps[data]
     first = np.zeros(n + 1, bool)
     first[off] = True
     prev_ws = np.empty(n, bool)
