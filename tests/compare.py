@@ -15,7 +15,7 @@ def duck(sf_dir: str):
 
 def normal(df: pd.DataFrame) -> list[tuple]:
     def value(v):
-        if v is None or isinstance(v, float) and v != v:
+        if v is None or v is pd.NA or isinstance(v, float) and v != v:
             return "null"
         if isinstance(v, float):
             v = round(v, 6)
