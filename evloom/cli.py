@@ -12,18 +12,19 @@ from . import schemas
 from .operators import extract, filtering, search
 from .plans.dims import dashboard_dim, tier_dim
 from .sources import cache
-from .sources.backends import TableBackend, fetch_http
+from .sources.backends import CallBackend, TableBackend
+from .sources.calls import CallTable, fetch_once
 from .sources.files import filter_output, read_filtered, write_json
 
 REPLIES = "question_id string, sub_queries array<struct<text:string,axis:string>>"
 RECORDED = "text string, " + schemas.RAW_RESULT
 
 
-def search_with_cache(spark: SparkSession, questions: DataFrame, replies: DataFrame, backend, old: DataFrame, as_of: dt.datetime) -> tuple[DataFrame, DataFrame]:
+def search_with_cache(spark: SparkSession, questions: DataFrame, replies: DataFrame, backend, old: DataFrame, as_of: dt.datetime, table: CallTable | None = None) -> tuple[DataFrame, DataFrame]:
     """(search results, the cache afterwards): sub-queries are answered from the cache, and by the backend where it has no good entry."""
     subs = search.decompose(questions, replies)
     asked = subs.select("question_id", F.col("ord").alias("sub_query_ord"), "text", cache.cache_key(F.lit(backend.name), F.col("text"), as_of).alias("cache_key"))
-    found, new = cache.cache_aside(asked, old, backend.search, as_of)
+    found, new = cache.cache_aside(asked, old, backend, as_of, table)
     raw = found.select("question_id", "sub_query_ord", "pos", "url", "title", "snippet", "published_date")
     return search.search_stage(questions, replies, raw, tier_dim(spark), dashboard_dim(spark), as_of), cache.upsert(old, new)
 

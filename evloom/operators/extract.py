@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .. import schemas
 from ..functions import dates, text
 from ..plans.config import ExtractConfig
 from ..plans.dims import DATE_PATTERNS
@@ -96,43 +98,56 @@ def pdf_status(n_pages: Column, has_text: Column, cfg: ExtractConfig = CFG) -> C
 # ---------------------------------------------------------------- the stage
 
 
-def with_tables(prose: DataFrame, tables: DataFrame) -> DataFrame:
-    """Sections of pdf_sections() and tables of pdf_tables(): a page's tables follow its prose, numbered together."""
-    heading = prose.groupBy("document_id", "page_number").agg(F.max_by("section_path", "pos").alias("section_path"))
-    t = tables.select(F.col("doc_id").alias("document_id"), F.col("page").alias("page_number"), "ord", "table_rows").join(heading, ["document_id", "page_number"], "left")
-    both = prose.withColumn("kind", F.lit(0)).withColumn("ord", F.col("pos")).unionByName(t.select("document_id", F.lit(0).alias("pos"), "section_path", "page_number", F.lit("").alias("text"), F.lit("table").alias("chunk_type"), "table_rows", F.lit(1).alias("kind"), "ord"))
-    return both.withColumn("pos", F.row_number().over(Window.partitionBy("document_id").orderBy("page_number", "kind", "ord")) - 1).drop("kind", "ord")
+def with_tables(prose: DataFrame, tables: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Sections of pdf_sections() and tables of pdf_tables(), numbered together: a page's tables come before its prose, under the last heading
+    of the pages before. blocks: those of pdf_headings()."""
+    ends = blocks.groupBy(F.col("doc_id").alias("document_id"), F.col("page").alias("page_number")).agg(F.max_by("heading", "block").alias("last"))
+    t = tables.select(F.col("doc_id").alias("document_id"), F.col("page").alias("page_number"), "ord", "table_rows")
+    before = Window.partitionBy("document_id").orderBy("page_number", F.col("ord").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    both = t.withColumn("last", F.lit(None).cast("string")).unionByName(ends.select("document_id", "page_number", F.lit(None).cast("int").alias("ord"), F.lit(None).cast("array<array<string>>").alias("table_rows"), "last"))
+    t = both.withColumn("section_path", F.last("last", ignorenulls=True).over(before)).filter("ord is not null")
+    every = prose.withColumn("kind", F.lit(1)).withColumn("ord", F.col("pos")).unionByName(t.select("document_id", F.lit(0).alias("pos"), "section_path", "page_number", F.lit("").alias("text"), F.lit("table").alias("chunk_type"), "table_rows", F.lit(0).alias("kind"), "ord"))
+    return every.withColumn("pos", F.row_number().over(Window.partitionBy("document_id").orderBy("page_number", "kind", "ord")) - 1).drop("kind", "ord")
 
 
-def extract_stage(filtered: DataFrame, fetched: DataFrame, pdf_spans: DataFrame | None = None, cfg: ExtractConfig = CFG, pdf_info: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(documents, chunks). filtered: FILTERED_DOCUMENT rows; fetched: FETCH_RESULT rows by url; pdf_spans: what a PDF library found, by doc_id
-    (without it PDF bodies fail); pdf_info: (doc_id, title, creation_date) of the files, as they have them. Bodies go through a parser once; no document stops another. An empty body is a success without chunks."""
+def extract_stage(filtered: DataFrame, fetched: DataFrame, pdf_spans: DataFrame | None = None, cfg: ExtractConfig = CFG, pdf_info: DataFrame | None = None, count: chunking.Counter = text.token_count, store: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents, chunks). filtered: FILTERED_DOCUMENT rows; fetched: FETCH_RESULT rows by url, as calls.fetch_once gives them; pdf_spans: what a PDF library found, by doc_id
+    (without it PDF bodies fail); pdf_info: (doc_id, title, creation_date) of the files, as they have them. store: a new folder for the parsed
+    documents, which are then parsed once, else once for each of the results. Bodies meet their requests in one join and are told apart by a column, parser;
+    no document stops another. An empty body is a success without chunks."""
     j = filtered.join(fetched, "url", "left").withColumn("document_id", F.concat(F.lit("doc-"), "result_id"))
-    body = F.decode("content_bytes", "UTF-8")
     head = F.decode(F.substring("content_bytes", 1, 128), "ISO-8859-1")
     bad = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("content_bytes").isNull(), "empty_response")
-    j = j.withColumn("fetch_error", bad).withColumn("parser", F.when(bad.isNull(), parser_of(F.col("content_type"), head))).withColumn("body", body)
-    web = j.filter("parser = 'html'").withColumn("p", html.parse_html(F.col("body")))
-    plain = j.filter("parser = 'plaintext'").withColumn("p", F.struct(F.col("body").alias("raw_text"), F.transform(chunking.paragraphs(F.col("body")), lambda t: F.struct(F.lit(None).cast("string").alias("section_path"), F.lit(None).cast("int").alias("page_number"), t.alias("text"), F.lit("prose").alias("chunk_type"), F.lit(None).cast("array<array<string>>").alias("table_rows"))).alias("sections"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("language"), F.lit(None).cast("int").alias("page_count"), F.lit(None).cast("string").alias("published_date"), F.lit(False).alias("is_partial"), F.lit(None).cast("string").alias("partial_reason"), F.lit(None).cast("string").alias("error")))
-    pdf = j.filter("parser = 'pdf'")
+    j = j.withColumn("fetch_error", bad).withColumn("parser", F.when(bad.isNull(), parser_of(F.col("content_type"), head))).withColumn("body", F.decode("content_bytes", "UTF-8"))
+    web = html.parse_html(F.when(F.col("parser") == "html", F.col("body")))
+    kind = T.StructType.fromDDL(schemas.PARSED)
+    section = lambda t: F.struct(F.lit(None).cast("string").alias("section_path"), F.lit(None).cast("int").alias("page_number"), t.alias("text"), F.lit("prose").alias("chunk_type"), F.lit(None).cast("array<array<string>>").alias("table_rows"))
+    known = {"raw_text": F.col("body"), "sections": F.transform(chunking.paragraphs(F.col("body")), section), "is_partial": F.lit(False)}
+    plain = F.struct(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kind]).cast(kind)
+    parsed = j.withColumn("p", web).withColumn("p", F.when(F.col("parser") == "plaintext", plain).otherwise(F.col("p"))).drop("content_bytes", "body")
+    if store is not None:
+        parsed.write.parquet(store)
+        parsed = parsed.sparkSession.read.schema(parsed.schema).parquet(store)
+    is_pdf = F.col("parser") == "pdf"
     if pdf_spans is None:
-        pdf_sections_df = None
-        pdf = pdf.withColumn("pdf_error", F.lit("parse_error: no PDF spans"))
+        parsed = parsed.withColumns({"pdf_error": F.when(is_pdf, "parse_error: no PDF spans"), "cut": F.lit(False)})
     else:
         stats = pdf_spans.groupBy(F.col("doc_id").alias("document_id")).agg(F.max("page").alias("n_pages"), F.max(text.strip(F.col("text")) != "").alias("has_text"))
-        pdf = pdf.join(stats, "document_id", "left").withColumn("st", pdf_status(F.coalesce("n_pages", F.lit(0)), F.coalesce("has_text", F.lit(False)), cfg)).withColumn("pdf_error", F.col("st.error"))
-        pdf_sections_df = with_tables(pdf_sections(pdf_headings(pdf_spans, cfg)), pdf_tables(pdf_spans, cfg))
-    pdf = pdf.join(pdf_info.select(F.col("doc_id").alias("document_id"), F.nullif(text.strip("title"), F.lit("")).alias("pdf_title"), dates.pdf_date(F.col("creation_date")).alias("pdf_day")), "document_id", "left") if pdf_info is not None else pdf.withColumns({"pdf_title": F.lit(None).cast("string"), "pdf_day": F.lit(None).cast("timestamp")})
-    parsed = web.unionByName(plain)
+        st = pdf_status(F.coalesce("n_pages", F.lit(0)), F.coalesce("has_text", F.lit(False)), cfg)
+        parsed = parsed.join(stats, "document_id", "left").withColumns({"pdf_error": F.when(is_pdf, st["error"]), "cut": is_pdf & st["is_partial"]})
+    info = pdf_info.select(F.col("doc_id").alias("document_id"), F.nullif(text.strip("title"), F.lit("")).alias("pdf_title"), dates.pdf_date(F.col("creation_date")).alias("pdf_day")) if pdf_info is not None else None
+    parsed = parsed.join(info, "document_id", "left") if info is not None else parsed.withColumns({"pdf_title": F.lit(None).cast("string"), "pdf_day": F.lit(None).cast("timestamp")})
     sections = parsed.filter("p.error is null").select("document_id", F.posexplode("p.sections").alias("pos", "s")).select("document_id", "pos", "s.section_path", "s.page_number", "s.text", "s.chunk_type", "s.table_rows")
-    if pdf_sections_df is not None:
-        sections = sections.unionByName(pdf_sections_df.join(pdf.filter("pdf_error is null").select("document_id"), "document_id", "left_semi"))
-    chunks = chunking.normalize_chunks(chunking.build_chunks(sections), cfg)
-    stats = chunking.document_stats(chunks)
-    base = ["document_id", "result_id", "question_id", F.col("url").alias("source_url"), "domain", "canonical_url", "fetched_at", "content_type", F.col("status_code").alias("http_status"), "extraction_priority"]
-    ok = parsed.select(*base, F.coalesce(F.nullif(F.col("p.title"), F.lit("")), "title").alias("title"), F.coalesce(html.published_date(F.col("p.published_date")), F.col("published_date")).alias("published_date"), F.col("p.language").alias("language"), date_strings(F.col("p.raw_text")).alias("extracted_dates"), F.col("p.error").alias("error_message"), F.lit(False).alias("is_partial"))
-    rest = pdf.select(*base, F.coalesce("pdf_title", "title").alias("title"), F.coalesce("pdf_day", "published_date").alias("published_date"), F.lit(None).cast("string").alias("language"), F.array().cast("array<string>").alias("extracted_dates"), F.col("pdf_error").alias("error_message"), (F.col("st.is_partial") if pdf_spans is not None else F.lit(False)).alias("is_partial"))
-    failed = j.filter("parser is null").select(*base, "title", "published_date", F.lit(None).cast("string").alias("language"), F.array().cast("array<string>").alias("extracted_dates"), F.col("fetch_error").alias("error_message"), F.lit(False).alias("is_partial"))
-    docs = ok.unionByName(rest).unionByName(failed).join(stats, "document_id", "left")
-    docs = docs.withColumn("status", F.when(F.col("error_message").isNotNull(), "failed").when(F.col("is_partial"), "partial").otherwise("success")).withColumn("document_type", document_type(F.col("content_type")))
-    return docs.drop("is_partial"), chunks
+    if pdf_spans is not None:
+        of_pdf = with_tables(pdf_sections(pdf_headings(pdf_spans, cfg)), pdf_tables(pdf_spans, cfg), pdf_headings(pdf_spans, cfg))
+        sections = sections.unionByName(of_pdf.join(parsed.filter(is_pdf & F.col("pdf_error").isNull()).select("document_id"), "document_id", "left_semi"))
+    chunks = chunking.normalize_chunks(chunking.build_chunks(sections), cfg, count)
+    own = lambda c: F.when(is_pdf, F.col(c))
+    docs = parsed.select(
+        "document_id", "result_id", "question_id", F.col("url").alias("source_url"), "domain", "canonical_url", "fetched_at", "content_type", F.col("status_code").alias("http_status"), "extraction_priority",
+        F.coalesce(F.nullif(F.col("p.title"), F.lit("")), own("pdf_title"), "title").alias("title"), F.coalesce(html.published_date(F.col("p.published_date")), own("pdf_day"), "published_date").alias("published_date"), F.col("p.language").alias("language"),
+        date_strings(F.col("p.raw_text")).alias("extracted_dates"), F.coalesce("fetch_error", "p.error", "pdf_error").alias("error_message"), "cut",
+    )
+    docs = docs.join(chunking.document_stats(chunks), "document_id", "left")
+    docs = docs.withColumn("status", F.when(F.col("error_message").isNotNull(), "failed").when(F.col("cut"), "partial").otherwise("success")).withColumn("document_type", document_type(F.col("content_type")))
+    return docs.drop("cut"), chunks

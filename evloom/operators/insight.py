@@ -11,6 +11,7 @@ from .. import schemas
 from ..functions import dates, text
 from ..plans.config import InsightConfig
 from ..plans.dims import COUNTRIES
+from ..sources.calls import CallTable, OnceModel, once, stored
 from . import retrieval
 
 CFG = InsightConfig()
@@ -24,8 +25,7 @@ def processable(docs: DataFrame) -> DataFrame:
 
 def budget_gate(docs: DataFrame, limit: int = CFG.most_input_tokens, keys: tuple = ("run_id",)) -> DataFrame:
     """Rows (keys, ord, cost, skipped) with decision: processed, skipped, or stopped for everything from the first document before
-    which limit was reached. Whole documents only, so the last may go beyond it; skipped ones cost nothing. Costs must be known
-    beforehand: estimated or recorded."""
+    which limit was reached. Whole documents only, so the last may go beyond it; skipped ones cost nothing."""
     before = Window.partitionBy(*keys).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     spent = F.coalesce(F.sum(F.when(F.col("skipped"), 0).otherwise(F.col("cost"))).over(before), F.lit(0))
     out = docs.withColumn("spent_before", spent)
@@ -110,10 +110,51 @@ def usage(calls: DataFrame, keys: tuple = ()) -> DataFrame:
     return rolled.agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.count("*").alias("n_calls"))
 
 
-def insight_stage(questions: DataFrame, documents: DataFrame, chunks: DataFrame, model, embed=text.hash_embedding, cfg: InsightConfig = CFG, embedded: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(records, usage, run statistics). Two phases: chunks are ranked first, then the model (a ModelClient) is called for those within the
-    budget, whose costs are estimated from the prompts' lengths. embedded: (chunk_id, embedding) of chunks that were embedded before;
-    only the others are."""
+def _paid(documents: DataFrame, keys: DataFrame, replies: DataFrame) -> DataFrame:
+    """documents (question_id, document_id, ord, estimate, skipped) with cost, the input tokens of their replies, and asked: whether any prompt of
+    theirs has a reply. keys: (key, question_id, document_id) of all prompts."""
+    got = keys.join(replies.select("key", "input_tokens"), "key").groupBy("question_id", "document_id").agg(F.sum("input_tokens").alias("cost"))
+    return documents.join(got, ["question_id", "document_id"], "left").withColumn("asked", F.col("cost").isNotNull()).withColumn("cost", F.coalesce("cost", F.lit(0)))
+
+
+def next_wave(paid: DataFrame, tried: DataFrame, limit: int) -> DataFrame:
+    """(question_id, document_id) of the documents to be asked for next: in order, those that by the estimates, times what real costs were of the
+    estimates so far, take half of what is left of the limit, and one at least while any is left. tried: those of the waves before."""
+    both = paid.join(tried.withColumn("tried", F.lit(True)), ["question_id", "document_id"], "left").withColumn("tried", F.coalesce("tried", F.lit(False)))
+    spent = both.groupBy("question_id").agg(F.sum("cost").alias("spent"), F.greatest(F.lit(1.0), F.coalesce(F.max(F.when(F.col("asked") & (F.col("estimate") > 0), F.col("cost") / F.col("estimate"))), F.lit(1.0))).alias("factor"), F.max("tried").alias("any"))
+    left = both.filter("not tried and not skipped").join(spent, "question_id").filter(F.col("spent") < limit)
+    order = Window.partitionBy("question_id").orderBy("ord", "document_id")
+    place, upto = F.row_number().over(order), F.sum("estimate").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    fits = F.col("any") & (F.col("factor") * F.col("upto") * 2 <= limit - F.col("spent"))
+    return left.withColumn("place", place).withColumn("upto", upto).filter((F.col("place") == 1) | fits).select("question_id", "document_id")
+
+
+def ask_in_waves(asked: DataFrame, documents: DataFrame, model: OnceModel, limit: int) -> DataFrame:
+    """REPLY rows of a model that is asked as long as its real input tokens are below the limit, question by question.
+
+    asked: prompts with question_id and document_id; documents: (question_id, document_id, ord, estimate, skipped). The first document of a question shows how
+    its costs compare with the estimate; each further wave asks for documents that fill half of what is left, so the waves are as many as it takes to
+    halve the limit down to a document, and then one for each. The table of calls says what was asked: a run that broke goes on where it stopped.
+    """
+    keys = asked.select("key", "question_id", "document_id")
+    spark = asked.sparkSession
+    tried = spark.createDataFrame([], "question_id string, document_id string")
+    rows: list = []
+    while True:
+        replies = model.table.answers()
+        new = next_wave(_paid(documents, keys, replies), tried, limit).collect()  # ids of a wave's documents, not of the corpus
+        if not new:
+            return replies.join(keys.select("key"), "key", "left_semi")
+        rows += [(r.question_id, r.document_id) for r in new]
+        tried = spark.createDataFrame(rows, "question_id string, document_id string")
+        model.complete(asked.join(spark.createDataFrame(new, tried.schema), ["question_id", "document_id"], "left_semi").select("key", "system", "prompt", "reply_schema"))
+
+
+def insight_stage(questions: DataFrame, documents: DataFrame, chunks: DataFrame, model, embed=text.hash_embedding, cfg: InsightConfig = CFG, embedded: DataFrame | None = None, calls: CallTable | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records, usage, run statistics). Two phases: chunks are ranked first, then the model (a ModelClient) is asked in waves, until what its
+    replies say they took reaches the budget; the documents up to there count, as if they had been asked one by one. Prompts and calls are tables: each prompt is asked once, whatever reads the results. calls: the
+    table of an earlier, broken run. Recorded replies need no waves. embedded: (chunk_id, embedding) of chunks that were embedded before; only the others are."""
+    spark = questions.sparkSession
     run = processable(documents)
     q = questions.select(F.col("id").alias("question_id"), F.col("text").alias("q_text"), F.col("pathogen").alias("q_pathogen"), F.col("region").alias("q_region"))
     query = F.concat_ws(" ", "q_text", "q_pathogen", "q_region")
@@ -124,11 +165,20 @@ def insight_stage(questions: DataFrame, documents: DataFrame, chunks: DataFrame,
         vectors = chunks.join(retrieval.embed_missing(chunks, embedded, embed), "chunk_id")
     best = retrieval.hybrid(vectors, pairs, cfg)
     asked = prompts(best.join(run.select("question_id", "document_id", "title", "source_url", "published_date", "extraction_priority"), ["question_id", "document_id"]).join(q, "question_id"))
-    cost = asked.groupBy("question_id", "document_id").agg(F.sum(text.token_count(F.col("prompt"))).alias("cost"))
-    gate = budget_gate(run.join(cost, ["question_id", "document_id"], "left").select("question_id", "document_id", F.coalesce("extraction_priority", F.lit(0)).alias("ord"), F.coalesce("cost", F.lit(0)).alias("cost"), "skipped"), cfg.most_input_tokens, ("question_id",))
+    asked = asked.select("key", "system", "prompt", "reply_schema", "question_id", "document_id", "chunk_id", "source_url", "text", "position", "extraction_priority")
+    docs = run.select("question_id", "document_id", F.coalesce("extraction_priority", F.lit(0)).alias("ord"), "skipped")
+    if getattr(model, "recorded", False):
+        replies = model.complete(asked.select("key", "system", "prompt", "reply_schema"))
+    else:
+        asked = stored(asked, "prompts")
+        cost = asked.groupBy("question_id", "document_id").agg(F.sum(text.token_count(F.col("prompt"))).alias("estimate"))
+        docs = stored(docs.join(cost, ["question_id", "document_id"], "left").withColumn("estimate", F.coalesce("estimate", F.lit(0))), "costs")
+        replies = ask_in_waves(asked, docs, once(model, spark, calls), cfg.most_input_tokens)
+    gate = budget_gate(_paid(docs, asked, replies), cfg.most_input_tokens, ("question_id",))
     go = asked.join(gate.filter("decision = 'processed'").select("question_id", "document_id"), ["question_id", "document_id"])
-    replies = model.complete(go.select("key", "system", "prompt", "reply_schema"))
-    found = guarded(facts(replies).join(go.select("key", "question_id", "document_id", "chunk_id", "source_url", "text", "position", "extraction_priority"), "key"))
+    used = replies.join(go.select("key", "question_id", "document_id", "chunk_id", "source_url", "text", "position", "extraction_priority"), "key")
+    found = guarded(facts(used))
     found = found.withColumn("ord", F.row_number().over(Window.partitionBy("question_id").orderBy("extraction_priority", "document_id", "position", "fact_ord")))
     stats = gate.groupBy("question_id").agg(F.count_if(F.col("decision") == "processed").alias("documents_processed"), F.count_if(F.col("decision") == "skipped").alias("documents_skipped"))
-    return merge_records(found), usage(replies), stats
+    # what was paid for: of recorded replies those that would have been asked for
+    return merge_records(found), usage(used if getattr(model, "recorded", False) else replies), stats

@@ -111,7 +111,7 @@ def cache_aside_results(spark, d):
     stored = F.concat(F.lit('[{"url": "http://c/'), F.substring("cache_key", 1, 8), F.lit('", "title": "t", "snippet": "", "rank": 1}]'))
     rows = c.filter("turn = 0 and conv_id % 3 <> 0").select("cache_key", stored.alias("results_json"), (F.lit(AS_OF) - F.make_dt_interval(hours=(F.col("conv_id") % 40).cast("int"))).alias("created_at"))
     table = c.filter(F.length("text") % 2 == 0).select("text", F.concat(F.lit("http://b/"), F.md5("text")).alias("url"), F.lit("t").alias("title"), F.lit("").alias("snippet"), F.lit(1).alias("rank"), F.lit(None).cast("string").alias("published_date"), F.lit(None).cast("double").alias("score")).distinct()
-    found, _ = cache.cache_aside(c, cache.upsert(rows.limit(0), rows), backends.TableBackend(table).search, AS_OF)
+    found, _ = cache.cache_aside(c, cache.upsert(rows.limit(0), rows), backends.TableBackend(table), AS_OF)
     return found.select("conv_id", "turn", "url", "rank")
 
 

@@ -10,6 +10,7 @@ DECISION = "result_id string, keep boolean, stage string, relevance_score double
 FILTERED_DOCUMENT = "result_id string, question_id string, url string, canonical_url string, domain string, title string, snippet string, published_date timestamp, file_type string, relevance_score double, credibility_score double, final_score double, source_tier string, is_official_domain boolean, selection_reasons array<string>, extraction_priority int, extraction_mode string, expected_value string"
 FETCH_RESULT = "url string, final_url string, status_code int, content_type string, content_bytes binary, fetched_at timestamp, error string"
 SECTION = "section_path string, page_number int, text string, chunk_type string, table_rows array<array<string>>"
+REPLY = "key string, raw_text string, input_tokens long, output_tokens long, model string"
 PARSED = "raw_text string, sections array<struct<section_path:string,page_number:int,text:string,chunk_type:string,table_rows:array<array<string>>>>, title string, language string, page_count int, published_date string, is_partial boolean, partial_reason string, error string"
 CHUNK = "chunk_id string, chunk_index int, text string, chunk_type string, heading string, page_number int, table_data array<array<string>>, token_count int"
 FACTS = "facts array<struct<event_type:string,confidence:string,location:string,pathogen:string,metric_name:string,metric_value:string,metric_unit:string,event_date:string,summary:string,quote:string>>"

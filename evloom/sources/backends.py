@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions.text import mime_type, sniff_type
 from ..plans.config import ExtractConfig
 
@@ -26,6 +27,8 @@ class SearchBackend(Protocol):
 class TableBackend:
     """Answers from a table (text, RAW_RESULT columns): what a recorded or offline search gives."""
 
+    recorded = True  # asking it twice costs nothing
+
     def __init__(self, table: DataFrame, name: str = "table"):
         self.table, self.name = table, name
 
@@ -34,29 +37,37 @@ class TableBackend:
 
 
 class CallBackend:
-    """Answers from call(text, most) -> list of dicts, run on the executors. Items without url or title are skipped, and their ranks
-    stay empty; a call that fails has no results."""
+    """Answers from call(text, most) -> list of dicts, run on the executors. Items without a url are skipped, and their ranks
+    stay empty; a call that fails has no results. Every use of what it returns is a call: see calls.OnceBackend."""
 
     def __init__(self, call: Callable[[str, int], list[dict]], name: str, most: int = 10):
         self.call, self.name, self.most = call, name, most
 
     def search(self, queries: DataFrame) -> DataFrame:
+        return self.answers(queries).filter("url is not null")
+
+    def answers(self, queries: DataFrame) -> DataFrame:
+        """The results, and for a query that has none a row without a url."""
         call, most = self.call, self.most
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
                 rows = []
                 for key, query in zip(f["cache_key"], f["text"], strict=True):
-                    try:
-                        items = call(query, most)
-                    except Exception:  # noqa: BLE001  any failure of a remote service is an empty answer
-                        items = []
-                    for i, x in enumerate(items, 1):
-                        if isinstance(x, dict) and x.get("url") and x.get("title") is not None:
-                            rows.append((key, x["url"], x["title"], x.get("content", ""), i, x.get("published_date"), x.get("score")))
+                    rows += [(key, *x) for x in results_of_call(call, query, most)] or [(key, None, None, None, None, None, None)]
                 yield pd.DataFrame(rows, columns=["cache_key", "url", "title", "snippet", "rank", "published_date", "score"])
 
-        return queries.select("cache_key", "text").mapInPandas(run, "cache_key string, url string, title string, snippet string, rank int, published_date string, score double")
+        return queries.select("cache_key", "text").mapInPandas(run, f"cache_key string, {schemas.RAW_RESULT}")
+
+
+def results_of_call(call: Callable[[str, int], list[dict]], query: str, most: int) -> list[tuple]:
+    """RAW_RESULT rows of one call; none if it fails, whatever the reason."""
+    try:
+        items = list(call(query, most))
+    except Exception:  # noqa: BLE001  any failure of a remote service is an empty answer
+        return []
+    number = lambda x: None if x is None else float(x)
+    return [(x["url"], x.get("title", ""), x.get("content", ""), i, x.get("published_date"), number(x.get("score"))) for i, x in enumerate(items, 1) if isinstance(x, dict) and x.get("url")]
 
 
 class ModelClient(Protocol):
@@ -67,6 +78,8 @@ class ModelClient(Protocol):
 class TableModel:
     """Replies recorded by key."""
 
+    recorded = True  # asking it twice costs nothing
+
     def __init__(self, replies: DataFrame):
         self.replies = replies
 
@@ -74,12 +87,18 @@ class TableModel:
         return prompts.select("key").join(self.replies, "key")
 
 
+def with_reply_columns(replies: DataFrame) -> DataFrame:
+    """REPLY columns of a model's answers, null where it says nothing of them."""
+    kinds = [c.split() for c in schemas.REPLY.split(", ")]
+    return replies.select(*[(F.col(c) if c in replies.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds])
+
+
 def fetch_http(requests: DataFrame, cfg: ExtractConfig = ExtractConfig(), agent: str = "evloom") -> DataFrame:
     """FETCH_RESULT rows for requests (url), fetched by the executors; redirects are followed.
 
     A body may have most_bytes bytes: a larger announced length is refused before the body is read, and a larger body where it goes
     beyond. Any failure is a row with an error and without content; other status codes than 2xx are none. Deal the requests by domain
-    beforehand to be polite.
+    beforehand to be polite. Every use of what it returns is a request: see calls.fetch_once.
     """
     limit, timeout = cfg.most_bytes, cfg.timeout_s
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..plans.config import SearchConfig
+from .calls import CallTable, once_backend
 
 _PAYLOAD = "array<struct<url:string,title:string,snippet:string,rank:int,published_date:string,score:double>>"
 
@@ -43,15 +44,15 @@ def results_of(hits: DataFrame) -> DataFrame:
     return hits.select("*", F.posexplode(F.from_json("results_json", _PAYLOAD)).alias("pos", "r")).select(*[c for c in hits.columns if c != "results_json"], "pos", "r.*")
 
 
-def cache_aside(queries: DataFrame, cache: DataFrame, backend, as_of: dt.datetime) -> tuple[DataFrame, DataFrame]:
-    """(results, new cache entries): hits from the cache, misses from backend(queries) -> rows with cache_key and RAW_RESULT columns,
-    asked once for each key.
+def cache_aside(queries: DataFrame, cache: DataFrame, backend, as_of: dt.datetime, table: CallTable | None = None) -> tuple[DataFrame, DataFrame]:
+    """(results, new cache entries): hits from the cache, misses from the SearchBackend. A key is asked once: answers go to a table of calls,
+    from which both results are read; table is that of an earlier, broken run.
 
     Queries without a result are cached too, as empty lists.
     """
     found = lookup(queries, cache, as_of)
     hits, misses = found.filter("hit"), found.filter("not hit").drop("results_json", "hit")
-    fetched = backend(misses.groupBy("cache_key").agg(F.min("text").alias("text")))
+    fetched = once_backend(backend, queries.sparkSession, table).search(misses.groupBy("cache_key").agg(F.min("text").alias("text")))
     entries = misses.select("cache_key").distinct().join(payload(fetched), "cache_key", "left").select("cache_key", F.coalesce("results_json", F.lit("[]")).alias("results_json"), F.lit(as_of).cast("timestamp").alias("created_at"))
     every = found.drop("results_json", "hit").join(hits.select("cache_key", "results_json").unionByName(entries.select("cache_key", "results_json")).dropDuplicates(["cache_key"]), "cache_key")
     return results_of(every), entries

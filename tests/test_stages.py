@@ -110,7 +110,7 @@ def test_cache_aside(spark):
     q = spark.createDataFrame([("H5N1 Cases ",), ("other",), ("none",)], "text string").withColumn("cache_key", cache.cache_key(F.lit("t"), F.col("text"), AS_OF))
     old = spark.createDataFrame([("h5n1 cases",)], "text string").select(cache.cache_key(F.lit("t"), F.col("text"), AS_OF).alias("cache_key"), F.lit('[{"url":"u","title":"t","snippet":"","rank":1}]').alias("results_json"), F.lit(AS_OF - dt.timedelta(hours=23)).cast("timestamp").alias("created_at"))
     table = spark.createDataFrame([("other", "v", "t", "", 1, None, None), ("h5n1 cases", "never", "t", "", 1, None, None)], "text string, url string, title string, snippet string, rank int, published_date string, score double")
-    found, new = cache.cache_aside(q, old, backends.TableBackend(table).search, AS_OF)
+    found, new = cache.cache_aside(q, old, backends.TableBackend(table), AS_OF)
     assert sorted((r.text, r.url) for r in found.collect()) == [("H5N1 Cases ", "u"), ("other", "v")]
     assert sorted(r.results_json for r in new.collect())[0] == "[]"
     assert cache.lookup(q, old.withColumn("created_at", F.lit(AS_OF - dt.timedelta(hours=25)).cast("timestamp")), AS_OF).filter("hit").count() == 0
@@ -240,7 +240,8 @@ def test_pdf_with_table_title_and_date(spark):
     d = docs.first()
     assert (d.title, d.published_date, d.status, d.n_chunks) == ("The title", dt.datetime(2024, 12, 1), "success", 2)
     rows = chunks.orderBy("chunk_index").collect()
-    assert rows[1].table_data == [[f"r{i}c{j}" for j in range(4)] for i in range(3)] and rows[1].heading == "Outbreak report"
+    assert rows[0].table_data == [[f"r{i}c{j}" for j in range(4)] for i in range(3)] and rows[0].heading is None  # before the page's own heading
+    assert rows[1].heading == "Outbreak report"
 
 
 def test_fetch_limits(spark):
