@@ -2,14 +2,38 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evloom.llm import bpe, lang_id, line_dedup, mixing, ngram_join
-from evloom.llm.common import materialize, text_key
+from evloom.llm.common import Scratch, discard, text_key
 from evloom.llm.queries import table, tokenizer_path
 
 BATCH_ROWS = 2000
+#: The columns that stages work on. All others of the input go along unseen, whatever their names.
+OWN = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def apart(stage):
+    """The stage with all columns that aren't OWN as one, `others`, in which no name can clash; the result has the input's columns again, in its order.
+
+    Of columns whose names differ in case only, or not at all, the first that is spelled as in OWN counts as that; the rest are others.
+    """
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = docs.columns
+        at = {c: names.index(c) for c in OWN if c in names}
+        numbered = docs.toDF(*[f"c{i}" for i in range(len(names))])
+        rest = [i for i in range(len(names)) if i not in at.values()]
+        packed = [F.struct(*[f"c{i}" for i in rest]).alias("others")] if rest else []
+        out = stage(spark, numbered.select(*[F.col(f"c{i}").alias(c) for c, i in at.items()], *packed), sf_dir)
+        own = {i: c for c, i in at.items()}
+        return out.select(*[F.col(own[i]) if i in own else F.col("others")[f"c{i}"].alias(c) for i, c in enumerate(names)])
+
+    return run
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -19,17 +43,19 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+@apart
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose language can't be told: null texts, texts without a letter, and those whose best language is
     less likely than the others together."""
     small_batches(spark)
     model = lang_id.fit(docs, "doc_id", "text", "lang")
-    found = lang_id.predict(spark, docs, model, "doc_id", "text", keep=docs.columns)
+    found = lang_id.predict(spark, docs, model, "doc_id", "text", keep=docs.columns, prefix="found_")
     learned = bool(model[0])
-    ok = (F.col("lang_pred") != lang_id.UNDETERMINED) & (F.col("score") >= 0.5) if learned else F.col("text").rlike(r"\p{L}")
+    ok = (F.col("found_lang_pred") != lang_id.UNDETERMINED) & (F.col("found_score") >= 0.5) if learned else F.col("text").rlike(r"\p{L}")
     return found.filter(ok).select(*docs.columns) if learned else docs.filter(ok)
 
 
+@apart
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes lines out that came before; a document of which no line with a word is left goes, unless it never had one."""
     small_batches(spark)
@@ -39,6 +65,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*columns)
 
 
+@apart
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays; rows without an id stay, and of rows that repeat id and text one."""
     small_batches(spark)
@@ -49,6 +76,7 @@ def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
+@apart
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     copies = mixing.mix_sources(docs).select(F.col("doc_id").alias("__id"), "copies").groupBy("__id").agg(F.max("copies").cast("int").alias("copies")).filter("copies > 0")
@@ -69,7 +97,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Each stage's table goes once the next one is written; what the last one reads stays, as the run's result."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    with Scratch(spark, "pipeline") as s:
+        for name, stage in STAGES[:-2]:
+            before = docs
+            docs = s.table(stage(spark, docs, sf_dir), f"stage-{name}")
+            if hasattr(before, "_evloom_path"):
+                discard(before)
+        docs = s.result(STAGES[-2][1](spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import unused
+
 #: Words, and pieces of words, whose ids a Python worker remembers, in two generations: when the younger is full, the older is forgotten.
 CACHE_WORDS, CACHE_PIECES = 150_000, 180_000
 #: Pairs of tokens whose test a worker remembers.
@@ -50,6 +52,9 @@ class Vocabulary:
         with open(path, encoding="utf-8") as f:
             raw = json.load(f)
         model = raw["model"]
+        known = [x.get("type") for x in (raw["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in (raw["pre_tokenizer"] or {}).get("pretokenizers", [])][:1] == ["Split"]
+        if not known:
+            raise ValueError(f"{path} normalizes or splits texts in another way than this encoder does")
         self.suffix = model["end_of_word_suffix"] or ""
         self.pattern = raw["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.special = {x["content"]: x["id"] for x in raw["added_tokens"]}
@@ -201,7 +206,7 @@ class Encoder:
                     token.append(t)
                     start.append(0)
                     break
-                key = token[i - n] << 16 | t
+                key = token[i - n] << 32 | t
                 ok = pairs.get(key)
                 if ok is None:
                     if len(pairs) >= CACHE_PAIRS:
@@ -299,7 +304,7 @@ def encode(spark: SparkSession, df: DataFrame, tokenizer_path: str, id_col: str
     """
     shared = _Shared(spark.sparkContext.broadcast(Vocabulary(tokenizer_path)))
     keep = [id_col] if keep is None else keep
-    rows = df.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("__text"))
+    rows = df.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias(unused(df, "__text")[0]))
     schema = rows.select(*keep).schema
     schema = schema.add("ids", T.ArrayType(T.IntegerType())) if ids else schema
     schema = schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import functools
 import gc
 import shutil
 import tempfile
@@ -30,15 +31,15 @@ _SCRATCH: dict[str, str] = {}
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir.
 
-    Where none is named, a temporary one if driver and executors are one process, else one in the warehouse, which they share.
-    The session is left as it is.
+    Where none is named, a temporary one if driver and executors are one process. On a cluster the setting must be there: a folder of
+    each machine's own would lose results. The session is left as it is.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     master = spark.sparkContext.master or ""
     if master != "local" and not master.startswith("local["):
-        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/evloom-scratch"
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if "own" not in _SCRATCH:
         _SCRATCH["own"] = tempfile.mkdtemp(prefix="evloom-scratch-")
         atexit.register(shutil.rmtree, _SCRATCH["own"], ignore_errors=True)
@@ -46,13 +47,16 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """A run's folder in the shared one. Its tables go when the run is over, also if it fails; result() is what stays.
+    """A run's folder in the shared one. All tables that are written while it is open go when the run is over, also if it fails; result() is what
+    stays, in the folder of the run around it if there is one.
 
         with Scratch(spark, "mix") as s:
             sizes = s.table(df, "sizes")
             return s.result(sizes.groupBy("source").count())
     """
 
+    open: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.name, self.dealt = spark, name, []
         self.path = f"{scratch_dir(spark)}/evloom/{name}-{uuid.uuid4().hex}"
@@ -60,21 +64,35 @@ class Scratch:
     def table(self, df: DataFrame, tag: str) -> DataFrame:
         return materialize(df, tag, self.path)
 
-    def dealt_table(self, df: DataFrame, tag: str, key: str, parts: int) -> DataFrame:
-        self.dealt.append(materialize_dealt(df, tag, key, parts, self.path))
-        return self.dealt[-1]
-
     def result(self, df: DataFrame) -> DataFrame:
-        return materialize(df, f"result-{self.name}")
+        outer = Scratch.open[: Scratch.open.index(self)]
+        return materialize(df, f"result-{self.name}", outer[-1].path if outer else f"{scratch_dir(self.spark)}/evloom")
 
     def __enter__(self) -> Scratch:
+        Scratch.open.append(self)
         return self
 
     def __exit__(self, *error) -> None:
+        Scratch.open.remove(self)
         discard(*self.dealt)
         delete(self.spark, self.path)
 
 
+def owned(name: str):
+    """For a function whose result is to be a table, and whose other tables go."""
+
+    def wrap(f):
+        @functools.wraps(f)
+        def run(*args, **more):
+            frame = next(a for a in args if isinstance(a, DataFrame))
+            with Scratch(frame.sparkSession, name) as s:
+                return s.result(f(*args, **more))
+
+        return run
+
+    return wrap
+
+
 def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -82,25 +100,38 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def materialize(df: DataFrame, tag: str, folder: str | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage and survives lost executors."""
-    path = f"{folder or scratch_dir(df.sparkSession) + '/evloom'}/{tag}-{uuid.uuid4().hex}"
+    path = f"{folder or _folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._evloom_path = path
     return out
 
 
-def materialize_dealt(df: DataFrame, tag: str, key: str, parts: int, folder: str | None = None) -> DataFrame:
+def materialize_dealt(df: DataFrame, tag: str, key: str, parts: int) -> DataFrame:
     """Like materialize(), but dealt by key into so many buckets: what groups or joins it by the key later moves the other side only.
     df should be dealt so already."""
     name = f"evloom_{tag.replace('-', '_')}_{uuid.uuid4().hex}"
-    path = f"{folder or scratch_dir(df.sparkSession) + '/evloom'}/{name}"
+    path = f"{_folder(df.sparkSession)}/{name}"
+    if Scratch.open:  # before the table is there: so it goes even if writing it fails
+        Scratch.open[-1].dealt.append(_Dealt(df.sparkSession, path, name))
     df.write.option("compression", "zstd").option("path", path).bucketBy(parts, key).saveAsTable(name)
     out = df.sparkSession.table(name)
     out._evloom_path, out._evloom_table = path, name
     return out
 
 
-def discard(*tables: DataFrame) -> None:
+class _Dealt:
+    """A table to be discarded that may not be there yet."""
+
+    def __init__(self, spark: SparkSession, path: str, name: str):
+        self.sparkSession, self._evloom_path, self._evloom_table = spark, path, name
+
+
+def _folder(spark: SparkSession) -> str:
+    return Scratch.open[-1].path if Scratch.open else f"{scratch_dir(spark)}/evloom"
+
+
+def discard(*tables: DataFrame | _Dealt) -> None:
     """Deletes tables that materialize() or materialize_dealt() wrote, once nothing will read them again."""
     for t in tables:
         if hasattr(t, "_evloom_table"):
@@ -122,6 +153,17 @@ def fits(table: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(table) if size <= most else table
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until df has no columns of theirs."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in have:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, discard, fits, materialize, release
+from .common import components, fits, materialize, owned, release
 
 THRESHOLD = 0.98
 TREES = 4
@@ -104,6 +104,7 @@ def fit_forest(labels: np.ndarray, x: np.ndarray, trees: int, threshold: float,
     return forest | {None: [Tree(x, spill, rng) for _ in range(trees)]}
 
 
+@owned("near-vectors")
 def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, trees: int = TREES, fit_rows: int = FIT_ROWS) -> DataFrame:
     """(id, n_links, component_id, kept) for every row of df.
 
@@ -117,12 +118,7 @@ def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "vec_id",
     An empty table gives an empty result.
     """
     narrow = df.schema[vec_col].dataType.simpleString() == "array<float>"  # these are doubles of four bytes
-    like, made = ("<f4" if narrow else "<f8"), []
-
-    def keep(t: DataFrame, tag: str) -> DataFrame:
-        made.append(materialize(t, tag))
-        return made[-1]
-
+    like, keep = ("<f4" if narrow else "<f8"), materialize
     vec = F.col(vec_col).cast("array<double>")
     good = F.coalesce(F.col(label_col).isNotNull() & (F.size(vec) > 0) & ~F.exists(vec, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(vec, lambda v: v != 0), F.lit(False))
     # minus zero is zero
@@ -229,10 +225,7 @@ def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "vec_id",
     per_class = per_class.join(low, "component").select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id", F.lit(True).alias("linked"))
     done = base.join(per_class, ["label", "vec"], "left")
     component_id = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("id"))
-    result = done.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component_id.alias("component_id"), F.coalesce(F.col("id") == component_id, F.lit(False)).alias("kept"))
-    result = materialize(result, "vector-components")
-    discard(*made)
-    return result
+    return done.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component_id.alias("component_id"), F.coalesce(F.col("id") == component_id, F.lit(False)).alias("kept"))
 
 
 def _firsts(a: np.ndarray, b: np.ndarray, root: np.ndarray) -> np.ndarray:

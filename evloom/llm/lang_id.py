@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release
+from .common import release, unused
 
 BITS = 16
 ORDERS = (1, 2, 3)
@@ -110,8 +110,9 @@ def fit(df: DataFrame, id_col: str, text_col: str, lang_col: str, usable: Column
     return [r.l for r in rows], np.log(grams / grams.sum(1, keepdims=True)).T.copy(), np.log(docs / docs.sum())
 
 
-def predict(spark: SparkSession, df: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """df's id (and keep) with lang_pred and score, the posterior probability of lang_pred.
+def predict(spark: SparkSession, df: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """df's id (or the columns keep) with lang_pred and score, the posterior probability of lang_pred; their names after prefix, which should make
+    them differ from the kept ones'.
 
     A text that is null, empty or without a letter is `und` with score 0, and so is every text where nothing could be
     learned. Equal posteriors go to the language that is first by code point. Whole texts are scored, in windows, so
@@ -141,7 +142,9 @@ def predict(spark: SparkSession, df: DataFrame, model, id_col: str = "doc_id", t
 
     # only the text goes to Python; the other columns wait in the JVM
     text = F.col(text_col).cast("string")
-    return df.withColumn("__lang", score(text, text.rlike(r"\p{L}"))).select(*keep, "__lang.lang_pred", "__lang.score")
+    (name,) = unused(df, "__lang")
+    found = df.withColumn(name, score(text, text.rlike(r"\p{L}")))
+    return found.select(*keep, *[F.col(name)[c].alias(prefix + c) for c in ("lang_pred", "score")])
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS_CLASS, chunks, discard, fits, free, materialize, mix, null_row, only_shared, release, small, utf8, word_hashes
+from .common import WS_CLASS, Scratch, chunks, discard, fits, free, materialize, mix, null_row, only_shared, release, small, unused, utf8, word_hashes
 
 #: Lines of fewer words must be equal; longer ones may differ by one word put in, left out or replaced.
 MIN_WORDS = 8
@@ -91,19 +91,21 @@ def _array(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
+#: Short lines that a task remembers to have expanded.
+SEEN_LINES = 500_000
 #: Kinds of rows of _scan(), in the column i of those that are no neighbourhood: a line, and one that skips the filter.
 LINE, PLAIN = -2, -3
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """One reading of (id, text). For the first of each document's equal lines a row (doc, line, h1, a = second hash, i = LINE or PLAIN,
-    k0..k5, row), and for the short of them their neighbourhoods, rows (doc, line, h1, a, b, i, row).
+    """One reading of (id, text). For the first of each document's equal lines a row (doc, line, h1, h2, i = LINE or PLAIN,
+    k0..k5, row), and for the short of them their neighbourhoods, rows (doc, line, h1, h2, a, b, i, row).
 
     A task expands a short line again only where it comes in an earlier place than before, so that a line of very many documents
     makes a few rows for each task.
     """
     schema = docs.select(F.col("id").alias("doc")).schema
-    for c in ("line", "h1", "a", "b", "i", *[f"k{k}" for k in range(len(PAIRS))], "row"):
+    for c in ("line", "h1", "h2", "a", "b", "i", *[f"k{k}" for k in range(len(PAIRS))], "row"):
         schema = schema.add(c, "long")
     none = lambda n: [pa.nulls(n, pa.int64())] * len(PAIRS)
 
@@ -118,7 +120,7 @@ def _scan(docs: DataFrame) -> DataFrame:
                 weak = few.any(1)
                 long_ = x.words[f] >= LONG
                 ids, rows = b.column(0).slice(i, j - i), b.column(2).slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x.row[f])), *map(_array, (x.number[f], x.key[0][f], x.key[1][f], x.key[1][f], np.where(long_ & weak, PLAIN, LINE))), *[pa.array(keys[:, k].view(np.int64), mask=~long_ | few[:, k]) for k in range(len(PAIRS))], rows.take(pa.array(x.row[f]))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x.row[f])), *map(_array, (x.number[f], x.key[0][f], x.key[1][f])), pa.nulls(len(f), pa.int64()), pa.nulls(len(f), pa.int64()), _array(np.where(long_ & weak, PLAIN, LINE)), *[pa.array(keys[:, k].view(np.int64), mask=~long_ | few[:, k]) for k in range(len(PAIRS))], rows.take(pa.array(x.row[f]))], names=schema.names)
                 # lines of LONG words too: they may pair with a shorter one, which has no filter keys
                 short = f[(x.words[f] >= MIN_WORDS) & (x.words[f] <= LONG)]
                 names, kinds = ids.to_pylist(), rows.to_pylist()
@@ -126,10 +128,12 @@ def _scan(docs: DataFrame) -> DataFrame:
                 for at, (h, r, line) in enumerate(zip(x.key[0][short].tolist(), x.row[short].tolist(), x.number[short].tolist(), strict=True)):
                     place = (names[r] is not None, kinds[r] if names[r] is None else names[r], line)
                     if h not in seen or place < seen[h]:
+                        if len(seen) >= SEEN_LINES:
+                            seen.clear()  # lines that come again are expanded again
                         seen[h], earlier[at] = place, True
                 short = short[earlier]
                 line, gone, keys = x.neighbourhood(short)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x.row[line])), *map(_array, (x.number[line], x.key[0][line], keys[0], keys[1], gone)), *none(len(line)), rows.take(pa.array(x.row[line]))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x.row[line])), *map(_array, (x.number[line], x.key[0][line], x.key[1][line], keys[0], keys[1], gone)), *none(len(line)), rows.take(pa.array(x.row[line]))], names=schema.names)
         seen.clear()
         release()
 
@@ -137,9 +141,9 @@ def _scan(docs: DataFrame) -> DataFrame:
 
 
 def _neighbourhoods(texts: DataFrame) -> DataFrame:
-    """Rows (doc, line, h1, a, b, i, row) of the lines `wanted` of (id, text, wanted, row)."""
+    """Rows (doc, line, h1, h2, a, b, i, row) of the lines `wanted` of (id, text, wanted, row)."""
     schema = texts.select(F.col("id").alias("doc")).schema
-    for c in ("line", "h1", "a", "b", "i", "row"):
+    for c in ("line", "h1", "h2", "a", "b", "i", "row"):
         schema = schema.add(c, "long")
 
     def work(batches):
@@ -154,7 +158,7 @@ def _neighbourhoods(texts: DataFrame) -> DataFrame:
                 for lo in range(0, len(f), 4096):
                     line, gone, keys = x.neighbourhood(f[lo : lo + 4096])
                     ids, rows = (b.column(c).slice(i, j - i).take(pa.array(x.row[line])) for c in (0, 3))
-                    yield pa.RecordBatch.from_arrays([ids, *map(_array, (x.number[line], x.key[0][line], keys[0], keys[1], gone)), rows], names=schema.names)
+                    yield pa.RecordBatch.from_arrays([ids, *map(_array, (x.number[line], x.key[0][line], x.key[1][line], keys[0], keys[1], gone)), rows], names=schema.names)
         release()
 
     return texts.mapInArrow(work, schema)
@@ -172,32 +176,33 @@ def _order(lines: DataFrame):
 
 
 def _later_lines(rows: DataFrame) -> DataFrame:
-    """h1 of the lines that an earlier line is within one word of; rows (h1, a, b, i, place).
+    """(h1, h2) of the lines that an earlier line is within one word of; rows (h1, h2, a, b, i, place).
 
     Lines that agree without their i-th word differ by one replaced word, whichever pair of them is taken; a line that equals
     another without a word differs by that word. So the earliest line of such a group is enough for all the others, and minimums, partly
     taken before the shuffle, replace the pairs. Both hashes of the rest, 128 bits, must agree, which verifies the distance.
     """
     keys = ["a", "b", "i"]
-    group = rows.groupBy(*keys).agg(F.min("place").alias("p"), F.min_by("h1", "place").alias("w"), (F.min("h1") != F.max("h1")).alias("differ"))
+    group = rows.groupBy(*keys).agg(F.min("place").alias("p"), F.min_by("h1", "place").alias("w1"), F.min_by("h2", "place").alias("w2"), (F.min("h1") != F.max("h1")).alias("differ"))
     group = materialize(group, "line-groups")
-    replaced = rows.filter("i >= 0").join(group.filter("i >= 0 and differ").select(*keys, "w"), keys).filter("h1 != w").select("h1")
-    whole = group.filter("i = -1").select("a", "b", F.col("p").alias("wp"), F.col("w"))
+    replaced = rows.filter("i >= 0").join(group.filter("i >= 0 and differ").select(*keys, "w1"), keys).filter("h1 != w1").select("h1", "h2")
+    whole = group.filter("i = -1").select("a", "b", F.col("p").alias("wp"), "w1", "w2")
     less = group.filter("i >= 0").groupBy("a", "b").agg(F.min("p").alias("p"))
     met = materialize(whole.join(less, ["a", "b"]), "line-meets")
-    shorter = met.filter("p < wp").select(F.col("w").alias("h1"))
-    longer = rows.filter("i >= 0").join(met.select("a", "b", "wp"), ["a", "b"]).groupBy("h1").agg(F.min("wp").alias("wp"))
+    shorter = met.filter("p < wp").select(F.col("w1").alias("h1"), F.col("w2").alias("h2"))
+    longer = rows.filter("i >= 0").join(met.select("a", "b", "wp"), ["a", "b"]).groupBy("h1", "h2").agg(F.min("wp").alias("wp"))
     # copies of a line have places of their own: compare with the first
-    own = rows.filter("i = -1").groupBy("h1").agg(F.min("place").alias("own"))
-    longer = longer.join(own, "h1").filter("wp < own").select("h1")
+    own = rows.filter("i = -1").groupBy("h1", "h2").agg(F.min("place").alias("own"))
+    longer = longer.join(own, ["h1", "h2"]).filter("wp < own").select("h1", "h2")
     near = materialize(replaced.unionByName(shorter).unionByName(longer).distinct(), "later-lines")
     discard(group, met)
     return near
 
 
-def drop_lines(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def drop_lines(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, prefix: str = "__") -> DataFrame:
     """(id, n_lines, n_exact, n_near, text) for every row of df: the text without the lines that came before.
-    With keep, these columns of df instead of the id, and the results as __n_lines, __n_exact, __n_near and __text.
+    With keep, these columns of df instead of the id, and the results' names after prefix, which should make them differ from the kept ones'. The result
+    reads a table of dropped lines, in the folder of the run around it or else left in the shared one.
 
     A text is cut at line feeds; a line counts if it has a word (runs other than white space, A-Z in lower case). Earlier means a smaller id,
     then a smaller place. Lines with equal words stay once; of lines with MIN_WORDS words or more, one also goes if any earlier line is
@@ -208,8 +213,23 @@ def drop_lines(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_
     expanded line is words + 1 rows of two hashes. Only a document's kept text is joined back, by id.
     """
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), null_row(F.col(id_col), F.col(text_col)))
+    with Scratch(spark, "dropped-lines") as s:
+        gone = s.result(_dropped(docs))
+    gone = fits(gone)
+    free(spark)  # before the texts are dealt
+    if keep is None:
+        here = F.col("id").eqNullSafe(F.col("__doc")) & F.col("row").eqNullSafe(F.col("__row"))
+        return _rewrite(docs.join(gone, here, "left").select(F.col("id").alias(id_col), "text", "gone"), 1, "")
+    id_, text, row, doc, doc_row, lines = unused(df, "__id", "__t", "__r", "__doc", "__row", "__gone")
+    full = df.select(*keep, F.col(id_col).alias(id_), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(text), null_row(F.col(id_col), F.col(text_col)).alias(row))
+    full = full.join(gone.toDF(doc, doc_row, lines), F.col(id_).eqNullSafe(F.col(doc)) & F.col(row).eqNullSafe(F.col(doc_row)), "left")
+    return _rewrite(full.select(*[F.lit(None).cast("string").alias(c) if c == text_col else F.col(c) for c in keep], text, lines), len(keep), prefix)
+
+
+def _dropped(docs: DataFrame) -> DataFrame:
+    """(__doc, __row, gone): the lines of documents (id, text, row) that others have before them, and whether these only come near."""
     scan = materialize(_scan(docs), "lines")
-    lines = scan.filter(F.col("i") <= LINE).withColumnRenamed("a", "h2")
+    lines = scan.filter(F.col("i") <= LINE)
     place = _order(lines)
     keys = [f"k{k}" for k in range(len(PAIRS))]
     lines = lines.withColumn("place", place)
@@ -222,22 +242,13 @@ def drop_lines(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_
     few = fits(wanted.select("__doc", "__row"))
     here = F.col("id").eqNullSafe(F.col("__doc")) & F.col("row").eqNullSafe(F.col("__row"))
     texts = docs.join(few, here, "left_semi").join(wanted, here).select("id", "text", "wanted", "row")
-    columns = ["doc", "line", "h1", "a", "b", "i", "row"]
+    columns = ["doc", "line", "h1", "h2", "a", "b", "i", "row"]
     expanded = materialize(_neighbourhoods(texts), "neighbourhoods")
     rows = expanded.select(*columns).unionByName(scan.filter(F.col("i") > LINE).select(*columns))
-    near = _later_lines(rows.select("h1", "a", "b", "i", place.alias("place")))
-    verdict = distinct.select("h1", "h2", F.col("doc").alias("first"), F.col("row").alias("first_row")).join(near.withColumn("near", F.lit(True)), "h1", "left")
+    near = _later_lines(rows.select("h1", "h2", "a", "b", "i", place.alias("place")))
+    verdict = distinct.select("h1", "h2", F.col("doc").alias("first"), F.col("row").alias("first_row")).join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
     gone = lines.select("doc", "row", "line", "h1", "h2").join(verdict, ["h1", "h2"]).filter("near or not (doc <=> first and row <=> first_row)")
-    gone = gone.groupBy(F.col("doc").alias("__doc"), F.col("row").alias("__row")).agg(F.collect_list(F.struct("line", F.coalesce("near", F.lit(False)).alias("near"))).alias("gone"))
-    gone = materialize(gone, "dropped-lines")
-    gone = fits(gone)
-    discard(scan, distinct, wanted, expanded, near)
-    free(spark)  # before the texts are dealt
-    if keep is None:
-        return _rewrite(docs.join(gone, here, "left").select(F.col("id").alias(id_col), "text", "gone"), 1, "")
-    full = df.select(*keep, F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__t"), null_row(F.col(id_col), F.col(text_col)).alias("__r"))
-    full = full.join(gone, F.col("__id").eqNullSafe(F.col("__doc")) & F.col("__r").eqNullSafe(F.col("__row")), "left")
-    return _rewrite(full.select(*[F.lit(None).cast("string").alias(c) if c == text_col else F.col(c) for c in keep], "__t", "gone"), len(keep), "__")
+    return gone.groupBy(F.col("doc").alias("__doc"), F.col("row").alias("__row")).agg(F.collect_list(F.struct("line", F.coalesce("near", F.lit(False)).alias("near"))).alias("gone"))
 
 
 def _rewrite(rows: DataFrame, kept: int, prefix: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, discard, free, materialize, materialize_dealt, mix, release, small, utf8, word_hashes
+from .common import chunks, free, materialize, materialize_dealt, mix, owned, release, small, utf8, word_hashes
 
 #: Sweeps of all seating, and how many of them come before the averaged ones. Parts share what they have after BURN_IN.
 SWEEPS, BURN_IN = 5, 2
@@ -31,14 +31,16 @@ END = np.uint64(0x5851F42D4C957)
 START = np.uint64(0x14057B7EF7678)
 #: Tokens of a block; a longer text is a block of its own.
 BLOCK_TOKENS = 1 << 21
-#: Bytes of text for each part.
-PART_BYTES = 8 << 20
+#: Bytes of text for each part, and how many parts there are at least. They depend on the texts alone, and so do seeds and the order of all draws:
+#: scores are the same on any cluster and however the table is split.
+PART_BYTES, LEAST_PARTS = 8 << 20, 16
 #: Words, the most frequent of those read beforehand, that have short numbers known to all tasks; a few MB. So messages are shorter.
 BOOK_WORDS = 1 << 18
 #: Bits of a word's hash: two of a hundred million words agree with a probability of about one. Words of the book have their place in it
 #: instead, below these bits; others the next bit set.
 WORD_BITS = 52
-#: One text of so many is read beforehand to find the words that need several parts and those of the book. It changes no result.
+#: One text of so many, by its hash, is read beforehand to find the words that need several parts and those of the book. Sampling from it changes
+#: results slightly: parts that share a word learn of each other's seating between the rounds only.
 PEEK = 16
 #: Customers of a dish up to which its tables are drawn from their exact distribution.
 EXACT = 64
@@ -316,7 +318,7 @@ def _look_ahead(docs: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray, np
     """(hashes of the book's words in order; their places by frequency; words with more than a quarter of a part's text, in order;
     parts to deal each of these over).
 
-    A task sends the words that it saw twice or more, of no more than BOOK_WORDS; the driver gets BOOK_WORDS rows and one.
+    The counts are those of all words of the texts that are read, however they are dealt; the driver gets BOOK_WORDS rows and one.
     """
 
     def count(batches):
@@ -324,9 +326,7 @@ def _look_ahead(docs: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray, np
 
         def out():
             h, c = np.unique(np.concatenate(held), return_counts=True)
-            most = np.flatnonzero(c > 1)
-            most = most[np.argsort(-c[most], kind="stable")[:BOOK_WORDS]]
-            return pa.RecordBatch.from_arrays([pa.array([-1, *h[most].tolist()], pa.int64()), pa.array([n, *c[most].tolist()], pa.int64())], ["h", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([-1, *h.tolist()], pa.int64()), pa.array([n, *c.tolist()], pa.int64())], ["h", "n"])
 
         for b in small(batches):
             data, off = utf8(b.column(0))
@@ -419,6 +419,7 @@ def _combine(messages: list[tuple]):
 # ---------------------------------------------------------------- the operator
 
 
+@owned("lm-scores")
 def score_texts(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None, sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) for every row of df.
 
@@ -432,11 +433,11 @@ def score_texts(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text
     held = held_out(id_col) if held is None else held
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(2 * spark.sparkContext.defaultParallelism, size // PART_BYTES)
+    parts = max(LEAST_PARTS, size // PART_BYTES)
     slots = max(1, parts // 4)
     book, place, dealt, over = (spark.sparkContext.broadcast(x) for x in _look_ahead(docs, parts))
     id_type = docs.schema["id"].dataType
-    buckets = max(spark.sparkContext.defaultParallelism, parts // 2)
+    buckets = max(LEAST_PARTS // 2, parts // 2)
     columns = [T.StructField("part", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("held", T.BinaryType()), T.StructField("train", T.LongType()), *[T.StructField(x, T.BinaryType()) for x in "xvuwc"]]
     sent = T.StructType([*columns, T.StructField("block", T.LongType())])
     counted = T.StructType([*columns, T.StructField("blocks", T.ArrayType(T.LongType())), T.StructField("numbers", T.ArrayType(T.BinaryType()))])
@@ -620,8 +621,4 @@ def score_texts(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text
         release()
         return pa.table([ids, pa.array(flags), pa.array(whole[0]), pa.array(whole[1]), pa.array(np.full(len(ids), n_train)), pa.array(total[2]), pa.array(total[3]), pa.array(10 ** (-total[3] / total[0]))], names=names)
 
-    result = kept.select("part", "ids", "held", "x", "v").groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(score, schema)
-    result = materialize(result, "lm-scores")
-    discard(merged, first, second)
-    free(spark)
-    return result
+    return kept.select("part", "ids", "held", "x", "v").groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(score, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, discard, materialize
+from .common import WORD, materialize, owned
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
@@ -39,6 +39,7 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, most_epochs: int = MOST_EP
     return s.select("source", "source_size", F.least(F.col("source_size").cast("double") * most_epochs, F.coalesce("_final", F.lit(0.0)) * F.col("weight")).alias("target"))
 
 
+@owned("mix")
 def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, most_epochs: int = MOST_EPOCHS) -> DataFrame:
     """One row per row of df: size, source_size, target and taken (a multiple of size).
 
@@ -56,14 +57,13 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     epochs = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most_epochs))).otherwise(F.lit(0)).cast("long")
     # rest: words still to take below the prefix; 0 where whole epochs meet the target
     bound = targets.select(F.col("source").alias("s"), epochs.alias("epochs"), F.lit(0).cast("long").alias("prefix"), (F.col("target") - epochs * F.col("source_size")).alias("rest"))
-    old = []
     for shift in range(HASH_BITS - LEVEL_BITS, -1, -LEVEL_BITS):
         inside = sized.join(bound, F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("h", shift + LEVEL_BITS) == F.col("prefix")))
         hist = inside.groupBy("s", "epochs", "rest", F.shiftright("h", shift).alias("prefix")).agg(F.sum("size").alias("n"))
         upto = Window.partitionBy("s").orderBy("prefix")
         hist = hist.withColumn("cum", F.sum("n").over(upto)).filter(F.col("cum") > F.col("rest"))
         first = hist.groupBy("s").agg(F.min_by(F.struct("epochs", "prefix", "n", (F.col("rest") - F.col("cum") + F.col("n")).alias("rest")), "prefix").alias("x"))
-        old.append(bound := materialize(first.select("s", "x.*"), "bound").select("s", "epochs", "prefix", "rest", "n"))
+        bound = materialize(first.select("s", "x.*"), "bound").select("s", "epochs", "prefix", "rest", "n")
     # the last prefix is a whole hash: below it all is taken, at it what comes nearer
     bound = bound.select(F.col("s"), F.when(F.col("rest") * 2 >= F.col("n"), F.col("prefix") + 1).otherwise(F.col("prefix")).alias("below"))
     limits = targets.join(bound, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("s"), "source_size", "target", epochs.alias("epochs"), F.coalesce("below", F.lit(1 << HASH_BITS)).alias("below"), (F.col("target") > epochs * F.col("source_size")).alias("more"))

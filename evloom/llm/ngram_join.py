@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, components, discard, fits, free, materialize, mix, release, small, text_key, utf8, word_hashes
+from .common import chunks, components, discard, fits, free, materialize, mix, owned, release, small, text_key, utf8, word_hashes
 
 N = 5
 #: Links: 100 * intersection >= PERCENT * union.
@@ -381,6 +381,7 @@ def _verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int) ->
     return links
 
 
+@owned("shingle-components")
 def jaccard_components(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, one_of_each: bool = False) -> DataFrame:
     """(id, n_shingles, component_id) for every row of df; component_id is the smallest id that links reach.
     With one_of_each also text_key, the hash of the text, and first: whether (id, text_key) is the smallest of its component.
@@ -437,9 +438,7 @@ def jaccard_components(spark: SparkSession, df: DataFrame, id_col: str = "doc_id
     columns = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.coalesce("first.id", "id")).alias("component_id")]
     if one_of_each:
         columns += [F.col("row").alias("text_key"), F.coalesce(alone | ((F.col("id") == F.col("first.id")) & (F.col("row") == F.col("first.row"))), F.lit(False)).alias("first")]
-    result = materialize(out.select(*columns), "components-by-id")
-    discard(feats, sets, found, links, node, component)
-    return result
+    return out.select(*columns)
 
 
 def oracle(percent: int = PERCENT) -> str:

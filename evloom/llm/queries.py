@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, embed_dedup, lang_id, lexical, line_dedup, lm_score, mixing, ngram_join, packing, quality, secrets_scan, trie, url_filter
+from .common import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,8 +58,9 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.drop_lines(spark, table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "n_exact", "n_near", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+    with Scratch(spark, "line-dedup") as s:
+        out = line_dedup.drop_lines(spark, table(spark, sf_dir, "documents"))
+        return s.result(out.select("doc_id", "n_lines", "n_exact", "n_near", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")))
 
 
 def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

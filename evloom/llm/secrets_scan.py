@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, owned
 from .quality import let
 
 #: kind: (pattern whose matches do not overlap, condition on a match m)
@@ -121,6 +121,7 @@ def thresholds(classes: list[dict]) -> dict[str, float]:
     return out
 
 
+@owned("secrets")
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_assign, n_access, n_hex, base_sha256, spans, n_random) for every row of df.
 

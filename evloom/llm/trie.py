@@ -157,7 +157,9 @@ def prefix_trie(spark: SparkSession, df: DataFrame, base: Column | None = None,
         same = _ends(own)
         paths = s.table(own.drop("k", "l").join(same, "c"), "paths")
         turns_below, mass, n_all, least = paths.agg(F.sum(F.size("a")), F.sum(F.size("a") * (F.size("a") + 1) / 2), F.sum("n"), F.min("c")).first()
-        limit = max(1, shard_turns, int(mass or 0) // heavy)
+        # so that the turns below a common beginning are dealt over all tasks, as far as there may be heavy prefixes
+        share = int(turns_below or 0) // (4 * shuffle_partitions(spark)) + 1
+        limit = max(1, min(shard_turns, share), int(mass or 0) // heavy)
         upper = Heavy(_heavy(paths, limit).toArrow())
         shared = spark.sparkContext.broadcast(upper)
         buckets = max(shuffle_partitions(spark), 2 * int(turns_below or 0) // limit)

@@ -33,8 +33,31 @@ def docs(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
 
 
+def internal_names():
+    """Every name that the stages' modules have as a string of its own: of columns, aliases and fields."""
+    names = set()
+    for m in (corpus_pipeline, bpe, lang_id, line_dedup, mixing, ngram_join):
+        with open(m.__file__, encoding="utf-8") as f:
+            names |= set(re.findall(r"""["']([A-Za-z_][A-Za-z0-9_]{0,24})["']""", f.read()))
+    own = {"doc_id", "text", "lang", "source", "n_chars"}
+    return sorted({n.lower(): n for n in sorted(names) if n.lower() not in own}.values())
+
+
 def awkward(spark):
-    return spark.createDataFrame(AWKWARD, DOCS).withColumns({c: F.lit(1) for c in ("id", "size", "h1", "key", "sig", "n", "w", "place", "rank", "verdict", "block")})
+    return spark.createDataFrame(AWKWARD, DOCS).withColumns({c: F.lit(1) for c in internal_names()})
+
+
+def test_names_that_clashed(spark):
+    assert {"lang_pred", "score", "gone", "__t", "__id", "__doc", "copies", "others", "c", "__lang"} <= set(internal_names())
+    d = awkward(spark).filter("doc_id = 6")
+    more = d.toDF(*d.columns[:5], *d.columns[5:-2], "TEXT", "__n_lines")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, more, SF)
+        assert out.columns == more.columns and [tuple(r)[5:] for r in out.collect()] == [(1,) * (len(more.columns) - 5)]
+    kept = ["doc_id", "lang_pred", "score", "__lang", "gone", "__id", "__t", "__doc"]
+    assert lang_id.predict(spark, d, lang_id.fit(d, "doc_id", "text", "lang"), keep=kept, prefix="x_").columns == [*kept, "x_lang_pred", "x_score"]
+    assert line_dedup.drop_lines(spark, d, keep=kept).columns == [*kept, "__n_lines", "__n_exact", "__n_near", "__text"]
+    assert bpe.encode(spark, d, queries.tokenizer_path(), keep=kept).columns[: len(kept)] == kept
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
