@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
 from ..plans.config import InsightConfig
@@ -21,36 +27,81 @@ def chunk_text(heading: Column, body: Column) -> Column:
     return F.concat_ws(" ", F.nullif(heading, F.lit("")), body)
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, keep: tuple[str, ...] = (), per_query: dict[str, Column] | None = None) -> DataFrame:
-    """(question_id, document_id, chunk_id, keep.., per_query.., bm25_score) of every chunk of the documents of queries (question_id, document_id, query).
+class DocumentIndex:
+    """The inverted index of one document: for each term the chunks that have it and how often, and the chunks' lengths in words."""
+
+    def __init__(self, bodies: list[str | None]):
+        words = [_words(x) for x in bodies]
+        self.length = np.array([len(w) for w in words], float)
+        self.postings: dict[str, tuple[list[int], list[int]]] = {}
+        for i, w in enumerate(words):
+            for term, times in Counter(w).items():
+                chunks, n = self.postings.setdefault(term, ([], []))
+                chunks.append(i)
+                n.append(times)
+        found = np.array([len(c) for c, _ in self.postings.values()], float)
+        raw = np.log(len(words) - found + 0.5) - np.log(found + 0.5)
+        floor = EPSILON * raw.mean() if len(raw) else 0.0
+        self.idf = dict(zip(self.postings, np.where(raw < 0, floor, raw), strict=True))
+        mean = self.length.mean() if len(words) else 0.0
+        self.damping = K1 * (1 - B + B * self.length / mean) if mean else np.zeros(len(words))
+
+    def scores(self, query: str | None) -> np.ndarray:
+        """Of all chunks; a query word counts as often as it is in the query."""
+        out = np.zeros(len(self.length))
+        for term, times in Counter(_words(query)).items():
+            if term in self.postings:
+                at, tf = (np.array(x) for x in self.postings[term])
+                out[at] += times * self.idf[term] * tf * (K1 + 1) / (tf + self.damping[at])
+        return out
+
+
+def _words(x: str | None) -> list[str]:
+    """As bm25_tokens() has them."""
+    return x.lower().split() if x else []
+
+
+def _unit(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Rows of norm 1 in doubles; a norm of 0 counts as 1."""
+    x = np.array([v for v in vectors.to_pylist()], float) if len(vectors) else np.zeros((0, 1))
+    n = np.sqrt((x * x).sum(1, keepdims=True))
+    return x / np.where(n == 0, 1, n)
+
+
+def bm25(chunks: DataFrame, queries: DataFrame, keep: tuple[str, ...] = (), of_query: tuple[str, ...] = ()) -> DataFrame:
+    """(question_id, document_id, chunk_id, keep.., of_query.., bm25_score) of every chunk of the documents of queries (question_id, document_id, query).
 
     The corpus of a chunk is its document: document frequencies, mean length, and the floor of negative idf, a quarter of the mean idf
     over the document's terms. A query word counts as often as it is in the query; a chunk without a query word scores 0, and so do
-    documents without any word.
+    documents without any word. keep and of_query name columns of chunks and of queries that come along.
 
-    Chunks are dealt by document once, and questions too; document frequencies, sizes and scores are all computed there. keep names
-    columns of chunks that come along; per_query has expressions over them and over the columns of queries, as `q.name`.
+    One pass: chunks and questions are dealt by document once, each task builds the index of a document, and everything is computed from it. Where both sides
+    have an `embedding`, cosines are too, one matrix product for a document: emb_score. A document's chunks are one group of a task.
     """
-    body = chunk_text(F.col("heading"), F.col("text"))
-    c = chunks.select("document_id", "chunk_id", *keep, *[x for x in ("heading", "text") if x not in keep]).repartition("document_id")
-    by_doc = queries.repartition("document_id").withColumn("__q", bm25_tokens(F.col("query")))
-    sizes = c.select("document_id", F.size(bm25_tokens(body)).alias("len")).groupBy("document_id").agg(F.count("*").alias("n"), F.avg("len").alias("mean_len"))
-    df = c.select("document_id", F.explode(F.array_distinct(bm25_tokens(body))).alias("term")).groupBy("document_id", "term").agg(F.count("*").alias("df"))
-    wanted = by_doc.groupBy("document_id").agg(F.array_distinct(F.flatten(F.collect_list("__q"))).alias("wanted"))
-    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    idf = df.join(sizes, "document_id").join(wanted, "document_id").withColumn("raw", raw).groupBy("document_id").agg(F.first("mean_len").alias("mean_len"), F.avg("raw").alias("mean"), F.collect_list(F.when(F.array_contains("wanted", F.col("term")), F.struct("term", "raw"))).alias("idf"))
-    q = by_doc.select("document_id", "question_id", F.struct(*[x for x in queries.columns if x not in ("document_id", "question_id")]).alias("q"), "__q")
-    every = c.join(q, "document_id").join(idf, "document_id", "left").withColumn("__t", bm25_tokens(body))
-
-    def part(x: Column) -> Column:
-        times = F.size(F.filter("__q", lambda w: w == x["term"]))
-        tf = F.size(F.filter("__t", lambda w: w == x["term"]))
-        weight = F.when(x["raw"] < 0, EPSILON * F.col("mean")).otherwise(x["raw"])
-        return F.when((times > 0) & (tf > 0), times * weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.size("__t") / F.col("mean_len")))).otherwise(0.0)
-
-    score = F.coalesce(F.aggregate("idf", F.lit(0.0), lambda a, x: a + part(x)), F.lit(0.0))
-    extra = [e.alias(name) for name, e in (per_query or {}).items()]
-    return every.select("question_id", "document_id", "chunk_id", *keep, *extra, score.alias("bm25_score"))
+    vectors = "embedding" in chunks.columns and "embedding" in queries.columns
+    more = ["embedding"] if vectors else []
+    c = chunks.select("document_id", "chunk_id", *keep, chunk_text(F.col("heading"), F.col("text")).alias("__body"), *more)
+    q = queries.select("document_id", "question_id", "query", *of_query, *more)
+    schema = T.StructType([q.schema["question_id"], *[c.schema[x] for x in ("document_id", "chunk_id", *keep)], *[q.schema[x] for x in of_query]])
+    for name in [*(["emb_score"] if vectors else []), "bm25_score"]:
+        schema = schema.add(name, "double")
+
+    def score(key, left, right):
+        n, m = len(left), len(right)
+        if not n or not m:
+            return pa.Table.from_batches([], to_arrow_schema(schema))
+        index = DocumentIndex(left["__body"].to_pylist())
+        at, of = pa.array(np.tile(np.arange(n), m)), pa.array(np.repeat(np.arange(m), n))
+        out = {"question_id": right["question_id"].take(of)} | {x: left[x].take(at) for x in ("document_id", "chunk_id", *keep)} | {x: right[x].take(of) for x in of_query}
+        if vectors:
+            # rounded: a matrix product may give equal vectors sums that differ in the last bit, and ties go by place
+            out["emb_score"] = pa.array(np.round(_unit(right["embedding"]) @ _unit(left["embedding"]).T, 12).ravel())
+        out["bm25_score"] = pa.array(np.concatenate([index.scores(x) for x in right["query"].to_pylist()]))
+        return pa.table({f.name: out[f.name] for f in schema})
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return c.groupBy("document_id").cogroup(q.groupBy("document_id")).applyInArrow(score, schema)
 
 
 def embed_missing(chunks: DataFrame, cache: DataFrame, embed) -> DataFrame:
@@ -85,6 +136,64 @@ def cosine_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     return chunks.join(q, "document_id").select("question_id", "document_id", "chunk_id", text.cosine(F.col("embedding"), F.col("qe")).alias("emb_score"))
 
 
+#: Bytes of query vectors that are searched for at once, and broadcast.
+BLOCK_BYTES = 16 << 20
+
+
+def nearest(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", query_col: str = "question_id", digits: int = 9) -> DataFrame:
+    """(query, position, id, emb_score): for each row of queries (query, embedding) the k rows of all chunks (id, embedding) with the greatest cosine, in doubles and
+    rounded to so many digits; equal ones by ascending id. Null vectors, and those of another length than the query's, are left out.
+
+    Queries come in blocks of BLOCK_BYTES. A task multiplies each Arrow batch of chunks with the whole block and keeps k candidates for each query, so it sends
+    k rows for each; the candidates of all tasks are merged. No pair becomes a row."""
+    q = queries.select(F.col(query_col).alias("q"), F.col("embedding").cast("array<double>").alias("e")).filter("e is not null and size(e) > 0")
+    lengths = {r.n: r.c for r in q.groupBy(F.size("e").alias("n")).agg(F.count("*").alias("c")).collect()}
+    x = chunks.select(F.col(id_col).alias("id"), F.col("embedding").cast("array<double>").alias("e")).filter("e is not null")
+    found = None
+    for n, count in sorted(lengths.items()):
+        rounds = -(-count * n * 8 // BLOCK_BYTES)
+        for r in range(rounds):
+            block = q.filter(F.size("e") == n).filter(F.pmod(F.xxhash64("q", "e"), F.lit(rounds)) == r)
+            more = _nearest_to_block(x.filter(F.size("e") == n), block, k, digits)
+            found = more if found is None else found.unionByName(more)
+    if found is None:
+        found = q.join(x.select("id").limit(0)).select("q", "id", F.lit(0.0).alias("emb_score"))
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("emb_score"), F.col("id").asc_nulls_last()))
+    return found.withColumn("position", place).filter(F.col("position") <= k).select(F.col("q").alias(query_col), "position", F.col("id").alias(id_col), "emb_score")
+
+
+def _nearest_to_block(x: DataFrame, block: DataFrame, k: int, digits: int) -> DataFrame:
+    rows = block.toArrow()
+    shared = x.sparkSession.sparkContext.broadcast((rows["q"].combine_chunks(), _unit(rows["e"])))
+    schema = T.StructType([T.StructField("q", block.schema["q"].dataType), T.StructField("id", x.schema["id"].dataType), T.StructField("emb_score", T.DoubleType())])
+
+    def work(batches):
+        names, q = shared.value
+        best, ids = np.full((len(names), 0), -np.inf), pa.array([], to_arrow_schema(schema).field("id").type)
+        which = np.zeros((len(names), 0), np.int64)  # of each candidate its place in ids
+        for b in batches:
+            for at in range(0, b.num_rows, 2048):
+                part = b.slice(at, 2048)
+                e = part.column(1)
+                # minus zero, and scores that round to it, are zero
+                score = np.round(q @ _unit(e).T, digits) + 0.0
+                ids = pa.concat_arrays([ids, part.column(0)])
+                order = np.empty(len(ids), np.int64)
+                order[pc.sort_indices(ids, null_placement="at_end").to_numpy()] = np.arange(len(ids))
+                best = np.concatenate([best, score], 1)
+                which = np.concatenate([which, np.tile(np.arange(len(ids) - len(part), len(ids)), (len(names), 1))], 1)
+                keep = np.lexsort((order[which], -best))[:, :k]
+                best, which = np.take_along_axis(best, keep, 1), np.take_along_axis(which, keep, 1)
+                used, which = np.unique(which, return_inverse=True)
+                which, ids = which.reshape(best.shape), ids.take(pa.array(used))
+        n = best.shape[1]
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(np.repeat(np.arange(len(names)), n))), ids.take(pa.array(which.ravel())), pa.array(best.ravel())], schema=to_arrow_schema(schema))
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return x.mapInArrow(work, schema)
+
+
 def hybrid(chunks: DataFrame, queries: DataFrame, cfg: InsightConfig = CFG) -> DataFrame:
     """The best chunks of each question and document by the weighted sum of scaled BM25 and cosine and a small boost for keywords.
 
@@ -92,10 +201,10 @@ def hybrid(chunks: DataFrame, queries: DataFrame, cfg: InsightConfig = CFG) -> D
     A chunk with a keyword gets half of keyword_boost; a question without keywords gives none.
     """
     keys = ["question_id", "document_id"]
-    some = F.filter(F.coalesce("q.keywords", F.array().cast("array<string>")), lambda k: k.isNotNull() & (k != ""))
+    some = F.filter(F.coalesce("keywords", F.array().cast("array<string>")), lambda k: k.isNotNull() & (k != ""))
     bias = F.when(F.size(some) == 0, 0.5).otherwise(keyword_bias(some, F.col("text"), F.col("heading")))
     known = [c for c in chunks.columns if c not in ("document_id", "chunk_id", "embedding")]
-    scores = bm25(chunks, queries, (*known, "embedding"), {"emb_score": text.cosine(F.col("embedding"), F.col("q.embedding")), "__bias": bias}).drop("embedding")
+    scores = bm25(chunks, queries, tuple(known), ("keywords",)).withColumn("__bias", bias).drop("keywords")
     scores = scores.withColumn("bm25_norm", min_max("bm25_score", keys)).withColumn("emb_norm", min_max("emb_score", keys))
     j = scores.withColumn("score", cfg.bm25_weight * F.col("bm25_norm") + cfg.embedding_weight * F.col("emb_norm") + cfg.keyword_boost * (F.col("__bias") - 0.5)).drop("__bias")
     return top_k(j, "score", min(cfg.top_k, cfg.chunks_per_document), keys)

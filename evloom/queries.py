@@ -229,11 +229,16 @@ def jaccard_pairs(spark, d):
 
 
 def _items(spark, d) -> tuple[DataFrame, F.Column]:
-    """The questions with their places k, and the place of each document's question: documents are dealt over all questions."""
-    from pyspark.sql import Window
-
-    b = t(spark, d, "benchmark")
-    return b.select("item_id", F.col("text").alias("q"), (F.row_number().over(Window.orderBy("item_id")) - 1).alias("k")), F.col("doc_id") % max(1, b.count())
+    """The questions with their places k in the order of ids, and the place of each document's question: documents are dealt over all questions. Places come
+    from a sort by ranges, whose parts number their rows, and the few counts of the parts; no task sees all questions."""
+    b = t(spark, d, "benchmark").select("item_id", F.col("text").alias("q"))
+    parts = b.repartitionByRange("item_id").sortWithinPartitions("item_id").select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    starts, total = [], 0
+    for r in parts.groupBy("part").agg(F.min("at").alias("first"), F.count("*").alias("n")).orderBy("part").collect():
+        starts.append((r.part, r.first - total))
+        total += r.n
+    shift = spark.createDataFrame(starts, "part int, shift long")
+    return parts.join(F.broadcast(shift), "part").select("item_id", "q", (F.col("at") - F.col("shift")).alias("k")), F.col("doc_id") % max(1, total)
 
 
 @query(f"""with q as (select item_id, list_distinct({TOKENS.format('text')}) q from benchmark), x as (select doc_id, {TOKENS.format('text')} x from documents)
@@ -453,13 +458,22 @@ def bm25_topk(spark, d):
 @query("""with q as (select vec_id q, label, embedding::double[] e from embeddings where vec_id % 50 = 0), x as (select q.q question_id, v.label::varchar document_id, v.vec_id, list_cosine_similarity(q.e, v.embedding::double[]) s from q join embeddings v on v.label = q.label),
 r as (select *, row_number() over (partition by question_id, document_id order by round(s, 9) desc, vec_id) p from x) select question_id, document_id, vec_id, p as position, round(s, 6)::double emb_score from r where p <= 12""")
 def cosine_topk(spark, d):
-    """A query meets the chunks of its own document, here its label: that scope is the operator's, not a filter."""
+    """Within a document, here a label: the scope that the evidence stages have."""
     v = t(spark, d, "embeddings").select(F.col("label").cast("string").alias("document_id"), F.col("vec_id").alias("chunk_id"), "embedding")
     q = v.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("question_id"), "document_id", "embedding")
     s = retrieval.cosine_scores(v, q).withColumn("r", F.round("emb_score", 9))
     return retrieval.top_k(s, "r", 12, ["question_id", "document_id"], "chunk_id").select("question_id", "document_id", F.col("chunk_id").alias("vec_id"), "position", F.round("emb_score", 6).alias("emb_score"))
 
 
+@query("""with q as (select vec_id question_id, embedding::double[] e from embeddings where vec_id % 50 = 0 and embedding is not null), x as (select question_id, v.vec_id, round(list_cosine_similarity(q.e, v.embedding::double[]), 9) s from q cross join embeddings v where v.embedding is not null),
+r as (select *, row_number() over (partition by question_id order by s desc, vec_id) p from x) select question_id, p::int as position, vec_id, round(s, 6)::double emb_score from r where p <= 12""")
+def nearest_vectors(spark, d):
+    """Every vector whose id is divisible by 50 against all vectors, whatever their labels."""
+    v = t(spark, d, "embeddings").select("vec_id", "embedding")
+    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("question_id"), "embedding")
+    return retrieval.nearest(v, q, 12, "vec_id").select("question_id", "position", "vec_id", F.round("emb_score", 6).alias("emb_score"))
+
+
 @query("with x as (select doc_id, source, n_chars, min(n_chars) over (partition by source) lo, max(n_chars) over (partition by source) hi from documents) select doc_id, round(case when hi = lo then 1.0 else (n_chars - lo) / (hi - lo)::double end, 9)::double as norm from x")
 def minmax(spark, d):
     return t(spark, d, "documents").withColumn("norm", retrieval.min_max("n_chars", ["source"])).select("doc_id", F.round("norm", 9).alias("norm"))
