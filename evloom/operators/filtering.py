@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..plans.config import FilterConfig
+from ..sources.calls import stored
 
 CFG = FilterConfig()
 
@@ -119,17 +120,81 @@ def _fold(df: DataFrame, order: list[Column], row: Column, rejects, kept_type: s
     return df.groupBy(group).agg(kept.alias("kept")).select(group, F.posexplode("kept").alias("kept_ord", "x")).select(group, F.col("x.id").alias(id_col), "kept_ord")
 
 
-def drop_near_copies(df: DataFrame, threshold: float = CFG.near_duplicate, group: str = "question_id", id_col: str = "id") -> DataFrame:
-    """Greedy, by score and then ord: a row goes if one kept before has its canonical url (not null), or its domain and a Jaccard
-    similarity of title and snippet of threshold or more. Not transitive. Groups are a question's results, 60 at most after the search
-    stage; only ids and hashed tokens are gathered, never texts."""
+#: Rows of a group up to which it is folded within one row; larger groups are decided in rounds.
+FOLD_ROWS = 256
+
+
+def drop_near_copies(df: DataFrame, threshold: float = CFG.near_duplicate, group: str = "question_id", id_col: str = "id", fold_rows: int = FOLD_ROWS) -> DataFrame:
+    """Greedy, by score, then ord, then id: a row goes if one kept before has its canonical url (not null), or its domain and a Jaccard
+    similarity of title and snippet of threshold or more. Not transitive. Ids must be unique in a group.
+
+    Groups of up to fold_rows rows, like the results of a question, are walked within one row, of ids and hashed tokens, never texts. Larger ones are decided in
+    rounds: see decided_in_rounds()."""
     tokens = F.array_sort(F.array_distinct(F.transform(text.tokenize(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit("")))), lambda t: F.xxhash64(t))))
-    row = F.struct(F.col(id_col).cast("string").alias("id"), F.coalesce("canonical_url", F.lit("")).alias("url"), F.coalesce("domain", F.lit("")).alias("domain"), tokens.alias("t"))
-    same = lambda k, x: ((k["url"] == x["url"]) & (x["url"] != "")) | ((k["domain"] == x["domain"]) & (text.jaccard(k["t"], x["t"]) >= threshold))
-    kept = _fold(df, [-F.col("final_score"), F.col("ord")], row, lambda acc, x: F.exists(acc, lambda k: same(k, x)), "struct<id:string,url:string,domain:string,t:array<bigint>>", group, "__id")
+    slim = df.select(group, F.col(id_col).cast("string").alias("id"), (-F.col("final_score")).alias("o0"), F.col("ord").alias("o1"), F.coalesce("canonical_url", F.lit("")).alias("url"), F.coalesce("domain", F.lit("")).alias("domain"), tokens.alias("t"))
+    slim = stored(slim, "near-copies")
+    large = slim.groupBy(group).agg(F.count("*").alias("n")).filter(F.col("n") > fold_rows).select(group)
+    row = F.struct("id", "url", "domain", "t")
+    same = lambda k, x: _conflict(k, x, threshold)
+    fold = lambda rows: _fold(rows, [F.col("o0"), F.col("o1")], row, lambda acc, x: F.exists(acc, lambda k: same(k, x)), "struct<id:string,url:string,domain:string,t:array<bigint>>", group, "__id")
+    if large.isEmpty() or threshold <= 0:
+        kept = fold(slim)
+    else:
+        large = stored(large, "large-groups")
+        kept = fold(slim.join(large, group, "left_anti")).unionByName(decided_in_rounds(slim.join(large, group, "left_semi"), threshold, group, fold_rows, fold))
     return df.withColumn("__id", F.col(id_col).cast("string")).join(kept, [group, "__id"]).drop("__id")
 
 
+def _conflict(k: Column, x: Column, threshold: float) -> Column:
+    return ((k["url"] == x["url"]) & (x["url"] != "")) | ((k["domain"] == x["domain"]) & (text.jaccard(k["t"], x["t"]) >= threshold))
+
+
+def decided_in_rounds(slim: DataFrame, threshold: float, group: str, fold_rows: int, fold) -> DataFrame:
+    """(group, __id, kept_ord) as the walk in order would keep them, without walking.
+
+    Two rows can only conflict if they share a key: their url, or one of their rarest tokens in their domain, of which a set of n needs n - ceil(threshold n) + 1
+    (a similarity of threshold leaves no room to miss them all). In a round every row that is the first undecided one of all its keys is kept, since whatever could go
+    against it is decided; then rows that share a key with a row just kept meet it and go if they conflict. As a key has one such row at most, no
+    more pairs are looked at than there are keys, however many copies a group has. Groups with fold_rows undecided rows or fewer are walked to their end. Rounds are
+    tables; they are as many as the longest chain of rows that share keys without conflict.
+    """
+    rows = stored(slim.withColumn("r", F.monotonically_increasing_id()).withColumn("o", F.struct("o0", "o1", "id")), "rows")
+    common = rows.select(group, "domain", F.explode("t").alias("token")).groupBy(group, "domain", "token").agg(F.count("*").alias("df"))
+    ranked = rows.select(group, "domain", "r", F.size("t").alias("n"), F.explode("t").alias("token")).join(common, [group, "domain", "token"])
+    # -1e-9: so that a product that should be whole doesn't round up
+    prefix = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
+    by_token = ranked.groupBy("r").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("df", "token"))), F.lit(1), F.max(prefix)), lambda x: x["token"]).alias("rare"))
+    key = F.transform(F.coalesce("rare", F.array(F.lit(0).cast("long"))), lambda x: F.xxhash64(F.col(group), F.lit("token"), "domain", x))
+    keys = F.concat(key, F.when(F.col("url") != "", F.array(F.xxhash64(F.col(group), F.lit("url"), "url"))).otherwise(F.array().cast("array<bigint>")))
+    left = stored(rows.join(by_token, "r", "left").withColumn("keys", keys).drop("rare"), "undecided")
+    kept = []
+    while True:
+        sizes = left.groupBy(group).agg(F.count("*").alias("n")).cache()
+        small = sizes.filter(F.col("n") <= fold_rows).select(group)
+        if not small.isEmpty():
+            ended = fold(left.join(small, group, "left_semi"))
+            kept.append(stored(left.join(ended.select(group, F.col("__id").alias("id")), [group, "id"], "left_semi").select(group, "id", "o"), "kept"))
+            left = left.join(small, group, "left_anti")
+        more = sizes.filter(F.col("n") > fold_rows).isEmpty()
+        sizes.unpersist()
+        if more:
+            break
+        entries = left.select("r", "o", F.explode("keys").alias("k"))
+        first = entries.groupBy("k").agg(F.min("o").alias("first"))
+        ready = entries.join(first, "k").groupBy("r").agg(F.min(F.col("o") == F.col("first")).alias("ready")).filter("ready").select("r")
+        now = stored(left.join(ready, "r", "left_semi"), "ready")
+        kept.append(now.select(group, "id", "o"))
+        met = entries.select("r", "k").join(now.select(F.col("r").alias("by"), F.explode("keys").alias("k")), "k").filter("r != by").select("r", "by").distinct()
+        pair = met.join(left.select("r", F.struct("url", "domain", "t").alias("x")), "r").join(now.select(F.col("r").alias("by"), F.struct("url", "domain", "t").alias("y")), "by")
+        gone = pair.filter(_conflict(F.col("y"), F.col("x"), threshold)).select("r").unionByName(now.select("r")).distinct()
+        left = stored(left.join(gone, "r", "left_anti"), "undecided")
+    out = kept[0]
+    for k in kept[1:]:
+        out = out.unionByName(k)
+    order = Window.partitionBy(group).orderBy("o")
+    return out.select(group, F.col("id").alias("__id"), (F.row_number().over(order) - 1).alias("kept_ord"))
+
+
 def joint_caps(df: DataFrame, per_domain: int = CFG.per_domain, per_type: int = CFG.per_type, group: str = "question_id", id_col: str = "id") -> DataFrame:
     """In order of ord, at most so many rows of a domain and of a file type (`unknown` if null); a row that one cap turns away does
     not count against the other."""
