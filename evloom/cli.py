@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import argparse
 import datetime as dt
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas
 from .operators import extract, filtering, search
+from .plans.config import SearchConfig
 from .plans.dims import dashboard_dim, tier_dim
 from .sources import cache
 from .sources.backends import CallBackend, TableBackend
-from .sources.calls import CallTable, fetch_once
+from .sources.calls import CallTable, fetch_once, shared_folder
 from .sources.files import filter_output, read_filtered, write_json
+from .sources.search_source import HttpSearch, imported
 
 REPLIES = "question_id string, sub_queries array<struct<text:string,axis:string>>"
 RECORDED = "text string, " + schemas.RAW_RESULT
@@ -35,6 +38,9 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--questions", help="JSON lines")
     p.add_argument("--replies", help="search: the model's sub-queries; filter: its decisions, JSON lines")
     p.add_argument("--recorded", help="search: results by query text, JSON lines, that stand in for a search service")
+    p.add_argument("--endpoint", help="search: address of a service that answers POSTed JSON, as search_source.HttpSearch has it")
+    p.add_argument("--service", help="search: package.module:name of a callable (text, most) that asks a service")
+    p.add_argument("--key-variable", help="search: environment variable with the service's key")
     p.add_argument("--cache", help="search: folder of the cache before the run; it is written anew beside the output")
     p.add_argument("--input", help="filter, extract: output of the stage before")
     p.add_argument("--fetched", help="extract: bodies by url; without it they are fetched")
@@ -46,8 +52,12 @@ def main(argv: list[str] | None = None) -> None:
     if a.stage == "search":
         as_of = a.as_of or dt.datetime.now(dt.UTC).replace(tzinfo=None)
         old = spark.read.schema(schemas.CACHE).parquet(a.cache) if a.cache else spark.createDataFrame([], schemas.CACHE)
-        backend = TableBackend(spark.read.schema(RECORDED).json(a.recorded))
-        found, after = search_with_cache(spark, questions, spark.read.schema(REPLIES).json(a.replies), backend, old, as_of)
+        if a.recorded:
+            backend = TableBackend(spark.read.schema(RECORDED).json(a.recorded))
+        else:
+            backend = CallBackend(HttpSearch(a.endpoint, os.environ.get(a.key_variable or "", "")) if a.endpoint else imported(a.service), "live", SearchConfig().results_per_query)
+        calls = CallTable(spark, f"cache_key string, {schemas.RAW_RESULT}", "cache_key", f"{a.output}/calls")
+        found, after = search_with_cache(spark, questions, spark.read.schema(REPLIES).json(a.replies), backend, old, as_of, calls)
         write_json(found, f"{a.output}/results")
         after.write.mode("overwrite").parquet(f"{a.output}/cache")
     elif a.stage == "filter":
@@ -58,8 +68,11 @@ def main(argv: list[str] | None = None) -> None:
         write_json(filter_output(out.withColumnRenamed("id", "result_id")), a.output)
     else:
         filtered = read_filtered(spark, a.input)
-        fetched = spark.read.schema(schemas.FETCH_RESULT).json(a.fetched) if a.fetched else fetch_http(filtered.select("url").distinct().repartition("url"))
-        docs, chunks = extract.extract_stage(filtered, fetched)
+        if a.fetched:
+            fetched = spark.read.schema(schemas.FETCH_RESULT).json(a.fetched)
+        else:
+            fetched = fetch_once(filtered, CallTable(spark, schemas.FETCH_RESULT, "url", f"{a.output}/fetched"))
+        docs, chunks = extract.extract_stage(filtered, fetched, store=shared_folder(spark, "parsed"))
         write_json(docs, f"{a.output}/documents")
         write_json(chunks, f"{a.output}/chunks")
 

@@ -1,7 +1,7 @@
 """HTML pages: title, dates, language and sections, by the standard library's parser in an Arrow function.
 
 Unlike a parser that leaves an open `p` open, a block element or another `p` ends it, as HTML says. The main text is the whole text without
-navigation, header, footer, aside, form, script and style: an approximation of a boilerplate remover.
+navigation, header, footer, aside, form, script and style, and of the rest the blocks that are worth keeping by the density of their text and links.
 """
 
 from __future__ import annotations
@@ -130,13 +130,53 @@ def parse_page(page: str) -> dict:
     date = meta("property", "article:published_time") or meta("property", "og:published_time") or meta("name", "publication_date") or next((n.attrs["datetime"] for n in every if n.name == "time" and n.attrs.get("datetime")), None)
     lang = next((n.attrs.get("lang") for n in every if n.name == "html"), None)
     body = next((n for n in every if n.name == "body"), b.root)
-    main = body.text("\n", BOILERPLATE) or body.text("\n")
+    main = "\n".join(dense_text(body)) or body.text("\n")
     sections = _sections(body)
     if not sections:
         sections = [{"section_path": None, "page_number": None, "text": p, "chunk_type": "prose", "table_rows": None} for p in (x.strip() for x in main.split("\n\n")) if p]
     return {"raw_text": main, "sections": sections, "title": title, "language": lang.split("-")[0].lower() if lang else None, "page_count": None, "published_date": date, "is_partial": False, "partial_reason": None, "error": None}
 
 
+#: What a character of a link takes away from a block's worth, of which every other character is one.
+LINK_COST = 2
+
+
+def dense_text(body: _Node) -> list[str]:
+    """The strings of the subtree that is worth most, boilerplate elements aside.
+
+    A block's own worth are its characters outside links less LINK_COST for each in links, inline elements taken in; strings of one block
+    stay or go together. The worth of a subtree is its block's and that of its child blocks where that is positive: what is below zero is cut off. So lists of
+    links go, whatever their elements are called, and a short article stays. Elements are numbered in document order, so children are added up before parents.
+    """
+    nodes, parent = [body], [0]
+    strings: list[tuple[int, str]] = []  # (block, string) in order
+    own = [0]
+    todo = [(k, 0, False) for k in reversed(body.kids)]
+    while todo:
+        k, block, in_link = todo.pop()
+        if isinstance(k, str):
+            if t := k.strip():
+                strings.append((block, t))
+                own[block] += -LINK_COST * len(t) if in_link else len(t)
+        elif k.name not in BOILERPLATE:
+            in_link = in_link or k.name == "a"
+            if k.name in BLOCKS or k.name in ("li", "td", "th", "tr", "dt", "dd", "caption"):
+                nodes.append(k)
+                parent.append(block)
+                own.append(0)
+                block = len(nodes) - 1
+            todo += [(x, block, in_link) for x in reversed(k.kids)]
+    worth = list(own)
+    for i in range(len(nodes) - 1, 0, -1):
+        if worth[i] > 0:
+            worth[parent[i]] += worth[i]
+    kept = [True] * len(nodes)
+    for i in range(1, len(nodes)):
+        kept[i] = kept[parent[i]] and worth[i] > 0
+    # a kept block whose own strings are links only, like a menu beside an article in one element, keeps its children's
+    return [t for block, t in strings if kept[block] and own[block] > 0]
+
+
 _SECTION = pa.struct([("section_path", pa.string()), ("page_number", pa.int32()), ("text", pa.string()), ("chunk_type", pa.string()), ("table_rows", pa.list_(pa.list_(pa.string())))])
 _PARSED = pa.struct([("raw_text", pa.string()), ("sections", pa.list_(_SECTION)), ("title", pa.string()), ("language", pa.string()), ("page_count", pa.int32()), ("published_date", pa.string()), ("is_partial", pa.bool_()), ("partial_reason", pa.string()), ("error", pa.string())])
 
