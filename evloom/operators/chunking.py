@@ -50,10 +50,15 @@ def build_chunks(sections: DataFrame) -> DataFrame:
 
 
 def normalize_chunks(chunks: DataFrame, cfg: ExtractConfig = CFG, count: Counter = text.token_count) -> DataFrame:
-    """Chunks over most_tokens split to target_tokens, except tables; parts are named -p0, -p1...; chunk_index is renewed."""
+    """Chunks over most_tokens split to target_tokens, except tables; parts are named -p0, -p1...; chunk_index is renewed. count: an expression, or a
+    tokens.TokenCounter for exact counts by a vocabulary."""
     large = (F.col("chunk_type") != "table") & (count(F.col("text")) > cfg.most_tokens)
-    parts = F.when(large, split_text(F.col("text"), cfg.target_tokens, count)).otherwise(F.array(F.col("text")))
-    rows = chunks.withColumn("__large", large).select("*", F.posexplode(parts).alias("part", "piece"))
+    rows = chunks.withColumn("__large", large)
+    if hasattr(count, "split"):  # a counter that runs in Python cuts there too; only large texts go
+        parts = F.when(F.col("__large"), count.split(F.when(F.col("__large"), F.col("text")), cfg.target_tokens)).otherwise(F.array(F.col("text")))
+    else:
+        parts = F.when(large, split_text(F.col("text"), cfg.target_tokens, count)).otherwise(F.array(F.col("text")))
+    rows = rows.select("*", F.posexplode(parts).alias("part", "piece"))
     rows = rows.withColumn("chunk_id", F.when(F.col("__large"), F.concat("chunk_id", F.lit("-p"), "part")).otherwise(F.col("chunk_id")))
     table = F.when(~F.col("__large"), F.col("table_data")) if "table_data" in chunks.columns else F.lit(None).cast("array<array<string>>")
     order = Window.partitionBy("document_id").orderBy("chunk_index", "part")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +33,7 @@ def date_strings(x: Column) -> Column:
     return text.date_strings(x, DATE_PATTERNS)
 
 
-# ---------------------------------------------------------------- PDF, on spans (doc_id, page, block, line, span, text, size, flags)
+# ---------------------------------------------------------------- PDF, on spans (doc_id, page, block, line, span, text, size, flags and, if known, x0, x1, y)
 
 
 def pdf_headings(spans: DataFrame, cfg: ExtractConfig = CFG) -> DataFrame:
@@ -67,11 +68,97 @@ def page_text(spans: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id", "page").agg(whole.alias("text")).withColumn("tabular", looks_tabular(F.col("text")))
 
 
+#: Spans nearer than this share of their size are one cell, rows farther apart than this many sizes are not one table, and a gap between columns may be
+#: crossed by one in so many rows.
+CELL_GAP, ROW_GAP, CROSSED = 0.6, 4.0, 5
+
+
+def tables_of_page(spans: list[tuple[float, float, float, float, str]]) -> list[list[list[str]]]:
+    """Tables from where spans (x0, x1, y, size, text) stand on a page: a list of rows of cells each.
+
+    Spans of one height are a row, near neighbours in it one cell. A table begins and ends with rows of several cells; between them a row of one cell may stand, like one
+    that spans the table. A sweep over the cells' x-intervals counts how many of the rows of several cells cover each place: columns are the stretches that are
+    covered, up to the few rows that may cross a gap. A cell goes to the column that it overlaps most, the first of equal ones; where a row has none, the cell is empty."""
+    rows: list[tuple[float, float, list]] = []
+    for x0, x1, y, size, text_ in sorted(spans, key=lambda s: (s[2], s[0])):
+        if not text_ or not text_.strip():
+            continue
+        if rows and y - rows[-1][0] <= 0.5 * rows[-1][1]:
+            rows[-1][2].append((x0, x1, size, text_.strip()))
+        else:
+            rows.append((y, size, [(x0, x1, size, text_.strip())]))
+    cells = []
+    for y, size, row in rows:
+        out: list[list] = []
+        for x0, x1, s, t in sorted(row):
+            if out and x0 - out[-1][1] < CELL_GAP * s:
+                out[-1][1], out[-1][2] = max(out[-1][1], x1), f"{out[-1][2]} {t}"
+            else:
+                out.append([x0, x1, t])
+        cells.append((y, size, out))
+    tables, run = [], []
+
+    def close() -> None:
+        while run and len(run[-1][2]) < 2:
+            run.pop()
+        wide = [r for r in run if len(r[2]) > 1]
+        columns = _columns([(c[0], c[1]) for r in wide for c in r[2]], len(wide) // CROSSED) if len(wide) > 1 else []
+        if len(columns) > 1:
+            tables.append([_in_columns(r[2], columns) for r in run])
+        run.clear()
+
+    for r in cells:
+        if run and (r[0] - run[-1][0] > ROW_GAP * r[1] or (len(r[2]) < 2 and len(run[-1][2]) < 2)):
+            close()
+        if run or len(r[2]) > 1:
+            run.append(r)
+    close()
+    return tables
+
+
+def _columns(intervals: list[tuple[float, float]], crossed: int) -> list[tuple[float, float]]:
+    """The stretches that more than `crossed` intervals cover."""
+    out, depth, begin = [], 0, 0.0
+    for x, step in sorted([(a, 1) for a, _ in intervals] + [(b, -1) for _, b in intervals]):
+        if depth <= crossed < depth + step:
+            begin = x
+        elif depth + step <= crossed < depth:
+            out.append((begin, x))
+        depth += step
+    return out
+
+
+def _in_columns(row: list[list], columns: list[tuple[float, float]]) -> list[str]:
+    out = [""] * len(columns)
+    for x0, x1, t in row:
+        share = [min(x1, b) - max(x0, a) for a, b in columns]
+        # one that spans several whole columns overlaps the widest most, but begins in the first
+        at = next((i for i, (a, b) in enumerate(columns) if share[i] >= b - a), share.index(max(share)))
+        out[at] = f"{out[at]} {t}".strip()
+    return out
+
+
 def pdf_tables(spans: DataFrame, cfg: ExtractConfig = CFG) -> DataFrame:
-    """(doc_id, page, ord, table_rows): runs of two or more lines, one after another on a page that looks tabular, of equally many spans, two
-    at least. A span is a cell; an empty one stays as an empty string. Positions on the page are not known, so ruled tables whose cells are
-    single spans are found, and text that a library gives as one span is not."""
-    inside = spans.filter(F.col("page") <= cfg.most_pages).join(page_text(spans).filter("tabular").select("doc_id", "page"), ["doc_id", "page"], "left_semi")
+    """(doc_id, page, ord, table_rows). Where spans have places (x0, x1, y), tables are found by them, page by page: see tables_of_page(). Of pages without places, and of spans that have
+    no such columns, those that look tabular have tables in runs of two or more lines, one after another, of equally many spans, two at least; a span is then a cell."""
+    inside = spans.filter(F.col("page") <= cfg.most_pages)
+    if not {"x0", "x1", "y"} <= set(spans.columns):
+        return _tables_by_spans(inside)
+    placed = F.col("x0").isNotNull() & F.col("x1").isNotNull() & F.col("y").isNotNull()
+
+    def find(key, rows):
+        found = tables_of_page(list(zip(*(rows[c].to_pylist() for c in ("x0", "x1", "y", "size", "text")), strict=True)))
+        n = len(found)
+        return pa.table({"doc_id": pa.array([key[0].as_py()] * n, rows.schema.field("doc_id").type), "page": pa.array([key[1].as_py()] * n, pa.int32()), "ord": pa.array(range(n), pa.int32()), "table_rows": pa.array(found, pa.list_(pa.list_(pa.string())))})
+
+    places = inside.filter(placed).select("doc_id", F.col("page").cast("int").alias("page"), *[F.col(c).cast("double").alias(c) for c in ("x0", "x1", "y", "size")], "text")
+    by_place = places.groupBy("doc_id", "page").applyInArrow(find, f"doc_id {spans.schema['doc_id'].dataType.simpleString()}, page int, ord int, table_rows array<array<string>>")
+    known = inside.filter(placed).select("doc_id", "page").distinct()
+    return by_place.unionByName(_tables_by_spans(inside.join(known, ["doc_id", "page"], "left_anti")).withColumns({c: F.col(c).cast("int") for c in ("page", "ord")}))
+
+
+def _tables_by_spans(spans: DataFrame) -> DataFrame:
+    inside = spans.join(page_text(spans).filter("tabular").select("doc_id", "page"), ["doc_id", "page"], "left_semi")
     cells = F.transform(F.array_sort(F.collect_list(F.struct("span", F.coalesce("text", F.lit("")).alias("text")))), lambda x: text.strip(x["text"]))
     lines = inside.groupBy("doc_id", "page", "block", "line").agg(cells.alias("cells")).withColumn("n", F.size("cells"))
     order = Window.partitionBy("doc_id", "page").orderBy("block", "line")
