@@ -574,3 +574,4 @@ def record_merge(spark, d):
 
 
 from . import queries_stages  # noqa: E402, F401  registers its queries here
+from . import queries_calls  # noqa: E402, F401
