@@ -87,21 +87,40 @@ def guarded(rows: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.filter(text.quote_in_text(F.col("quote"), F.col(text_col))).withColumn("quote", F.substring("quote", 1, 200)).withColumn("iso_country_code", country_code(F.col("location")))
 
 
-def merge_records(rows: DataFrame, extra_keys: tuple = ()) -> DataFrame:
-    """One record for each question, event type, metric, day and place (lower case, without outer white space): the first fact's fields,
-    the greatest confidence, and every (document_id, chunk_id) once, in order of ord. extra_keys, like pathogen, may split further."""
+_FIELDS = ["event_type", "location", "iso_country_code", "pathogen", "metric_name", "metric_value", "metric_unit", "event_date", "summary"]
+
+
+def _mentions(rows: DataFrame, extra_keys: tuple) -> tuple[DataFrame, list[str]]:
+    """(the first fact of each record and chunk, the columns that make a record)."""
     day = F.coalesce(F.date_format("event_date", "yyyy-MM-dd"), F.lit(""))
     keys = {"__e": F.col("event_type"), "__m": F.coalesce("metric_name", F.lit("")), "__d": day, "__l": text.strip(F.lower(F.coalesce("location", F.lit(""))))}
     keys |= {f"__x{i}": F.coalesce(F.col(c).cast("string"), F.lit("")) for i, c in enumerate(extra_keys)}
     group = ["question_id", *keys]
-    fields = ["event_type", "location", "iso_country_code", "pathogen", "metric_name", "metric_value", "metric_unit", "event_date", "summary"]
+    one = rows.withColumns(keys).groupBy(*group, "document_id", "chunk_id").agg(F.min_by(F.struct("ord", *_FIELDS, "source_url", "quote"), "ord").alias("r"), F.max("confidence").alias("confidence"))
+    return one.select(*group, "document_id", "chunk_id", "r.*", "confidence"), group
+
+
+def _record_id(group: list[str]) -> Column:
+    return F.concat(F.lit("ins-"), F.substring(F.sha2(F.concat_ws("|", *group), 256), 1, 12))
+
+
+def merge_records(rows: DataFrame, extra_keys: tuple = (), sources: bool = True) -> DataFrame:
+    """One record for each question, event type, metric, day and place (lower case, without outer white space): the first fact's fields,
+    the greatest confidence, and every (document_id, chunk_id) once, in order of ord. extra_keys, like pathogen, may split further.
+
+    The sources are one array of a record, some 300 bytes each. Where a record may have millions of them, like one without metric, day and place over a whole
+    archive, take sources=False, which gives n_sources instead and gathers nothing, and record_sources() beside it."""
+    one, group = _mentions(rows, extra_keys)
     src = F.struct("ord", F.struct("document_id", "chunk_id", "source_url", "quote").alias("s"))
-    first = lambda acc, x: F.exists(acc, lambda a: (a["document_id"] == x["s"]["document_id"]) & (a["chunk_id"] == x["s"]["chunk_id"]))
-    # the first mention of each chunk is chosen before the record is gathered
-    one = rows.withColumns(keys).groupBy(*group, "document_id", "chunk_id").agg(F.min_by(F.struct("ord", *fields, "source_url", "quote"), "ord").alias("r"), F.max("confidence").alias("confidence"))
-    one = one.select(*group, "document_id", "chunk_id", "r.*", "confidence")
-    out = one.groupBy(*group).agg(F.min_by(F.struct(*fields), "ord").alias("r"), F.max("confidence").alias("confidence"), F.transform(F.array_sort(F.collect_list(src)), lambda x: x["s"]).alias("sources"), F.min("ord").alias("ord"))
-    return out.select(F.concat(F.lit("ins-"), F.substring(F.sha2(F.concat_ws("|", *group), 256), 1, 12)).alias("id"), "question_id", "r.*", "confidence", "sources", "ord")
+    last = F.transform(F.array_sort(F.collect_list(src)), lambda x: x["s"]).alias("sources") if sources else F.count("*").alias("n_sources")
+    out = one.groupBy(*group).agg(F.min_by(F.struct(*_FIELDS), "ord").alias("r"), F.max("confidence").alias("confidence"), last, F.min("ord").alias("ord"))
+    return out.select(_record_id(group).alias("id"), "question_id", "r.*", "confidence", "sources" if sources else "n_sources", "ord")
+
+
+def record_sources(rows: DataFrame, extra_keys: tuple = ()) -> DataFrame:
+    """(id, question_id, ord, document_id, chunk_id, source_url, quote): the sources of merge_records() as rows; no record is gathered anywhere."""
+    one, group = _mentions(rows, extra_keys)
+    return one.select(_record_id(group).alias("id"), "question_id", "ord", "document_id", "chunk_id", "source_url", "quote")
 
 
 def usage(calls: DataFrame, keys: tuple = ()) -> DataFrame:

@@ -81,7 +81,8 @@ def bm25(chunks: DataFrame, queries: DataFrame, keep: tuple[str, ...] = (), of_q
     vectors = "embedding" in chunks.columns and "embedding" in queries.columns
     more = ["embedding"] if vectors else []
     c = chunks.select("document_id", "chunk_id", *keep, chunk_text(F.col("heading"), F.col("text")).alias("__body"), *more)
-    q = queries.select("document_id", "question_id", "query", *of_query, *more)
+    # a column of its own: both sides may come from one frame
+    q = queries.select(F.coalesce("document_id").alias("document_id"), "question_id", "query", *of_query, *more)
     schema = T.StructType([q.schema["question_id"], *[c.schema[x] for x in ("document_id", "chunk_id", *keep)], *[q.schema[x] for x in of_query]])
     for name in [*(["emb_score"] if vectors else []), "bm25_score"]:
         schema = schema.add(name, "double")

@@ -79,7 +79,7 @@ def decompose(q: DataFrame, replies: DataFrame, cfg: SearchConfig = SearchConfig
 def dashboards(q: DataFrame, dim: DataFrame) -> DataFrame:
     """Known monitoring pages of each question's pathogen, as results of rank 0."""
     key = text.strip(F.lower(F.col("pathogen")))
-    j = q.join(F.broadcast(dim), key == F.col("pathogen_key"))
+    j = q.join(small_side(dim), key == F.col("pathogen_key"))
     d = urls.domain(F.col("url"))
     return j.select(F.col("id").alias("question_id"), F.concat(F.lit("dashboard_"), "id").alias("query_id"), F.lit("dashboard").alias("engine"), "url", F.concat(F.lit("Dashboard: "), d).alias("title"), F.concat(F.lit("Known "), "pathogen_key", F.lit(" monitoring dashboard")).alias("snippet"), F.lit(0).alias("rank"), F.lit(1.0).alias("freshness_score"), F.lit("dashboard_lookup").alias("retrieval_reason"), F.col("dash_ord").alias("ord"))
 
@@ -96,6 +96,19 @@ def early_stop(counts: DataFrame, cap: int = SearchConfig().results_cap) -> Data
 # ---------------------------------------------------------------- sources
 
 
+#: Bytes up to which a lookup table is broadcast.
+SMALL_BYTES = 16 << 20
+
+
+def small_side(dim: DataFrame, most: int = SMALL_BYTES) -> DataFrame:
+    """A lookup table for a join: broadcast if its rows take no more bytes, else as it is, for a join by shuffle. The library's own tables, of constants, are known
+    to be small; others are added up, once for each frame."""
+    if not hasattr(dim, "_evloom_small"):
+        row = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in dim.columns), F.lit(40))
+        dim._evloom_small = (dim.agg(F.sum(row.cast("long"))).first()[0] or 0) <= most
+    return F.broadcast(dim) if dim._evloom_small else dim
+
+
 def second_level(d: Column) -> Column:
     return F.substring_index(d, ".", -2)
 
@@ -103,7 +116,7 @@ def second_level(d: Column) -> Column:
 def resolve_tier(df: DataFrame, dim: DataFrame, domain_col: str = "domain") -> DataFrame:
     """Adds tier, domain_score, source_tier: the domain in dim, else its last two labels, else the ending, else 5."""
     d = F.lower(F.coalesce(F.col(domain_col), F.lit("")))
-    small = F.broadcast(dim)
+    small = small_side(dim)
     j = df.withColumn("__d", d).withColumn("__s", F.when(F.contains(d, F.lit(".")), second_level(d)))
     j = j.join(small.select(F.col("domain").alias("__d"), F.col("tier").alias("__t1"), F.col("label").alias("__l1")), "__d", "left")
     j = j.join(small.select(F.col("domain").alias("__s"), F.col("tier").alias("__t2"), F.col("label").alias("__l2")), "__s", "left")

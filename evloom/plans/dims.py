@@ -59,9 +59,16 @@ def tier_rows() -> list[tuple[str, int, str]]:
 
 
 def tier_dim(spark: SparkSession, rows: list[tuple[str, int, str]] | None = None) -> DataFrame:
-    return spark.createDataFrame(rows if rows is not None else tier_rows(), "domain string, tier int, label string")
+    return _lookup(spark, rows if rows is not None else tier_rows(), "domain string, tier int, label string")
 
 
 def dashboard_dim(spark: SparkSession, rows: list[tuple[str, str]] | None = None) -> DataFrame:
     rows = DASHBOARDS if rows is None else rows
-    return spark.createDataFrame([(k, u, i) for i, (k, u) in enumerate(rows)], "pathogen_key string, url string, dash_ord int")
+    return _lookup(spark, [(k, u, i) for i, (k, u) in enumerate(rows)], "pathogen_key string, url string, dash_ord int")
+
+
+def _lookup(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of constants; whether it is small is known from the rows themselves."""
+    out = spark.createDataFrame(rows, schema)
+    out._evloom_small = sum(40 + sum(len(str(v)) for v in r) for r in rows) <= 16 << 20
+    return out

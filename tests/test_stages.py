@@ -287,3 +287,20 @@ def test_whole_texts_and_sources(spark, tmp_path):
     for name, want in (("near_dup_greedy", near), ("joint_caps", caps)):
         got = {(r.g, int(r.kept_ord), int(r.doc_id)) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
         assert got == {(g, n, k[0]) for g, ks in want.items() for n, k in enumerate(ks)}, name
+
+
+def test_sources_as_rows(spark):
+    cols = "question_id string, document_id string, chunk_id string, source_url string, ord int, event_type string, confidence double, location string, iso_country_code string, pathogen string, metric_name string, metric_value double, metric_unit string, event_date timestamp, summary string, quote string"
+    rows = [("q", f"d{i % 3}", f"c{i % 4}", "u", i, "case_count", i / 100, [None, " Kenya", "kenya "][i % 3], None, None, "cases", float(i), None, None, None, f"quote {i}") for i in range(40)]
+    facts = spark.createDataFrame(rows, cols)
+    whole, counted = {r.id: r for r in insight.merge_records(facts).collect()}, {r.id: r for r in insight.merge_records(facts, sources=False).collect()}
+    apart = insight.record_sources(facts).collect()
+    assert set(whole) == set(counted) == {r.id for r in apart} and len(whole) == 2
+    for i, r in whole.items():
+        assert counted[i].n_sources == len(r.sources) and [(s.document_id, s.chunk_id, s.quote) for s in r.sources] == [(s.document_id, s.chunk_id, s.quote) for s in sorted((x for x in apart if x.id == i), key=lambda x: x.ord)]
+
+
+def test_lookup_tables_are_broadcast_while_small(spark):
+    few, many = tier_dim(spark), spark.range(10**6).select(F.col("id").cast("string").alias("domain"), F.lit(1).alias("tier"), F.lit("x").alias("label"))
+    plan = lambda d: search.resolve_tier(spark.createDataFrame([("a.org",)], "domain string"), d)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan(few) and "strategy=broadcast" not in plan(many)
