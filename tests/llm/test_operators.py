@@ -824,3 +824,10 @@ def test_source_targets(spark):
         capped |= more
     want = defaultdict(float, {k: 3 * sizes[k] if k in capped else level * weight[k] for k in order})
     assert {k: pytest.approx(v) for k, v in want.items()} == got
+
+
+def test_lm_scores_do_not_depend_on_the_cluster(spark, docs):
+    """The same scores however the table is split; parts, seeds and the words read beforehand come from the texts."""
+    few = docs.filter("doc_id % 4 = 0")
+    one, many = ({r.doc_id: r.score for r in lm_score.score_texts(spark, d).collect()} for d in (few.coalesce(1), few.repartition(7)))
+    assert one == many
