@@ -45,7 +45,7 @@ def fetched_once(spark, d):
     return docs.join(n, "source_url").select("document_id", "n_requests", "status")
 
 
-_META = "replace(replace(replace(trim(regexp_extract(html, '(?is)<title[^>]*>([^<]*)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+_META = "replace(replace(replace(replace(trim(regexp_extract(html, '(?is)<title[^>]*>([^<]*)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')"
 
 
 @query(f"""with {_FETCH}, x as (select ft.page_id, ft.error, ft.content_type, h.html, h.head from ft join h using (page_id) where ft.url like 'http://p/%')
