@@ -21,8 +21,7 @@ def by_hand(rows, threshold):
     return {(q, k[0], n) for q, ks in out.items() for n, k in enumerate(ks)}
 
 
-@pytest.mark.parametrize("threshold", [0.4, 0.8, 1.0])
-@pytest.mark.parametrize("fold_rows", [0, 20, 1000])
+@pytest.mark.parametrize(("threshold", "fold_rows"), [(0.4, 0), (0.8, 20), (1.0, 0), (0.8, 1000)])
 def test_rounds_are_the_walk(spark, threshold, fold_rows):
     rng = random.Random(int(threshold * 10) + fold_rows)
     words = [f"w{i}" for i in range(30)]
