@@ -139,14 +139,16 @@ def cosine_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
 
 #: Bytes of query vectors that are searched for at once, and broadcast.
 BLOCK_BYTES = 16 << 20
+#: Scores that a task holds at once: the more queries a block has, the fewer chunks it meets in one product.
+SCORES = 1 << 22
 
 
 def nearest(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", query_col: str = "question_id", digits: int = 9) -> DataFrame:
     """(query, position, id, emb_score): for each row of queries (query, embedding) the k rows of all chunks (id, embedding) with the greatest cosine, in doubles and
     rounded to so many digits; equal ones by ascending id. Null vectors, and those of another length than the query's, are left out.
 
-    Queries come in blocks of BLOCK_BYTES. A task multiplies each Arrow batch of chunks with the whole block and keeps k candidates for each query, so it sends
-    k rows for each; the candidates of all tasks are merged. No pair becomes a row."""
+    Queries come in blocks of BLOCK_BYTES. A task multiplies pieces of each Arrow batch of chunks, of SCORES products, with the whole block and keeps k candidates for
+    each query, so it sends k rows for each; the candidates of all tasks are merged. No pair becomes a row."""
     q = queries.select(F.col(query_col).alias("q"), F.col("embedding").cast("array<double>").alias("e")).filter("e is not null and size(e) > 0")
     lengths = {r.n: r.c for r in q.groupBy(F.size("e").alias("n")).agg(F.count("*").alias("c")).collect()}
     x = chunks.select(F.col(id_col).alias("id"), F.col("embedding").cast("array<double>").alias("e")).filter("e is not null")
@@ -166,6 +168,7 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_
 def _nearest_to_block(x: DataFrame, block: DataFrame, k: int, digits: int) -> DataFrame:
     rows = block.toArrow()
     shared = x.sparkSession.sparkContext.broadcast((rows["q"].combine_chunks(), _unit(rows["e"])))
+    step = min(2048, max(1, SCORES // max(1, len(rows))))
     schema = T.StructType([T.StructField("q", block.schema["q"].dataType), T.StructField("id", x.schema["id"].dataType), T.StructField("emb_score", T.DoubleType())])
 
     def work(batches):
@@ -173,8 +176,8 @@ def _nearest_to_block(x: DataFrame, block: DataFrame, k: int, digits: int) -> Da
         best, ids = np.full((len(names), 0), -np.inf), pa.array([], to_arrow_schema(schema).field("id").type)
         which = np.zeros((len(names), 0), np.int64)  # of each candidate its place in ids
         for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                part = b.slice(at, 2048)
+            for at in range(0, b.num_rows, step):
+                part = b.slice(at, step)
                 e = part.column(1)
                 # minus zero, and scores that round to it, are zero
                 score = np.round(q @ _unit(e).T, digits) + 0.0

@@ -60,9 +60,10 @@ def test_a_text_is_shuffled_once(spark):
         assert physical.split("FlatMapCoGroupsInArrow")[0].count("Exchange") <= 1  # of what is found, by question and document
 
 
-@pytest.mark.parametrize("block_bytes", [300, 1 << 24])
-def test_nearest_by_hand(spark, block_bytes, monkeypatch):
+@pytest.mark.parametrize("block_bytes, scores", [(300, 1 << 22), (1 << 24, 1 << 22), (1 << 24, 30), (1 << 24, 1)])
+def test_nearest_by_hand(spark, block_bytes, scores, monkeypatch):
     monkeypatch.setattr(retrieval, "BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(retrieval, "SCORES", scores)
     rng = np.random.default_rng(4)
     x = rng.normal(size=(200, 6)).round(1)
     x[50:60] = x[40]  # ties
