@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -140,33 +144,104 @@ def _in_columns(row: list[list], columns: list[tuple[float, float]]) -> list[str
 
 def pdf_tables(spans: DataFrame, cfg: ExtractConfig = CFG) -> DataFrame:
     """(doc_id, page, ord, table_rows). Where spans have places (x0, x1, y), tables are found by them, page by page: see tables_of_page(). Of pages without places, and of spans that have
-    no such columns, those that look tabular have tables in runs of two or more lines, one after another, of equally many spans, two at least; a span is then a cell."""
+    no such columns, those that look tabular have tables in runs of two or more lines, one after another, of equally many spans, two at least; a span is then a cell.
+
+    Spans are shuffled once, by page, and sorted; a task takes many whole pages at a time, so a page costs no call of its own."""
     inside = spans.filter(F.col("page") <= cfg.most_pages)
-    if not {"x0", "x1", "y"} <= set(spans.columns):
-        return _tables_by_spans(inside)
-    placed = F.col("x0").isNotNull() & F.col("x1").isNotNull() & F.col("y").isNotNull()
-
-    def find(key, rows):
-        found = tables_of_page(list(zip(*(rows[c].to_pylist() for c in ("x0", "x1", "y", "size", "text")), strict=True)))
-        n = len(found)
-        return pa.table({"doc_id": pa.array([key[0].as_py()] * n, rows.schema.field("doc_id").type), "page": pa.array([key[1].as_py()] * n, pa.int32()), "ord": pa.array(range(n), pa.int32()), "table_rows": pa.array(found, pa.list_(pa.list_(pa.string())))})
-
-    places = inside.filter(placed).select("doc_id", F.col("page").cast("int").alias("page"), *[F.col(c).cast("double").alias(c) for c in ("x0", "x1", "y", "size")], "text")
-    by_place = places.groupBy("doc_id", "page").applyInArrow(find, f"doc_id {spans.schema['doc_id'].dataType.simpleString()}, page int, ord int, table_rows array<array<string>>")
-    known = inside.filter(placed).select("doc_id", "page").distinct()
-    return by_place.unionByName(_tables_by_spans(inside.join(known, ["doc_id", "page"], "left_anti")).withColumns({c: F.col(c).cast("int") for c in ("page", "ord")}))
-
-
-def _tables_by_spans(spans: DataFrame) -> DataFrame:
-    inside = spans.join(page_text(spans).filter("tabular").select("doc_id", "page"), ["doc_id", "page"], "left_semi")
-    cells = F.transform(F.array_sort(F.collect_list(F.struct("span", F.coalesce("text", F.lit("")).alias("text")))), lambda x: text.strip(x["text"]))
-    lines = inside.groupBy("doc_id", "page", "block", "line").agg(cells.alias("cells")).withColumn("n", F.size("cells"))
-    order = Window.partitionBy("doc_id", "page").orderBy("block", "line")
-    new = F.coalesce(F.lag("n").over(order) != F.col("n"), F.lit(True))
-    runs = lines.withColumn("new", new).withColumn("run", F.sum(F.col("new").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("n >= 2")
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("block", "line", "cells"))), lambda x: x["cells"])
-    found = runs.groupBy("doc_id", "page", "run").agg(rows.alias("table_rows")).filter(F.size("table_rows") >= 2)
-    return found.select("doc_id", "page", (F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("run")) - 1).alias("ord"), "table_rows")
+    places = [c for c in ("x0", "x1", "y", "size") if {"x0", "x1", "y"} <= set(spans.columns)]
+    rows = inside.select("doc_id", "page", "block", "line", "span", "text", *[F.col(c).cast("double").alias(c) for c in places])
+    schema = T.StructType([spans.schema["doc_id"], spans.schema["page"]]).add("ord", T.IntegerType()).add("table_rows", T.ArrayType(T.ArrayType(T.StringType())))
+
+    def work(batches):
+        for found in map(_tables_by_place if places else _tables_by_spans, _whole_pages(batches)):
+            yield from found.cast(to_arrow_schema(schema)).to_batches()
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return rows.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "block", "line", "span", "text").mapInArrow(work, schema)
+
+
+def _begins(rows: pa.Table, names: tuple[str, ...]) -> np.ndarray:
+    """For each row whether it differs from the one before in some column; nulls are equal."""
+    out = np.ones(len(rows), bool)
+    if len(rows) > 1:
+        same = np.ones(len(rows) - 1, bool)
+        for name in names:
+            x = rows[name].combine_chunks()
+            a, b = x.slice(1), x.slice(0, len(x) - 1)
+            same &= pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(a.is_null(), b.is_null())).to_numpy(zero_copy_only=False)
+        out[1:] = ~same
+    return out
+
+
+def _whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Sorted rows in tables that end where a page does."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        joint = pa.Table.from_batches([*(h.slice(h.num_rows - 1) for h in held[-1:]), b])
+        at = np.flatnonzero(_begins(joint, ("doc_id", "page"))[len(joint) - b.num_rows :])
+        if not len(at):
+            held.append(b)
+            continue
+        if held or at[-1]:
+            yield pa.Table.from_batches([*held, b.slice(0, at[-1])])
+        held = [b.slice(at[-1])]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _lists(lengths: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), values)
+
+
+def _tables_by_place(rows: pa.Table) -> pa.Table:
+    """Tables of pages with a placed span by places, of the others by spans."""
+    starts = np.flatnonzero(_begins(rows, ("doc_id", "page")))
+    of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(rows))))
+    placed = pc.and_(pc.and_(rows["x0"].is_valid(), rows["x1"].is_valid()), rows["y"].is_valid()).to_numpy()
+    known = np.bincount(of[placed], minlength=len(starts)) > 0
+    spans = rows.filter(pa.array(placed))
+    values = list(zip(*(spans[c].to_pylist() for c in ("x0", "x1", "y", "size", "text")), strict=True))
+    ends = np.cumsum(np.bincount(of[placed], minlength=len(starts))).tolist()
+    at, order, tables = [], [], []
+    for i in np.flatnonzero(known).tolist():
+        for k, table in enumerate(tables_of_page(values[ends[i - 1] if i else 0 : ends[i]])):
+            at.append(starts[i])
+            order.append(k)
+            tables.append(table)
+    first = rows.select(["doc_id", "page"]).take(pa.array(at, pa.int64()))
+    by_place = first.append_column("ord", pa.array(order, pa.int32())).append_column("table_rows", pa.array(tables, pa.list_(pa.list_(pa.string()))))
+    return by_place if known.all() else pa.concat_tables([by_place, _tables_by_spans(rows.filter(pa.array(~known[of])))])
+
+
+def _tables_by_spans(rows: pa.Table) -> pa.Table:
+    """Runs of lines of equally many spans on the pages that look tabular, as looks_tabular() has it."""
+    text_ = rows["text"].combine_chunks()
+    line_at = np.flatnonzero(_begins(rows, ("doc_id", "page", "block", "line")))
+    n_spans = np.diff(np.append(line_at, len(rows)))
+    new_page = _begins(rows, ("doc_id", "page"))[line_at]
+    page_at = np.flatnonzero(new_page)
+    n_lines = np.diff(np.append(page_at, len(line_at)))
+    # a null is no part of its line's text, but a cell
+    said = np.add.reduceat(text_.is_valid().to_numpy(zero_copy_only=False).astype(np.int64), line_at)
+    lines = pc.binary_join(_lists(said, text_.drop_null()), " ")
+    parts = pc.split_pattern(pc.utf8_trim_whitespace(pc.binary_join(_lists(n_lines, lines), "\n")), "\n")
+    n_parts = pc.list_value_length(parts).to_numpy()
+    short = pc.less(pc.utf8_length(pc.utf8_trim_whitespace(parts.flatten())), 60).to_numpy(zero_copy_only=False)
+    tabular = (n_parts >= 3) & (np.add.reduceat(short.astype(np.int64), np.append(0, np.cumsum(n_parts)[:-1])) > n_parts * 0.5)
+    page = np.cumsum(new_page) - 1
+    run_at = np.flatnonzero(new_page | np.append(True, n_spans[1:] != n_spans[:-1]))
+    n_rows = np.diff(np.append(run_at, len(line_at)))
+    table = (n_rows >= 2) & (n_spans[run_at] >= 2) & tabular[page[run_at]]
+    kept = np.repeat(table, n_rows)
+    cells = pc.utf8_trim_whitespace(pc.fill_null(text_, "").filter(pa.array(np.repeat(kept, n_spans))))
+    run_at, n_rows = run_at[table], n_rows[table]
+    of = page[run_at]
+    order = np.arange(len(of)) - np.searchsorted(of, of)
+    first = rows.select(["doc_id", "page"]).take(pa.array(line_at[run_at]))
+    return first.append_column("ord", pa.array(order, pa.int32())).append_column("table_rows", _lists(n_rows, _lists(n_spans[kept], cells)))
 
 
 def looks_tabular(page: Column) -> Column:

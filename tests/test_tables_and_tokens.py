@@ -1,5 +1,6 @@
 """Tables by where spans stand, and exact token counts."""
 
+import itertools
 import random
 
 import public_tokenizers
@@ -105,3 +106,49 @@ def test_long_words_take_no_square(library):
     ranks = tokens.read_ranks(public_tokenizers.path("byte_bpe_50k.json"))
     for word in ("ab" * 20_000, "=" * 30_000):
         assert tokens.count_word(word.encode(), ranks) == len(library.encode(word, add_special_tokens=False).ids)
+
+
+def tables_by_hand(page):
+    """Of one page's (block, line, span, text, x0, x1, y): by places where there are some, else by runs of lines."""
+    if placed_ := [s for s in page if None not in s[4:]]:
+        return extract.tables_of_page([(x0, x1, y, 10.0, t) for *_, t, x0, x1, y in placed_])
+    lines = {}
+    for block, line, _, t, *_ in sorted(page, key=lambda s: (s[:3], s[3] is not None, s[3] or "")):
+        lines.setdefault((block, line), []).append(t)
+    text = "\n".join(" ".join(t for t in x if t is not None) for x in lines.values()).strip().split("\n")
+    if len(text) < 3 or sum(len(x.strip()) < 60 for x in text) <= len(text) / 2:
+        return []
+    runs = [[(t or "").strip() for t in x] for x in lines.values()]
+    runs = [list(g) for _, g in itertools.groupby(runs, key=len)]
+    return [r for r in runs if len(r) > 1 and len(r[0]) > 1]
+
+
+@pytest.mark.parametrize("per_batch", [3, 10_000])
+def test_tables_of_many_pages_in_one_shuffle(spark, per_batch):
+    rng = random.Random(per_batch)
+    pages, rows = {}, []
+    for doc in ("a", "b", "c"):
+        for page in range(1, 25):
+            with_places = rng.random() < 0.5
+            for n in range(rng.randrange(1, 8)):
+                for i in range(m := rng.choice([1, 2, 2, 3])):
+                    place = (100.0 * i, 100.0 * i + 50, 20.0 * n) if with_places and rng.random() < 0.9 else (None, None, None)
+                    t = rng.choice([None, "", " x ", "y ", "long " * 20, "one\ntwo", f"w{n}{m}"])
+                    pages.setdefault((doc, page), []).append((n // 3, n % 3, i, t, *place))
+    for (doc, page), spans in pages.items():
+        rows += [(doc, page, b, ln, s, t, 10.0, 0, *place) for b, ln, s, t, *place in spans]
+    rng.shuffle(rows)
+    want = sorted((doc, page, k, tab) for (doc, page), spans in pages.items() for k, tab in enumerate(tables_by_hand(spans)))
+    assert len(want) > 20
+    had = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", per_batch)
+    try:
+        found = extract.pdf_tables(spark.createDataFrame(rows, SPAN))
+        assert sorted((r.doc_id, r.page, r.ord, r.table_rows) for r in found.collect()) == want
+        bare = extract.pdf_tables(spark.createDataFrame(rows, SPAN).drop("x0", "x1", "y"))
+        of_lines = sorted((doc, page, k, tab) for (doc, page), spans in pages.items() for k, tab in enumerate(tables_by_hand([(*s[:4], None, None, None) for s in spans])))
+        assert sorted((r.doc_id, r.page, r.ord, r.table_rows) for r in bare.collect()) == of_lines
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", had)
+    for f in (found, bare):
+        assert f._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
