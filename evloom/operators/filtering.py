@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,16 +123,16 @@ def _fold(df: DataFrame, order: list[Column], row: Column, rejects, kept_type: s
     return df.groupBy(group).agg(kept.alias("kept")).select(group, F.posexplode("kept").alias("kept_ord", "x")).select(group, F.col("x.id").alias(id_col), "kept_ord")
 
 
-#: Rows of a group up to which it is folded within one row; larger groups are decided in rounds.
-FOLD_ROWS = 256
+#: Rows of a group up to which it is folded within one row; larger groups are decided in blocks of so many rows.
+FOLD_ROWS, BLOCK_ROWS = 256, 2048
 
 
-def drop_near_copies(df: DataFrame, threshold: float = CFG.near_duplicate, group: str = "question_id", id_col: str = "id", fold_rows: int = FOLD_ROWS) -> DataFrame:
+def drop_near_copies(df: DataFrame, threshold: float = CFG.near_duplicate, group: str = "question_id", id_col: str = "id", fold_rows: int = FOLD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Greedy, by score, then ord, then id: a row goes if one kept before has its canonical url (not null), or its domain and a Jaccard
     similarity of title and snippet of threshold or more. Not transitive. Ids must be unique in a group.
 
     Groups of up to fold_rows rows, like the results of a question, are walked within one row, of ids and hashed tokens, never texts. Larger ones are decided in
-    rounds: see decided_in_rounds()."""
+    blocks: see decided_in_blocks()."""
     tokens = F.array_sort(F.array_distinct(F.transform(text.tokenize(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit("")))), lambda t: F.xxhash64(t))))
     slim = df.select(group, F.col(id_col).cast("string").alias("id"), (-F.col("final_score")).alias("o0"), F.col("ord").alias("o1"), F.coalesce("canonical_url", F.lit("")).alias("url"), F.coalesce("domain", F.lit("")).alias("domain"), tokens.alias("t"))
     slim = stored(slim, "near-copies")
@@ -141,7 +144,7 @@ def drop_near_copies(df: DataFrame, threshold: float = CFG.near_duplicate, group
         kept = fold(slim)
     else:
         large = stored(large, "large-groups")
-        kept = fold(slim.join(large, group, "left_anti")).unionByName(decided_in_rounds(slim.join(large, group, "left_semi"), threshold, group, fold_rows, fold))
+        kept = fold(slim.join(large, group, "left_anti")).unionByName(decided_in_blocks(slim.join(large, group, "left_semi"), threshold, group, block_rows))
     return df.withColumn("__id", F.col(id_col).cast("string")).join(kept, [group, "__id"]).drop("__id")
 
 
@@ -149,50 +152,88 @@ def _conflict(k: Column, x: Column, threshold: float) -> Column:
     return ((k["url"] == x["url"]) & (x["url"] != "")) | ((k["domain"] == x["domain"]) & (text.jaccard(k["t"], x["t"]) >= threshold))
 
 
-def decided_in_rounds(slim: DataFrame, threshold: float, group: str, fold_rows: int, fold) -> DataFrame:
-    """(group, __id, kept_ord) as the walk in order would keep them, without walking.
-
-    Two rows can only conflict if they share a key: their url, or one of their rarest tokens in their domain, of which a set of n needs n - ceil(threshold n) + 1
-    (a similarity of threshold leaves no room to miss them all). In a round every row that is the first undecided one of all its keys is kept, since whatever could go
-    against it is decided; then rows that share a key with a row just kept meet it and go if they conflict. As a key has one such row at most, no
-    more pairs are looked at than there are keys, however many copies a group has. Groups with fold_rows undecided rows or fewer are walked to their end. Rounds are
-    tables; they are as many as the longest chain of rows that share keys without conflict.
+class _Overlaps:
+    """Token lists by token: which of them a set of tokens is like."""
+
+    def __init__(self, lists: pa.ListArray):
+        values, self.ends = lists.flatten().to_numpy(), np.cumsum(pc.list_value_length(lists).to_numpy())
+        self.size = np.diff(self.ends, prepend=0)
+        self.token, which = np.unique(values, return_inverse=True)
+        self.rows = np.repeat(np.arange(len(self.size)), self.size)[np.argsort(which, kind="stable")]
+        self.at = np.append(0, np.cumsum(np.bincount(which, minlength=len(self.token))))
+
+    def like(self, tokens: np.ndarray, threshold: float) -> np.ndarray:
+        """Whether each list has a Jaccard similarity of threshold or more with tokens; none is empty."""
+        c = np.searchsorted(self.token, tokens)
+        c = c[self.token[np.minimum(c, len(self.token) - 1)] == tokens]
+        n = self.at[c + 1] - self.at[c]
+        shared = np.bincount(self.rows[np.arange(n.sum()) + np.repeat(self.at[c] - np.cumsum(n) + n, n)], minlength=len(self.size))
+        return shared / (self.size + len(tokens) - shared) >= threshold
+
+
+def _walk(rows: pa.Table, threshold: float) -> pa.Table:
+    """The rows (at, url, t) that a walk in the order of at keeps."""
+    rows = rows.take(pc.sort_indices(rows["at"]))
+    lists, urls = rows["t"].combine_chunks(), rows["url"].to_pylist()
+    index = _Overlaps(lists)
+    tokens, kept, seen = lists.flatten().to_numpy(), np.zeros(len(urls), bool), set()
+    for i, url in enumerate(urls):
+        if url in seen or (index.like(tokens[index.ends[i] - index.size[i] : index.ends[i]], threshold) & kept).any():
+            continue
+        kept[i] = True
+        if url:
+            seen.add(url)
+    return rows.filter(pa.array(kept))
+
+
+def decided_in_blocks(slim: DataFrame, threshold: float, group: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(group, __id, kept_ord) as the walk in order would keep them.
+
+    Rows that agree in url, domain and tokens are one, the first of them: the others conflict with whatever keeps it out, or with it. What remains is cut, in order, into blocks of
+    block_rows rows of a group. Block after block, the rows meet those kept of each earlier block, a task for each such block of a group, and those without a conflict are walked in one task.
+    Rounds are as many as the largest group has blocks, whatever its texts; no pair becomes a row, and no task holds more than two blocks.
     """
-    rows = stored(slim.withColumn("r", F.monotonically_increasing_id()).withColumn("o", F.struct("o0", "o1", "id")), "rows")
-    common = rows.select(group, "domain", F.explode("t").alias("token")).groupBy(group, "domain", "token").agg(F.count("*").alias("df"))
-    ranked = rows.select(group, "domain", "r", F.size("t").alias("n"), F.explode("t").alias("token")).join(common, [group, "domain", "token"])
-    # -1e-9: so that a product that should be whole doesn't round up
-    prefix = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
-    by_token = ranked.groupBy("r").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("df", "token"))), F.lit(1), F.max(prefix)), lambda x: x["token"]).alias("rare"))
-    key = F.transform(F.coalesce("rare", F.array(F.lit(0).cast("long"))), lambda x: F.xxhash64(F.col(group), F.lit("token"), "domain", x))
-    keys = F.concat(key, F.when(F.col("url") != "", F.array(F.xxhash64(F.col(group), F.lit("url"), "url"))).otherwise(F.array().cast("array<bigint>")))
-    left = stored(rows.join(by_token, "r", "left").withColumn("keys", keys).drop("rare"), "undecided")
-    kept = []
-    while True:
-        sizes = left.groupBy(group).agg(F.count("*").alias("n")).cache()
-        small = sizes.filter(F.col("n") <= fold_rows).select(group)
-        if not small.isEmpty():
-            ended = fold(left.join(small, group, "left_semi"))
-            kept.append(stored(left.join(ended.select(group, F.col("__id").alias("id")), [group, "id"], "left_semi").select(group, "id", "o"), "kept"))
-            left = left.join(small, group, "left_anti")
-        more = sizes.filter(F.col("n") > fold_rows).isEmpty()
-        sizes.unpersist()
-        if more:
-            break
-        entries = left.select("r", "o", F.explode("keys").alias("k"))
-        first = entries.groupBy("k").agg(F.min("o").alias("first"))
-        ready = entries.join(first, "k").groupBy("r").agg(F.min(F.col("o") == F.col("first")).alias("ready")).filter("ready").select("r")
-        now = stored(left.join(ready, "r", "left_semi"), "ready")
-        kept.append(now.select(group, "id", "o"))
-        met = entries.select("r", "k").join(now.select(F.col("r").alias("by"), F.explode("keys").alias("k")), "k").filter("r != by").select("r", "by").distinct()
-        pair = met.join(left.select("r", F.struct("url", "domain", "t").alias("x")), "r").join(now.select(F.col("r").alias("by"), F.struct("url", "domain", "t").alias("y")), "by")
-        gone = pair.filter(_conflict(F.col("y"), F.col("x"), threshold)).select("r").unionByName(now.select("r")).distinct()
-        left = stored(left.join(gone, "r", "left_anti"), "undecided")
-    out = kept[0]
-    for k in kept[1:]:
-        out = out.unionByName(k)
+    # a domain's tokens are its own; a row without any has one that stands for that
+    own = F.when(F.size("t") == 0, F.array(F.xxhash64("domain", F.lit("none")))).otherwise(F.array_distinct(F.transform("t", lambda x: F.xxhash64(F.col("domain"), F.lit("token"), x))))
+    rows = slim.select(group, "url", F.struct("o0", "o1", "id").alias("o"), own.alias("t"))
+    if threshold <= 1:
+        rows = rows.groupBy(group, "url", "t").agg(F.min("o").alias("o"))
     order = Window.partitionBy(group).orderBy("o")
-    return out.select(group, F.col("id").alias("__id"), (F.row_number().over(order) - 1).alias("kept_ord"))
+    block = lambda n: F.floor((n - 1) / block_rows).cast("int")
+    rows = rows.withColumn("at", F.row_number().over(order)).withColumn("last", block(F.count("*").over(Window.partitionBy(group)))).withColumn("block", block(F.col("at")))
+    rows = stored(rows, "blocks")
+    columns = [group, "o", "at", "url", "t", "last", "block"]
+    schema, at_schema = rows.select(columns).schema, rows.select(group, "at").schema
+
+    def walk(part: pa.Table) -> pa.Table:
+        return _walk(part, threshold)
+
+    def meet(kept: pa.Table, new: pa.Table) -> pa.Table:
+        if not len(kept) or not len(new):
+            return new.select([group, "at"]).slice(0, 0)
+        index, urls = _Overlaps(kept["t"].combine_chunks()), set(kept["url"].to_pylist()) - {""}
+        lists = new["t"].combine_chunks()
+        tokens, ends = lists.flatten().to_numpy(), np.cumsum(pc.list_value_length(lists).to_numpy())
+        gone = [url in urls or index.like(x, threshold).any() for url, x in zip(new["url"].to_pylist(), np.split(tokens, ends[:-1]), strict=True)]
+        return new.filter(pa.array(gone)).select([group, "at"])
+
+    kept: list[DataFrame] = []
+    for r in range((rows.agg(F.max("last")).first()[0] or 0) + 1):
+        new = rows.filter(F.col("block") == r).select(columns)
+        if r:
+            before = _union(kept).filter(F.col("last") >= r)
+            each = new.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(r - 1))))
+            gone = before.groupBy(group, "block").cogroup(each.groupBy(group, "block")).applyInArrow(meet, at_schema)
+            new = new.join(gone.distinct(), [group, "at"], "left_anti").select(columns)
+        kept.append(stored(new.groupBy(group).applyInArrow(walk, schema), "kept"))
+    return _union(kept).select(group, F.col("o.id").alias("__id"), (F.row_number().over(order) - 1).alias("kept_ord"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def joint_caps(df: DataFrame, per_domain: int = CFG.per_domain, per_type: int = CFG.per_type, group: str = "question_id", id_col: str = "id") -> DataFrame:

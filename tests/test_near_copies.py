@@ -52,3 +52,20 @@ def test_a_group_of_a_hundred_thousand(spark):
     # of the copies one; of the rows of their own all but those whose url came before
     assert ids == {1} | {i for i in range(0, n, 2) if i % 10 != 4} | {next(i for i in range(4, n, 10) if i % 7 == u) for u in range(7)}
     assert time.time() - began < 600
+
+
+@pytest.mark.parametrize("threshold", [0.4, 1.0])
+def test_blocks_are_the_walk_and_their_number_bounds_the_rounds(spark, threshold, monkeypatch):
+    """Texts of which each shares words with the next, but is not like it: a chain as long as the group."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(120):
+        w = [f"w{j}" for j in range(i * 3, i * 3 + 9)] + rng.sample(["a", "b", "c"], 2)
+        rows.append(("q", f"{i}", rng.choice(["d", "d", "e"]), rng.choice([" ".join(w)] * 9 + [None]), None, rng.choice([None, None, f"http://u/{i % 40}"]), 0.5, i))
+    rows += [("q", f"c{i}", "d", rows[i % 30][3], None, rows[i % 20][5], 0.5, 60 + i) for i in range(60)]
+    tables = []
+    monkeypatch.setattr(filtering, "stored", lambda df, name, of=filtering.stored: tables.append(name) or of(df, name))
+    d = spark.createDataFrame(rows, COLS).repartition(4)
+    got = {(r.question_id, r.id, r.kept_ord) for r in filtering.drop_near_copies(d, threshold, fold_rows=0, block_rows=50).collect()}
+    assert got == by_hand(rows, threshold)
+    assert tables.count("kept") <= 4
