@@ -502,7 +502,8 @@ select item_id question_id, doc_id::varchar document_id, doc_id || '-c' || i chu
 def hybrid_topk(spark, d):
     c = _sentences(spark, d).withColumn("embedding", text.hash_embedding(F.col("text")))
     q = _asked(spark, d).withColumn("embedding", text.hash_embedding(F.col("query"))).withColumn("keywords", F.array(F.lit("The")))
-    return retrieval.hybrid(c, q).select("question_id", "document_id", "chunk_id", "position", F.round("score", 5).alias("score"))
+    # the double times 1e5 is rounded, as the SQL does, not its shortest decimal: 0.159375 lies below the half
+    return retrieval.hybrid(c, q).select("question_id", "document_id", "chunk_id", "position", (F.round(F.col("score") * 1e5) / 1e5).alias("score"))
 
 
 # ---------------------------------------------------------------- insight

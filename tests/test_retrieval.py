@@ -80,3 +80,18 @@ def test_nearest_by_hand(spark, block_bytes, scores, monkeypatch):
         want += [(i, p, j, -s) for p, (s, _, j) in enumerate(found, 1)]
     assert [g[:3] for g in got] == [w[:3] for w in sorted(want)] and np.allclose([g[3] for g in got], [w[3] for w in sorted(want)])
     assert retrieval.nearest(v, q.limit(0), 3).count() == retrieval.nearest(v.limit(0), q, 3).count() == 0
+
+
+def test_hybrid_ties_go_by_place(spark):
+    """A second chunk better by less than sums in another order differ doesn't pass the first."""
+    rows = [("d", f"c{i}", i, None, body, e) for i, (body, e) in enumerate([("x y", [1.0, 3e-5]), ("x y", [1.0, 0.0]), ("z", [0.0, 1.0])])]
+    chunks = spark.createDataFrame(rows, "document_id string, chunk_id string, chunk_index int, heading string, text string, embedding array<double>")
+    q = spark.createDataFrame([("q", "d", "x", [1.0, 0.0], None)], "question_id string, document_id string, query string, embedding array<double>, keywords array<string>")
+    got = {r.chunk_id: (r.position, r.score) for r in retrieval.hybrid(chunks, q).collect()}
+    assert got["c0"][1] < got["c1"][1] and [got[f"c{i}"][0] for i in range(3)] == [1, 2, 3]
+
+
+def test_sums_that_differ_in_the_last_bit_are_equal(spark):
+    d = spark.createDataFrame([("a", 0.1 + 0.2), ("a", 0.3), ("b", 1.0), ("b", 2.0), ("b", 1.5), ("c", None)], "k string, x double")
+    got = sorted((r.k, r.n) for r in d.select("k", retrieval.min_max("x", ["k"]).alias("n")).collect() if r.k != "c")
+    assert got == [("a", 1.0), ("a", 1.0), ("b", 0.0), ("b", 0.5), ("b", 1.0)]
