@@ -9,9 +9,8 @@ from .common import fits, materialize, owned
 
 #: (verdict, host, path, rule as text)
 RULES = [("allow", "com", "/", "com/"), ("block", "example.com", "/en/", "example.com/en/"), ("allow", "www.example.com", "/en/", "www.example.com/en/"), ("block", "net", "/es/", "net/es/"), ("block", "net", "/fr/", "net/fr/")]
-#: The models are fitted on about so many urls with a rule's verdict, none longer than FIT_CHARS; so their tables have
-#: FIT_ROWS * FIT_CHARS * ORDER rows at most and can be broadcast at any size of the input.
-FIT_ROWS, FIT_CHARS, ORDER = 4096, 256, 4
+#: The longest strings that the models know.
+ORDER = 4
 END = "\x03"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -36,12 +35,23 @@ def _positions(strings: DataFrame) -> DataFrame:
 
 
 def fit(labelled: DataFrame, smoothing: float = 1.0) -> DataFrame:
-    """The model from rows (s, accepted): for each string g of up to ORDER characters the smoothed probability of its last
+    """The model from rows (s, accepted), all of them: for each string g of up to ORDER characters the smoothed probability of its last
     character after the others (pa, pb, for accepted and rejected), and the weight (ba, bb) that g, as a context, leaves to the
     next shorter context: p(c|ctx) = (n(ctx c) + smoothing * p(c|shorter ctx)) / (n(ctx) + smoothing)."""
+    return _model(_counts(labelled.withColumns({"n": F.lit(1), "fold": F.lit(0)})), smoothing)
+
+
+def _counts(labelled: DataFrame) -> DataFrame:
+    """(g, fold, na, nb): how often each string of up to ORDER characters is in the accepted and the rejected texts of a fold; rows (s, accepted, n, fold) stand for n."""
     pos = _positions(labelled)
-    grams = pos.select("accepted", F.explode(F.array(*[F.col(f"c{k}") for k in range(1, ORDER + 1)])).alias("g")).filter("g is not null")
-    n = materialize(grams.groupBy("g").agg(F.sum(F.col("accepted").cast("long")).alias("na"), F.sum((~F.col("accepted")).cast("long")).alias("nb")), "url-grams")
+    grams = pos.select("accepted", "n", "fold", F.explode(F.array(*[F.col(f"c{k}") for k in range(1, ORDER + 1)])).alias("g")).filter("g is not null")
+    of = lambda flag: F.sum(F.when(flag, F.col("n")).otherwise(0)).cast("long")
+    return materialize(grams.groupBy("g", "fold").agg(of(F.col("accepted")).alias("na"), of(~F.col("accepted")).alias("nb")), "url-grams")
+
+
+def _model(counts: DataFrame, smoothing: float = 1.0) -> DataFrame:
+    """The model, as fit() has it, of the folds that counts has."""
+    n = counts.groupBy("g").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
     all_a, all_b, kinds = n.filter("length(g) = 1").agg(F.coalesce(F.sum("na"), F.lit(0)), F.coalesce(F.sum("nb"), F.lit(0)), F.count("*")).first()
     u = lambda c, total: (F.col(c) + 0.5) / (total + 0.5 * (kinds + 1))
     level = n.filter("length(g) = 1").select("g", u("na", all_a).alias("pa"), u("nb", all_b).alias("pb"), "na", "nb")
@@ -87,11 +97,11 @@ def ratio(strings: DataFrame, model: DataFrame) -> DataFrame:
 
 
 @owned("urls")
-def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, fit_rows: int = FIT_ROWS) -> DataFrame:
+def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
     """(id, host, path, rule, verdict, llr, threshold) for every row of df.
 
-    verdict is the longest fitting rule's; where none fits, allow if llr >= threshold. A quarter of the fitting sample is
-    kept from counting and sets the threshold where both classes' ratios are equally many standard deviations away. The models read
+    verdict is the longest fitting rule's; where none fits, allow if llr >= threshold. The models count all urls with a rule's verdict, as often as they occur. The
+    threshold is where both classes' ratios are equally many standard deviations away, over all these urls, each scored by models of the half that it is not in. The models read
     the whole url, query and fragment too. Null, empty and malformed urls have an empty host and path and fit no rule; a null
     url is scored as an empty text, a malformed one as it is. If a class has no
     labelled url, nothing can be learned, and such urls are allowed. Repeated urls are scored once; no row is dropped.
@@ -103,16 +113,14 @@ def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", ru
     at = F.instr("__url", "://") + 2
     url = F.when(F.instr("__url", "://") > 0, F.concat(F.substring("__url", F.lit(1), at), "host", F.substring("__url", at + F.length("host") + 1, F.length("__url")))).otherwise(F.coalesce("__url", F.lit("")))
     base = base.withColumn("s", F.concat(url, F.lit(END))).drop("__url")
-    labelled = base.filter(F.col("rule").isNotNull() & (F.length("s") <= FIT_CHARS)).select("s", (F.col("rule_verdict") == "allow").alias("accepted"))
-    # so many of each class at most, in expectation
-    sizes = dict(labelled.groupBy("accepted").count().collect())
-    share = lambda flag: int(min(1.0, fit_rows / 2 / max(sizes.get(flag, 0), 1)) * 2**40)
-    h = F.pmod(F.xxhash64("s"), F.lit(1 << 40))
-    sample = materialize(labelled.filter(h <= F.when(F.col("accepted"), share(True)).otherwise(share(False))).withColumn("check", F.pmod(F.xxhash64("s", F.lit(1)), F.lit(4)) == 0), "url-sample")
-    if len(sizes) < 2:
+    labelled = base.filter(F.col("rule").isNotNull()).groupBy("s", (F.col("rule_verdict") == "allow").alias("accepted")).agg(F.count("*").alias("n"))
+    labelled = materialize(labelled.withColumn("fold", F.pmod(F.xxhash64("s", F.lit(1)), F.lit(2)).cast("int")), "url-labelled")
+    if labelled.select("accepted").distinct().count() < 2:
         return base.select(id_col, "host", "path", "rule", F.coalesce("rule_verdict", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("llr"), F.lit(None).cast("double").alias("threshold"))
-    model = fit(sample.filter("not check").select("s", "accepted"))
-    checks = ratio(sample.filter("check"), model).join(sample.filter("check").distinct(), "s")
+    counts = _counts(labelled)
+    model = _model(counts)
+    half = lambda f: ratio(labelled.filter(F.col("fold") == f), _model(counts.filter(F.col("fold") != f)))
+    checks = half(0).unionByName(half(1)).join(labelled.select("s", "accepted"), "s")
     seen = {r.accepted: r for r in checks.groupBy("accepted").agg(F.avg("llr").alias("m"), F.coalesce(F.stddev("llr"), F.lit(0.0)).alias("d")).collect()}
     threshold = 0.0
     if len(seen) == 2:

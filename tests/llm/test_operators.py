@@ -831,3 +831,17 @@ def test_lm_scores_do_not_depend_on_the_cluster(spark, docs):
     few = docs.filter("doc_id % 4 = 0")
     one, many = ({r.doc_id: r.score for r in lm_score.score_texts(spark, d).collect()} for d in (few.coalesce(1), few.repartition(7)))
     assert one == many
+
+
+def test_url_models_count_all_labelled_urls(spark, monkeypatch):
+    """Thousands of labelled urls, some of them long: every character of them is counted, in one fold or the other."""
+    tail = lambda i: "x" * 400 if i % 500 == 0 else f"p{i}"
+    rows = [(i, f"http://a{i % 7}.{'com' if i % 3 else 'net'}/{'es/' if i % 3 == 0 else ''}{tail(i)}") for i in range(6000)] + [(6000 + i, f"http://b.org/{i}") for i in range(20)]
+    seen = []
+    monkeypatch.setattr(url_filter, "_counts", lambda labelled, of=url_filter._counts: seen.append(of(labelled)) or seen[0])
+    monkeypatch.setattr(url_filter, "_model", lambda counts, smoothing=1.0, of=url_filter._model: seen.append(counts.filter("length(g) = 1").selectExpr("sum(na + nb) n").first().n) or of(counts, smoothing))
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    got = url_filter.filter_urls(df).collect()
+    assert len(got) == len(rows) and {r.threshold for r in got} != {None}
+    whole, *halves = seen[1:]
+    assert whole == sum(len(u) + 1 for i, u in rows[:6000]) == sum(halves)
