@@ -461,8 +461,7 @@ def cosine_topk(spark, d):
     """Within a document, here a label: the scope that the evidence stages have."""
     v = t(spark, d, "embeddings").select(F.col("label").cast("string").alias("document_id"), F.col("vec_id").alias("chunk_id"), "embedding")
     q = v.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("question_id"), "document_id", "embedding")
-    s = retrieval.cosine_scores(v, q).withColumn("r", F.round("emb_score", 9))
-    return retrieval.top_k(s, "r", 12, ["question_id", "document_id"], "chunk_id").select("question_id", "document_id", F.col("chunk_id").alias("vec_id"), "position", F.round("emb_score", 6).alias("emb_score"))
+    return retrieval.nearest_of_document(v, q, 12).select("question_id", "document_id", F.col("chunk_id").alias("vec_id"), "position", F.round("emb_score", 6).alias("emb_score"))
 
 
 @query("""with q as (select vec_id question_id, embedding::double[] e from embeddings where vec_id % 50 = 0 and embedding is not null), x as (select question_id, v.vec_id, round(list_cosine_similarity(q.e, v.embedding::double[]), 9) s from q cross join embeddings v where v.embedding is not null),

@@ -82,6 +82,44 @@ def test_nearest_by_hand(spark, block_bytes, scores, monkeypatch):
     assert retrieval.nearest(v, q.limit(0), 3).count() == retrieval.nearest(v.limit(0), q, 3).count() == 0
 
 
+@pytest.mark.parametrize("block_bytes, scores", [(300, 1 << 20), (1 << 24, 1 << 20), (1 << 24, 1)])
+def test_nearest_of_document_by_hand(spark, block_bytes, scores, monkeypatch):
+    """Within a document; chunks without a cosine come last, with a null. No pair becomes a row of a join."""
+    monkeypatch.setattr(retrieval, "BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(retrieval, "SCORES", scores)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(120, 4)).round(1)
+    x[50:75] = x[40]  # ties
+    rows = [(i, f"d{i % 3}", v.tolist()) for i, v in enumerate(x)] + [(900, "few", None), (901, "few", [1.0, 2.0, 0.0, 1.0]), (902, "few", [1.0]), (903, "few", [1.0, None, 1.0, 1.0]), (904, None, x[0].tolist()), (905, "d0", None)]
+    asked = [r for r in rows if r[0] % 20 == 0 or r[0] > 899]
+    schema = "chunk_id long, document_id string, embedding array<double>"
+    v = spark.createDataFrame(rows, schema).repartition(5)
+    found = retrieval.nearest_of_document(v, spark.createDataFrame(asked, schema).withColumnRenamed("chunk_id", "question_id"), 7)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r.question_id, r.position, r.chunk_id, r.emb_score) for r in found.collect())
+    unit = lambda a: np.array(a) / (np.linalg.norm(a) or 1)
+    whole = lambda e: e is not None and None not in e
+    want = []
+    for i, d, e in asked:
+        score = lambda y: float(unit(e) @ unit(y)) if whole(e) and whole(y) and len(e) == len(y) else None  # noqa: B023, E731
+        near = sorted(((j, score(y)) for j, c, y in rows if d is not None and c == d), key=lambda p: (p[1] is None, -round(p[1] or 0, 9), p[0]))[:7]
+        want += [(i, p, j, s) for p, (j, s) in enumerate(near, 1)]
+    assert [g[:3] for g in got] == [w[:3] for w in sorted(want, key=lambda w: w[:2])]
+    assert all(a == b or a == pytest.approx(b) for a, b in zip([g[3] for g in got], [w[3] for w in sorted(want, key=lambda w: w[:2])], strict=True))
+
+
+def test_a_search_holds_few_scores(spark, monkeypatch):
+    """Candidates that are merged stay a small multiple of the best, however many chunks are equally near."""
+    seen = []
+    merge = retrieval._Best.merge
+    monkeypatch.setattr(retrieval._Best, "merge", lambda self: (seen.append(self.n), merge(self))[1])
+    best = retrieval._Best(3000, 12, retrieval.pa.int64())
+    for start in range(0, 3000, 300):
+        best.add(0, np.ones((3000, 300)), np.ones((3000, 300)), retrieval.pa.array(range(start, start + 300)))
+    assert max(seen) <= 3 * retrieval.WAITING * 12 * 3000
+    assert best.merge()["id"].to_pylist()[:12] == list(range(12))
+
+
 def test_hybrid_ties_go_by_place(spark):
     """A second chunk better by less than sums in another order differ doesn't pass the first."""
     rows = [("d", f"c{i}", i, None, body, e) for i, (body, e) in enumerate([("x y", [1.0, 3e-5]), ("x y", [1.0, 0.0]), ("z", [0.0, 1.0])])]
