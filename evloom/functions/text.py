@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,14 +102,23 @@ def cosine(a: Column, b: Column) -> Column:
 def hash_embedding(text: Column, dim: int = 32) -> Column:
     """A deterministic unit vector of a text: bytes of sha-256 over 255, more of them from the digest of the text and the
     length so far as four big-endian bytes, divided by the norm (1 where that is 0)."""
-    data = F.coalesce(text, F.lit("")).cast("binary")
-    hexes = [F.sha2(data, 256)]
-    while 32 * len(hexes) < dim:
-        hexes.append(F.sha2(F.concat(data, F.unhex(F.lit(f"{32 * len(hexes):08x}"))), 256))
-    digits = F.concat(*hexes)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0)
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, v: s + v * v))
-    return F.element_at(F.transform(F.array(F.struct(raw.alias("v"), norm.alias("n"))), lambda x: F.transform(x["v"], lambda v: v / F.when(x["n"] == 0, 1.0).otherwise(x["n"]))), 1)
+
+    @F.arrow_udf("array<double>")
+    def embed(x: pa.Array) -> pa.Array:
+        return _hash_vectors(x, dim)
+
+    return embed(F.coalesce(text, F.lit("")))
+
+
+def _hash_vectors(texts: pa.Array, dim: int) -> pa.Array:
+    data = b"".join(b"".join(hashlib.sha256(x + n.to_bytes(4, "big") if n else x).digest() for n in range(0, dim, 32))[:dim] for x in texts.cast(pa.binary()).to_pylist())
+    v = np.frombuffer(data, np.uint8).reshape(len(texts), dim) / 255.0
+    total = np.zeros(len(v))
+    for column in v.T:  # in order, as a sum over each vector has it
+        total += column * column
+    norm = np.sqrt(total)
+    v = v / np.where(norm == 0, 1, norm)[:, None]
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * dim, pa.int32()), pa.array(v.ravel()))
 
 
 def token_count(x: Column) -> Column:

@@ -183,7 +183,10 @@ def insight_stage(questions: DataFrame, documents: DataFrame, chunks: DataFrame,
     else:
         vectors = chunks.join(retrieval.embed_missing(chunks, embedded, embed), "chunk_id")
     best = retrieval.hybrid(vectors, pairs, cfg)
-    asked = prompts(best.join(run.select("question_id", "document_id", "title", "source_url", "published_date", "extraction_priority"), ["question_id", "document_id"]).join(q, "question_id"))
+    ranked = best.join(run.select("question_id", "document_id", "title", "source_url", "published_date", "extraction_priority"), ["question_id", "document_id"]).join(q, "question_id")
+    if getattr(model, "recorded", False):
+        ranked = stored(ranked, "ranked")  # once, not for the budget and again for the facts
+    asked = prompts(ranked)
     asked = asked.select("key", "system", "prompt", "reply_schema", "question_id", "document_id", "chunk_id", "source_url", "text", "position", "extraction_priority")
     docs = run.select("question_id", "document_id", F.coalesce("extraction_priority", F.lit(0)).alias("ord"), "skipped")
     if getattr(model, "recorded", False):

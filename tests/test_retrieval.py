@@ -1,5 +1,6 @@
 """Retrieval: one pass over a document's chunks, and nearest vectors by blocks."""
 
+import hashlib
 import math
 import random
 import re
@@ -60,6 +61,44 @@ def test_a_text_is_shuffled_once(spark):
         assert physical.split("FlatMapCoGroupsInArrow")[0].count("Exchange") <= 1  # of what is found, by question and document
 
 
+@pytest.mark.parametrize("groups", [1, 256])
+def test_many_documents_are_one_group(spark, groups, monkeypatch):
+    """A call of Python takes a group of documents, each with its own index, its questions and vectors; null is a document too."""
+    monkeypatch.setattr(retrieval, "GROUPS", groups)
+    rng = random.Random(7)
+    words = lambda n: " ".join(rng.choice("abcdef") for _ in range(n))
+    docs = {f"d{i}": [words(rng.randrange(1, 9)) for _ in range(rng.randrange(1, 5))] for i in range(60)} | {None: ["a b", "c"]}
+    vector = lambda i: [1.0, float(i)]
+    rows = [(d, f"{d}-{i}", i, None, x, vector(i)) for d, xs in docs.items() for i, x in enumerate(xs)]
+    rng.shuffle(rows)
+    asked = [(q, d, words(3), vector(3)) for d in docs for q in ("q1", "q2") if d != "d5"] + [("q1", "gone", "a", vector(1))]
+    c = spark.createDataFrame(rows, CHUNK + ", embedding array<double>")
+    q = spark.createDataFrame(asked, "question_id string, document_id string, query string, embedding array<double>")
+    df = retrieval.bm25(c, q.withColumn("asks", F.col("query")), ("chunk_index",), ("asks",))
+    # of the exchanges none deals by the document itself
+    assert "hashpartitioning(__group_of_document_id" in df._jdf.queryExecution().executedPlan().toString()
+    got = {(r.question_id, r.document_id, r.chunk_index): (r.asks, r.bm25_score, r.emb_score) for r in df.collect()}
+    cosine = lambda i: (1 + 3 * i) / math.sqrt(10 * (1 + i * i))
+    want = {(k, d, i): (x, s, cosine(i)) for k, d, x, _ in asked if d in docs for i, s in enumerate(bm25_by_hand(docs[d], x))}
+    assert set(got) == set(want)
+    assert all(got[k][0] == want[k][0] and got[k][1:] == pytest.approx(want[k][1:]) for k in want)
+
+
+def test_hash_embedding_is_one_python_call_a_batch(spark):
+    texts = [None, "", "a", "é\u2028", "x" * 999]
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string")
+    for dim in (32, 40):
+        df = d.select("i", text.hash_embedding(F.col("x"), dim).alias("e"))
+        assert "ArrowEvalPython" in df._jdf.queryExecution().optimizedPlan().toString()
+        for i, e in df.collect():
+            data = (texts[i] or "").encode()
+            raw = [b / 255.0 for b in (hashlib.sha256(data).digest() + hashlib.sha256(data + (32).to_bytes(4, "big")).digest())[:dim]]
+            total = 0.0
+            for v in raw:
+                total += v * v
+            assert e == [v / math.sqrt(total) for v in raw]
+
+
 @pytest.mark.parametrize("block_bytes, scores", [(300, 1 << 22), (1 << 24, 1 << 22), (1 << 24, 30), (1 << 24, 1)])
 def test_nearest_by_hand(spark, block_bytes, scores, monkeypatch):
     monkeypatch.setattr(retrieval, "BLOCK_BYTES", block_bytes)

@@ -304,3 +304,11 @@ def test_lookup_tables_are_broadcast_while_small(spark):
     few, many = tier_dim(spark), spark.range(10**6).select(F.col("id").cast("string").alias("domain"), F.lit(1).alias("tier"), F.lit("x").alias("label"))
     plan = lambda d: search.resolve_tier(spark.createDataFrame([("a.org",)], "domain string"), d)._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" in plan(few) and "strategy=broadcast" not in plan(many)
+
+
+def test_recorded_replies_rank_chunks_once(spark):
+    """Records, budget and usage read what was ranked; none of them ranks again."""
+    from evloom import queries_calls
+
+    for df in queries_calls._by_document(spark, "/root/testdata/sf0.001", insight.CFG):
+        assert "FlatMapCoGroupsInArrow" not in df._jdf.queryExecution().optimizedPlan().toString()
