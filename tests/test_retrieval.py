@@ -172,3 +172,23 @@ def test_sums_that_differ_in_the_last_bit_are_equal(spark):
     d = spark.createDataFrame([("a", 0.1 + 0.2), ("a", 0.3), ("b", 1.0), ("b", 2.0), ("b", 1.5), ("c", None)], "k string, x double")
     got = sorted((r.k, r.n) for r in d.select("k", retrieval.min_max("x", ["k"]).alias("n")).collect() if r.k != "c")
     assert got == [("a", 1.0), ("a", 1.0), ("b", 0.0), ("b", 0.5), ("b", 1.0)]
+
+
+def test_token_counts_take_one_shuffle(spark):
+    """Texts are dealt by document, not their tokens: one exchange, below the tokens."""
+    d = queries.token_top_k(spark, "/root/testdata/sf0.001")
+    d.collect()
+    plan = d._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate") < plan.index("Exchange hashpartitioning")
+
+
+def test_missing_chunks_are_sorted_after_they_are_dealt(spark):
+    """No aggregate lies below the exchange of texts; a repeated id is embedded once."""
+    rows = [(f"c{i % 40}", None, f"t{i % 40}") for i in range(80)] + [(None, None, "x"), (None, None, "x")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, heading string, text string")
+    cache = chunks.filter("chunk_id like 'c1%'").dropDuplicates(["chunk_id"]).select("chunk_id", F.array(F.lit(9.0)).alias("embedding"))
+    got = retrieval.embed_missing(chunks, cache, lambda x: F.array(F.length(x).cast("double")))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # one of each id is taken right above the join that the texts were dealt for, not before
+    assert "Exchange" not in plan[plan.index("first(__body") : plan.index("LeftAnti")]
+    assert sorted((r.chunk_id or "", r.embedding[0]) for r in got.collect()) == sorted([(f"c{i}", 9.0 if str(i).startswith("1") else float(len(f"t{i}"))) for i in range(40)] + [("", 1.0)])
