@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import unused
+from .common import KEPT, unused
 
 #: Words, and pieces of words, whose ids a Python worker remembers, in two generations: when the younger is full, the older is forgotten.
 CACHE_WORDS, CACHE_PIECES = 150_000, 180_000
@@ -272,10 +272,11 @@ class Encoder:
 
 
 _ENCODERS: dict[int, Encoder] = {}
+KEPT.append(_ENCODERS)
 
 
 def _encoder(shared) -> Encoder:
-    """One for each worker process; kept between tasks."""
+    """One for each worker process; kept between tasks, until another operator's."""
     if shared.id not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[shared.id] = Encoder(shared.value)

@@ -184,8 +184,17 @@ def free(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: What operators keep in a worker for their next task: each is emptied by the first other operator's task there that releases its memory.
+KEPT: list[dict] = []
+
+
 def release() -> None:
     """Gives memory that a task is done with back to the system; a Python worker lives on for the next task."""
+    if any(KEPT):
+        for kept in KEPT:
+            kept.clear()
+        gc.unfreeze()
+        gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

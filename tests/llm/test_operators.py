@@ -845,3 +845,23 @@ def test_url_models_count_all_labelled_urls(spark, monkeypatch):
     assert len(got) == len(rows) and {r.threshold for r in got} != {None}
     whole, *halves = seen[1:]
     assert whole == sum(len(u) + 1 for i, u in rows[:6000]) == sum(halves)
+
+
+def test_a_worker_keeps_no_other_operators_encoder():
+    """What BPE keeps in a worker goes when another operator's task releases its memory, cycles and frozen objects too."""
+    import gc
+    import weakref
+
+    from evloom.llm import bpe, common
+
+    class Kept:
+        pass
+
+    kept = Kept()
+    kept.itself = kept
+    gone = weakref.ref(kept)
+    bpe._ENCODERS[-1] = kept
+    del kept
+    gc.freeze()
+    common.release()
+    assert not bpe._ENCODERS and gone() is None
