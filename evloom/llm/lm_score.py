@@ -79,7 +79,11 @@ def order_of(a: np.ndarray, b: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
     bits = max(1, int(n - 1).bit_length())
     if 3 * bits > 63:
         return np.lexsort((c, b, a))
-    return np.argsort(a.astype(np.int64) << 2 * bits | b.astype(np.int64) << bits | c)
+    key = a.astype(np.int64)
+    for x in (b, c):
+        key <<= bits
+        key |= x
+    return np.argsort(key)
 
 
 def changes(*columns: np.ndarray) -> np.ndarray:
@@ -326,7 +330,7 @@ def _look_ahead(docs: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray, np
 
         def out():
             h, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array([-1, *h.tolist()], pa.int64()), pa.array([n, *c.tolist()], pa.int64())], ["h", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(np.append(-1, h.astype(np.int64))), pa.array(np.append(n, c))], ["h", "n"])
 
         for b in small(batches):
             data, off = utf8(b.column(0))
@@ -370,50 +374,77 @@ def unpack_triples(x: bytes, v: bytes, u: bytes, w: bytes) -> tuple[np.ndarray,
     return unpack_sorted(x, np.uint64), v, unpack_within(u, changes(v)), unpack(w, np.uint32)
 
 
+#: Tokens of a block that are looked up at once.
+PIECE = 1 << 18
+
+
 def _block(w: np.ndarray, row: np.ndarray, starts: np.ndarray, train: np.ndarray, parts: int, book: np.ndarray, place: np.ndarray, dealt: np.ndarray, over: np.ndarray):
-    """(what the block keeps, the triples that it sends to each part)."""
-    words, w = np.unique(np.append(w, START), return_inverse=True)
-    words = numbered(words, book, place)
+    """(what the block keeps, the triples that it sends to each part).
+
+    Places and rows are numbers of 32 bits, and each array goes as soon as the next one is there: some 45 bytes a token at once, if the caller
+    keeps none of them.
+    """
+    seen = np.unique(np.append(np.unique(w), START))
+    words = numbered(seen, book, place)
     order = np.argsort(words)
-    back = np.empty_like(order)
+    back = np.empty(len(order), np.int32)
     back[order] = np.arange(len(order))
-    words, w = words[order], back[w]
-    start, w = w[-1], w[:-1]
+    words, start = words[order], back[np.searchsorted(seen, START)]
+    w = np.concatenate([back[np.searchsorted(seen, w[i : i + PIECE])] for i in range(0, len(w), PIECE)])
     v, u = np.empty_like(w), np.empty_like(w)
     v[1:], v[starts] = w[:-1], start
     u[1:], u[starts] = v[:-1], start
-    part = ranges(words, parts)[v]
+    part = ranges(words, parts).astype(np.uint16 if parts < 1 << 16 else np.int64)[v]
     if len(dealt):
         at = np.minimum(np.searchsorted(dealt, words), len(dealt) - 1)
         hot = np.where(dealt[at] == words, over[at], np.uint64(1))
-        some = np.flatnonzero(hot[v] > 1)
-        part[some] = ranges(words[v[some]] + _GOLD * (mix(words[w[some]]) % hot[v[some]] + np.uint64(1)), parts)
+        for i in range(0, len(w), PIECE):
+            some = np.flatnonzero(hot[v[i : i + PIECE]] > 1) + i
+            part[some] = ranges(words[v[some]] + _GOLD * (mix(words[w[some]]) % hot[v[some]] + np.uint64(1)), parts)
     order = order_of(v, u, w, len(words))
-    order = order[np.argsort(part[order].astype(np.uint16 if parts < 1 << 16 else np.int64), kind="stable")]
-    v, u, w, part, row = v[order], u[order], w[order], part[order], row[order]
+    order = order[np.argsort(part[order], kind="stable")]
+    v = v[order]
+    u = u[order]
+    w = w[order]
+    part = part[order]
+    row = row[order].astype(np.uint32)
+    del order
     new = changes(v, u, w)
     at = np.flatnonzero(new)
-    c = np.add.reduceat(train[row].astype(np.int64), at)
-    v, u, w, part = v[at], u[at], w[at], part[at]
-    yield None, pack(row.astype(np.uint32)), np.packbits(new).tobytes()
+    c = np.add.reduceat(train[row], at, dtype=np.uint32)
+    v = v[at]
+    u = u[at]
+    w = w[at]
+    part = part[at]
+    del at
+    yield None, pack(row), np.packbits(new).tobytes()
+    del row, new
     cut = np.flatnonzero(changes(part))
     for lo, hi in zip(cut, [*cut[1:], len(part)], strict=True):
         s = slice(lo, hi)
-        yield int(part[lo]), *pack_triples(words, v[s], u[s], w[s]), pack(c[s].astype(np.uint32))
+        yield int(part[lo]), *pack_triples(words, v[s], u[s], w[s]), pack(c[s])
 
 
 def _combine(messages: list[tuple]):
-    """The distinct triples of messages (words, v, u, w, c), their counts, and of each message the numbers of its own."""
-    vocabulary = np.unique(np.concatenate([m[0] for m in messages]))
-    to = [np.searchsorted(vocabulary, m[0]).astype(np.uint32) for m in messages]
-    v, u, w = (np.concatenate([t[m[k]] for t, m in zip(to, messages, strict=True)]) for k in (1, 2, 3))
+    """The distinct triples of messages (words, v, u, w, c), their counts, and of each message the numbers of its own. The list is emptied, so
+    that its arrays go one after another."""
+    words, v, u, w, c = (list(x) for x in zip(*messages, strict=True))
+    messages.clear()
+    ends = np.cumsum([len(x) for x in v])[:-1]
+    vocabulary = np.unique(np.concatenate(words))
+    to = [np.searchsorted(vocabulary, x).astype(np.uint32) for x in words]
+    del words
+    v = np.concatenate([t[x] for t, x in zip(to, v, strict=True)])
+    u = np.concatenate([t[x] for t, x in zip(to, u, strict=True)])
+    w = np.concatenate([t[x] for t, x in zip(to, w, strict=True)])
     order = order_of(v, u, w, len(vocabulary))
     new = changes(v[order], u[order], w[order])
-    number = np.empty(len(order), np.int64)
-    number[order] = np.cumsum(new) - 1
+    number = np.empty(len(order), np.uint32)
+    number[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
     at = order[new]
-    c = np.bincount(number, weights=np.concatenate([m[4] for m in messages]), minlength=len(at)).astype(np.int64)
-    return vocabulary, v[at], u[at], w[at], c, np.split(number, np.cumsum([len(m[1]) for m in messages])[:-1])
+    del order, new
+    c = np.bincount(number, weights=np.concatenate(c), minlength=len(at)).astype(np.int64)
+    return vocabulary, v[at], u[at], w[at], c, np.split(number, ends)
 
 
 # ---------------------------------------------------------------- the operator
@@ -427,7 +458,7 @@ def score_texts(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text
     perplexity is its inverse geometric mean. base_score adds 0.1 to each count instead. Null and empty texts are an end only; a row with a
     null id is learned from, and rows that repeat an id or a text are scored and learned from one by one. A word that training lacks has the
     root's share of the uniform base. If nothing can be learned, both scores are those of the uniform base over one
-    unknown word. An empty table gives an empty result. A block takes some 100 bytes for each token; a text longer than
+    unknown word. An empty table gives an empty result. A block takes some 45 bytes for each token; a text longer than
     BLOCK_TOKENS is a block.
     """
     held = held_out(id_col) if held is None else held
@@ -451,11 +482,20 @@ def score_texts(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text
         held: list = []
 
         def out():
-            w, row, starts, flags, ids = (np.concatenate([x[k] for x in held]) if k < 4 else pa.concat_arrays([x[k] for x in held]) for k in range(5))
+            columns = [list(x) for x in zip(*held, strict=True)]
+            held.clear()
+
+            def taken(k):
+                x = np.concatenate(columns[k])
+                columns[k].clear()
+                return x
+
+            flags, ids, starts = taken(3), pa.concat_arrays(columns[4]), taken(2)
+            train = int(np.diff(np.append(starts, n))[~flags].sum())
             rows = []
-            for part, *packed in _block(w, row, starts, ~flags, parts, book.value, place.value, dealt.value, over.value):
+            for part, *packed in _block(taken(0), taken(1), starts, ~flags, parts, book.value, place.value, dealt.value, over.value):
                 if part is None:  # x: the row of each token, v: where triples begin
-                    rows.append({"part": -1 - block, "ids": ids, "held": np.packbits(flags).tobytes(), "train": int((~flags)[row].sum()), **dict(zip("xv", packed, strict=True))})
+                    rows.append({"part": -1 - block, "ids": ids, "held": np.packbits(flags).tobytes(), "train": train, **dict(zip("xv", packed, strict=True))})
                 else:
                     rows.append({"part": part, "block": block, **dict(zip("xvuwc", packed, strict=True))})
             columns = []
@@ -476,13 +516,12 @@ def score_texts(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text
                 w = np.insert(h >> _CUT, np.cumsum(count), END)
                 if held and n + len(w) > BLOCK_TOKENS:
                     yield out()
-                    held, n, docs_held, block = [], 0, 0, block + 1
-                row = np.repeat(np.arange(docs_held, docs_held + j - i), count + 1)
+                    n, docs_held, block = 0, 0, block + 1
+                row = np.repeat(np.arange(docs_held, docs_held + j - i, dtype=np.int32), count + 1)
                 held.append((w, row, n + np.cumsum(count + 1) - count - 1, flags[i:j], b.column(0).slice(i, j - i)))
                 n, docs_held = n + len(w), docs_held + j - i
         if held:
             yield out()
-        held.clear()
         release()
 
     def merge(key, rows):
@@ -493,7 +532,7 @@ def score_texts(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text
         messages = [(*unpack_triples(*r), unpack(c, np.uint32)) for *r, c in zip(*(rows[n].to_pylist() for n in "xvuwc"), strict=True)]
         vocabulary, v, u, w, c, numbers = _combine(messages)
         packed = (*pack_triples(vocabulary, v, u, w), pack(c))
-        blocks = pa.array([rows["block"].to_pylist()], pa.list_(pa.int64())), pa.array([[pack_sorted(x.astype(np.uint32)) for x in numbers]], pa.list_(pa.binary()))
+        blocks = pa.array([rows["block"].to_pylist()], pa.list_(pa.int64())), pa.array([[pack_sorted(x) for x in numbers]], pa.list_(pa.binary()))
         release()
         return pa.table([pa.array([key[0].as_py()], pa.int64()), *[pa.nulls(1, rows.schema.field(n).type) for n in ("ids", "held", "train")], *[pa.array([x], pa.binary()) for x in packed], *blocks], names=[f.name for f in counted])
 

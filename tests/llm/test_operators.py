@@ -671,6 +671,29 @@ def test_dealt_words_and_small_blocks_change_little(spark, docs, monkeypatch):
         assert got[i].base_score == pytest.approx(r.base_score) and got[i].score == pytest.approx(r.score, rel=0.1)
 
 
+def test_a_block_takes_little_memory_for_each_token():
+    """Two tasks of an executor each hold a block of BLOCK_TOKENS."""
+    import tracemalloc
+
+    n = 1 << 19
+    rng = np.random.default_rng(3)
+    vocabulary = rng.integers(0, 1 << 52, 30_000, dtype=np.uint64)
+    starts = np.arange(0, n, 256)
+    none = np.zeros(0, np.uint64)
+    tracemalloc.start()
+    try:
+        w, row = vocabulary[np.minimum(rng.zipf(1.3, n), 29_999)], np.repeat(np.arange(len(starts), dtype=np.int32), 256)
+        block = lm_score._block(w, row, starts, np.ones(len(starts), bool), 16, none, none, none, none)
+        del w, row
+        tracemalloc.reset_peak()
+        sent = [x for x in block if x[0] is not None]
+        peak = tracemalloc.get_traced_memory()[1] / n
+    finally:
+        tracemalloc.stop()
+    assert len(sent) == 16 and sum(int(lm_score.unpack(x[-1], np.uint32).sum()) for x in sent) == n
+    assert peak < 60
+
+
 def test_seating_agrees_with_one_by_one():
     rng = np.random.default_rng(1)
     c, a, p, d = 200, 5.0, 0.01, 0.75
