@@ -20,10 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import KEPT, unused
+from .common import KEPT, trim, unused
 
-#: Words, and pieces of words, whose ids a Python worker remembers, in two generations: when the younger is full, the older is forgotten.
-CACHE_WORDS, CACHE_PIECES = 150_000, 180_000
+#: Lower-case ASCII words, other words, and other pieces of words, whose ids a Python worker remembers, in two generations: when the younger is
+#: full, the older is forgotten. A plain word is its own and only piece, so it is held once.
+CACHE_PLAIN, CACHE_WORDS, CACHE_PIECES = 40_000, 40_000, 30_000
 #: Pairs of tokens whose test a worker remembers.
 CACHE_PAIRS = 250_000
 
@@ -148,6 +149,8 @@ class Encoder:
         self.split = regex.compile(vocab.pattern)
         self.special = regex.compile("(" + "|".join(map(regex.escape, vocab.special)) + ")") if vocab.special else None
         self.space = regex.compile(r"\s+")
+        self.plain: dict[str, bytes] = {}
+        self.old_plain: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.old_words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -222,10 +225,28 @@ class Encoder:
             i = start[i]
         return _PACK[len(out)](*out[::-1]) if len(out) < len(_PACK) else np.array(out[::-1], "<u4").tobytes()
 
+    def _letters(self, x: str) -> bytes:
+        """Ids of a pre-token of lower-case ASCII letters."""
+        ids = self.plain.get(x)
+        if ids is None:
+            if len(self.plain) >= CACHE_PLAIN:
+                self.old_plain, self.plain = self.plain, {}
+            ids = self.old_plain.get(x)
+            if ids is None:
+                ids = self.piece(x)
+            if len(x) <= 64:
+                self.plain[x] = ids
+        return ids
+
     def _plain(self, s: str) -> bytes:
         s = "".join(c.lower() for c in unicodedata.normalize("NFC", s)) if not s.isascii() else s.lower()
+        if s.isalpha() and s.isascii():
+            return self._letters(s)
         out: list[bytes] = []
-        for x in (s,) if s.isalpha() and s.isascii() else self.split.findall(s):
+        for x in self.split.findall(s):
+            if x.isalpha() and x.isascii():
+                out.append(self._letters(x))
+                continue
             ids = self.pieces.get(x)
             if ids is None:
                 if len(self.pieces) >= CACHE_PIECES:
@@ -245,17 +266,23 @@ class Encoder:
         return self._plain(w)
 
     def encode(self, text: str) -> bytes:
-        words, old, out = self.words, self.old_words, []
+        plain, words, old, out = self.plain, self.words, self.old_words, []
         # str.split() also cuts at four control characters, which are no white space to the pattern
         cut = text.split() if text.isprintable() or not regex.search(r"[\x1c-\x1f]", text) else [x for x in self.space.split(text) if x]
         for w in cut:
-            ids = words.get(w)
+            ids = plain.get(w)
+            if ids is None:
+                ids = words.get(w)
+            if ids is None and w.isascii() and w.isalpha() and w.islower():
+                ids = self._letters(w)
+                plain = self.plain
             if ids is None:
                 if len(words) >= CACHE_WORDS:
                     self.old_words, self.words = old, words = words, {}
                 ids = old.get(w)
                 if ids is None:
                     ids = self._word(w)
+                    plain = self.plain
                 if len(w) <= 64:
                     words[w] = ids
             out.append(ids)
@@ -263,7 +290,7 @@ class Encoder:
 
     def forget_old(self) -> None:
         """Between tasks a worker keeps one generation: other operators may use it next."""
-        self.old_words, self.old_pieces = {}, {}
+        self.old_plain, self.old_words, self.old_pieces = {}, {}, {}
 
     def decode(self, ids: bytes) -> str:
         """The library's decoding where the file names no decoder: the tokens, joined by spaces."""
@@ -279,6 +306,8 @@ def _encoder(shared) -> Encoder:
     """One for each worker process; kept between tasks, until another operator's."""
     if shared.id not in _ENCODERS:
         _ENCODERS.clear()
+        gc.collect()
+        trim()  # of what other operators' tasks left
         _ENCODERS[shared.id] = Encoder(shared.value)
         gc.freeze()  # the automaton's many small objects never go: no need to look at them again
     return _ENCODERS[shared.id]
@@ -300,7 +329,7 @@ def encode(spark: SparkSession, df: DataFrame, tokenizer_path: str, id_col: str
     """df's id (or the columns keep) with ids (array of int, if wanted), n_tokens, ids_sha256 and decoded_sha256.
 
     Null texts are taken as empty and have no ids. Whole texts are encoded, row by row, without a shuffle; what a worker
-    remembers is bounded by CACHE_WORDS, CACHE_PIECES and CACHE_PAIRS. The path is read on the driver only; the vocabulary, of the
+    remembers is bounded by CACHE_PLAIN, CACHE_WORDS, CACHE_PIECES and CACHE_PAIRS. The path is read on the driver only; the vocabulary, of the
     file's size, is broadcast.
     """
     shared = _Shared(spark.sparkContext.broadcast(Vocabulary(tokenizer_path)))
@@ -320,6 +349,7 @@ def encode(spark: SparkSession, df: DataFrame, tokenizer_path: str, id_col: str
                 out += [pa.array([len(x) // 4 for x in got], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in got], pa.string()), pa.array([hashlib.sha256(enc.decode(x).encode()).hexdigest() for x in got], pa.string())]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *out], names=schema.names)
         enc.forget_old()
+        trim()
 
     return rows.mapInArrow(work, schema)
 

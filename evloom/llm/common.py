@@ -195,6 +195,11 @@ def release() -> None:
             kept.clear()
         gc.unfreeze()
         gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """release() without what operators keep for their next task."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

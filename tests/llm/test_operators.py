@@ -888,3 +888,15 @@ def test_a_worker_keeps_no_other_operators_encoder():
     gc.freeze()
     common.release()
     assert not bpe._ENCODERS and gone() is None
+
+
+def test_bpe_remembers_a_plain_word_once():
+    """A word of lower-case letters is its own piece: one string of it is kept, and bounds hold for the strings of a worker."""
+    enc = bpe.Encoder(bpe.Vocabulary(queries.tokenizer_path()))
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghij", k=7)) for _ in range(500)]
+    text = " ".join(words)
+    ids = enc.encode(text)
+    assert sum(isinstance(k, str) for kept in vars(enc).values() if isinstance(kept, dict) for k in kept) == len({*words})
+    assert enc.encode(text) == ids == b"".join(enc.piece(w) for w in words)
+    assert enc.encode(text.upper() + ".") == ids + enc.piece(".") and enc.encode(" ".join(w + "," for w in words)) == b"".join(enc.piece(w) + enc.piece(",") for w in words)
