@@ -12,6 +12,7 @@ import hashlib
 import json
 import struct
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from .common import KEPT, trim, unused
 
 #: Lower-case ASCII words, other words, and other pieces of words, whose ids a Python worker remembers, in two generations: when the younger is
 #: full, the older is forgotten. A plain word is its own and only piece, so it is held once.
-CACHE_PLAIN, CACHE_WORDS, CACHE_PIECES = 40_000, 40_000, 30_000
+CACHE_PLAIN, CACHE_WORDS, CACHE_PIECES = 60_000, 60_000, 40_000
 #: Pairs of tokens whose test a worker remembers.
 CACHE_PAIRS = 250_000
 
@@ -61,13 +62,15 @@ class Vocabulary:
         self.special = {x["content"]: x["id"] for x in raw["added_tokens"]}
         self.token = {i: s for s, i in model["vocab"].items()} | {i: s for s, i in self.special.items()}
         vocab = model["vocab"]
-        self.merges = {}
-        self.parts = {}
+        # Ranks by the two tokens, as one number; by token the rank of its merge, -1 for none, and its parts: flat, as each worker has a copy
+        self.merges: dict[int, int] = {}
+        self.rank, self.left, self.right = (array("i", [-1]) * (1 + max(self.token)) for _ in range(3))
         for rank, m in enumerate(model["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             x, y, z = vocab[a], vocab[b], vocab[a + b]
-            self.merges[x, y] = (rank, z)
-            self.parts.setdefault(z, (rank, x, y))
+            self.merges[x << 32 | y] = rank
+            if self.rank[z] < 0:
+                self.rank[z], self.left[z], self.right[z] = rank, x, y
         letters = byte_letters()
         self.symbol = [vocab[c] for c in letters]
         self.last_symbol = [vocab[c + self.suffix] for c in letters]
@@ -77,8 +80,8 @@ class Vocabulary:
         out, todo = [], [token]
         while todo:
             t = todo.pop()
-            if t in self.parts:
-                todo += self.parts[t][:0:-1]
+            if self.rank[t] >= 0:
+                todo += self.right[t], self.left[t]
             else:
                 out.append(t)
         return out
@@ -145,7 +148,7 @@ class Encoder:
     def __init__(self, vocab: Vocabulary):
         self.v = vocab
         symbols = {*vocab.symbol, *vocab.last_symbol}
-        self.automaton = SuffixAutomaton({t: vocab.spelled(t) for t in [*symbols, *vocab.parts]})
+        self.automaton = SuffixAutomaton({t: vocab.spelled(t) for t in [*symbols, *(t for t, rank in enumerate(vocab.rank) if rank >= 0)]})
         self.split = regex.compile(vocab.pattern)
         self.special = regex.compile("(" + "|".join(map(regex.escape, vocab.special)) + ")") if vocab.special else None
         self.space = regex.compile(r"\s+")
@@ -157,15 +160,15 @@ class Encoder:
         self.old_pieces: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
 
-    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
+    def _edge(self, token: int, side: array) -> list[tuple[int, int]]:
         """(part, rank of the merge that swallows it) for the parts at one edge of a token, the whole token first."""
-        out, until = [], 1 << 60
+        out, until, rank = [], 1 << 60, self.v.rank
         while True:
             out.append((token, until))
-            if token not in self.v.parts:
+            if rank[token] < 0:
                 return out
-            until = self.v.parts[token][0]
-            token = self.v.parts[token][side]
+            until = rank[token]
+            token = side[token]
 
     def stays(self, p: int, t: int) -> bool:
         """Whether no merge across the boundary comes before the merges that build p and t.
@@ -174,11 +177,11 @@ class Encoder:
         strictly earlier to happen, at the right token's edge no later.
         """
         merges = self.v.merges
-        right = self._edge(t, 1)
-        for a, a_until in self._edge(p, 2):
+        right = self._edge(t, self.v.left)
+        for a, a_until in self._edge(p, self.v.right):
             for b, b_until in right:
-                m = merges.get((a, b))
-                if m is not None and m[0] < a_until and m[0] <= b_until:
+                m = merges.get(a << 32 | b)
+                if m is not None and m < a_until and m <= b_until:
                     return False
         return True
 
