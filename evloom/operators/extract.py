@@ -78,89 +78,234 @@ CELL_GAP, ROW_GAP, CROSSED = 0.6, 4.0, 5
 
 
 def tables_of_page(spans: list[tuple[float, float, float, float, str]]) -> list[list[list[str]]]:
-    """Tables from where spans (x0, x1, y, size, text) stand on a page: a list of rows of cells each.
+    """Tables from where spans (x0, x1, y, size, text) stand on a page: a list of rows of cells each. See tables_by_place()."""
+    x0, x1, y, size = np.array([s[:4] for s in spans], float).reshape(-1, 4).T
+    return tables_by_place(np.zeros(len(spans), int), x0, x1, y, size, pa.array([s[4] for s in spans], pa.string()))[2].to_pylist()
+
+
+def tables_by_place(of: np.ndarray, x0: np.ndarray, x1: np.ndarray, y: np.ndarray, size: np.ndarray, said: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
+    """(page, number on it, rows of cells) of the tables of many pages at once, from where their spans stand; of: each span's page.
 
     Spans of one height are a row, near neighbours in it one cell. A table begins and ends with rows of several cells; between them a row of one cell may stand, like one
     that spans the table. A sweep over the cells' x-intervals counts how many of the rows of several cells cover each place: columns are the stretches that are
-    covered, up to the few rows that may cross a gap. A cell goes to the column that it overlaps most, the first of equal ones; where a row has none, the cell is empty."""
-    rows: list[tuple[float, float, list]] = []
-    for x0, x1, y, size, text_ in sorted(spans, key=lambda s: (s[2], s[0])):
-        if not text_ or not text_.strip():
-            continue
-        if rows and y - rows[-1][0] <= 0.5 * rows[-1][1]:
-            rows[-1][2].append((x0, x1, size, text_.strip()))
-        else:
-            rows.append((y, size, [(x0, x1, size, text_.strip())]))
-    cells = []
-    for y, size, row in rows:
-        out: list[list] = []
-        for x0, x1, s, t in sorted(row):
-            if out and x0 - out[-1][1] < CELL_GAP * s:
-                out[-1][1], out[-1][2] = max(out[-1][1], x1), f"{out[-1][2]} {t}"
-            else:
-                out.append([x0, x1, t])
-        cells.append((y, size, out))
-    tables, run = [], []
-
-    def close() -> None:
-        while run and len(run[-1][2]) < 2:
-            run.pop()
-        wide = [r for r in run if len(r[2]) > 1]
-        columns = _columns([(c[0], c[1]) for r in wide for c in r[2]], len(wide) // CROSSED) if len(wide) > 1 else []
-        if len(columns) > 1:
-            tables.append([_in_columns(r[2], columns) for r in run])
-        run.clear()
-
-    for r in cells:
-        if run and (r[0] - run[-1][0] > ROW_GAP * r[1] or (len(r[2]) < 2 and len(run[-1][2]) < 2)):
-            close()
-        if run or len(r[2]) > 1:
-            run.append(r)
-    close()
-    return tables
-
-
-def _columns(intervals: list[tuple[float, float]], crossed: int) -> list[tuple[float, float]]:
-    """The stretches that more than `crossed` intervals cover."""
-    out, depth, begin = [], 0, 0.0
-    for x, step in sorted([(a, 1) for a, _ in intervals] + [(b, -1) for _, b in intervals]):
-        if depth <= crossed < depth + step:
-            begin = x
-        elif depth + step <= crossed < depth:
-            out.append((begin, x))
-        depth += step
+    covered, up to the few rows that may cross a gap. A cell goes to the column that it overlaps most, the first of equal ones; where a row has none, the cell is empty.
+
+    All steps are over arrays of all pages; only rows of slightly different heights and cells of several spans are walked, all pages a step at a time."""
+    said = pc.utf8_trim_whitespace(said)
+    some = np.flatnonzero(pc.fill_null(pc.not_equal(said, ""), False).to_numpy(zero_copy_only=False))
+    some = some[np.lexsort((x0[some], y[some], of[some]))]
+    of, x0, x1, y, size = (v[some] for v in (of, x0, x1, y, size))
+
+    # rows of spans
+    line = np.flatnonzero(_changes(of, y))
+    begins = np.zeros(len(of), bool)
+    begins[line[_row_begins(of[line], y[line], size[line])]] = True
+    row_at, row = np.flatnonzero(begins), np.cumsum(begins) - 1
+    page, top, height = of[row_at], y[row_at], size[row_at]
+    order = np.lexsort((size, x1, x0, row))
+    if not _changes(*(v[order] for v in (row, x0, x1, size))).all():
+        order = np.lexsort((pc.rank(said.take(pa.array(some)), tiebreaker="dense").to_numpy(), size, x1, x0, row))
+    some, x0, x1, size = (v[order] for v in (some, x0, x1, size))
+
+    # cells of rows
+    cell_begins = _cell_begins(row, row_at, x0, x1, size)
+    cell_at = np.flatnonzero(cell_begins)
+    left, right, row_of = x0[cell_at], np.maximum.reduceat(x1, cell_at) if len(cell_at) else x1, row[cell_at]
+
+    # runs of rows; after a row of one cell comes one of several, or the run ends
+    wide = np.bincount(row_of, minlength=len(row_at)) > 1
+    follows = ~_changes(page)
+    after_wide = follows & np.append(False, wide[:-1])[: len(wide)]
+    follows[1:] &= ~(top[1:] - top[:-1] > ROW_GAP * height[1:])
+    inside = wide | (follows & after_wide)
+    goes_on = inside & follows & np.append(False, inside[:-1])[: len(inside)] & (wide | after_wide)
+    run = np.maximum(np.cumsum(inside & ~goes_on) - 1, 0)
+    inside &= wide | np.append(goes_on[1:], False)[: len(wide)]
+    n_wide = np.bincount(run[wide], minlength=run.max(initial=0) + 1)
+
+    # columns of runs
+    sides = np.flatnonzero((wide & (n_wide[run] > 1))[row_of])
+    x, step, runs = np.append(left[sides], right[sides]), np.repeat([1, -1], len(sides)), np.tile(run[row_of[sides]], 2)
+    order = np.lexsort((step, x, runs))
+    x, step, runs = x[order], step[order], runs[order]
+    depth, crossed = np.cumsum(step), n_wide[runs] // CROSSED
+    rises, falls = (depth - step <= crossed) & (crossed < depth), (depth <= crossed) & (crossed < depth - step)
+    n_columns = np.bincount(runs[rises], minlength=len(n_wide))
+    first_column = np.cumsum(n_columns) - n_columns
+
+    # cells to columns
+    rows = np.flatnonzero(inside & (n_columns[run] > 1))
+    slots = np.append(0, np.cumsum(n_columns[run[rows]]))
+    slot = np.full(len(row_at), -1)
+    slot[rows] = slots[:-1]
+    cells = np.flatnonzero(slot[row_of] >= 0)
+    of_run = run[row_of[cells]]
+    goes_to = np.full(len(cell_at), -1)
+    goes_to[cells] = slot[row_of[cells]] + _columns_of(left[cells], right[cells], first_column[of_run], n_columns[of_run], x[rises], x[falls])
+    to = goes_to[np.cumsum(cell_begins) - 1]
+    placed = np.flatnonzero(to >= 0)
+    placed = placed[np.argsort(to[placed], kind="stable")]
+    words = _lists(np.bincount(to[placed], minlength=slots[-1]), said.take(pa.array(some[placed])))
+    found = _lists(n_columns[run[rows]], pc.binary_join(words, " "))
+    table_at = np.flatnonzero(_changes(run[rows]))
+    pages = page[rows[table_at]]
+    return pages, np.arange(len(pages)) - np.searchsorted(pages, pages), _lists(np.diff(np.append(table_at, len(rows))), found)
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before in some column."""
+    out = np.ones(len(columns[0]), bool)
+    if len(out) > 1:
+        out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
+
+
+def _by_place_in(begin: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The second, the third.. elements of all stretches that have so many: (stretches, places of the elements)."""
+    order = np.argsort(-length, kind="stable")
+    longest = -length[order]
+    for k in range(1, -int(longest[0]) if len(order) else 0):
+        which = order[: np.searchsorted(longest, -k)]
+        yield which, begin[which] + k
+
+
+def _row_begins(page: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether a height, in order, begins a row: it is farther than half a size from the one that the row began with."""
+    out = _changes(page)
+    at = np.flatnonzero(out)
+    length = np.diff(np.append(at, len(page)))
+    near = np.flatnonzero(~out[1:] & (y[1:] - y[:-1] <= 0.5 * size[:-1])) + 1
+    out[:] = True
+    # pages of which no height is near the one before are done
+    some = np.unique(np.searchsorted(at, near, "right") - 1)
+    base = at[some]
+    for which, i in _by_place_in(at[some], length[some]):
+        out[i] = new = ~(y[i] - y[base[which]] <= 0.5 * size[base[which]])
+        base[which[new]] = i[new]
+    return out
+
+
+def _cell_begins(row: np.ndarray, row_at: np.ndarray, x0: np.ndarray, x1: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether a span begins a cell: it is no near neighbour of what its row's cell has so far."""
+    out = _changes(row)
+    length = np.diff(np.append(row_at, len(row)))
+    near = np.flatnonzero(~out[1:] & (x0[1:] - x1[:-1] < CELL_GAP * size[1:])) + 1
+    out[:] = True
+    some = np.unique(row[near])
+    end = x1[row_at[some]]
+    for which, i in _by_place_in(row_at[some], length[some]):
+        out[i] = new = ~(x0[i] - end[which] < CELL_GAP * size[i])
+        end[which] = np.where(new, x1[i], np.maximum(end[which], x1[i]))
     return out
 
 
-def _in_columns(row: list[list], columns: list[tuple[float, float]]) -> list[str]:
-    out = [""] * len(columns)
-    for x0, x1, t in row:
-        share = [min(x1, b) - max(x0, a) for a, b in columns]
-        # one that spans several whole columns overlaps the widest most, but begins in the first
-        at = next((i for i, (a, b) in enumerate(columns) if share[i] >= b - a), share.index(max(share)))
-        out[at] = f"{out[at]} {t}".strip()
+#: Cells times columns that are compared at once.
+PAIRS = 1 << 20
+
+
+def _columns_of(left: np.ndarray, right: np.ndarray, first: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each cell its column among n from the first on, which go from a to b. One that spans several whole columns overlaps the widest most, but begins in the first."""
+    out = np.zeros(len(left), int)
+    ends = np.cumsum(n)
+    start = 0
+    while start < len(left):
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS, "right")))
+        width = n[start:end]
+        at = np.cumsum(width) - width
+        within = np.arange(width.sum()) - np.repeat(at, width)
+        column = np.repeat(first[start:end], width) + within
+        share = np.minimum(np.repeat(right[start:end], width), b[column]) - np.maximum(np.repeat(left[start:end], width), a[column])
+        none = len(within)
+        whole = np.minimum.reduceat(np.where(share >= b[column] - a[column], within, none), at)
+        most = np.minimum.reduceat(np.where(share == np.repeat(np.maximum.reduceat(share, at), width), within, none), at)
+        out[start:end] = np.where(whole < none, whole, most)
+        start = end
     return out
 
 
 def pdf_tables(spans: DataFrame, cfg: ExtractConfig = CFG) -> DataFrame:
-    """(doc_id, page, ord, table_rows). Where spans have places (x0, x1, y), tables are found by them, page by page: see tables_of_page(). Of pages without places, and of spans that have
+    """(doc_id, page, ord, table_rows). Where spans have places (x0, x1, y), tables are found by them, page by page: see tables_by_place(). Of pages without places, and of spans that have
     no such columns, those that look tabular have tables in runs of two or more lines, one after another, of equally many spans, two at least; a span is then a cell.
 
-    Spans are shuffled once, by page, and sorted; a task takes many whole pages at a time, so a page costs no call of its own."""
+    Spans are shuffled once, by page, and sorted; a task takes many whole pages at a time, so a page costs no call of its own. Where a page's spans are one row already, as a PDF
+    library gives them, tables_of_pages() finds the same without a shuffle."""
     inside = spans.filter(F.col("page") <= cfg.most_pages)
-    places = [c for c in ("x0", "x1", "y", "size") if {"x0", "x1", "y"} <= set(spans.columns)]
+    places = [c for c in PLACES if set(PLACES[:3]) <= set(spans.columns)]
     rows = inside.select("doc_id", "page", "block", "line", "span", "text", *[F.col(c).cast("double").alias(c) for c in places])
-    schema = T.StructType([spans.schema["doc_id"], spans.schema["page"]]).add("ord", T.IntegerType()).add("table_rows", T.ArrayType(T.ArrayType(T.StringType())))
+    schema = T.StructType([spans.schema["doc_id"], spans.schema["page"], *TABLE_FIELDS])
 
     def work(batches):
-        for found in map(_tables_by_place if places else _tables_by_spans, _whole_pages(batches)):
-            yield from found.cast(to_arrow_schema(schema)).to_batches()
+        for rows in _whole_pages(batches):
+            begins = _begins(rows, ("doc_id", "page"))
+            yield from _tables(rows.select(["doc_id", "page"]).filter(pa.array(begins)), np.cumsum(begins) - 1, rows).cast(to_arrow_schema(schema)).to_batches()
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
     return rows.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "block", "line", "span", "text").mapInArrow(work, schema)
 
 
+#: What says where a span stands, the last one may be missing.
+PLACES = ("x0", "x1", "y", "size")
+TABLE_FIELDS = [T.StructField("ord", T.IntegerType()), T.StructField("table_rows", T.ArrayType(T.ArrayType(T.StringType())))]
+#: Spans of whole pages that are taken at once, or one page if it has more.
+SPANS = 1 << 18
+
+
+def tables_of_pages(pages: DataFrame, cfg: ExtractConfig = CFG) -> DataFrame:
+    """As pdf_tables(), of pages (doc_id, page, spans) that are one row each; spans: an array of (block, line, span, text and, if known, x0, x1, y, size), in any order. Nothing is shuffled."""
+    schema = T.StructType([pages.schema["doc_id"], pages.schema["page"], *TABLE_FIELDS])
+
+    def work(batches):
+        for b in batches:
+            n = pc.fill_null(pc.list_value_length(b.column("spans")), 0).to_numpy(zero_copy_only=False)
+            ends, start = np.cumsum(n), 0
+            while start < len(n):
+                end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SPANS, "right")))
+                part, of = b.slice(start, end - start), np.repeat(np.arange(end - start), n[start:end])
+                spans = part.column("spans").flatten()
+                rows = _in_order(of, pa.table(spans.flatten(), names=[f.name for f in spans.type]))
+                yield from _tables(pa.Table.from_batches([part]).select(["doc_id", "page"]), of, rows).cast(to_arrow_schema(schema)).to_batches()
+                start = end
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return pages.filter(F.col("page") <= cfg.most_pages).select("doc_id", "page", "spans").mapInArrow(work, schema)
+
+
+def _in_order(of: np.ndarray, spans: pa.Table) -> pa.Table:
+    """Spans of pages by block, line and span, and then by text; most come so."""
+    keys = ["block", "line", "span"]
+    if not any(spans[k].null_count for k in keys):
+        up = np.append(True, of[1:] != of[:-1])[: len(of)]
+        same = ~up
+        for k in keys:
+            x = spans[k].to_numpy()
+            up[1:] |= same[1:] & (x[1:] > x[:-1])
+            same[1:] &= x[1:] == x[:-1]
+        if up.all():
+            return spans
+    by = spans.select([*keys, "text"]).append_column("of", pa.array(of))
+    return spans.take(pc.sort_indices(by, sort_keys=[(k, "ascending") for k in ("of", *keys, "text")], null_placement="at_start"))
+
+
+def _tables(pages: pa.Table, of: np.ndarray, rows: pa.Table) -> pa.Table:
+    """Tables of pages with a placed span by places, of the others by spans. of: each row's page."""
+    known = np.zeros(len(pages), bool)
+    found = []
+    if set(PLACES[:3]) <= set(rows.column_names):
+        placed = np.logical_and.reduce([rows[c].is_valid().to_numpy() for c in PLACES[:3]])
+        known[of[placed]] = True
+        spans = rows.filter(pa.array(placed)) if not placed.all() else rows
+        x0, x1, y = (spans[c].to_numpy().astype(float) for c in PLACES[:3])
+        size = spans["size"].to_numpy().astype(float) if "size" in rows.column_names else np.full(len(spans), np.nan)
+        found.append(tables_by_place(of[placed], x0, x1, y, size, spans["text"].combine_chunks()))
+    if not known.all():
+        rest = ~known[of]
+        found.append(_tables_by_spans(of[rest], rows.filter(pa.array(rest))))
+    parts = [pages.take(pa.array(at)).append_column("ord", pa.array(order, pa.int32())).append_column("table_rows", tables) for at, order, tables in found]
+    return pa.concat_tables(parts)
+
+
 def _begins(rows: pa.Table, names: tuple[str, ...]) -> np.ndarray:
     """For each row whether it differs from the one before in some column; nulls are equal."""
     out = np.ones(len(rows), bool)
@@ -196,52 +341,31 @@ def _lists(lengths: np.ndarray, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), values)
 
 
-def _tables_by_place(rows: pa.Table) -> pa.Table:
-    """Tables of pages with a placed span by places, of the others by spans."""
-    starts = np.flatnonzero(_begins(rows, ("doc_id", "page")))
-    of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(rows))))
-    placed = pc.and_(pc.and_(rows["x0"].is_valid(), rows["x1"].is_valid()), rows["y"].is_valid()).to_numpy()
-    known = np.bincount(of[placed], minlength=len(starts)) > 0
-    spans = rows.filter(pa.array(placed))
-    values = list(zip(*(spans[c].to_pylist() for c in ("x0", "x1", "y", "size", "text")), strict=True))
-    ends = np.cumsum(np.bincount(of[placed], minlength=len(starts))).tolist()
-    at, order, tables = [], [], []
-    for i in np.flatnonzero(known).tolist():
-        for k, table in enumerate(tables_of_page(values[ends[i - 1] if i else 0 : ends[i]])):
-            at.append(starts[i])
-            order.append(k)
-            tables.append(table)
-    first = rows.select(["doc_id", "page"]).take(pa.array(at, pa.int64()))
-    by_place = first.append_column("ord", pa.array(order, pa.int32())).append_column("table_rows", pa.array(tables, pa.list_(pa.list_(pa.string()))))
-    return by_place if known.all() else pa.concat_tables([by_place, _tables_by_spans(rows.filter(pa.array(~known[of])))])
-
-
-def _tables_by_spans(rows: pa.Table) -> pa.Table:
-    """Runs of lines of equally many spans on the pages that look tabular, as looks_tabular() has it."""
+def _tables_by_spans(of: np.ndarray, rows: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
+    """(page, number on it, rows of cells): runs of lines of equally many spans on the pages that look tabular, as looks_tabular() has it."""
     text_ = rows["text"].combine_chunks()
-    line_at = np.flatnonzero(_begins(rows, ("doc_id", "page", "block", "line")))
+    line_at = np.flatnonzero(_begins(rows, ("block", "line")) | _changes(of))
     n_spans = np.diff(np.append(line_at, len(rows)))
-    new_page = _begins(rows, ("doc_id", "page"))[line_at]
+    new_page = _changes(of[line_at])
     page_at = np.flatnonzero(new_page)
     n_lines = np.diff(np.append(page_at, len(line_at)))
     # a null is no part of its line's text, but a cell
-    said = np.add.reduceat(text_.is_valid().to_numpy(zero_copy_only=False).astype(np.int64), line_at)
+    said = np.add.reduceat(text_.is_valid().to_numpy(zero_copy_only=False).astype(np.int64), line_at) if len(line_at) else n_spans
     lines = pc.binary_join(_lists(said, text_.drop_null()), " ")
     parts = pc.split_pattern(pc.utf8_trim_whitespace(pc.binary_join(_lists(n_lines, lines), "\n")), "\n")
     n_parts = pc.list_value_length(parts).to_numpy()
     short = pc.less(pc.utf8_length(pc.utf8_trim_whitespace(parts.flatten())), 60).to_numpy(zero_copy_only=False)
-    tabular = (n_parts >= 3) & (np.add.reduceat(short.astype(np.int64), np.append(0, np.cumsum(n_parts)[:-1])) > n_parts * 0.5)
+    n_short = np.add.reduceat(short.astype(np.int64), np.append(0, np.cumsum(n_parts)[:-1])) if len(n_parts) else n_parts
+    tabular = (n_parts >= 3) & (n_short > n_parts * 0.5)
     page = np.cumsum(new_page) - 1
-    run_at = np.flatnonzero(new_page | np.append(True, n_spans[1:] != n_spans[:-1]))
+    run_at = np.flatnonzero(new_page | np.append(True, n_spans[1:] != n_spans[:-1])[: len(n_spans)])
     n_rows = np.diff(np.append(run_at, len(line_at)))
     table = (n_rows >= 2) & (n_spans[run_at] >= 2) & tabular[page[run_at]]
     kept = np.repeat(table, n_rows)
     cells = pc.utf8_trim_whitespace(pc.fill_null(text_, "").filter(pa.array(np.repeat(kept, n_spans))))
     run_at, n_rows = run_at[table], n_rows[table]
-    of = page[run_at]
-    order = np.arange(len(of)) - np.searchsorted(of, of)
-    first = rows.select(["doc_id", "page"]).take(pa.array(line_at[run_at]))
-    return first.append_column("ord", pa.array(order, pa.int32())).append_column("table_rows", _lists(n_rows, _lists(n_spans[kept], cells)))
+    at = of[line_at[run_at]]
+    return at, np.arange(len(at)) - np.searchsorted(at, at), _lists(n_rows, _lists(n_spans[kept], cells))
 
 
 def looks_tabular(page: Column) -> Column:

@@ -3,10 +3,13 @@
 import itertools
 import random
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from evloom import queries
 from evloom.functions import tokens
 from evloom.operators import chunking, extract
 from evloom.plans.config import ExtractConfig
@@ -108,6 +111,111 @@ def test_long_words_take_no_square(library):
         assert tokens.count_word(word.encode(), ranks) == len(library.encode(word, add_special_tokens=False).ids)
 
 
+def page_walked(spans):
+    """tables_of_page() span by span, row by row."""
+    rows, cells, runs = [], [], [[]]
+    for x0, x1, y, size, t in sorted((s for s in spans if s[4] and s[4].strip()), key=lambda s: (s[2], s[0])):
+        if not rows or y - rows[-1][0] > 0.5 * rows[-1][1]:
+            rows.append((y, size, []))
+        rows[-1][2].append((x0, x1, size, t.strip()))
+    for y, size, row in rows:
+        out = []
+        for x0, x1, z, t in sorted(row):
+            if out and x0 - out[-1][1] < extract.CELL_GAP * z:
+                out[-1] = (out[-1][0], max(out[-1][1], x1), f"{out[-1][2]} {t}")
+            else:
+                out.append((x0, x1, t))
+        cells.append((y, size, out))
+    for r in cells:
+        before = runs[-1][-1] if runs[-1] else None
+        if before and (r[0] - before[0] > extract.ROW_GAP * r[1] or len(r[2]) == len(before[2]) == 1):
+            runs.append([])
+        if runs[-1] or len(r[2]) > 1:
+            runs[-1].append(r)
+    tables = []
+    for run in runs:
+        run = run[:-1] if run and len(run[-1][2]) == 1 else run
+        wide = [c for r in run if len(r[2]) > 1 for c in r[2]]
+        few = sum(len(r[2]) > 1 for r in run) // extract.CROSSED
+        places = sorted({x for c in wide for x in c[:2]})
+        covered = [(a, b) for a, b in itertools.pairwise(places) if sum(c[0] <= a and b <= c[1] for c in wide) > few]
+        columns = []
+        for a, b in covered:
+            if columns and columns[-1][1] == a and sum(c[0] < a < c[1] for c in wide) > few:
+                columns[-1] = (columns[-1][0], b)
+            else:
+                columns.append((a, b))
+        if sum(len(r[2]) > 1 for r in run) < 2 or len(columns) < 2:
+            continue
+        table = []
+        for _, _, row in run:
+            out = [""] * len(columns)
+            for x0, x1, t in row:
+                share = [min(x1, b) - max(x0, a) for a, b in columns]
+                at = next((i for i, (a, b) in enumerate(columns) if share[i] >= b - a), share.index(max(share)))
+                out[at] = f"{out[at]} {t}".strip()
+            table.append(out)
+        tables.append(table)
+    return tables
+
+
+def drawn_badly(rng):
+    """Spans of uneven heights, in ragged columns, some near each other or over several columns."""
+    y, out = 0.0, []
+    for _ in range(rng.randrange(40)):
+        y += rng.choice([0, 0, 0, 1.0, 5.0, 5.5, 14.0, 20.0, 40.0, 41.0])
+        x0 = 100.0 * rng.randrange(4) + rng.choice([0.0, 0.0, 3.0, 50.0]) + rng.random() / 8
+        out.append((x0, x0 + rng.choice([10.0, 40.0, 88.0, 95.0, 188.0, 300.0]), y, rng.choice([10.0, 10.0, 12.0, 5.0]), rng.choice([None, "", " ", "a", "b ", " c d", "\x1cf", "\xa0g"])))
+    rng.shuffle(out)
+    return out
+
+
+def test_many_pages_are_found_as_each_is():
+    """Tables of all pages at once, as a walk over each page finds them, also a few cells at a time."""
+    rng = random.Random(11)
+    pages = [drawn_badly(rng) for _ in range(1500)]
+    of, spans = [i for i, p in enumerate(pages) for _ in p], [s for p in pages for s in p]
+    x0, x1, y, size = (np.array([s[k] for s in spans]) for k in range(4))
+    want = [(i, k, t) for i, p in enumerate(pages) for k, t in enumerate(page_walked(p))]
+    assert len(want) > 200
+    for pairs in (3, extract.PAIRS):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(extract, "PAIRS", pairs)
+            got = extract.tables_by_place(np.array(of), x0, x1, y, size, pa.array([s[4] for s in spans]))
+        assert list(zip(got[0].tolist(), got[1].tolist(), got[2].to_pylist(), strict=True)) == want
+    assert extract.tables_of_page([]) == []
+
+
+PAGES = "doc_id string, page int, spans array<struct<block: int, line: int, span: int, text: string, size: double, x0: double, x1: double, y: double>>"
+
+
+@pytest.mark.parametrize("at_once", [7, 1 << 18])
+def test_whole_pages_are_not_shuffled(spark, monkeypatch, at_once):
+    """Pages of one row each give what their spans as rows give, in any order, without an exchange or a sort."""
+    monkeypatch.setattr(extract, "SPANS", at_once)
+    rng = random.Random(at_once)
+    pages = [(f"d{i % 7}", i, [(k // 6, k // 2 % 3, k % 2, t, z, *((x0, x1, y) if i % 2 else (None, None, None))) for k, (x0, x1, y, z, t) in enumerate(drawn_badly(rng))]) for i in range(1, 140)]
+    pages += [("empty", 1, []), ("null", 1, None), (None, 2, [(0, i, j, f"{i}{j}", 10.0, None, None, None) for i in range(3) for j in range(2)])]
+    rows = [(d, p, b, ln, s, t, z, 0, x0, x1, y) for d, p, spans in pages for b, ln, s, t, z, x0, x1, y in spans or ()]
+    for _, _, spans in pages[::3]:
+        rng.shuffle(spans)
+    found = extract.tables_of_pages(spark.createDataFrame(pages, PAGES).coalesce(2))
+    key = lambda r: (r.doc_id or "", r.page, r.ord)
+    got = sorted(found.collect(), key=key)
+    assert len(got) > 20 and {r.page % 2 for r in got} == {0, 1} and max(r.page for r in got) <= 100
+    assert got == sorted(extract.pdf_tables(spark.createDataFrame(rows, SPAN)).collect(), key=key)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+
+
+def test_queries_of_pdf_tables_shuffle_no_spans(spark):
+    """Documents are dealt, which are small beside their spans."""
+    for name in ("pdf_tables",):
+        plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        above, below = plan.split("Exchange", 1)
+        assert "Generate" in above and "Generate" not in below and "Exchange" not in below and "Sort" not in plan
+
+
 def tables_by_hand(page):
     """Of one page's (block, line, span, text, x0, x1, y): by places where there are some, else by runs of lines."""
     if placed_ := [s for s in page if None not in s[4:]]:
